@@ -122,7 +122,8 @@ def fill_periods(by: DataFrame, unit: str) -> DataFrame:
     stop = F.coalesce(F.to_date(upcoming - step), F.col("period_start"))
     _, label = PERIODS[unit]
     return (
-        by.withColumn("__p", F.explode(F.sequence("period_start", stop, step)))
+        by.withColumn("__stop", stop)
+        .withColumn("__p", F.explode(F.sequence("period_start", "__stop", step)))
         .select(
             F.to_date("__p").alias("period_start"),
             F.when(F.to_date("__p") == F.col("period_start"), F.col("revenue")).otherwise(F.lit(0.0)).alias("revenue"),

@@ -193,7 +193,7 @@ def qa_pairs(log: DataFrame, last: int = 20, first: int = 5, min_length: int = 2
     """User turn and the assistant turn that answers it, from the tail of each conversation."""
     tail = history_tail(log, last).where(F.col("role").isin("user", "assistant"))
     order = W.partitionBy("conv_id").orderBy("turn")
-    message = F.trim("text")
+    message = F.btrim("text", F.lit(" \t\r\n"))
     paired = tail.select(
         "conv_id", "turn", "role", message.alias("answer"),
         F.lag("role").over(order).alias("__role"), F.lag(message).over(order).alias("question"),

@@ -39,7 +39,7 @@ def resample(df: DataFrame, unit: str = "D", date: str = "date", amount: str = "
     step = F.expr(f"INTERVAL 1 {word}")
     following = F.lead("b").over(W.orderBy("b"))
     stop = F.coalesce(F.to_date(following - step), F.col("b"))
-    return known.withColumn("p", F.explode(F.sequence("b", stop, step))).select(
+    return known.withColumn("stop", stop).withColumn("p", F.explode(F.sequence("b", "stop", step))).select(
         label(F.to_date("p")).alias("ds"),
         F.when(F.to_date("p") == F.col("b"), F.col("v")).otherwise(F.lit(0.0)).alias("y"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,6 +83,17 @@ class Analysis:
             self.status, "step string, status string, reason string, missing_columns array<string>"
         )
 
+    def outcome(self, spark) -> DataFrame:
+        """The status rows with the number of result rows of every completed step."""
+        status = self.status_frame(spark)
+        if not self.results:
+            return status.withColumn("result_rows", F.lit(None).cast("bigint"))
+        counts = [
+            df.agg(F.count(F.lit(1)).alias("result_rows")).select(F.lit(step).alias("step"), "result_rows")
+            for step, df in self.results.items()
+        ]
+        return status.join(reduce(DataFrame.unionByName, counts), "step", "left")
+
 
 def module_key(name: str) -> str:
     key = "".join(ch for ch in name.lower() if ch.isalnum())

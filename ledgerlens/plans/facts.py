@@ -23,6 +23,7 @@ _ORDER_COLUMNS = {
 }
 _LINE_COLUMNS = {
     **_ORDER_COLUMNS,
+    "transaction_id": ((), "l_orderkey"),
     "total_amount": ((), "l_extendedprice * (1 - l_discount)"),
     "quantity": ((), "l_quantity"),
     "discount": ((), "l_discount"),
@@ -57,8 +58,7 @@ def _project(spark, folder, base, catalogue, columns) -> DataFrame:
 def sales(spark: SparkSession, folder: str, columns: Sequence[str]) -> DataFrame:
     """One row per order line with the canonical columns asked for; joins only the tables those need."""
     lines = table(spark, folder, "lineitem")
-    order_side = [c for c in columns if c in _ORDER_COLUMNS]
-    if order_side:
+    if any(c in _ORDER_COLUMNS and c != "transaction_id" for c in columns):
         lines = lines.join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return _project(spark, folder, lines, _LINE_COLUMNS, columns)
 
