@@ -76,7 +76,7 @@ def clean_dims(spark, folder):
 
 @query(
     """SELECT p_partkey, regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]', '', 'g') AS key,
-    nullif(CASE WHEN p_size > 40 THEN 'na' ELSE p_name || ' ' || p_type END, 'na') AS label, p_size - 0.5 AS number FROM part"""
+    nullif(CASE WHEN p_size > 40 THEN 'na' ELSE p_name || ' ' || p_type END, 'na') AS label, p_size - CAST(0.5 AS DOUBLE) AS number FROM part"""
 )
 def clean_texts(spark, folder):
     p = table(spark, folder, "part")
@@ -123,7 +123,7 @@ def time_features(spark, folder):
     return clean.add_time_features(rows).drop("date")
 
 
-DUP_SQL = """dup AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_linenumber * 1.5 END AS weight,
+DUP_SQL = """dup AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_linenumber * CAST(1.5 AS DOUBLE) END AS weight,
   CASE WHEN l_linenumber = 5 THEN NULL ELSE 'x' END AS tag FROM lineitem)"""
 
 

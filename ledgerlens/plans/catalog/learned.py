@@ -1 +1,115 @@
-"""TBD"""
+"""Models trained on the given tables; checked by rows, ranges and repeatability."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ...operators import customers, mapping, ml
+from ...operators import timeseries as ts
+from ...session import materialize, scratch_path
+from ..facts import TABLES, orders_fact, sales, table
+from .registry import query, tidy
+from .text import opening_intent, questions
+
+
+@query()
+def kmeans_segments(spark, folder):
+    scores = materialize(customers.rfm(orders_fact(spark, folder, ["customer_id", "date", "total_amount"])))
+    path = scratch_path(spark, "segment-model")
+    ml.save_model(ml.train_segments(scores), path)
+    return tidy(ml.segment_profile(ml.assign_segments(ml.load_model(path), scores)))
+
+
+def _purchases(spark, folder):
+    rows = sales(spark, folder, ["customer_id", "date", "total_amount", "size", "segment", "product_category", "transaction_id"])
+    return ml.churn_labels(rows)
+
+
+def _churn(spark, folder):
+    train, test = ml.stratified_split(_purchases(spark, folder), "label", ["transaction_id"])
+    model = ml.train_churn(train, ["size"], ["segment", "product_category"])
+    return model, test
+
+
+@query()
+def churn_forest(spark, folder):
+    model, test = _churn(spark, folder)
+    scored = materialize(ml.score_churn(model, test).select("customer_id", "total_amount", "label", "prediction", "rawPrediction", "churn_risk_score"))
+    report = ml.binary_report(scored)
+    exposed = ml.churn_exposure(scored)
+    return report.select("*", *[exposed.select(c).scalar().alias(c) for c in exposed.columns])
+
+
+@query()
+def churn_feature_importance(spark, folder):
+    model, test = _churn(spark, folder)
+    return ml.feature_importance(model, test)
+
+
+@query()
+def weekly_forest_forecast(spark, folder):
+    series = materialize(ts.resample(sales(spark, folder, ["date", "total_amount"]), "W"))
+    model = ml.train_weekly(series)
+    return ml.forecast_weeks(model, series).withColumn("mae", F.lit(ml.mean_absolute_error(model, series)))
+
+
+@query()
+def intent_model(spark, folder):
+    """Per-intent precision and recall on held-out questions derived from the orders."""
+    labelled = questions(spark, folder).withColumn("intent", opening_intent(F.col("text")))
+    model, scored, scores = ml.train_intents(labelled, ["id"])
+    names = F.array(*[F.lit(x) for x in model.stages[0].labels])
+    named = scored.select(
+        F.get(names, F.col("label").cast("int")).alias("label"), F.get(names, F.col("prediction").cast("int")).alias("prediction")
+    )
+    return ml.class_report(named).withColumns({f"accuracy_{k}": F.lit(v) for k, v in scores.items()})
+
+
+def _descriptions(spark, folder) -> DataFrame:
+    """Descriptions of all columns of all tables; a label where the name says the role."""
+    parts = [ml.column_descriptions(table(spark, folder, t)).withColumn("source", F.lit(t)) for t in TABLES]
+    return reduce(DataFrame.unionByName, parts).withColumn("label", _role_of(F.col("column_name")))
+
+
+# What the columns of the test tables are, in the roles of the mapper.
+ROLE_PATTERNS = (
+    ("Date", "date$|^ts$"),
+    ("ID", "key$|_id$|^turn$|number$"),
+    ("Location", "^n_name$|^r_name$"),
+    ("Numeric", "price$|acctbal$|quantity$|discount$|tax$|size$|value$"),
+    ("Text", "^text$|props$|_name$"),
+)
+
+
+def _role_of(name):
+    out = F.lit("Categorical")
+    for role, pattern in reversed(ROLE_PATTERNS):
+        out = F.when(name.rlike(pattern), F.lit(role)).otherwise(out)
+    return out
+
+
+@query()
+def column_role_model(spark, folder):
+    described = materialize(_descriptions(spark, folder))
+    model = ml.train_column_roles(described)
+    predicted = materialize(ml.predict_column_roles(model, described))
+    limit = ml.confidence_threshold(predicted)
+    return predicted.withColumn("threshold", limit.scalar())
+
+
+@query()
+def column_role_mapping(spark, folder):
+    """Classifier roles feed the automatic mapping of the orders table."""
+    model = ml.train_column_roles(_descriptions(spark, folder))
+    orders = table(spark, folder, "orders")
+    chosen = mapping.auto_map(orders, predicted=ml.roles_by_model(model, orders))
+    return spark.createDataFrame(sorted(chosen.items()), "role string, source string")
+
+
+@query()
+def arima_per_region(spark, folder):
+    monthly = ml.monthly_by(sales(spark, folder, ["region", "date", "total_amount"]), "region")
+    return ml.arima_forecast(monthly, "region")

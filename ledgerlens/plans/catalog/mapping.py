@@ -1 +1,114 @@
-"""TBD"""
+"""Schema discovery on the given tables under foreign column names."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ...operators import mapping, profile
+from ..analysis import ingest_frame
+from ..facts import orders_fact, table
+from .registry import R, query, tidy, with_orders
+
+
+def foreign_orders(spark, folder):
+    """Orders as a foreign system might export them: texts, other names, a currency sign."""
+    rows = orders_fact(spark, folder, ["transaction_id", "date", "total_amount", "customer_id", "segment", "country"])
+    return rows.select(
+        F.concat(F.lit("T-"), F.col("transaction_id").cast("string")).alias("txn_ref"),
+        F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("purchase_ts"),
+        F.concat(F.lit("$"), F.format_number("total_amount", 2)).alias("gross_sales"),
+        F.concat(F.lit("C"), F.col("customer_id").cast("string")).alias("client_code"),
+        F.col("segment").alias("item_group"),
+        F.col("country").alias("zone"),
+    )
+
+
+@query()
+def mapping_candidates(spark, folder):
+    return mapping.mapping_candidates(foreign_orders(spark, folder))
+
+
+@query()
+def mapping_auto(spark, folder):
+    frame = foreign_orders(spark, folder)
+    chosen = mapping.auto_map(frame)
+    return spark.createDataFrame(sorted(chosen.items()), "role string, source string")
+
+
+@query()
+def mapping_validation(spark, folder):
+    """Issues of a deliberately weak mapping: a market segment as customer id."""
+    frame = foreign_orders(spark, folder).select(
+        F.col("purchase_ts").alias("date"), F.col("gross_sales").alias("total_amount"),
+        F.col("item_group").alias("customer_id"), F.col("zone").alias("product_category"),
+    )
+    return mapping.mapping_issues(frame)
+
+
+@query()
+def detected_columns(spark, folder):
+    """Date, amount, region and customer column of a foreign table, each by its own detector."""
+    facts = mapping.column_facts(foreign_orders(spark, folder))
+    finders = {
+        "date": mapping.detect_date, "amount": mapping.detect_amount,
+        "region": mapping.detect_region, "customer": mapping.detect_customer,
+    }
+    return spark.createDataFrame([(role, find(facts)) for role, find in finders.items()], "role string, source string")
+
+
+@query()
+def analysis_plan(spark, folder):
+    """What the ingested table allows, next to its row count."""
+    data = ingest_frame(foreign_orders(spark, folder))
+    plan = mapping.analysis_plan(spark, data.frame.columns)
+    rows = data.frame.agg(F.count(F.lit(1)).alias("n"))
+    return plan.withColumn("mode", F.lit(data.mode)).withColumn("clean_rows", rows.scalar())
+
+
+@query(
+    with_orders(
+        f"""SELECT strftime(date, '%Y-%m') AS month_year, count(*) AS n, {R('sum(total_amount)')} AS revenue FROM orders_fact GROUP BY 1"""
+    )
+)
+def ingest_months(spark, folder):
+    """Ingest the foreign table without any hint and report revenue by month."""
+    frame = ingest_frame(foreign_orders(spark, folder)).frame
+    return tidy(frame.groupBy("month_year").agg(F.count(F.lit(1)).alias("n"), F.sum("total_amount").alias("revenue")))
+
+
+@query(
+    with_orders(
+        f"""SELECT strftime(date, '%Y') AS year, {R('sum(total_amount)')} AS revenue, count(DISTINCT customer_id) AS customers FROM orders_fact GROUP BY 1"""
+    )
+)
+def manual_mapping(spark, folder):
+    chosen = {"date": "purchase_ts", "total_amount": "gross_sales", "customer_id": "client_code", "product_category": "item_group"}
+    frame = mapping.apply_manual_mapping(foreign_orders(spark, folder), chosen)
+    by = frame.groupBy(F.date_format("date", "yyyy").alias("year"))
+    return tidy(by.agg(F.sum("total_amount").alias("revenue"), F.count_distinct("customer_id").alias("customers")))
+
+
+KINDS = {
+    "o_orderkey": "number", "o_custkey": "number", "o_orderstatus": "text", "o_totalprice": "number",
+    "o_orderdate": "date", "o_orderpriority": "text", "c_name": "text", "text_number": "number", "text_date": "date",
+}
+
+
+@query(
+    "SELECT * FROM (VALUES "
+    + ", ".join(f"('{c}', '{k}')" for c, k in KINDS.items())
+    + ') t("column", inferred_type) WHERE (SELECT count(*) FROM orders) > 0'
+)
+def inferred_types(spark, folder):
+    orders = table(spark, folder, "orders").withColumns(
+        {
+            "text_number": F.format_string("%.3f", F.col("o_totalprice")),
+            "text_date": F.date_format("o_orderdate", "yyyy-MM-dd"),
+        }
+    )
+    names = table(spark, folder, "customer").select("c_name")
+    parts = [profile.infer_types(orders), profile.infer_types(names)]
+    return reduce(DataFrame.unionByName, parts)

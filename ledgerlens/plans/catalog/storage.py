@@ -1 +1,142 @@
-"""TBD"""
+"""Round trips through files, run history, nested results."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ...operators import kpi
+from ...session import scratch_path
+from ...sources import readers, sinks
+from ..facts import orders_fact, table
+from .registry import query, with_orders
+
+ORDERS_SQL = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority FROM orders"""
+
+
+def _orders(spark, folder):
+    return table(spark, folder, "orders").withColumn("o_orderdate", F.to_date("o_orderdate"))
+
+
+@query(ORDERS_SQL)
+def roundtrip_csv(spark, folder):
+    path = scratch_path(spark, "orders-csv") + ".csv"
+    sinks.write_csv(_orders(spark, folder), path)
+    return readers.read_dataset(spark, path)
+
+
+@query(ORDERS_SQL)
+def roundtrip_json(spark, folder):
+    path = scratch_path(spark, "orders-json") + ".json"
+    rows = _orders(spark, folder)
+    sinks.write_json(rows, path)
+    back = readers.read_dataset(spark, path, lines=True)
+    return readers.with_dates(back, "o_orderdate").select(
+        *[F.to_date(c).alias(c) if c == "o_orderdate" else F.col(c) for c in rows.columns]
+    )
+
+
+@query(ORDERS_SQL)
+def roundtrip_parquet(spark, folder):
+    path = scratch_path(spark, "orders")
+    sinks.write_sections({"orders": _orders(spark, folder)}, path)
+    return readers.read_dataset(spark, f"{path}/orders", "parquet")
+
+
+@query(
+    """SELECT s_suppkey, s_name || ' ' || chr(233) AS label, s_acctbal AS "Amount" FROM supplier"""
+)
+def roundtrip_latin1(spark, folder):
+    """A Latin-1 file is recognised by its unreadable UTF-8 and read again."""
+    path = scratch_path(spark, "supplier") + ".csv"
+    rows = table(spark, folder, "supplier").select("s_suppkey", F.concat("s_name", F.lit(" é")).alias("label"), F.col("s_acctbal").alias("Sales"))
+    rows.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return readers.with_amount(readers.read_dataset(spark, path)).drop("Sales")
+
+
+@query(
+    with_orders(
+        """SELECT * FROM (SELECT 'kpis' AS section, 'total_orders' AS key, CAST(count(*) AS VARCHAR) AS value FROM orders_fact
+        UNION ALL SELECT 'kpis', 'unique_customers', CAST(count(DISTINCT customer_id) AS VARCHAR) FROM orders_fact
+        UNION ALL SELECT 'regions', 'name', region FROM orders_fact GROUP BY region
+        UNION ALL SELECT 'regions', 'orders', CAST(count(*) AS VARCHAR) FROM orders_fact GROUP BY region)"""
+    )
+)
+def export_long_form(spark, folder):
+    rows = orders_fact(spark, folder, ["customer_id", "date", "total_amount", "region"])
+    sections = {
+        "kpis": kpi.business_kpis(rows).select("total_orders", "unique_customers"),
+        "regions": rows.groupBy(F.col("region").alias("name")).agg(F.count(F.lit(1)).alias("orders")),
+    }
+    path = scratch_path(spark, "export")
+    sinks.write_sections(sections, path)
+    return sinks.long_form({name: spark.read.parquet(f"{path}/{name}") for name in sections})
+
+
+@query(
+    """SELECT CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS amount, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS ts,
+    CAST(o_orderkey AS BIGINT) AS k FROM orders"""
+)
+def json_safe_rows(spark, folder):
+    infinite = F.when(F.col("o_orderkey") % 2 == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    rows = table(spark, folder, "orders").select(
+        F.when(F.col("o_orderkey") % 3 == 0, infinite).otherwise(F.col("o_totalprice")).alias("amount"),
+        F.col("o_orderdate").alias("ts"),
+        F.col("o_orderkey").alias("k"),
+    )
+    return sinks.json_safe(rows)
+
+
+@query(
+    """SELECT * FROM (SELECT CAST(o_custkey AS VARCHAR) AS "user", o_orderdate AS analyzed_at, o_orderkey AS run_id, o_totalprice AS total_revenue,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS position FROM orders) WHERE position <= 5"""
+)
+def run_history_last5(spark, folder):
+    path = scratch_path(spark, "runs")
+    history = table(spark, folder, "orders").select(
+        F.col("o_custkey").cast("string").alias("user"), F.col("o_orderdate").alias("analyzed_at"),
+        F.col("o_orderkey").alias("run_id"), F.col("o_totalprice").alias("total_revenue"),
+    )
+    sinks.append_run(history.where(F.col("total_revenue") < 250000), path)
+    sinks.append_run(history.where(F.col("total_revenue") >= 250000), path)
+    return sinks.recent_runs(spark.read.parquet(path), ties=("run_id",))
+
+
+@query("""SELECT o_orderkey AS report_id, o_orderdate AS created_at FROM orders""")
+def report_history(spark, folder):
+    path = scratch_path(spark, "reports")
+    table(spark, folder, "orders").select(F.col("o_orderkey").alias("report_id"), F.col("o_orderdate").alias("created_at")).write.parquet(path)
+    return sinks.report_history(spark, path)
+
+
+@query(
+    with_orders(
+        """SELECT 'region' AS key, region AS value FROM (SELECT DISTINCT region FROM orders_fact)
+        UNION ALL SELECT 'summary.orders', CAST(count(*) AS VARCHAR) FROM orders_fact GROUP BY region
+        UNION ALL SELECT 'summary.customers', CAST(count(DISTINCT customer_id) AS VARCHAR) FROM orders_fact GROUP BY region
+        UNION ALL SELECT 'rows[' || i || '].country', country FROM (SELECT region, country, row_number() OVER (PARTITION BY region ORDER BY country) - 1 AS i FROM orders_fact GROUP BY region, country)
+        UNION ALL SELECT 'rows[' || i || '].orders', CAST(n AS VARCHAR) FROM (SELECT region, count(*) AS n, row_number() OVER (PARTITION BY region ORDER BY country) - 1 AS i FROM orders_fact GROUP BY region, country)"""
+    )
+)
+def result_flatten(spark, folder):
+    """A nested result per region (summary struct, list of countries) to key/value rows."""
+    rows = orders_fact(spark, folder, ["region", "country", "customer_id"])
+    per = rows.groupBy("region", "country").agg(F.count(F.lit(1)).alias("orders"))
+    lists = per.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("country", "orders"))).alias("rows"))
+    summary = rows.groupBy("region").agg(
+        F.struct(F.count(F.lit(1)).alias("orders"), F.count_distinct("customer_id").alias("customers")).alias("summary")
+    )
+    return sinks.flatten(summary.join(lists, "region").select("region", "summary", "rows"))
+
+
+@query("SELECT least(count(*), 50) AS n FROM orders")
+def preview_size(spark, folder):
+    """A preview never shows more than 50 rows."""
+    return readers.preview(table(spark, folder, "orders"), 500).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "SELECT * FROM (VALUES ('o_orderkey', 'bigint', ''), ('o_custkey', 'bigint', ''), ('o_orderstatus', 'string', ''), ('o_totalprice', 'double', ''), "
+    "('o_orderdate', 'timestamp_ntz', ''), ('o_orderpriority', 'string', '')) t(\"column\", type, description)"
+)
+def data_dictionary(spark, folder):
+    return sinks.data_dictionary(table(spark, folder, "orders"))
