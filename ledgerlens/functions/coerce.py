@@ -10,9 +10,18 @@ from pyspark.sql import types as T
 SANITIZE_NULLS = ("", "nan", "none", "null", "na")
 DIMENSION_NULLS = ("", "unknown", "n/a", "na", "none", "null", "nan")
 
-# Date patterns tried in order; the two lists differ in which of day and month comes first.
-MONTH_FIRST = ("M/d/yyyy", "M-d-yyyy", "M/d/yyyy H:mm", "yyyy/M/d", "d MMM yyyy", "MMM d, yyyy")
-DAY_FIRST = ("d/M/yyyy", "d-M-yyyy", "d/M/yyyy H:mm", "yyyy/M/d", "d MMM yyyy", "MMM d, yyyy")
+NUMBER_SHAPE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+# Shapes of readable dates. Numbers in any order are rewritten to year-month-day, so one
+# tolerant cast reads them; a pattern parser (which throws inside on a miss) only sees
+# texts that have its shape.
+YEAR_LAST = r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})(.*)$"
+YEAR_FIRST = r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})(.*)$"
+ISO_SHAPE = r"^(1[6-9]|2[0-2])\d{2}(-\d{1,2}(-\d{1,2}([ T].*)?)?)?$"
+NAMED_MONTHS = {
+    r"^\d{1,2} [A-Za-z]{3} \d{4}$": "d MMM yyyy",
+    r"^[A-Za-z]{3} \d{1,2}, \d{4}$": "MMM d, yyyy",
+}
 
 
 def squeeze(text: Column) -> Column:
@@ -40,17 +49,26 @@ def clean_dimension(value: Column) -> Column:
     return F.when(F.lower(text).isin(*DIMENSION_NULLS), F.lit(None)).otherwise(text)
 
 
+def plain_number(text: Column) -> Column:
+    """A text that is a number as it stands. The shape test keeps the throwing parser away from other texts."""
+    return F.when(text.rlike(NUMBER_SHAPE), text.try_cast("double"))
+
+
 def to_number(value: Column) -> Column:
     """``(1,234.50)`` -> -1234.5, ``$120`` -> 120.0, anything unreadable -> NULL."""
     text = F.regexp_replace(F.trim(value.cast("string")), r"\(([^)]+)\)", "-$1")
-    return F.regexp_replace(text, r"[^0-9.\-]", "").try_cast("double")
+    return plain_number(F.regexp_replace(text, r"[^0-9.\-]", ""))
 
 
 def to_time(value: Column, day_first: bool = False) -> Column:
-    """ISO first, then the patterns of the chosen order; NULL when none fits."""
+    """Read a date or time text; the flag decides ``03/02/2025``. NULL when unreadable."""
     text = F.trim(value.cast("string"))
-    patterns = DAY_FIRST if day_first else MONTH_FIRST
-    return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(p)) for p in patterns])
+    order = "$3-$2-$1$4" if day_first else "$3-$1-$2$4"
+    iso = F.regexp_replace(F.regexp_replace(text, YEAR_LAST, order), YEAR_FIRST, "$1-$2-$3$4")
+    parsed = F.when(iso.rlike(ISO_SHAPE), F.try_to_timestamp(iso))
+    for shape, pattern in NAMED_MONTHS.items():
+        parsed = parsed.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)))
+    return parsed
 
 
 def is_time(dtype: T.DataType) -> bool:

@@ -197,16 +197,19 @@ def promo_impact(df: DataFrame, promo: str | None = None, amount: str = "total_a
 # ---- baskets ----
 
 
-def frequent_items(df: DataFrame, item: str = "product_category", basket: str = "transaction_id", min_support: float = 0.02) -> tuple[DataFrame, int]:
+def basket_items(df: DataFrame, item: str, basket: str) -> DataFrame:
+    """Distinct (basket, item); made once, since three steps read it."""
+    rows = df.where(F.col(basket).isNotNull())
+    return materialize(rows.select(F.col(basket).alias("basket"), F.col(item).alias("item")).distinct())
+
+
+def frequent_items(baskets: DataFrame, min_support: float = 0.02) -> tuple[DataFrame, int]:
     """Items found in at least ``min_support`` of the baskets, and the number of baskets."""
     if min_support <= 0:
         raise ValueError("min_support must be positive: it bounds the number of items kept")
-    rows = df.where(F.col(basket).isNotNull())
-    total = one_row(rows.agg(F.count_distinct(basket).alias("n")))["n"]
+    total = one_row(baskets.agg(F.count_distinct("basket").alias("n")))["n"]
     counted = (
-        rows.where(F.col(item).isNotNull())
-        .select(F.col(basket).alias("basket"), F.col(item).alias("item"))
-        .distinct()
+        baskets.where(F.col("item").isNotNull())
         .groupBy("item")
         .agg(long_count().alias("frequency"))
         .withColumn("support", F.col("frequency") / F.lit(float(max(total, 1))))
@@ -215,7 +218,7 @@ def frequent_items(df: DataFrame, item: str = "product_category", basket: str =
     return materialize(counted), total
 
 
-def pair_counts(df: DataFrame, items: DataFrame, item: str, basket: str) -> DataFrame:
+def pair_counts(baskets: DataFrame, items: DataFrame) -> DataFrame:
     """In how many baskets two frequent items meet (a < b).
 
     A basket shrinks to its set of frequent items on the map side, and equal
@@ -223,11 +226,10 @@ def pair_counts(df: DataFrame, items: DataFrame, item: str, basket: str) -> Data
     frequent items, so a basket of any size is a short array, and pairs are
     made per distinct set and summed before they are shuffled.
     """
-    kept = df.join(items.select(F.col("item").alias(item)), item, "left_semi")
     sets = (
-        kept.where(F.col(basket).isNotNull())
-        .groupBy(F.col(basket))
-        .agg(F.sort_array(F.collect_set(item)).alias("set"))
+        baskets.join(items, "item", "left_semi")
+        .groupBy("basket")
+        .agg(F.sort_array(F.collect_set("item")).alias("set"))
         .where(F.size("set") >= 2)
         .groupBy("set")
         .agg(long_count().alias("baskets"))
@@ -244,12 +246,13 @@ def all_rules(
     df: DataFrame, item: str = "product_category", basket: str = "transaction_id",
     min_support: float = 0.02, min_confidence: float = 0.3,
 ) -> tuple[DataFrame, DataFrame, int]:
-    items, total = frequent_items(df, item, basket, min_support)
+    baskets = basket_items(df, item, basket)
+    items, total = frequent_items(baskets, min_support)
     a = items.select(F.col("item").alias("product_a"), F.col("frequency").alias("__fa"), F.col("support").alias("__sa"))
     b = items.select(F.col("item").alias("product_b"), F.col("support").alias("__sb"))
     support = F.col("co_purchase_count") / F.lit(float(max(total, 1)))
     rules = (
-        pair_counts(df, items, item, basket)
+        pair_counts(baskets, items)
         .join(a, "product_a")
         .join(b, "product_b")
         .select(

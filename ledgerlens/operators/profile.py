@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.coerce import is_number, is_time, to_number, to_time
+from ..functions.coerce import is_number, is_time, plain_number, to_number, to_time
 from ..functions.edge import edge_round, long_count, percent, zero_if_null
 from .scale import exact_quantiles, first_per_group, one_row
 
@@ -27,7 +27,7 @@ def parses_as_number(field: T.StructField, robust: bool = False) -> Column:
     c = F.col(f"`{field.name}`")
     if not isinstance(field.dataType, T.StringType):
         return ~_missing(field)
-    return (to_number(c) if robust else F.trim(c).try_cast("double")).isNotNull()
+    return (to_number(c) if robust else plain_number(F.trim(c))).isNotNull()
 
 
 def parses_as_date(field: T.StructField, day_first: bool = False) -> Column:
@@ -81,17 +81,21 @@ def top_missing(df: DataFrame, n: int = 5) -> DataFrame:
     return missing_values(df).orderBy(F.col("missing_count").desc(), F.col("column")).limit(n)
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Rows that repeat an earlier one; NULLs compare equal. Equal rows meet on the map side first."""
+def _counted_rows(df: DataFrame) -> DataFrame:
+    """Distinct rows with their number; NULLs compare equal, equal rows meet on the map side first."""
     plain = df.select(
         *[
-            F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.MapType,)) else F.col(f"`{f.name}`")
+            F.to_json(f"`{f.name}`").alias(f.name) if isinstance(f.dataType, T.MapType) else F.col(f"`{f.name}`")
             for f in df.schema.fields
         ]
     )
+    return plain.groupBy(*[F.col(f"`{c}`") for c in plain.columns]).agg(long_count().alias("__n"))
+
+
+def duplicate_rows(df: DataFrame) -> DataFrame:
+    """Rows that repeat an earlier one."""
     return (
-        plain.groupBy(*[F.col(f"`{c}`") for c in plain.columns])
-        .agg(long_count().alias("__n"))
+        _counted_rows(df)
         .agg(
             F.coalesce(F.sum("__n"), F.lit(0)).alias("total_rows"),
             F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"),
@@ -103,18 +107,14 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def quality_score(df: DataFrame) -> DataFrame:
-    """100 - missing % - duplicate %, kept within 0..100."""
+    """100 - missing % - duplicate %, kept within 0..100. One pass serves both parts."""
     missing = reduce(lambda a, b: a + b, [F.when(_missing(f), 1).otherwise(0) for f in df.schema.fields])
     width = len(df.columns)
-    rows = duplicate_rows(df)
-    cells = df.agg(
-        edge_round(zero_if_null(percent(F.sum(missing), long_count() * width)), 2).alias("missing_pct")
-    )
-    return rows.select(
-        F.col("total_rows").alias("row_count"),
+    return _counted_rows(df.withColumn("__missing", missing)).agg(
+        F.coalesce(F.sum("__n"), F.lit(0)).alias("row_count"),
         F.lit(width).cast("bigint").alias("column_count"),
-        cells.scalar().alias("missing_pct"),
-        "duplicate_pct",
+        edge_round(zero_if_null(percent(F.sum(F.col("__missing") * F.col("__n")), F.sum("__n") * width)), 2).alias("missing_pct"),
+        edge_round(zero_if_null(percent(F.sum(F.col("__n") - 1), F.sum("__n"))), 2).alias("duplicate_pct"),
     ).withColumn(
         "quality_score",
         F.greatest(

@@ -155,9 +155,10 @@ def ingest(spark, path: str, fmt: str | None = None, **options) -> Dataset:
 def ingest_frame(raw: DataFrame) -> Dataset:
     cleaned = clean.sanitize(raw)
     quality = profile.quality_score(cleaned)
-    mapped = mapping.auto_map(cleaned)
+    seen = mapping.column_facts(cleaned)
+    mapped = mapping.auto_map(cleaned, facts=seen)
     canonical = cleaned.withColumnsRenamed({s: r for r, s in mapped.items() if s != r and r not in cleaned.columns})
-    facts = mapping.column_facts(canonical)
+    facts = mapping.renamed_facts(seen, mapped)
     if mapping.validate_required(canonical, facts):
         return Dataset(raw, cleaned, "exploratory_only", mapped, quality)
     frame = clean.canonical_frame(cleaned, mapped)
@@ -167,6 +168,15 @@ def ingest_frame(raw: DataFrame) -> Dataset:
     )
 
 
+def analyze(spark, path: str, fmt: str | None = None, **options) -> tuple[Dataset, Analysis, list[str]]:
+    """Ingest a file and run everything its columns allow; also the questions worth asking."""
+    data = ingest(spark, path, fmt, **options)
+    if data.mode == "exploratory_only":
+        return data, Analysis(profile.exploratory_summary(data.frame)), mapping.suggested_questions({})
+    able = mapping.capabilities(data.frame.columns)
+    return data, run_basic(data.frame), mapping.suggested_questions(able)
+
+
 def subset_report(df: DataFrame, days: int | None = None) -> dict[str, DataFrame]:
     """KPIs, trend, categories and tiers of a filtered frame (category, segment or time filters come first)."""
     df = last_days(df, days)

@@ -168,6 +168,17 @@ def profit_by_quarter(spark, folder):
     return tidy(kpi.revenue_by_period(rows, "quarter", amount="profit"))
 
 
+@query(
+    with_sales(
+        f"""SELECT CAST(date_trunc('month', date) AS DATE) AS period_start, strftime(date, '%Y-%m') AS period,
+        {R('sum(total_amount - cost)')} AS revenue FROM sales GROUP BY 1, 2"""
+    )
+)
+def profit_by_month(spark, folder):
+    rows = sales(spark, folder, ["date", "total_amount", "cost"]).withColumn("profit", F.col("total_amount") - F.col("cost"))
+    return tidy(kpi.revenue_by_period(rows, "month", amount="profit"))
+
+
 def _register_dimension(dim: str) -> None:
     @query(with_sales(f"SELECT {dim} AS dimension, {R('sum(total_amount)')} AS revenue FROM sales GROUP BY 1"), name=f"revenue_by_{dim}")
     def run(spark, folder):

@@ -91,23 +91,32 @@ def manual_mapping(spark, folder):
     return tidy(by.agg(F.sum("total_amount").alias("revenue"), F.count_distinct("customer_id").alias("customers")))
 
 
-KINDS = {
-    "o_orderkey": "number", "o_custkey": "number", "o_orderstatus": "text", "o_totalprice": "number",
-    "o_orderdate": "date", "o_orderpriority": "text", "c_name": "text", "text_number": "number", "text_date": "date",
-}
+def _kind_sql(column: str, expr: str, source: str) -> str:
+    """The 80 % rule for a text column."""
+    number = f"count(TRY_CAST(trim({expr}) AS DOUBLE)) / count({expr})"
+    date = f"count(TRY_CAST({expr} AS DATE)) / count({expr})"
+    return f"""SELECT '{column}' AS "column", CASE WHEN {date} >= 0.8 AND {date} >= {number} THEN 'date'
+      WHEN {number} >= 0.8 THEN 'number' ELSE 'text' END AS inferred_type FROM {source}"""
 
 
 @query(
-    "SELECT * FROM (VALUES "
-    + ", ".join(f"('{c}', '{k}')" for c, k in KINDS.items())
-    + ') t("column", inferred_type) WHERE (SELECT count(*) FROM orders) > 0'
+    " UNION ALL ".join(
+        [
+            _kind_sql("o_orderpriority", "o_orderpriority", "orders"),
+            _kind_sql("o_orderstatus", "o_orderstatus", "orders"),
+            _kind_sql("text_number", "CAST(o_totalprice AS VARCHAR)", "orders"),
+            _kind_sql("text_date", "strftime(o_orderdate, '%Y-%m-%d')", "orders"),
+            "SELECT 'o_custkey', CASE WHEN count(o_custkey) > 0 THEN 'number' END FROM orders",
+            "SELECT 'o_orderdate', CASE WHEN count(o_orderdate) > 0 THEN 'date' END FROM orders",
+            _kind_sql("c_name", "c_name", "customer"),
+        ]
+    )
 )
 def inferred_types(spark, folder):
-    orders = table(spark, folder, "orders").withColumns(
-        {
-            "text_number": F.format_string("%.3f", F.col("o_totalprice")),
-            "text_date": F.date_format("o_orderdate", "yyyy-MM-dd"),
-        }
+    orders = table(spark, folder, "orders").select(
+        "o_orderpriority", "o_orderstatus", "o_custkey", "o_orderdate",
+        F.format_string("%.2f", F.col("o_totalprice")).alias("text_number"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("text_date"),
     )
     names = table(spark, folder, "customer").select("c_name")
     parts = [profile.infer_types(orders), profile.infer_types(names)]

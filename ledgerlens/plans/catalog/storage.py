@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...operators import kpi
+from ...operators import kpi, profile
 from ...session import scratch_path
 from ...sources import readers, sinks
 from ..facts import orders_fact, table
@@ -87,13 +87,13 @@ def json_safe_rows(spark, folder):
 
 
 @query(
-    """SELECT * FROM (SELECT CAST(o_custkey AS VARCHAR) AS "user", o_orderdate AS analyzed_at, o_orderkey AS run_id, o_totalprice AS total_revenue,
+    """SELECT * FROM (SELECT CAST(o_custkey AS VARCHAR) AS "user", CAST(o_orderdate AS DATE) AS analyzed_at, o_orderkey AS run_id, o_totalprice AS total_revenue,
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS position FROM orders) WHERE position <= 5"""
 )
 def run_history_last5(spark, folder):
     path = scratch_path(spark, "runs")
     history = table(spark, folder, "orders").select(
-        F.col("o_custkey").cast("string").alias("user"), F.col("o_orderdate").alias("analyzed_at"),
+        F.col("o_custkey").cast("string").alias("user"), F.to_date("o_orderdate").alias("analyzed_at"),
         F.col("o_orderkey").alias("run_id"), F.col("o_totalprice").alias("total_revenue"),
     )
     sinks.append_run(history.where(F.col("total_revenue") < 250000), path)
@@ -101,10 +101,10 @@ def run_history_last5(spark, folder):
     return sinks.recent_runs(spark.read.parquet(path), ties=("run_id",))
 
 
-@query("""SELECT o_orderkey AS report_id, o_orderdate AS created_at FROM orders""")
+@query("SELECT o_orderkey AS report_id, CAST(o_orderdate AS DATE) AS created_at FROM orders")
 def report_history(spark, folder):
     path = scratch_path(spark, "reports")
-    table(spark, folder, "orders").select(F.col("o_orderkey").alias("report_id"), F.col("o_orderdate").alias("created_at")).write.parquet(path)
+    table(spark, folder, "orders").select(F.col("o_orderkey").alias("report_id"), F.to_date("o_orderdate").alias("created_at")).write.parquet(path)
     return sinks.report_history(spark, path)
 
 
@@ -134,9 +134,20 @@ def preview_size(spark, folder):
     return readers.preview(table(spark, folder, "orders"), 500).agg(F.count(F.lit(1)).alias("n"))
 
 
+DICTIONARY = {
+    "o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double",
+    "o_orderdate": "timestamp_ntz", "o_orderpriority": "string",
+}
+
+
 @query(
-    "SELECT * FROM (VALUES ('o_orderkey', 'bigint', ''), ('o_custkey', 'bigint', ''), ('o_orderstatus', 'string', ''), ('o_totalprice', 'double', ''), "
-    "('o_orderdate', 'timestamp_ntz', ''), ('o_orderpriority', 'string', '')) t(\"column\", type, description)"
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", '{t}' AS type, '' AS description, count(*) - count({c}) AS missing_count FROM orders"""
+        for c, t in DICTIONARY.items()
+    )
 )
 def data_dictionary(spark, folder):
-    return sinks.data_dictionary(table(spark, folder, "orders"))
+    """The dictionary next to the missing values of every column."""
+    orders = table(spark, folder, "orders")
+    missing = profile.missing_values(orders).select("column", "missing_count")
+    return sinks.data_dictionary(orders).join(missing, "column")

@@ -35,34 +35,49 @@ _LINE_COLUMNS = {
 }
 _ORDER_ONLY = {**_ORDER_COLUMNS, "total_amount": ((), "o_totalprice")}
 
-_JOINS = {
-    "customer": ("o_custkey", "c_custkey"),
-    "nation": ("c_nationkey", "n_nationkey"),
-    "region": ("n_regionkey", "r_regionkey"),
-    "part": ("l_partkey", "p_partkey"),
-}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def _project(spark, folder, base, catalogue, columns) -> DataFrame:
-    needed = [t for t in _JOINS if any(t in catalogue[c][0] for c in columns)]
-    for name in needed:
-        left, right = _JOINS[name]
-        base = base.join(table(spark, folder, name), F.col(left) == F.col(right))
-    return base.select(*[F.expr(catalogue[c][1]).alias(c) for c in columns])
+def _needed(catalogue: dict, columns: Sequence[str]) -> set[str]:
+    return {t for c in columns for t in catalogue[c][0]}
+
+
+def _select(rows: DataFrame, catalogue: dict, columns: Sequence[str]) -> DataFrame:
+    return rows.select(*[F.expr(catalogue[c][1]).alias(c) for c in columns])
+
+
+def _orders(spark: SparkSession, folder: str, needed: set[str]) -> DataFrame:
+    """Orders with the customer side asked for; the small tables meet the customers before the orders do."""
+    orders = table(spark, folder, "orders")
+    if "customer" not in needed:
+        return orders
+    people = table(spark, folder, "customer")
+    if "nation" in needed:
+        places = table(spark, folder, "nation")
+        if "region" in needed:
+            places = places.join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        people = people.join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    return orders.join(people, F.col("o_custkey") == F.col("c_custkey"))
 
 
 def sales(spark: SparkSession, folder: str, columns: Sequence[str]) -> DataFrame:
-    """One row per order line with the canonical columns asked for; joins only the tables those need."""
+    """One row per order line with the canonical columns asked for; joins only the tables those need.
+
+    The order side is complete before the lines join it, so the lines are
+    shuffled once, on the order key, whatever customer columns are wanted.
+    """
+    needed = _needed(_LINE_COLUMNS, columns)
     lines = table(spark, folder, "lineitem")
     if any(c in _ORDER_COLUMNS and c != "transaction_id" for c in columns):
-        lines = lines.join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return _project(spark, folder, lines, _LINE_COLUMNS, columns)
+        lines = lines.join(_orders(spark, folder, needed), F.col("l_orderkey") == F.col("o_orderkey"))
+    if "part" in needed:
+        lines = lines.join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return _select(lines, _LINE_COLUMNS, columns)
 
 
 def orders_fact(spark: SparkSession, folder: str, columns: Sequence[str]) -> DataFrame:
     """One row per order with the canonical columns asked for."""
-    return _project(spark, folder, table(spark, folder, "orders"), _ORDER_ONLY, columns)
+    return _select(_orders(spark, folder, _needed(_ORDER_ONLY, columns)), _ORDER_ONLY, columns)

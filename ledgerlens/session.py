@@ -21,6 +21,7 @@ def get_session(app: str = "ledgerlens", cores: str = "*", shuffle_partitions: i
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("LEDGERLENS_DRIVER_MEMORY", "12g"))
         .getOrCreate()
     )
