@@ -12,9 +12,13 @@ DIMENSION_NULLS = ("", "unknown", "n/a", "na", "none", "null", "nan")
 
 NUMBER_SHAPE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
+# Removed first, so that most amounts need no pattern replacement.
+CURRENCY = "$€£¥, "
+
 # Shapes of readable dates. Numbers in any order are rewritten to year-month-day, so one
 # tolerant cast reads them; a pattern parser (which throws inside on a miss) only sees
 # texts that have its shape.
+DATE_LIKE = r"^(?:\d{1,4}[-/. ]\w|\d{4}$|[A-Za-z]{3} \d)"
 YEAR_LAST = r"^(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})(.*)$"
 YEAR_FIRST = r"^(\d{4})[/.](\d{1,2})[/.](\d{1,2})(.*)$"
 ISO_SHAPE = r"^(1[6-9]|2[0-2])\d{2}(-\d{1,2}(-\d{1,2}([ T].*)?)?)?$"
@@ -24,14 +28,20 @@ NAMED_MONTHS = {
 }
 
 
+def only_if(text: Column, shape: str) -> Column:
+    """The text if it has the shape, else NULL; evaluates its input once."""
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(shape), F.lit(0)), F.lit(1))
+
+
 def squeeze(text: Column) -> Column:
-    """Drop the placeholder word ``blank``, collapse white space, trim."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, "(?i)blank", " "), r"\s+", " "))
+    """Turn runs of white space and the placeholder word ``blank`` into one space; trim."""
+    return F.trim(F.regexp_replace(text, r"(?i)(?:\s|blank)+", " "))
 
 
 def sanitize_text(text: Column) -> Column:
-    cleaned = squeeze(text)
-    return F.when(F.lower(cleaned).isin(*SANITIZE_NULLS), F.lit(None)).otherwise(cleaned)
+    """Squeezed text; NULL when nothing or only a null word is left."""
+    words = "|".join(w for w in SANITIZE_NULLS if w)
+    return only_if(squeeze(text), rf"(?i)^(?!(?:{words})$).+$")
 
 
 def normal_text(text: Column) -> Column:
@@ -49,15 +59,20 @@ def clean_dimension(value: Column) -> Column:
     return F.when(F.lower(text).isin(*DIMENSION_NULLS), F.lit(None)).otherwise(text)
 
 
+# The parsers below name their input as rarely as they can: a filter on a parsed
+# column is pushed down with its expression, and every mention copies what lies below.
+
+
 def plain_number(text: Column) -> Column:
-    """A text that is a number as it stands. The shape test keeps the throwing parser away from other texts."""
-    return F.when(text.rlike(NUMBER_SHAPE), text.try_cast("double"))
+    """A text that is a number as it stands. The shape keeps the throwing parser away from other texts."""
+    return only_if(text, NUMBER_SHAPE).try_cast("double")
 
 
 def to_number(value: Column) -> Column:
     """``(1,234.50)`` -> -1234.5, ``$120`` -> 120.0, anything unreadable -> NULL."""
-    text = F.regexp_replace(F.trim(value.cast("string")), r"\(([^)]+)\)", "-$1")
-    return plain_number(F.regexp_replace(text, r"[^0-9.\-]", ""))
+    text = value.cast("string")
+    signed = F.regexp_replace(F.translate(text, CURRENCY, ""), r"\(([^)]+)\)", "-$1")
+    return F.when(text.rlike("[0-9]"), plain_number(F.regexp_replace(signed, r"[^0-9.\-]+", "")))
 
 
 def to_time(value: Column, day_first: bool = False) -> Column:
@@ -65,10 +80,8 @@ def to_time(value: Column, day_first: bool = False) -> Column:
     text = F.trim(value.cast("string"))
     order = "$3-$2-$1$4" if day_first else "$3-$1-$2$4"
     iso = F.regexp_replace(F.regexp_replace(text, YEAR_LAST, order), YEAR_FIRST, "$1-$2-$3$4")
-    parsed = F.when(iso.rlike(ISO_SHAPE), F.try_to_timestamp(iso))
-    for shape, pattern in NAMED_MONTHS.items():
-        parsed = parsed.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)))
-    return parsed
+    named = [F.try_to_timestamp(only_if(text, shape), F.lit(p)) for shape, p in NAMED_MONTHS.items()]
+    return F.when(text.rlike(DATE_LIKE), F.coalesce(F.try_to_timestamp(only_if(iso, ISO_SHAPE)), *named))
 
 
 def is_time(dtype: T.DataType) -> bool:

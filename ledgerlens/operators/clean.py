@@ -98,10 +98,12 @@ def day_first_wins(df: DataFrame, column: str) -> bool:
     return rates["day_first"] > rates["month_first"]
 
 
-def parse_dates(df: DataFrame, column: str) -> DataFrame:
+def parse_dates(df: DataFrame, column: str, day_first: bool | None = None) -> DataFrame:
+    """Parse a text column; without a known order one pass over the column decides it."""
     if is_time(df.schema[column].dataType):
         return df
-    return df.withColumn(column, to_time(F.col(column), day_first_wins(df, column)))
+    order = day_first_wins(df, column) if day_first is None else bool(day_first)
+    return df.withColumn(column, to_time(F.col(column), order))
 
 
 def pick_column(columns: Sequence[str], candidates: Sequence[str]) -> str | None:
@@ -156,12 +158,12 @@ def visual_frame(df: DataFrame) -> DataFrame | None:
     return frame.dropna(subset=["orderdate", "sales"])
 
 
-def canonical_frame(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
+def canonical_frame(df: DataFrame, mapping: dict[str, str], day_first: bool | None = None) -> DataFrame:
     """Rename sources to their roles, type date and amount, add ``month_year``, drop incomplete rows."""
     renames = {src: role for role, src in mapping.items() if src != role and role not in df.columns}
     out = df.withColumnsRenamed(renames)
     if "date" in out.columns:
-        out = parse_dates(out, "date").withColumn("month_year", F.date_format("date", "yyyy-MM"))
+        out = parse_dates(out, "date", day_first).withColumn("month_year", F.date_format("date", "yyyy-MM"))
     if "total_amount" in out.columns:
         out = parse_numbers(out, "total_amount")
     if "customer_id" in out.columns:

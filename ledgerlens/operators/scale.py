@@ -26,7 +26,7 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
     by: Sequence[str] = (),
-    small: int = SMALL,
+    small: int | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles, one column per entry of ``probs``, one row per group.
 
@@ -37,6 +37,7 @@ def exact_quantiles(
     a few passes reach a single value. The list of larger groups cannot exceed
     rows / ``small`` entries.
     """
+    small = SMALL if small is None else small
     keys = list(by) or ["__all"]
     source = df if by else df.withColumn("__all", F.lit(0))
     vals = source.select(*keys, F.col(value).cast("double").alias("__v")).where(
@@ -142,7 +143,7 @@ def _narrow(vals, keys, key_fields, large, points) -> dict[tuple, list[float]]:
     return answers
 
 
-def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank", small: int = SMALL) -> DataFrame:
+def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank", small: int | None = None) -> DataFrame:
     """Add the 1-based position of every row under a total order.
 
     Call it on a materialised frame. Up to ``small`` rows one window does it;
@@ -150,6 +151,7 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank", smal
     the tie-break column), numbered inside each partition, and shifted by the
     number of rows in the partitions before.
     """
+    small = SMALL if small is None else small
     total = df.count()
     if total <= small:
         return df.withColumn(name, F.row_number().over(W.orderBy(*order)).cast("bigint"))

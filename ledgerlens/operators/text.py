@@ -133,15 +133,18 @@ def _mentions(text: Column, phrases) -> Column:
 
 def route_questions(df: DataFrame, text: str = "text") -> DataFrame:
     """(intent, confidence, escalate, confidence_label): first family whose words a question holds."""
-    q = normal_text(F.col(text))
+    q = F.col("__q")
     top_customers = _mentions(q, ("customer", "client", "buyer")) & _mentions(q, ("top", "best"))
     before_customers = _mentions(q, PLAIN_TOPICS[0][1]) | _mentions(q, PLAIN_TOPICS[1][1])
-    tests = [(_mentions(q, phrases), intent, sure) for intent, sure, phrases in ROUTES]
-    tests.append((top_customers & ~before_customers, "top_customers_query", 0.75))
-    intent, sure = F.lit(FALLBACK[0]), F.lit(FALLBACK[1])
-    for test, name, value in reversed(tests):
-        intent, sure = F.when(test, F.lit(name)).otherwise(intent), F.when(test, F.lit(value)).otherwise(sure)
-    return with_escalation(df.withColumns({"intent": intent, "confidence": sure}))
+    tests = [(_mentions(q, phrases), (intent, sure)) for intent, sure, phrases in ROUTES]
+    tests.append((top_customers & ~before_customers, ("top_customers_query", 0.75)))
+    answers = [answer for _, answer in tests] + [FALLBACK]
+    place = F.lit(len(tests))
+    for i, (test, _) in reversed(list(enumerate(tests))):
+        place = F.when(test, F.lit(i)).otherwise(place)
+    routed = df.withColumn("__q", normal_text(F.col(text))).withColumn("__route", place)
+    chosen = {name: F.array(*[F.lit(a[i]) for a in answers])[F.col("__route")] for i, name in enumerate(("intent", "confidence"))}
+    return with_escalation(routed.withColumns(chosen).drop("__q", "__route"))
 
 
 def with_escalation(df: DataFrame) -> DataFrame:

@@ -161,7 +161,7 @@ def ingest_frame(raw: DataFrame) -> Dataset:
     facts = mapping.renamed_facts(seen, mapped)
     if mapping.validate_required(canonical, facts):
         return Dataset(raw, cleaned, "exploratory_only", mapped, quality)
-    frame = clean.canonical_frame(cleaned, mapped)
+    frame = clean.canonical_frame(cleaned, mapped, facts["date"]["day_first"])
     mode = mapping.analysis_mode(mapping.capabilities(frame.columns))
     return Dataset(
         raw, frame, mode, mapped, quality, mapping.mapping_issues(canonical, facts), mapping.mapping_confidence(canonical, facts)
