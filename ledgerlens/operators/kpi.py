@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.edge import edge_round, long_count, percent, ratio, zero_if_null
 from .filters import first_spelling
-from .scale import exact_quantiles, one_row, top_n
+from .scale import broadcast_if_small, exact_quantiles, one_row, top_n
 from ..session import materialize
 
 AGGREGATES = {"sum": F.sum, "mean": F.avg, "count": F.count, "max": F.max, "min": F.min}
@@ -28,6 +28,11 @@ def aggregate(df: DataFrame, by: str | Sequence[str], metric: str, how: str = "s
 
 
 def business_kpis(df: DataFrame, amount: str = "total_amount", customer: str = "customer_id", date: str = "date") -> DataFrame:
+    """Revenue, mean, customers, rows and date range; 0 customers or no dates where the column is absent."""
+    if customer not in df.columns:
+        df = df.withColumn(customer, F.lit(None).cast("string"))
+    if date not in df.columns:
+        df = df.withColumn(date, F.lit(None).cast("timestamp"))
     return df.agg(
         zero_if_null(F.sum(amount)).alias("total_revenue"),
         F.avg(amount).alias("average_order_value"),
@@ -181,7 +186,7 @@ def contribution(df: DataFrame, dim: str, ks: Sequence[int] = (1, 3, 5), amount:
 
 def extremes(df: DataFrame, dim: str | Column, label: str, amount: str = "total_amount") -> DataFrame:
     """Best, second best and lowest member of a dimension (ties: first name)."""
-    by = revenue_by(df, dim, "member", amount).withColumn("member", F.col("member").cast("string"))
+    by = materialize(revenue_by(df, dim, "member", amount).withColumn("member", F.col("member").cast("string")))
     ranked = F.row_number().over(W.orderBy(F.col("revenue").desc(), F.col("member")))
     from_below = F.row_number().over(W.orderBy(F.col("revenue").asc(), F.col("member")))
     best = top_n(by, [F.col("revenue").desc(), F.col("member")], 2, None).withColumn("r", ranked)
@@ -313,7 +318,7 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
 
 def box_stats(df: DataFrame, by: str, value: str) -> DataFrame:
     """Quartiles per group and whiskers: the outermost values within 1.5 IQR of the box."""
-    quart = exact_quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=[by])
+    quart = broadcast_if_small(materialize(exact_quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=[by])))
     v, reach = F.col(value), 1.5 * (F.col("q3") - F.col("q1"))
     inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
     return (

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions.edge import long_count, percent, ratio, zero_if_null
 from ..session import materialize
 from .clean import clean_regions
-from .scale import exact_quantiles, global_rank, one_row, top_n
+from .scale import broadcast_if_small, exact_quantiles, global_rank, one_row, top_n
 
 # Texts read as "this row was on promotion".
 PROMO_WORDS = ("true", "t", "yes", "y", "1", "promo", "promotion")
@@ -227,7 +227,7 @@ def pair_counts(baskets: DataFrame, items: DataFrame) -> DataFrame:
     made per distinct set and summed before they are shuffled.
     """
     sets = (
-        baskets.join(items, "item", "left_semi")
+        baskets.join(broadcast_if_small(items), "item", "left_semi")
         .groupBy("basket")
         .agg(F.sort_array(F.collect_set("item")).alias("set"))
         .where(F.size("set") >= 2)

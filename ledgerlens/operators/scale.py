@@ -61,6 +61,7 @@ def exact_quantiles(
     if not large:
         return small_groups(vals)
 
+    vals = materialize(vals)  # every pass below reads these two columns, not the source again
     key_fields = [vals.schema[k] for k in keys]
     big = _narrow(vals, keys, key_fields, large, points)
     schema = T.StructType([vals.schema[k] for k in by] + [T.StructField(n, T.DoubleType()) for n in names])
@@ -189,6 +190,14 @@ def first_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n
     return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col(name) <= n)
 
 
+def broadcast_if_small(side: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Count a materialised join side and mark it for broadcast only if the count allows.
+
+    A larger side stays unmarked and joins by shuffle, where AQE splits hot keys.
+    """
+    return F.broadcast(side) if side.count() <= rows else side
+
+
 def one_row(df: DataFrame) -> dict:
     """Collect a global aggregate (exactly one row) for use as literals."""
     return df.first().asDict()

@@ -13,6 +13,8 @@ from ..operators.clean import pick_column
 
 FORMATS = {".csv": "csv", ".json": "json", ".parquet": "parquet"}
 UNREADABLE = "�"
+# A strict pattern for type inference: without one, short codes such as "T1" pass as times of day.
+TIMESTAMPS = "yyyy-MM-dd[' ']['T']HH:mm:ss[.SSS][XXX]"
 
 
 def format_of(path: str) -> str:
@@ -30,7 +32,7 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, schema
     """
 
     def load(enc: str) -> DataFrame:
-        reader = spark.read.option("header", True).option("encoding", enc)
+        reader = spark.read.option("header", True).option("encoding", enc).option("timestampFormat", TIMESTAMPS)
         return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
     if encoding:
