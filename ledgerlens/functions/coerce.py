@@ -28,9 +28,14 @@ NAMED_MONTHS = {
 }
 
 
+def first_match(text: Column, pattern: str, group: int = 0) -> Column:
+    """The first match, or NULL (casts throw internally on the empty text other extractors return)."""
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(1))
+
+
 def only_if(text: Column, shape: str) -> Column:
     """The text if it has the shape, else NULL; evaluates its input once."""
-    return F.try_element_at(F.regexp_extract_all(text, F.lit(shape), F.lit(0)), F.lit(1))
+    return first_match(text, shape)
 
 
 def squeeze(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.coerce import lit_like, month_index, month_label, whole_days
 from ..functions.edge import edge_round, ladder, long_count, percent, ratio, zero_if_null
-from ..session import materialize
+from ..session import materialize, write_once
 from .filters import keep_members
 from .scale import exact_quantiles, global_rank, one_row, top_n
 
@@ -38,7 +38,7 @@ def customer_base(df: DataFrame, customer: str = "customer_id", date: str = "dat
             F.max(date).alias("last_purchase"),
         )
     )
-    return materialize(base)
+    return write_once(base)
 
 
 def _newest(base: DataFrame) -> Column:
@@ -59,7 +59,7 @@ def rfm(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
 
 def segment_members(df: DataFrame, segment: str, scores: DataFrame | None = None) -> DataFrame:
     """Customer ids of the loyal, regular or at-risk segment."""
-    scores = materialize(scores or rfm(df))
+    scores = scores or rfm(df)
     r, f, m = F.col("recency"), F.col("frequency"), F.col("monetary")
     cut = {
         name: one_row(exact_quantiles(scores, name, {"low": 0.33, "high": 0.66}))
@@ -180,7 +180,7 @@ def purchase_gaps(df: DataFrame, customer: str = "customer_id", date: str = "dat
 
 
 def repeat_summary(df: DataFrame) -> DataFrame:
-    gaps = materialize(purchase_gaps(df))
+    gaps = write_once(purchase_gaps(df))
     median = one_row(exact_quantiles(gaps, "purchase_count", {"m": 0.5}))["m"]
     n = F.col("purchase_count")
     return gaps.agg(
@@ -292,14 +292,14 @@ def health_scores(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
 
 def health_extremes(df: DataFrame, n: int = 10) -> DataFrame:
     """The best and the worst customers by health score, each ranked from its end."""
-    scores = materialize(health_scores(df))
+    scores = health_scores(df)
     best = top_n(scores, [F.col("health_score").desc(), F.col("customer_id")], n).withColumn("list", F.lit("top"))
     worst = top_n(scores, [F.col("health_score").asc(), F.col("customer_id")], n).withColumn("list", F.lit("at_risk"))
     return best.unionByName(worst)
 
 
 def health_summary(df: DataFrame) -> DataFrame:
-    scores = materialize(health_scores(df))
+    scores = health_scores(df)
     median = one_row(exact_quantiles(scores, "health_score", {"m": 0.5}))["m"]
     return scores.agg(
         long_count().alias("total_customers"),

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 from ..functions.edge import edge_round, long_count, percent, ratio, zero_if_null
 from .filters import first_spelling
 from .scale import broadcast_if_small, exact_quantiles, one_row, top_n
-from ..session import materialize
+from ..session import materialize, write_once
 
 AGGREGATES = {"sum": F.sum, "mean": F.avg, "count": F.count, "max": F.max, "min": F.min}
 
@@ -154,7 +154,7 @@ def dashboard_kpis(df: DataFrame, amount: str = "total_amount", order: str = "tr
 
 def spend_tiers(df: DataFrame, customer: str = "customer_id", amount: str = "total_amount") -> DataFrame:
     """Premium (>= q66), Standard (>= q33), Basic, and a Total row."""
-    spend = materialize(
+    spend = write_once(
         df.where(F.col(customer).isNotNull()).groupBy(customer).agg(zero_if_null(F.sum(amount)).alias("spend"))
     )
     cut = one_row(exact_quantiles(spend, "spend", {"q33": 0.33, "q66": 0.66}))
@@ -170,7 +170,7 @@ def spend_tiers(df: DataFrame, customer: str = "customer_id", amount: str = "tot
 
 def contribution(df: DataFrame, dim: str, ks: Sequence[int] = (1, 3, 5), amount: str = "total_amount") -> DataFrame:
     """Share of revenue of the k largest members of a dimension, for each k."""
-    by = materialize(revenue_by(df, dim, "member", amount))
+    by = write_once(revenue_by(df, dim, "member", amount))
     total = by.agg(F.sum("revenue").alias("total"))
     order = [F.col("revenue").desc(), F.col("member")]
     lead = top_n(by, order, max(ks)).agg(
@@ -186,7 +186,7 @@ def contribution(df: DataFrame, dim: str, ks: Sequence[int] = (1, 3, 5), amount:
 
 def extremes(df: DataFrame, dim: str | Column, label: str, amount: str = "total_amount") -> DataFrame:
     """Best, second best and lowest member of a dimension (ties: first name)."""
-    by = materialize(revenue_by(df, dim, "member", amount).withColumn("member", F.col("member").cast("string")))
+    by = write_once(revenue_by(df, dim, "member", amount).withColumn("member", F.col("member").cast("string")))
     ranked = F.row_number().over(W.orderBy(F.col("revenue").desc(), F.col("member")))
     from_below = F.row_number().over(W.orderBy(F.col("revenue").asc(), F.col("member")))
     best = top_n(by, [F.col("revenue").desc(), F.col("member")], 2, None).withColumn("r", ranked)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.edge import long_count, percent, ratio, zero_if_null
-from ..session import materialize
+from ..session import materialize, write_once
 from .clean import clean_regions
 from .scale import broadcast_if_small, exact_quantiles, global_rank, one_row, top_n
 
@@ -79,7 +79,7 @@ def geography_summary(df: DataFrame, emerging_above: float = 30.0, **cols) -> Da
 def product_performance(df: DataFrame, product: str = "product", amount: str = "total_amount") -> DataFrame:
     """Per product: sales figures, share, growth score, quadrant by the upper quartiles, rank."""
     a = F.col(amount)
-    base = materialize(
+    base = write_once(
         df.where(F.col(product).isNotNull())
         .groupBy(F.col(product).alias("product"))
         .agg(
@@ -122,7 +122,7 @@ def products_in(df: DataFrame, quadrant: str, **cols) -> DataFrame:
 
 def performance_score(df: DataFrame, dim: str, amount: str = "total_amount") -> DataFrame:
     """Revenue tier (33 % / 66 %) and a weighted score of revenue, orders and mean value, each scaled to 0..1."""
-    base = materialize(
+    base = write_once(
         df.where(F.col(dim).isNotNull())
         .groupBy(F.col(dim).alias("member"))
         .agg(F.sum(amount).alias("revenue"), F.count(amount).alias("orders"), F.avg(amount).alias("average_value"))
@@ -200,7 +200,7 @@ def promo_impact(df: DataFrame, promo: str | None = None, amount: str = "total_a
 def basket_items(df: DataFrame, item: str, basket: str) -> DataFrame:
     """Distinct (basket, item); made once, since three steps read it."""
     rows = df.where(F.col(basket).isNotNull())
-    return materialize(rows.select(F.col(basket).alias("basket"), F.col(item).alias("item")).distinct())
+    return write_once(rows.select(F.col(basket).alias("basket"), F.col(item).alias("item")).distinct())
 
 
 def frequent_items(baskets: DataFrame, min_support: float = 0.02) -> tuple[DataFrame, int]:

@@ -128,13 +128,35 @@ def health_snapshot(df: DataFrame) -> dict[str, DataFrame]:
     return {"columns": missing_values(df), "duplicates": duplicate_rows(df)}
 
 
+def value_counts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(position, column, value, count) of every distinct value as text, missing values included.
+
+    Repeated values meet on the map side; what follows looks at every value once.
+    """
+    fields = [(i, f) for i, f in enumerate(df.schema.fields) if names is None or f.name in names]
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(i).cast("bigint").alias("position"),
+                F.lit(f.name).alias("column"),
+                F.when(~_missing(f), F.col(f"`{f.name}`").cast("string")).alias("value"),
+            )
+            for i, f in fields
+        ]
+    )
+    return (
+        df.select(F.explode(cells).alias("x")).select("x.*").groupBy("position", "column", "value").agg(long_count().alias("count"))
+    )
+
+
 def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
     """dtype, nulls, distinct values, sample values and parse rates per column.
 
-    ``exact=False`` counts distinct values with a fixed-size sketch instead of a
-    shuffle of all values.
+    Exact profiles shuffle the distinct values of every column and parse each
+    of them once. ``exact=False`` is one pass with fixed-size sketches.
     """
-    distinct = F.count_distinct if exact else F.approx_count_distinct
+    if exact:
+        return _exact_profile(df)
 
     def cells(i, f):
         c = F.col(f"`{f.name}`")
@@ -147,17 +169,43 @@ def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
             F.lit(f.dataType.simpleString()),
             F.count_if(_missing(f)),
             edge_round(zero_if_null(percent(F.count_if(_missing(f)), long_count())), 2),
-            distinct(held),
+            F.approx_count_distinct(held),
             F.array_distinct(samples),
             edge_round(zero_if_null(percent(F.count_if(parses_as_date(f)), long_count())), 2),
             edge_round(zero_if_null(percent(F.count_if(parses_as_number(f)), long_count())), 2),
         )
 
-    return _per_column(
-        df,
-        cells,
-        ["position", "column", "dtype", "null_count", "null_pct", "unique_count", "samples", "date_parse_pct", "numeric_parse_pct"],
+    return _per_column(df, cells, PROFILE_FIELDS)
+
+
+PROFILE_FIELDS = [
+    "position", "column", "dtype", "null_count", "null_pct", "unique_count", "samples", "date_parse_pct", "numeric_parse_pct",
+]
+
+
+def _exact_profile(df: DataFrame) -> DataFrame:
+    kinds = F.create_map(*[F.lit(x) for f in df.schema.fields for x in (f.name, f.dataType.simpleString())])
+    value, n = F.col("value"), F.col("count")
+    text = kinds[F.col("column")] == "string"
+    held = value.isNotNull()
+    judged = value_counts(df).select(
+        "position", "column", "value", "count",
+        F.when(text, to_time(value).isNotNull()).otherwise(held).alias("date"),
+        F.when(text, plain_number(F.trim(value)).isNotNull()).otherwise(held).alias("number"),
     )
+    samples = F.array_compact(F.array(F.min(value), F.max(value), F.max_by(value, F.xxhash64(value))))
+
+    def share(flag: Column) -> Column:
+        return edge_round(zero_if_null(percent(F.sum(F.when(flag, n).otherwise(0)), F.sum(n))), 2)
+
+    return judged.groupBy("position", "column").agg(
+        F.sum(F.when(value.isNull(), n).otherwise(0)).alias("null_count"),
+        share(value.isNull()).alias("null_pct"),
+        F.count(value).alias("unique_count"),
+        F.array_distinct(samples).alias("samples"),
+        share(F.col("date")).alias("date_parse_pct"),
+        share(F.col("number")).alias("numeric_parse_pct"),
+    ).select("position", "column", kinds[F.col("column")].alias("dtype"), *PROFILE_FIELDS[3:])
 
 
 def numeric_summary(df: DataFrame, first: int = 8) -> DataFrame:
@@ -177,11 +225,7 @@ def numeric_summary(df: DataFrame, first: int = 8) -> DataFrame:
 def top_values(df: DataFrame, first: int = 8, n: int = 5) -> DataFrame:
     """Most frequent values of the first non-numeric columns."""
     names = [f.name for f in df.schema.fields if not is_number(f.dataType)][:first]
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in names]))
-    counted = (
-        df.select(cells.alias("x")).select("x.*").where(F.col("value").isNotNull())
-        .groupBy("column", "value").agg(long_count().alias("count"))
-    )
+    counted = value_counts(df, names).where(F.col("value").isNotNull()).select("column", "value", "count")
     return first_per_group(counted, ["column"], [F.col("count").desc(), F.col("value")], n, "position").withColumn(
         "position", F.col("position").cast("bigint")
     )

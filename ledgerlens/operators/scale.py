@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from ..session import materialize
+from ..session import write_once
 
 SMALL = 1_000_000
 BINS = 2048
@@ -61,7 +61,7 @@ def exact_quantiles(
     if not large:
         return small_groups(vals)
 
-    vals = materialize(vals)  # every pass below reads these two columns, not the source again
+    vals = write_once(vals)  # every pass below reads these two columns, not the source again
     key_fields = [vals.schema[k] for k in keys]
     big = _narrow(vals, keys, key_fields, large, points)
     schema = T.StructType([vals.schema[k] for k in by] + [T.StructField(n, T.DoubleType()) for n in names])
@@ -157,7 +157,7 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank", smal
     if total <= small:
         return df.withColumn(name, F.row_number().over(W.orderBy(*order)).cast("bigint"))
     parts = max(2, math.ceil(total / small))
-    numbered = materialize(
+    numbered = write_once(
         df.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
         .withColumn("__m", F.monotonically_increasing_id())

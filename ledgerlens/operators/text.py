@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.coerce import normal_text
+from ..functions.coerce import first_match, normal_text
 from ..functions.edge import ladder
 from .scale import first_per_group
 
@@ -75,7 +75,8 @@ EMPTY_ANSWERS = ("no chat history available", "no paired q&a entries", "i do not
 
 def extract_entities(df: DataFrame, text: str = "text") -> DataFrame:
     """metric, group_by, top_n, order and number filters found in a question."""
-    t = F.lower(F.col(text))
+    df = df.withColumn("__t", F.lower(F.col(text)))
+    t = F.col("__t")
     metric = F.lit("sales")
     for name, words in reversed(METRIC_SYNONYMS.items()):
         hit = reduce(lambda a, b: a | b, [t.contains(w) for w in words])
@@ -83,16 +84,16 @@ def extract_entities(df: DataFrame, text: str = "text") -> DataFrame:
     group = F.lit(None).cast("string")
     for name in reversed(GROUP_FIELDS):
         group = F.when(t.contains(name), F.lit(name)).otherwise(group)
-    number = F.regexp_extract(t, TOP_PATTERN, 2)
+    number = first_match(t, TOP_PATTERN, 2)
     return df.withColumns(
         {
             "metric": metric,
             "group_by": group,
             "top_n": number.try_cast("bigint"),
             "order": F.when(F.regexp_extract(t, TOP_PATTERN, 1) == "bottom", "asc").otherwise("desc"),
-            **{name: F.regexp_extract(t, pattern, 1).try_cast("bigint") for name, pattern in NUMBER_FILTERS.items()},
+            **{name: first_match(t, pattern, 1).try_cast("bigint") for name, pattern in NUMBER_FILTERS.items()},
         }
-    )
+    ).drop("__t")
 
 
 def build_specs(df: DataFrame, intent: str = "intent") -> DataFrame:

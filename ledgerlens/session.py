@@ -58,3 +58,11 @@ def materialize(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(scratch_root(spark))
     return df.checkpoint(eager=True)
+
+
+def write_once(df: DataFrame) -> DataFrame:
+    """Like ``materialize``, for tables that grow with the data: a compressed columnar table
+    in the shared folder, so that later passes read only the columns they need."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
