@@ -389,22 +389,88 @@ def dataset_insights(df: DataFrame, quality: DataFrame, amount: str = "total_amo
     )
 
 
-def growth_recommendations(
-    df: DataFrame, quality: DataFrame, churn_summary: DataFrame, mapping_confidence: str = "HIGH",
-    amount: str = "total_amount", category: str = "product_category", date: str = "date",
-) -> DataFrame:
-    """Rule rows over quality, mapping, trend, top category, order value and customers at risk."""
+def _month_category(df: DataFrame, amount: str, category: str, date: str) -> tuple[DataFrame, DataFrame, dict]:
+    """From one pass: first and last of the last twelve months, the best category, the totals."""
     by = materialize(
         df.groupBy(F.date_format(date, "yyyy-MM").alias("period"), F.col(category).alias("name")).agg(
-            F.sum(amount).alias("revenue"), F.count(amount).alias("n")
+            F.sum(amount).alias("revenue"), F.count(amount).alias("n"), long_count().alias("rows")
+        )
+    )
+    months = by.where(F.col("period").isNotNull()).groupBy("period").agg(F.sum("revenue").alias("revenue"))
+    turn = (
+        months.orderBy(F.col("period").desc()).limit(12)
+        .agg(
+            F.min_by("revenue", "period").alias("a"), F.max_by("revenue", "period").alias("b"),
+            F.min("period").alias("first"), F.max("period").alias("last"), long_count().alias("n"),
         )
     )
-    months = by.groupBy("period").agg(F.sum("revenue").alias("revenue"))
-    last_twelve = months.orderBy(F.col("period").desc()).limit(12)
-    turn = last_twelve.agg(F.min_by("revenue", "period").alias("a"), F.max_by("revenue", "period").alias("b"))
     names = by.where(F.col("name").isNotNull()).groupBy("name").agg(F.sum("revenue").alias("revenue"))
-    whole = one_row(by.agg(F.sum("revenue").alias("total"), ratio(F.sum("revenue"), F.sum("n")).alias("aov")))
     best = top_n(names, [F.col("revenue").desc(), F.col("name")], 1)
+    whole = one_row(
+        by.agg(
+            F.sum("revenue").alias("total"), ratio(F.sum("revenue"), F.sum("n")).alias("aov"),
+            F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+        )
+    )
+    return turn, best, whole
+
+
+def _share_text(whole: dict) -> Column:
+    return F.concat(
+        money(F.col("revenue")), F.lit(" or "),
+        F.format_number(edge_round(percent(F.col("revenue"), F.lit(whole["total"])), 1), 1), F.lit("% of revenue."),
+    )
+
+
+def executive_insights(
+    df: DataFrame, quality: DataFrame, amount: str = "total_amount", category: str = "product_category", date: str = "date",
+) -> DataFrame:
+    """Up to six rows: quality, scale, top contributor, trend, and a risk when revenue falls."""
+    turn, best, whole = _month_category(df, amount, category, date)
+    moved = (
+        F.when(F.col("b") > F.col("a"), "upward").when(F.col("b") < F.col("a"), "downward").otherwise("stable")
+    )
+    rows = [
+        (
+            "quality",
+            quality,
+            F.concat(
+                F.lit("Data quality is "), F.format_number("quality_score", 2), F.lit("/100: "),
+                F.format_number("missing_pct", 2), F.lit("% missing, "), F.format_number("duplicate_pct", 2), F.lit("% duplicate."),
+            ),
+        ),
+        (
+            "scale",
+            quality,
+            F.concat(
+                F.lit("Revenue "), money(F.lit(whole["total"])), F.lit(" in "), F.format_number(F.lit(whole["rows"]), 0),
+                F.lit(" orders, "), money(F.lit(whole["aov"])), F.lit(" on average."),
+            ),
+        ),
+        ("contributor", best, F.concat(F.lit("Top contributor "), F.col("name"), F.lit(": "), _share_text(whole))),
+        (
+            "trend",
+            turn,
+            F.when(
+                F.col("n") >= 2,
+                F.concat(
+                    F.lit("Trend "), moved, F.lit(": "), money(F.col("a")), F.lit(" in "), F.col("first"), F.lit(", "),
+                    money(F.col("b")), F.lit(" in "), F.col("last"), F.lit("."),
+                ),
+            ).otherwise(F.lit("Trend unknown: only one period.")),
+        ),
+        ("risk", turn, F.when((F.col("n") >= 2) & (F.col("b") < F.col("a")), F.lit("Risk: revenue is declining."))),
+    ]
+    unique = first_spelling(text_rows(rows).select("position", "text"), "text", "position")
+    return unique.orderBy("position").limit(6)
+
+
+def growth_recommendations(
+    df: DataFrame, quality: DataFrame, churn_summary: DataFrame, mapping_confidence: str = "HIGH",
+    amount: str = "total_amount", category: str = "product_category", date: str = "date",
+) -> DataFrame:
+    """Rule rows over quality, mapping, trend, top category, order value and customers at risk."""
+    turn, best, whole = _month_category(df, amount, category, date)
     rows = [
         (
             "quality",
@@ -429,10 +495,7 @@ def growth_recommendations(
         (
             "category",
             best,
-            F.concat(
-                F.lit("Focus on "), F.col("name"), F.lit(": "), money(F.col("revenue")), F.lit(" or "),
-                F.format_number(edge_round(percent(F.col("revenue"), F.lit(whole["total"])), 1), 1), F.lit("% of revenue."),
-            ),
+            F.concat(F.lit("Focus on "), F.col("name"), F.lit(": "), _share_text(whole)),
         ),
         (
             "retention",

@@ -177,6 +177,19 @@ def analyze(spark, path: str, fmt: str | None = None, **options) -> tuple[Datase
     return data, run_basic(data.frame), mapping.suggested_questions(able)
 
 
+def report_sections(df: DataFrame, quality: DataFrame) -> dict[str, DataFrame]:
+    """The seven parts of an exported report; write them with ``sinks.write_sections``."""
+    return {
+        "kpis": kpi.business_kpis(df),
+        "trends": kpi.revenue_trend(df, "month"),
+        "categories": kpi.top_categories(df, n=10),
+        "segments": kpi.spend_tiers(df),
+        "forecast": timeseries.smooth_forecast(timeseries.resample(df, "D")),
+        "at_risk": customers.churn_at_risk(df),
+        "metadata": quality,
+    }
+
+
 def subset_report(df: DataFrame, days: int | None = None) -> dict[str, DataFrame]:
     """KPIs, trend, categories and tiers of a filtered frame (category, segment or time filters come first)."""
     df = last_days(df, days)

@@ -420,6 +420,38 @@ def recommendation_rows(spark, folder):
     return kpi.growth_recommendations(rows, profile.quality_score(rows), customers.churn_summary(rows))
 
 
+@query(
+    with_sales(
+        f"""SELECT CAST(1 AS BIGINT) AS position, 'Data quality is ' || format('{{:,.2f}}', 100 - dup_pct) || '/100: 0.00% missing, '
+          || format('{{:,.2f}}', dup_pct) || '% duplicate.' AS text FROM quality
+        UNION ALL SELECT 2, 'Revenue ' || {_money('sum(total_amount)')} || ' in ' || format('{{:,}}', count(*)) || ' orders, '
+          || {_money('avg(total_amount)')} || ' on average.' FROM sales
+        UNION ALL (SELECT 3, 'Top contributor ' || product_category || ': ' || {_money('sum(total_amount)')} || ' or '
+          || format('{{:,.1f}}', {R('100 * sum(total_amount) / (SELECT sum(total_amount) FROM sales)', 1)}) || '% of revenue.'
+          FROM sales GROUP BY product_category ORDER BY sum(total_amount) DESC, product_category LIMIT 1)
+        UNION ALL SELECT 4, 'Trend ' || CASE WHEN b > a THEN 'upward' WHEN b < a THEN 'downward' ELSE 'stable' END || ': ' || {_money('a')}
+          || ' in ' || f || ', ' || {_money('b')} || ' in ' || l || '.' FROM turn
+        UNION ALL SELECT 5, 'Risk: revenue is declining.' FROM turn WHERE b < a""",
+        INSIGHT_QUALITY,
+        """turn AS (SELECT min(p) AS f, max(p) AS l, arg_min(v, p) AS a, arg_max(v, p) AS b FROM
+            (SELECT strftime(date, '%Y-%m') AS p, sum(total_amount) AS v FROM sales GROUP BY 1 ORDER BY 1 DESC LIMIT 12))""",
+    )
+)
+def executive_insights(spark, folder):
+    rows = sales(spark, folder, ["date", "customer_id", "product_category", "total_amount"])
+    return kpi.executive_insights(rows, profile.quality_score(rows))
+
+
+@query(
+    with_sales(
+        f"""SELECT row_number() OVER (ORDER BY r DESC, name) AS rank, name, {R('r')} AS revenue FROM
+        (SELECT segment AS name, sum(total_amount) AS r FROM sales GROUP BY 1 ORDER BY r DESC, 1 LIMIT 5)"""
+    )
+)
+def top_segments(spark, folder):
+    return tidy(kpi.top_categories(sales(spark, folder, ["segment", "total_amount"]), "segment", 5))
+
+
 CANONICAL = ["date", "customer_id", "transaction_id", "total_amount", "product_category", "country", "region"]
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...operators import kpi, profile
 from ...session import scratch_path
 from ...sources import readers, sinks
-from ..facts import orders_fact, table
-from .registry import query, with_orders
+from ..analysis import report_sections
+from ..facts import orders_fact, sales, table
+from .kpis import BASE_SQL, CHURN_SQL
+from .registry import query, with_orders, with_sales
 
 ORDERS_SQL = """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate, o_orderpriority FROM orders"""
 
@@ -72,6 +77,30 @@ def export_long_form(spark, folder):
     return sinks.long_form({name: spark.read.parquet(f"{path}/{name}") for name in sections})
 
 
+@query(
+    with_sales(
+        """SELECT * FROM (SELECT 'kpis' AS section, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'metadata', 1
+        UNION ALL SELECT 'trends', least(12, count(DISTINCT strftime(date, '%Y-%m'))) FROM sales
+        UNION ALL SELECT 'categories', least(10, count(DISTINCT product_category)) FROM sales
+        UNION ALL SELECT 'segments', 4 UNION ALL SELECT 'forecast', 30
+        UNION ALL SELECT 'at_risk', least(20, count(*)) FROM churn WHERE score >= 40)""",
+        BASE_SQL.format(fact="sales"),
+        CHURN_SQL,
+    )
+)
+def export_report(spark, folder):
+    """Write the seven report parts as CSV folders and count what can be read back."""
+    rows = sales(spark, folder, ["date", "customer_id", "product_category", "total_amount"])
+    sections = report_sections(rows, profile.quality_score(rows))
+    path = scratch_path(spark, "report")
+    sinks.write_sections(sections, path, "csv")
+    counts = [
+        readers.read_dataset(spark, f"{path}/{name}", "csv").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("section"), "n")
+        for name in sections
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query(
     """SELECT CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS amount, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS ts,
     CAST(o_orderkey AS BIGINT) AS k FROM orders"""
