@@ -86,14 +86,13 @@ def segment_rows(df: DataFrame, segment: str, scores: DataFrame | None = None) -
 # ---- lifetime value ----
 
 
-def lifetime_value(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    """Full customer table with rank, share and value tier."""
+def _lifetime_rows(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
     base = base or customer_base(df)
     whole = one_row(base.agg(F.sum("monetary").alias("total")))["total"]
     cut = one_row(exact_quantiles(base, "monetary", {"q25": 0.25, "q75": 0.75}))
     days = whole_days(F.col("last_purchase"), F.col("first_purchase"))
     clv = F.col("monetary")
-    out = base.select(
+    return base.select(
         "customer_id",
         clv.alias("clv"),
         F.col("frequency").alias("purchase_count"),
@@ -107,11 +106,20 @@ def lifetime_value(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
         zero_if_null(percent(clv, F.lit(whole))).alias("clv_percent"),
         F.when(clv >= F.lit(cut["q75"]), "high").when(clv >= F.lit(cut["q25"]), "medium").otherwise("low").alias("tier"),
     )
-    return global_rank(out, [F.col("clv").desc(), F.col("customer_id")])
+
+
+def _best_first() -> list[Column]:
+    return [F.col("clv").desc(), F.col("customer_id")]
+
+
+def lifetime_value(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Full customer table with rank, share and value tier."""
+    return global_rank(_lifetime_rows(df, base), _best_first())
 
 
 def lifetime_top(df: DataFrame, n: int = 10) -> DataFrame:
-    return lifetime_value(df).orderBy("rank").limit(max(1, min(n, 100)))
+    """The best customers (1 to 100); needs no rank of all the others."""
+    return top_n(_lifetime_rows(df), _best_first(), max(1, min(n, 100)))
 
 
 def lifetime_tier(df: DataFrame, tier: str) -> DataFrame:

@@ -456,7 +456,7 @@ CANONICAL = ["date", "customer_id", "transaction_id", "total_amount", "product_c
 
 
 @query()
-def gated_pipeline_status(spark, folder):
+def gated_analysis_status(spark, folder):
     return run_basic(sales(spark, folder, CANONICAL)).outcome(spark)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ...operators import customers, mapping, ml
 from ...operators import timeseries as ts
-from ...session import materialize, scratch_path
+from ...session import materialize, scratch_path, write_once
 from ..facts import TABLES, orders_fact, sales, table
 from .registry import query, tidy
 from .text import opening_intent, questions
@@ -17,7 +17,7 @@ from .text import opening_intent, questions
 
 @query()
 def kmeans_segments(spark, folder):
-    scores = materialize(customers.rfm(orders_fact(spark, folder, ["customer_id", "date", "total_amount"])))
+    scores = write_once(customers.rfm(orders_fact(spark, folder, ["customer_id", "date", "total_amount"])))
     path = scratch_path(spark, "segment-model")
     ml.save_model(ml.train_segments(scores), path)
     return tidy(ml.segment_profile(ml.assign_segments(ml.load_model(path), scores)))
@@ -25,7 +25,7 @@ def kmeans_segments(spark, folder):
 
 def _purchases(spark, folder):
     rows = sales(spark, folder, ["customer_id", "date", "total_amount", "size", "segment", "product_category", "transaction_id"])
-    return ml.churn_labels(rows)
+    return write_once(ml.churn_labels(rows))  # every stage of the training reads it
 
 
 def _churn(spark, folder):
@@ -37,7 +37,8 @@ def _churn(spark, folder):
 @query()
 def churn_forest(spark, folder):
     model, test = _churn(spark, folder)
-    scored = materialize(ml.score_churn(model, test).select("customer_id", "total_amount", "label", "prediction", "rawPrediction", "churn_risk_score"))
+    columns = ["customer_id", "total_amount", "label", "prediction", "rawPrediction", "churn_risk_score"]
+    scored = write_once(ml.score_churn(model, test).select(*columns))
     report = ml.binary_report(scored)
     exposed = ml.churn_exposure(scored)
     return report.select("*", *[exposed.select(c).scalar().alias(c) for c in exposed.columns])

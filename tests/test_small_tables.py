@@ -1,4 +1,4 @@
-"""Hand-computed results on the small reference tables."""
+"""Hand-computed results on small tables."""
 
 import pytest
 from pyspark.sql import functions as F
