@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ...operators import clean, customers, filters, kpi, profile
 from ..analysis import run_advanced, run_basic
-from ..facts import orders_fact, sales, table
+from ..facts import order_revenue, orders_fact, sales, table
 from ..spec import run_query, top_row_insight
 from .registry import R, query, tidy, with_orders, with_sales
 
@@ -18,7 +18,7 @@ TOP_COUNTRIES = {"intent": "ranking_query", "metric": "revenue", "aggregation":
 
 @query(with_sales(f"SELECT country, {R('sum(total_amount)')} AS total_amount FROM sales GROUP BY 1 ORDER BY sum(total_amount) DESC, 1 LIMIT 5"))
 def spec_top_countries(spark, folder):
-    return tidy(run_query(sales(spark, folder, ["country", "total_amount"]), TOP_COUNTRIES))
+    return tidy(run_query(order_revenue(spark, folder, ["country", "total_amount"]), TOP_COUNTRIES))
 
 
 @query(
@@ -43,7 +43,7 @@ def spec_bottom_categories(spark, folder):
     )
 )
 def spec_insight(spark, folder):
-    ranked = run_query(sales(spark, folder, ["country", "total_amount"]), TOP_COUNTRIES)
+    ranked = run_query(order_revenue(spark, folder, ["country", "total_amount"]), TOP_COUNTRIES)
     return top_row_insight(ranked, "total_amount", "country")
 
 
@@ -109,7 +109,7 @@ def profit_margin(spark, folder):
 
 @query(with_sales(f"SELECT {R('avg(g) * 100', 4)} AS mom_growth FROM growth", MONTHS_SQL))
 def mom_growth(spark, folder):
-    return tidy(kpi.mean_growth(sales(spark, folder, ["date", "total_amount"]), "month", "mom_growth"), 4)
+    return tidy(kpi.mean_growth(order_revenue(spark, folder, ["date", "total_amount"]), "month", "mom_growth"), 4)
 
 
 YEARS_SQL = """years AS (SELECT CAST(date_trunc('year', date) AS DATE) AS y, sum(total_amount) AS v FROM sales GROUP BY 1),
@@ -118,12 +118,12 @@ yearly AS (SELECT y, v, (v - lag(v) OVER (ORDER BY y)) / nullif(lag(v) OVER (ORD
 
 @query(with_sales(f"SELECT {R('avg(g) * 100', 4)} AS yoy_growth FROM yearly", YEARS_SQL))
 def yoy_growth(spark, folder):
-    return tidy(kpi.mean_growth(sales(spark, folder, ["date", "total_amount"]), "year", "yoy_growth"), 4)
+    return tidy(kpi.mean_growth(order_revenue(spark, folder, ["date", "total_amount"]), "year", "yoy_growth"), 4)
 
 
 @query(with_sales(f"SELECT strftime(y, '%Y') AS period, {R('v')} AS revenue, {R('g * 100', 4)} AS growth_pct FROM yearly", YEARS_SQL))
 def yoy_table(spark, folder):
-    by = kpi.growth_table(sales(spark, folder, ["date", "total_amount"]), "year")
+    by = kpi.growth_table(order_revenue(spark, folder, ["date", "total_amount"]), "year")
     return tidy(by.select("period", "revenue", (F.col("growth") * 100).alias("growth_pct")), growth_pct=4)
 
 
@@ -145,7 +145,7 @@ PERIOD_LABELS = {
 def _register_period(unit: str) -> None:
     @query(_period_sql(unit, PERIOD_LABELS[unit]), name=f"revenue_by_{unit}")
     def run(spark, folder):
-        return tidy(kpi.revenue_by_period(sales(spark, folder, ["date", "total_amount"]), unit))
+        return tidy(kpi.revenue_by_period(order_revenue(spark, folder, ["date", "total_amount"]), unit))
 
 
 for _unit in PERIOD_LABELS:
@@ -154,7 +154,7 @@ for _unit in PERIOD_LABELS:
 
 @query(_period_sql("month", PERIOD_LABELS["month"]) + " ORDER BY 1 DESC LIMIT 12")
 def last_12_periods(spark, folder):
-    return tidy(kpi.revenue_trend(sales(spark, folder, ["date", "total_amount"]), "month"))
+    return tidy(kpi.revenue_trend(order_revenue(spark, folder, ["date", "total_amount"]), "month"))
 
 
 @query(
@@ -182,7 +182,8 @@ def profit_by_month(spark, folder):
 def _register_dimension(dim: str) -> None:
     @query(with_sales(f"SELECT {dim} AS dimension, {R('sum(total_amount)')} AS revenue FROM sales GROUP BY 1"), name=f"revenue_by_{dim}")
     def run(spark, folder):
-        return tidy(kpi.revenue_by(sales(spark, folder, [dim, "total_amount"]), dim))
+        fact = sales if dim == "product" else order_revenue
+        return tidy(kpi.revenue_by(fact(spark, folder, [dim, "total_amount"]), dim))
 
 
 for _dim in ("country", "region", "product", "segment"):
@@ -243,7 +244,7 @@ YEARS = range(1995, 2002)
     )
 )
 def month_year_pivot(spark, folder):
-    return tidy(kpi.month_year_matrix(sales(spark, folder, ["date", "total_amount"]), list(YEARS)))
+    return tidy(kpi.month_year_matrix(order_revenue(spark, folder, ["date", "total_amount"]), list(YEARS)))
 
 
 SPAN = [f"{y}-{m:02d}" for y in YEARS for m in range(1, 13)]
@@ -257,7 +258,7 @@ SPAN = [f"{y}-{m:02d}" for y in YEARS for m in range(1, 13)]
     )
 )
 def region_month_matrix(spark, folder):
-    return tidy(kpi.region_month_matrix(sales(spark, folder, ["region", "date", "total_amount"]), SPAN))
+    return tidy(kpi.region_month_matrix(order_revenue(spark, folder, ["region", "date", "total_amount"]), SPAN))
 
 
 @query(
@@ -278,7 +279,8 @@ def _share_sql(dim: str) -> str:
 
 @query(with_sales(" UNION ALL ".join(_share_sql(d) for d in ("country", "product", "customer_name"))))
 def contribution_shares(spark, folder):
-    parts = [kpi.contribution(sales(spark, folder, [d, "total_amount"]), d) for d in ("country", "product", "customer_name")]
+    facts = {"country": order_revenue, "product": sales, "customer_name": order_revenue}
+    parts = [kpi.contribution(fact(spark, folder, [d, "total_amount"]), d) for d, fact in facts.items()]
     return tidy(reduce(DataFrame.unionByName, parts), 4, total_revenue=2)
 
 
@@ -302,7 +304,8 @@ def arg_max_dims(spark, folder):
     def part(label):
         needed = "date" if label == "month" else label
         dim = F.month("date") if label == "month" else label
-        return kpi.extremes(sales(spark, folder, [needed, "total_amount"]), dim, label)
+        fact = sales if label == "product_category" else order_revenue
+        return kpi.extremes(fact(spark, folder, [needed, "total_amount"]), dim, label)
 
     return tidy(reduce(DataFrame.unionByName, [part(label) for label in EXTREMES]))
 
@@ -315,7 +318,7 @@ def arg_max_dims(spark, folder):
     )
 )
 def trend_direction(spark, folder):
-    return tidy(kpi.daily_trend_direction(sales(spark, folder, ["date", "total_amount"])), 4)
+    return tidy(kpi.daily_trend_direction(order_revenue(spark, folder, ["date", "total_amount"])), 4)
 
 
 @query(
@@ -328,7 +331,7 @@ def trend_direction(spark, folder):
     )
 )
 def first_last_direction(spark, folder):
-    return tidy(kpi.first_last_direction(sales(spark, folder, ["date", "total_amount"])))
+    return tidy(kpi.first_last_direction(order_revenue(spark, folder, ["date", "total_amount"])))
 
 
 @query(
@@ -340,7 +343,7 @@ def first_last_direction(spark, folder):
     )
 )
 def monthly_alert(spark, folder):
-    return tidy(kpi.monthly_alert(sales(spark, folder, ["date", "total_amount"])), change_pct=4)
+    return tidy(kpi.monthly_alert(order_revenue(spark, folder, ["date", "total_amount"])), change_pct=4)
 
 
 @query(
@@ -449,7 +452,7 @@ def executive_insights(spark, folder):
     )
 )
 def top_segments(spark, folder):
-    return tidy(kpi.top_categories(sales(spark, folder, ["segment", "total_amount"]), "segment", 5))
+    return tidy(kpi.top_categories(order_revenue(spark, folder, ["segment", "total_amount"]), "segment", 5))
 
 
 CANONICAL = ["date", "customer_id", "transaction_id", "total_amount", "product_category", "country", "region"]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ...operators import customers, mapping, ml
 from ...operators import timeseries as ts
 from ...session import materialize, scratch_path, write_once
-from ..facts import TABLES, orders_fact, sales, table
+from ..facts import TABLES, order_revenue, orders_fact, sales, table
 from .registry import query, tidy
 from .text import opening_intent, questions
 
@@ -52,7 +52,7 @@ def churn_feature_importance(spark, folder):
 
 @query()
 def weekly_forest_forecast(spark, folder):
-    series = materialize(ts.resample(sales(spark, folder, ["date", "total_amount"]), "W"))
+    series = materialize(ts.resample(order_revenue(spark, folder, ["date", "total_amount"]), "W"))
     model = ml.train_weekly(series)
     return ml.forecast_weeks(model, series).withColumn("mae", F.lit(ml.mean_absolute_error(model, series)))
 
@@ -112,5 +112,5 @@ def column_role_mapping(spark, folder):
 
 @query()
 def arima_per_region(spark, folder):
-    monthly = ml.monthly_by(sales(spark, folder, ["region", "date", "total_amount"]), "region")
+    monthly = ml.monthly_by(order_revenue(spark, folder, ["region", "date", "total_amount"]), "region")
     return ml.arima_forecast(monthly, "region")

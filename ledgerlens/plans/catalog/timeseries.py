@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...operators import timeseries as ts
-from ..facts import sales
+from ..facts import order_revenue, sales
 from .registry import R, query, tidy, with_sales
 
 SERIES_SQL = """daily AS (SELECT date AS ds, sum(total_amount) AS v FROM sales GROUP BY 1),
@@ -18,7 +18,7 @@ def _sql(body: str, *ctes: str) -> str:
 
 
 def _rows(spark, folder):
-    return sales(spark, folder, ["date", "total_amount"])
+    return order_revenue(spark, folder, ["date", "total_amount"])
 
 
 def _days(spark, folder):

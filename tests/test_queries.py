@@ -45,5 +45,16 @@ def test_entry(spark):
     assert df.columns == ["country", "total_amount"] and df.count() == 5
 
 
+def test_order_revenue_equals_the_lines(spark, folder):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.plans.facts import order_revenue, sales
+
+    columns = ["transaction_id", "region", "total_amount"]
+    by_line = sales(spark, folder, columns).groupBy("transaction_id", "region").agg(F.round(F.sum("total_amount"), 4).alias("v"))
+    by_order = order_revenue(spark, folder, columns).select("transaction_id", "region", F.round("total_amount", 4).alias("v"))
+    assert by_line.exceptAll(by_order).isEmpty() and by_order.exceptAll(by_line).isEmpty()
+
+
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
