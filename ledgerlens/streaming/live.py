@@ -45,17 +45,22 @@ def window_alerts(kpis: DataFrame, threshold: float = 20.0) -> DataFrame:
     )
 
 
-def _run_to_table(stream: DataFrame, shape, label: str, mode: str = "complete") -> DataFrame:
-    """Process all files present, then stop; every batch replaces the result table in the shared folder."""
+def _run_to_table(stream: DataFrame, shape, label: str, table: str | None, state: str | None) -> DataFrame:
+    """Process all files present, then stop; every batch replaces the result table.
+
+    With a fixed ``table`` and ``state`` path the next call (or a restart after a
+    failure) goes on where the last one stopped; by default both are new folders
+    in the shared scratch space.
+    """
     spark = stream.sparkSession
-    target = scratch_path(spark, label)
+    target = table or scratch_path(spark, label)
 
     def publish(batch: DataFrame, _epoch: int) -> None:
         shape(batch).write.mode("overwrite").parquet(target)
 
     query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", scratch_path(spark, label + "-state"))
+        stream.writeStream.outputMode("complete")
+        .option("checkpointLocation", state or scratch_path(spark, label + "-state"))
         .trigger(availableNow=True)
         .foreachBatch(publish)
         .start()
@@ -64,9 +69,12 @@ def _run_to_table(stream: DataFrame, shape, label: str, mode: str = "complete")
     return spark.read.parquet(target)
 
 
-def refresh_kpis(events: DataFrame, window: str = "1 day") -> DataFrame:
-    return _run_to_table(windowed_kpis(events, window), lambda b: b, "live-kpis")
+def refresh_kpis(events: DataFrame, window: str = "1 day", table: str | None = None, state: str | None = None) -> DataFrame:
+    return _run_to_table(windowed_kpis(events, window), lambda batch: batch, "live-kpis", table, state)
 
 
-def refresh_alerts(events: DataFrame, window: str = "1 day", threshold: float = 20.0) -> DataFrame:
-    return _run_to_table(windowed_kpis(events, window), lambda b: window_alerts(b, threshold), "live-alerts")
+def refresh_alerts(
+    events: DataFrame, window: str = "1 day", threshold: float = 20.0, table: str | None = None, state: str | None = None
+) -> DataFrame:
+    kpis = windowed_kpis(events, window)
+    return _run_to_table(kpis, lambda batch: window_alerts(batch, threshold), "live-alerts", table, state)

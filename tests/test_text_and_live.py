@@ -98,6 +98,24 @@ def test_stream_equals_batch_with_late_rows(spark, tmp_path):
     assert alerts == {"2024-01-01": "normal", "2024-01-02": "spike", "2024-01-03": "spike"}
 
 
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    folder, table_path, state = (str(tmp_path / n) for n in ("in", "table", "state"))
+
+    def arrive(ts, value):
+        row = spark.createDataFrame([(ts, value)], "ts string, value double").withColumn("ts", F.to_timestamp("ts"))
+        row.coalesce(1).write.mode("append").parquet(folder)
+
+    def refresh():
+        out = live.refresh_kpis(live.event_stream(spark, folder), table=table_path, state=state)
+        return {str(r.window_start): (r.events, r.total_value) for r in out.collect()}
+
+    arrive("2024-01-01 09:00:00", 1.0)
+    assert refresh() == {"2024-01-01": (1, 1.0)}
+    arrive("2024-01-01 12:00:00", 2.0)
+    arrive("2024-01-02 12:00:00", 5.0)
+    assert refresh() == {"2024-01-01": (2, 3.0), "2024-01-02": (1, 5.0)}
+
+
 def test_stream_on_given_events(spark, folder):
     out = live.refresh_kpis(live.event_stream(spark, folder, "events.parquet"))
     assert out.agg(F.sum("events")).first()[0] == table(spark, folder, "events").count()
