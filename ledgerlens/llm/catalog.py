@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fairmix, simhash
+from . import fairmix, simhash, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,8 @@ def op2_simhash(spark, sf_dir):
 @query
 def op3_fair_mix(spark, sf_dir):
     return fairmix.fair_mix(read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_toxicity(spark, sf_dir):
+    return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -30,16 +30,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs:
     ).withColumn("cap", F.col("source_size") * epochs)
     ranked = ranked.withColumn("full_at", F.col("cap") / F.col("weight"))
     filled = write_once(running_totals(ranked, ["full_at", "_nth"], {"_caps": "cap", "_weights": "weight"}))
-    whole = filled.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))
-    both = filled.crossJoin(F.broadcast(whole))  # one row
-    rest = (F.col("all_size") - (F.col("_caps") - F.col("cap"))) / (F.col("all_weight") - (F.col("_weights") - F.col("weight")))
-    capped = both.withColumn("_capped", F.col("full_at") <= rest)
-    left = capped.agg(
-        (F.first("all_size") - F.coalesce(F.sum(F.when(F.col("_capped"), F.col("cap"))), F.lit(0))).alias("_size"),
-        (F.first("all_weight") - F.coalesce(F.sum(F.when(F.col("_capped"), F.col("weight"))), F.lit(0))).alias("_weight"),
-    ).select(F.when(F.col("_weight") > 0, F.col("_size") / F.col("_weight")).otherwise(F.lit(0.0)).alias("level"))
-    target = F.when(F.col("_capped"), F.col("cap").cast("double")).otherwise(F.col("level") * F.col("weight"))
-    return capped.crossJoin(F.broadcast(left)).select("source", "source_size", "before", "weight", target.alias("target"))
+    whole = filled.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    rest = (F.lit(whole.size) - (F.col("_caps") - F.col("cap"))) / (F.lit(whole.weight) - (F.col("_weights") - F.col("weight")))
+    capped = filled.withColumn("_capped", F.col("full_at") <= rest)
+    full = capped.filter("_capped").agg(F.sum("cap").alias("size"), F.sum("weight").alias("weight")).first()
+    size, weight = (whole.size or 0) - (full.size or 0), (whole.weight or 0) - (full.weight or 0)
+    level = F.lit(size / weight if weight else 0.0)
+    target = F.when(F.col("_capped"), F.col("cap").cast("double")).otherwise(level * F.col("weight"))
+    return capped.select("source", "source_size", "before", "weight", target.alias("target"))
 
 
 def fair_mix(
@@ -85,19 +83,16 @@ def fair_mix(
         .select("size", "_place", "_epoch", finish(F.col("_epoch")).alias("_finish"))
     )
     served = running_totals(copies, ["_finish", "_place", "_epoch"], {"_served": "size"})
-    budget = targets.agg(F.sum("source_size").alias("budget"))
-    cut = (
-        served.crossJoin(F.broadcast(budget))  # one row
-        .filter(F.col("_served") >= F.col("budget"))
-        .agg(F.min(F.struct("_finish", "_place", "_epoch", (F.col("_served") - F.col("budget")).alias("over"))).alias("cut"))
-    )
-    at = F.struct("cut._finish", "cut._place", "cut._epoch")
+    budget = targets.agg(F.sum("source_size")).first()[0] or 0
+    last = served.filter(F.col("_served") >= budget).agg(F.min(F.struct("_finish", "_place", "_epoch", "_served")).alias("cut")).first().cut
+    last = last or (0.0, 0, 0, budget)
+    at = F.struct(F.lit(last[0]).alias("_finish"), F.lit(last[1]).cast("long").alias("_place"), F.lit(last[2]).alias("_epoch"))
     parts = []
     for epoch in range(epochs):
         here = F.struct(finish(epoch).alias("_finish"), F.col("_place"), F.lit(epoch).alias("_epoch"))
-        part = F.when(here < at, F.col("size")).when(here == at, F.col("size") - F.col("cut.over"))
+        part = F.when(here < at, F.col("size")).when(here == at, F.col("size") - (last[3] - budget))
         parts.append(F.when(queued(epoch), F.coalesce(part, F.lit(0))).otherwise(F.lit(0)))
     taken = F.when((F.col("size") > 0) & (F.col("target") > 0), sum(parts[1:], parts[0])).otherwise(F.lit(0)).cast("long")
-    return queue.crossJoin(F.broadcast(cut)).select(
+    return queue.select(
         "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *[F.col(f"_carried.{c}").alias(c) for c in columns]
     )
