@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fairmix, simhash, toxicity
+from . import fairmix, licenses, pieces, simhash, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,13 @@ def op3_fair_mix(spark, sf_dir):
 @query
 def op8_toxicity(spark, sf_dir):
     return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op9_sentencepiece(spark, sf_dir):
+    return pieces.token_digest(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_licenses(spark, sf_dir):
+    return licenses.license_spans(read(spark, sf_dir, "documents"))

@@ -67,9 +67,10 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np
         first = last
 
 
-def bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words in bytes, and for each text (plus one) the number of its first word."""
-    ink = ~_WHITE[raw]
+def bounds(raw: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words in bytes, and for each text (plus one) the number of its first word. ``gaps`` tells
+    for each byte whether it separates words."""
+    ink = ~gaps[raw]
     opened = ink.copy()
     opened[1:] &= ~ink[:-1]
     closed = ink.copy()
