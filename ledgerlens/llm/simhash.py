@@ -80,15 +80,15 @@ def with_next(docs: DataFrame, use, schema: str) -> DataFrame:
             ids = batch.column("doc_id").fill_null(_LAST).to_numpy(zero_copy_only=False)
             at = np.searchsorted(ranges, np.searchsorted(cuts, ids, "right"))
             batch = pa.RecordBatch.from_arrays(
-                [pa.array(ranges[at], pa.int32()), pa.array(np.zeros(len(ids), bool)), batch.column("doc_id"), batch.column("text")],
+                [pa.array(at, pa.int32()), pa.array(np.zeros(len(ids), bool)), batch.column("doc_id"), batch.column("text")],
                 ["range", "guest", "doc_id", "text"],
             )
             yield batch
             guests = np.flatnonzero(least[at] == ids)
             if len(guests):
                 copy = batch.take(pa.array(guests))
-                before = ranges[(at[guests] - 1) % len(ranges)]
-                yield copy.set_column(0, "range", pa.array(before, pa.int32())).set_column(1, "guest", pa.array(np.ones(len(guests), bool)))
+                before = pa.array((at[guests] - 1) % len(ranges), pa.int32())
+                yield copy.set_column(0, "range", before).set_column(1, "guest", pa.array(np.ones(len(guests), bool)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last own row, still without its next text
@@ -109,7 +109,7 @@ def with_next(docs: DataFrame, use, schema: str) -> DataFrame:
 
     order = ["range", "guest", F.asc_nulls_last("doc_id"), "text"]
     dealt = docs.mapInArrow(deal, "range int, guest boolean, doc_id long, text string")
-    return dealt.repartition(shuffle_partitions(docs), "range").sortWithinPartitions(*order).mapInArrow(run, schema)
+    return dealt.repartitionById(shuffle_partitions(docs), "range").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def block_tables(df: DataFrame, blocks: int = BLOCKS, radius: int = RADIUS) -> DataFrame:
@@ -184,11 +184,8 @@ def fingerprint_documents(docs: DataFrame, every: int = 100) -> DataFrame:
     """``fingerprint_table`` and, for documents whose id is divisible by ``every``, ``near_rows``: how many other rows
     of the whole table have a fingerprint within the radius (null for the rest)."""
     table = write_once(fingerprint_table(docs))
-    near = within_radius(table.filter(F.col("doc_id") % every == 0), table)
-    asked = F.when(F.col("doc_id") % every == 0, F.col("fingerprint"))
-    return (
-        table.withColumn("_asked", asked)
-        .join(near.withColumnRenamed("fingerprint", "_asked"), "_asked", "left")
-        .withColumn("near_rows", F.col("near") - 1)
-        .drop("_asked", "near")
-    )
+    is_query = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    asked, rest = table.filter(is_query), table.filter(~is_query)
+    near = within_radius(asked, table).select("fingerprint", (F.col("near") - 1).alias("near_rows"))
+    asked = asked.join(near, "fingerprint", "left").select(*table.columns, "near_rows")
+    return asked.unionByName(rest.withColumn("near_rows", F.lit(None).cast("long")))
