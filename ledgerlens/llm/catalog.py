@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fairmix, licenses, pieces, simhash, toxicity
+from . import fairmix, langid, licenses, pieces, simhash, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,17 @@ def op3_fair_mix(spark, sf_dir):
     return fairmix.fair_mix(read(spark, sf_dir, "documents"))
 
 
+@query
+def op5_language(spark, sf_dir):
+    """Documents and web pages, each with its own evidence; the text model is trained on labelled documents."""
+    docs, pages = read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages")
+    model = langid.model_of(docs)
+    columns = ["doc_id", "page_id", "declared", "lang", "confidence", "accepted"]
+    of_docs = langid.document_languages(docs, model).withColumn("page_id", F.lit(None).cast("long"))
+    of_pages = langid.page_languages(pages, model).withColumn("doc_id", F.lit(None).cast("long"))
+    return of_docs.select(columns).unionByName(of_pages.select(columns))
+
+
 @query
 def op8_toxicity(spark, sf_dir):
     return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
