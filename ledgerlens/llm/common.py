@@ -47,3 +47,39 @@ def running_totals(df: DataFrame, order: list, totals: dict[str, str]) -> DataFr
     out = ranged.withColumns({new: F.sum(c).over(within) for new, c in totals.items()})
     out = out.join(F.broadcast(starts), "_range")  # one row per range
     return out.select(*df.columns, *[(F.col(new) + F.col(f"_at_{new}")).alias(new) for new in totals])
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node, label`` for every node of ``edges`` (``a``, ``b``), the label being the least node of its component.
+
+    Alternates the large-star and small-star steps of Kiveris et al. until the edges no longer change: each step joins
+    the edges with one row per node, so a hub's edges are an ordinary skewed join. Every step's edges are written to the
+    shared folder, which also cuts the lineage.
+    """
+
+    def star(both: DataFrame, larger: bool) -> DataFrame:
+        least = both.groupBy(F.col("a").alias("u")).agg(F.min(F.least("a", "b")).alias("m"))
+        near = both.filter("b > a") if larger else both.filter("b < a")
+        moved = near.join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        if not larger:
+            moved = moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        return moved.filter("a <> b").distinct()
+
+    def both_ways(e: DataFrame) -> DataFrame:
+        return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+    def state(e: DataFrame):
+        return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+
+    edges = write_once(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = state(edges)
+    while before[0]:
+        spread = write_once(star(both_ways(edges), True))
+        edges = write_once(star(spread.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), False))
+        now = state(edges)
+        if now == before:
+            break
+        before = now
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
+        edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
+    )
