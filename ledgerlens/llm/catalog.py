@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fairmix, icws, langid, licenses, pieces, simhash, toxicity
+from . import fairmix, icws, langid, licenses, linetree, pieces, simhash, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,14 @@ def op5_language(spark, sf_dir):
     return of_docs.select(columns).unionByName(of_pages.select(columns))
 
 
+@query
+def op6_line_dedup(spark, sf_dir):
+    return linetree.line_dedup(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op6_line_dedup"] = linetree.SQL
+
+
 @query
 def op7_near_copies(spark, sf_dir):
     return icws.near_copies(read(spark, sf_dir, "documents"))
