@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fairmix, icws, langid, licenses, linetree, pieces, simhash, toxicity
+from . import fairmix, icws, langid, licenses, linetree, pieces, repair, simhash, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_repair(spark, sf_dir):
+    return repair.id_digest(read(spark, sf_dir, "documents"))
+
+
 @query
 def op2_simhash(spark, sf_dir):
     return simhash.fingerprint_documents(read(spark, sf_dir, "documents"))

@@ -35,6 +35,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
 _VALUES_LOWER = _VALUES[_LOWER]
+_VALUES_WIDE = mix(np.arange(1, 0x251, dtype=np.uint64) * np.uint64(_ODD))  # of the code points below 0x250
 
 
 @lru_cache(maxsize=4)
