@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fairmix, icws, langid, licenses, linetree, pieces, repair, simhash, toxicity
+from . import covertree, fairmix, icws, langid, licenses, linetree, pieces, repair, simhash, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,14 @@ def op3_fair_mix(spark, sf_dir):
     return fairmix.fair_mix(read(spark, sf_dir, "documents"))
 
 
+@query
+def op4_cover_tree(spark, sf_dir):
+    return covertree.top_products(read(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op4_cover_tree"] = covertree.SQL
+
+
 @query
 def op5_language(spark, sf_dir):
     """Documents and web pages, each with its own evidence; the text model is trained on labelled documents."""
