@@ -96,3 +96,26 @@ def fair_mix(
     return queue.select(
         "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *[F.col(f"_carried.{c}").alias(c) for c in columns]
     )
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = "mix") -> DataFrame:
+    """The rows of ``docs`` (all columns), each as often as the mix takes it; a copy taken in part is kept whole.
+
+    The mix is decided on ids and sizes; how often each id and text is taken is then joined to the rows, so the text
+    moves once. Of rows that repeat an id and text each gets its even share, and the remainder goes to one of them.
+    """
+    mark = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    narrow = docs.select("doc_id", "text", "source", mark.alias("mark"))
+    found = fair_mix(narrow, weights, epochs, seed, columns=("mark",))
+    times = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0))
+    found = found.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.sum(times).alias("_times"), F.count("*").alias("_rows"))
+    found = write_once(found.filter("_times > 0"))
+    mine = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (mark == F.col("_mark"))
+    joined = docs.join(found, mine)
+    out = joined.withColumn("_each", F.floor(F.col("_times") / F.col("_rows")).cast("int")).filter("_each > 0")
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each")))).select(*docs.columns)
+    if found.filter("_times % _rows > 0").isEmpty():
+        return out
+    rest = joined.filter("_times % _rows > 0").dropDuplicates(["_id", "_mark"])
+    rest = rest.withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("_times") % F.col("_rows")).cast("int"))))
+    return out.unionByName(rest.select(*docs.columns))

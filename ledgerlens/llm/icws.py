@@ -94,7 +94,8 @@ def _node(text: bytes) -> bytes:
 
 
 def sketches(docs: DataFrame, idf: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, node, terms, keys``: a hash of the text, its number of shingles (with repeats), and one key per band."""
+    """``doc_id, mark, node, terms, keys``: two hashes of the text (``mark`` is Spark's), its number of shingles (with
+    repeats), and one key per band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(bands * rows)
@@ -116,14 +117,16 @@ def sketches(docs: DataFrame, idf: np.ndarray, bands: int = BANDS, rows: int = R
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(first, len(keys)),
+                        batch.column("mark").slice(first, len(keys)),
                         pa.array([_node(raw[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary()),
                         pa.array(size),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[full].ravel().view(np.int64))),
                     ],
-                    ["doc_id", "node", "terms", "keys"],
+                    ["doc_id", "mark", "node", "terms", "keys"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, node binary, terms long, keys array<long>")
+    marked = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    return marked.mapInArrow(run, "doc_id long, mark long, node binary, terms long, keys array<long>")
 
 
 def vectors(docs: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -217,13 +220,9 @@ def verified_links(members: DataFrame, docs: DataFrame, idf: np.ndarray, like: f
     return met.groupBy("label", "x", "y").applyInArrow(link, "a binary, b binary")
 
 
-def near_copies(docs: DataFrame, like: float = LIKE) -> DataFrame:
-    """``doc_id, class_id, class_size`` per document: documents linked by a chain of equal texts or of texts whose TF-IDF
-    shingles of five words have a weighted Jaccard similarity of at least ``like`` share the least id of all of them.
-
-    Null texts count as empty; equal texts, empty ones included, are one class; a text of fewer than five words is one
-    shingle; words are split at white space, ASCII letters in lower case. Repeated rows are a class; null ids take no
-    part in the class id, which is null if all ids of the class are; an empty table gives no rows.
+def classes(docs: DataFrame, like: float = LIKE) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, mark, node`` per document, and ``node, label, least_id, copies`` per distinct text, where equal labels
+    are classes of near copies.
 
     Each distinct text is sketched with 48 consistent weighted samples in 12 bands of 4, which finds a pair of
     similarity 0.8 with probability 0.998. Texts that share a band form candidate groups, and only their shingles are
@@ -238,10 +237,41 @@ def near_copies(docs: DataFrame, like: float = LIKE) -> DataFrame:
     met = keyed.join(least, ["band", "key"]).select(F.col("node").alias("a"), "b")
     groups = write_once(components(met))
     members = groups.join(rows.groupBy("node").agg(F.first("terms").alias("terms")), "node")
-    classes = write_once(components(verified_links(members, own, idf, like)))
+    linked = write_once(components(verified_links(members, own, idf, like)))
     label = F.coalesce(F.col("label"), F.col("node"))
-    sized = rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
-    sized = write_once(sized.join(classes, "node", "left").withColumn("label", label))
-    whole = sized.groupBy("label").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    by_node = write_once(sized.join(whole, "label").select("node", "class_id", "class_size"))
-    return rows.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "class_size")
+    by_node = rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
+    by_node = by_node.join(linked, "node", "left").withColumn("label", label)
+    return rows.select("doc_id", "mark", "node"), write_once(by_node)
+
+
+def near_copies(docs: DataFrame, like: float = LIKE) -> DataFrame:
+    """``doc_id, class_id, class_size`` per document: documents linked by a chain of equal texts or of texts whose TF-IDF
+    shingles of five words have a weighted Jaccard similarity of at least ``like`` share the least id of all of them.
+
+    Null texts count as empty; equal texts, empty ones included, are one class; a text of fewer than five words is one
+    shingle; words are split at white space, ASCII letters in lower case. Repeated rows are a class; null ids take no
+    part in the class id, which is null if all ids of the class are; an empty table gives no rows.
+    """
+    rows, by_node = classes(docs, like)
+    whole = by_node.groupBy("label").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    found = write_once(by_node.join(whole, "label").select("node", "class_id", "class_size"))
+    return rows.select("doc_id", "node").join(found, "node").select("doc_id", "class_id", "class_size")
+
+
+def representatives(docs: DataFrame, like: float = LIKE) -> DataFrame:
+    """The rows of ``docs`` (all columns) that stay when one of each class of near copies does: the one with the least id
+    (null ids last, of equal ids the first by hash of the text), once if the row repeats."""
+    rows, by_node = classes(docs, like)
+    labelled = write_once(rows.join(by_node.select("node", "label"), "node"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")
+    kept = labelled.groupBy("label").agg(first).select(F.col("label").alias("_label"), F.col("first.doc_id").alias("_id"), F.col("first.node").alias("_node"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node"))
+    judged = labelled.join(kept, F.col("label") == F.col("_label")).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), same.alias("stays"))
+    gone = write_once(judged.filter(~F.col("stays")).select("_id", "_mark").distinct())
+    again = write_once(judged.filter("stays").groupBy("_id", "_mark").count().filter("count > 1").select("_id", "_mark"))
+    mine = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("_mark"))
+    out = docs.join(gone, mine, "left_anti")
+    if again.isEmpty():
+        return out
+    once = out.join(again, mine).dropDuplicates(["_id", "_mark"]).select(*docs.columns)
+    return out.join(again, mine, "left_anti").unionByName(once)

@@ -57,8 +57,9 @@ def templates(own: DataFrame, lines: DataFrame) -> DataFrame:
     return write_once(alike.select(F.col("sig").alias("_sig"), "template"))
 
 
-def line_dedup(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """``doc_id, text, n_lines, n_dropped`` per document: its text without the lines of recurring templates.
+def line_dedup(docs: DataFrame, min_texts: int = MIN_TEXTS, columns: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, text, n_lines, n_dropped`` per document: its text without the lines of recurring templates; ``columns`` are
+    carried along.
 
     Lines end at ``\\n``. A line is parsed into tokens (runs without ASCII white space), those with a digit masked; it
     falls to the leaf of its token count and first ``LEAD`` tokens and takes the leaf's template where it agrees with it in
@@ -82,6 +83,8 @@ def line_dedup(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
     recurring = recurring.select(F.col("template").alias("_template"), "keeper")
     dropped = taken.join(recurring, F.col("template") == F.col("_template")).filter(F.col("body") != F.col("keeper"))
     dropped = write_once(dropped.groupBy(F.col("body").alias("_body")).agg(F.collect_list("at").alias("dropped")))
+    carried = F.struct(*[docs[c] for c in columns] or [F.lit(0).alias("none")]).alias("carried")
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), carried)
     lined = own.withColumn("body", _digest(F.col("text"))).join(dropped, F.col("body") == F.col("_body"), "left")
     split = F.split("text", "\n")
     kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("dropped")))
@@ -91,6 +94,7 @@ def line_dedup(docs: DataFrame, min_texts: int = MIN_TEXTS) -> DataFrame:
         F.when(F.col("dropped").isNull(), F.col("text")).otherwise(cleaned).alias("text"),
         F.size(split).cast("long").alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        *[F.col(f"carried.{c}").alias(c) for c in columns],
     )
 
 

@@ -272,3 +272,21 @@ def token_digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
     decoded = decode_documents(encode_documents(docs, model), model)
     found = decoded.mapInArrow(digest, "doc_id long, n_ids long, ids_crc32 long, text string")
     return found.select("doc_id", "n_ids", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def checked_ids(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """``doc_id, n_ids, ids, exact`` per document: its ids, and whether they decode to its text."""
+    path = model_path(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = load(path)
+        for batch in batches:
+            for first, raw, offsets in words.slices(batch.column("text"), SLICE_BYTES):
+                ids, begins = pieces.encode(raw, offsets)
+                back, text_at = pieces.decode(ids, begins)
+                exact = [raw[a:b].tobytes() == back[c:d].tobytes() for a, b, c, d in zip(offsets, offsets[1:], text_at, text_at[1:])]
+                found = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids, pa.int32()))
+                own = batch.column("doc_id").slice(first, len(found))
+                yield pa.RecordBatch.from_arrays([own, pa.array(np.diff(begins), pa.int64()), found, pa.array(exact, pa.bool_())], ["doc_id", "n_ids", "ids", "exact"])
+
+    return texts(docs).mapInArrow(run, "doc_id long, n_ids long, ids array<int>, exact boolean")
