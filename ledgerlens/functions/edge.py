@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Guard added before rounding, in units of the last kept digit. It lies on no
-# short decimal grid, so an exact half (12.345) rounds the same way whatever
-# order the partial sums arrived in.
-ROUND_GUARD = 0.00314159
+#: Decimals kept beyond the wanted ones before rounding: what partial sums added in another order leave lies below them.
+SPARE_DIGITS = 4
 
 
 def edge_round(value: Column, digits: int = 2) -> Column:
-    """Round for output, independent of summation order."""
-    return F.round(value + F.lit(ROUND_GUARD * 10.0 ** (-digits)), digits)
+    """Round half away from zero for output."""
+    return F.round(F.round(value, digits + SPARE_DIGITS), digits)
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

@@ -367,20 +367,15 @@ def cohort_metrics(df: DataFrame, **cols) -> DataFrame:
     )
 
 
-def cohort_matrix(df: DataFrame, horizon: int | None = None, **cols) -> DataFrame:
-    """Retention in percent, one row per cohort, columns m0, m1 ...; months without customers are 0."""
-    table = cohort_table(df, **cols)
-    if horizon is None:
-        table = materialize(table)
-        horizon = one_row(table.agg(F.max("months_since").alias("h")))["h"] or 0
-    months = list(range(int(horizon) + 1))
-    return (
-        table.groupBy("cohort_month")
-        .pivot("months_since", months)
-        .agg(F.first("retention_rate"))
-        .fillna(0.0)
-        .select("cohort_month", *[F.col(str(m)).alias(f"m{m}") for m in months])
-    )
+def cohort_matrix(df: DataFrame, **cols) -> DataFrame:
+    """Long form of the retention matrix: every cohort with every month up to the oldest one seen, in percent; months
+    without customers are 0."""
+    table = materialize(cohort_table(df, **cols).select("cohort_month", "months_since", "retention_rate"))
+    oldest = one_row(table.agg(F.max("months_since").alias("h")))["h"] or 0
+    kind = table.schema["months_since"].dataType
+    span = F.sequence(F.lit(0).cast(kind), F.lit(int(oldest)).cast(kind))
+    cells = table.select("cohort_month").distinct().withColumn("months_since", F.explode(span))
+    return cells.join(table, ["cohort_month", "months_since"], "left").fillna({"retention_rate": 0.0})
 
 
 def cohort_insights(df: DataFrame, **cols) -> DataFrame:

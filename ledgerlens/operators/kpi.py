@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.edge import edge_round, long_count, percent, ratio, zero_if_null
 from .filters import first_spelling
-from .scale import broadcast_if_small, exact_quantiles, one_row, top_n
+from .scale import exact_quantiles, one_row, top_n
 from ..session import materialize, write_once
 
 AGGREGATES = {"sum": F.sum, "mean": F.avg, "count": F.count, "max": F.max, "min": F.min}
@@ -247,14 +247,12 @@ def monthly_alert(df: DataFrame, threshold: float = 20.0, **cols) -> DataFrame:
     )
 
 
-def month_year_matrix(df: DataFrame, years: Sequence[int], amount: str = "total_amount", date: str = "date") -> DataFrame:
+def month_year_matrix(df: DataFrame, amount: str = "total_amount", date: str = "date") -> DataFrame:
+    """Long form of the month by year matrix, so that no year has to be known beforehand."""
     return (
         df.where(F.col(date).isNotNull())
-        .select(F.month(date).cast("bigint").alias("month"), F.year(date).alias("year"), F.col(amount).alias("v"))
-        .groupBy("month")
-        .pivot("year", list(years))
-        .agg(F.sum("v"))
-        .select("month", *[F.col(str(y)).alias(f"y{y}") for y in years])
+        .groupBy(F.month(date).cast("bigint").alias("month"), F.year(date).cast("bigint").alias("year"))
+        .agg(F.sum(amount).alias("revenue"))
     )
 
 
@@ -268,26 +266,20 @@ def quarter_by(df: DataFrame, dim: str, amount: str = "total_amount", date: str
     )
 
 
-def region_month_matrix(df: DataFrame, months: Sequence[str], region: str = "region", amount: str = "total_amount", date: str = "date") -> DataFrame:
-    """One row per region, one 0-filled column per month label."""
-    return (
-        df.where(F.col(region).isNotNull())
-        .select(region, F.date_format(date, "yyyy-MM").alias("m"), F.col(amount).alias("v"))
-        .groupBy(region)
-        .pivot("m", list(months))
-        .agg(F.sum("v"))
-        .fillna(0.0)
+def region_month_matrix(df: DataFrame, region: str = "region", amount: str = "total_amount", date: str = "date") -> DataFrame:
+    """Long form of the region by month matrix: every region with every month from the first to the last date, 0 where
+    there is no revenue."""
+    month = F.trunc(date, "month")
+    sums = materialize(df.where(F.col(date).isNotNull()).groupBy(region, month.alias("m")).agg(F.sum(amount).alias("v")))
+    edge = one_row(sums.agg(F.min("m").alias("first"), F.max("m").alias("last")))
+    regions = sums.where(F.col(region).isNotNull()).select(region).distinct()
+    span = F.sequence(F.lit(edge["first"]), F.lit(edge["last"]), F.expr("interval 1 month"))
+    cells = regions.withColumn("m", F.explode(span))
+    return cells.join(sums, [region, "m"], "left").select(
+        region, F.date_format("m", "yyyy-MM").alias("month"), F.coalesce("v", F.lit(0.0)).alias("revenue")
     )
 
 
-def month_span(df: DataFrame, date: str = "date") -> list[str]:
-    """All month labels between the first and the last date, for explicit pivots."""
-    edge = one_row(df.agg(F.date_format(F.min(date), "yyyy-MM").alias("a"), F.date_format(F.max(date), "yyyy-MM").alias("b")))
-    first, last = ([int(x) for x in edge[k].split("-")] for k in ("a", "b"))
-    months = range(first[0] * 12 + first[1] - 1, last[0] * 12 + last[1])
-    return [f"{m // 12:04d}-{m % 12 + 1:02d}" for m in months]
-
-
 def scalar_answers(df: DataFrame, metric: str) -> DataFrame:
     m = F.col(metric)
     return df.agg(
@@ -318,7 +310,7 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
 
 def box_stats(df: DataFrame, by: str, value: str) -> DataFrame:
     """Quartiles per group and whiskers: the outermost values within 1.5 IQR of the box."""
-    quart = broadcast_if_small(materialize(exact_quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=[by])))
+    quart = materialize(exact_quantiles(df, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, by=[by]))
     v, reach = F.col(value), 1.5 * (F.col("q3") - F.col("q1"))
     inside = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
     return (

@@ -1,180 +1,84 @@
-"""Exact order statistics that stay distributed.
+"""Exact order statistics that stay distributed, by one path for all sizes.
 
-``percentile`` keeps every distinct value of a group in one buffer and a window
-without PARTITION BY sorts everything in one task. Both are fine for up to
-``SMALL`` values; beyond that the functions below take another exact way.
+``percentile`` keeps every distinct value of a group in one buffer and a window without PARTITION BY sorts everything
+in one task. Here rows are range-sorted instead, each range numbers its own, and only one row per range meets in one task.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..session import write_once
 
-SMALL = 1_000_000
-BINS = 2048
 
+def running_totals(df: DataFrame, order: Sequence[Column | str], totals: dict[str, str]) -> DataFrame:
+    """``df`` with, for each ``new: column`` of ``totals``, the sum of the column over all rows up to this one.
 
-def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    probs: dict[str, float],
-    by: Sequence[str] = (),
-    small: int | None = None,
-) -> DataFrame:
+    Rows are range-sorted on ``order`` into as many ranges as there are shuffle partitions. The sorted table is written once,
+    because the sums of the ranges and the rows must see the same ranges. ``order`` should end in a column that tells
+    rows apart, so that no value of the leading columns has to fit into one range.
+    """
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = write_once(df.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()))
+    within = W.partitionBy("__range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    before = W.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    sums = ranged.groupBy("__range").agg(*[F.sum(c).alias(new) for new, c in totals.items()])
+    starts = sums.select("__range", *[F.coalesce(F.sum(new).over(before), F.lit(0)).alias(f"__at_{new}") for new in totals])
+    out = ranged.withColumns({new: F.sum(c).over(within) for new, c in totals.items()})
+    out = out.join(F.broadcast(starts), "__range")  # one row per range
+    return out.select(*df.columns, *[(F.col(new) + F.col(f"__at_{new}")).alias(new) for new in totals])
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolation quantiles, one column per entry of ``probs``, one row per group.
 
-    Groups of up to ``small`` values use ``percentile``. A larger group is
-    narrowed pass by pass: an equal-width histogram (partial aggregation, at
-    most BINS rows per task) finds the bin that holds the wanted rank, and the
-    next pass looks into that bin only. A pass divides the bracket by BINS, so
-    a few passes reach a single value. The list of larger groups cannot exceed
-    rows / ``small`` entries.
-    """
-    small = SMALL if small is None else small
-    keys = list(by) or ["__all"]
-    source = df if by else df.withColumn("__all", F.lit(0))
-    vals = source.select(*keys, F.col(value).cast("double").alias("__v")).where(
-        F.col("__v").isNotNull() & ~F.isnan("__v")
-    )
-    for key in by:
-        vals = vals.where(F.col(key).isNotNull())
-    large = (
-        vals.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-        .where(F.col("__n") > small)
-        .collect()
-    )
-    names, points = list(probs), [float(p) for p in probs.values()]
-    wanted = F.percentile("__v", F.array(*[F.lit(p) for p in points]))
-
-    def small_groups(rows: DataFrame) -> DataFrame:
-        grouped = rows.groupBy(*keys).agg(wanted.alias("__q")) if by else rows.agg(wanted.alias("__q"))
-        return grouped.select(*by, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
-
-    if not large:
-        return small_groups(vals)
-
-    vals = write_once(vals)  # every pass below reads these two columns, not the source again
-    key_fields = [vals.schema[k] for k in keys]
-    big = _narrow(vals, keys, key_fields, large, points)
-    schema = T.StructType([vals.schema[k] for k in by] + [T.StructField(n, T.DoubleType()) for n in names])
-    rows = [tuple(r[k] for k in by) + tuple(big[tuple(r[k] for k in keys)]) for r in large]
-    result = df.sparkSession.createDataFrame(rows, schema)
-    if not by:
-        return result
-    known = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in large], T.StructType(key_fields))
-    return result.unionByName(small_groups(vals.join(known, keys, "left_anti")))
-
-
-def _narrow(vals, keys, key_fields, large, points) -> dict[tuple, list[float]]:
-    spark = vals.sparkSession
-    answers = {tuple(r[k] for k in keys): [None] * len(points) for r in large}
-    open_targets = []
-    for r in large:
-        group = tuple(r[k] for k in keys)
-        for slot, p in enumerate(points):
-            pos = p * (r["__n"] - 1)
-            k0 = math.floor(pos)
-            open_targets.append(
-                {"group": group, "slot": slot, "lo": r["__lo"], "hi": r["__hi"], "skip": 0, "k0": k0, "frac": pos - k0}
-            )
-    schema = T.StructType(
-        key_fields
-        + [
-            T.StructField("__slot", T.IntegerType()),
-            T.StructField("__lo", T.DoubleType()),
-            T.StructField("__hi", T.DoubleType()),
-            T.StructField("__k", T.LongType()),
-        ]
-    )
-    while open_targets:
-        pending = []
-        for t in open_targets:
-            if t["lo"] == t["hi"]:
-                answers[t["group"]][t["slot"]] = t["lo"]
-            else:
-                pending.append(t)
-        if not pending:
-            break
-        brackets = spark.createDataFrame(
-            [(*t["group"], t["slot"], t["lo"], t["hi"], t["k0"] - t["skip"]) for t in pending], schema
-        )
-        place = (F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
-        bins = (
-            vals.join(brackets, keys)
-            .where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
-            .groupBy(*keys, "__slot", "__k", F.least(F.floor(place * BINS), F.lit(BINS - 1)).alias("__bin"))
-            .agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"))
-        )
-        upto = F.sum("__n").over(
-            W.partitionBy(*keys, "__slot").orderBy("__bin").rowsBetween(W.unboundedPreceding, W.currentRow)
-        )
-        hits = (
-            bins.withColumn("__upto", upto)
-            .where((F.col("__upto") > F.col("__k")) & (F.col("__upto") - F.col("__n") <= F.col("__k") + 1))
-            .collect()
-        )
-        by_target = {}
-        for h in hits:
-            by_target.setdefault((tuple(h[k] for k in keys), h["__slot"]), []).append(h)
-        open_targets = []
-        for t in pending:
-            found = sorted(by_target[(t["group"], t["slot"])], key=lambda h: h["__bin"])
-            first = found[0]
-            last_rank = first["__upto"] - 1
-            k = t["k0"] - t["skip"]
-            if t["frac"] > 0 and k == last_rank and len(found) > 1:
-                low, high = first["__max"], found[1]["__min"]
-                answers[t["group"]][t["slot"]] = low + (high - low) * t["frac"]
-            elif first["__n"] == 1:
-                answers[t["group"]][t["slot"]] = first["__min"]
-            elif first["__n"] == 2 and first["__upto"] - 2 == k:
-                answers[t["group"]][t["slot"]] = first["__min"] + (first["__max"] - first["__min"]) * t["frac"]
-            else:
-                open_targets.append(
-                    {**t, "lo": first["__min"], "hi": first["__max"], "skip": t["skip"] + first["__upto"] - first["__n"]}
-                )
-    return answers
-
-
-def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank", small: int | None = None) -> DataFrame:
-    """Add the 1-based position of every row under a total order.
-
-    Call it on a materialised frame. Up to ``small`` rows one window does it;
-    beyond, rows are range-partitioned on the whole order (ties are spread by
-    the tie-break column), numbered inside each partition, and shifted by the
-    number of rows in the partitions before.
+    Null and NaN values and null groups are left out; infinite values rank like any other. Equal values are counted
+    before the sort; the count of values up to each distinct one then tells which of them hold the two ranks around every
+    quantile. Without groups there is always one row, of nulls if no value is left.
     """
-    small = SMALL if small is None else small
-    total = df.count()
-    if total <= small:
-        return df.withColumn(name, F.row_number().over(W.orderBy(*order)).cast("bigint"))
-    parts = max(2, math.ceil(total / small))
-    numbered = write_once(
-        df.repartitionByRange(parts, *order)
-        .sortWithinPartitions(*order)
-        .withColumn("__m", F.monotonically_increasing_id())
-    ).withColumn("__part", F.shiftrightunsigned("__m", 33))
-    # one row per partition, so at most rows / small of them
-    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        numbered.groupBy("__part")
+    counted = (
+        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+        .where(every([F.col(k).isNotNull() for k in by]))
+        .groupBy(*by, F.col(value).cast("double").alias("__v"))
         .agg(F.count(F.lit(1)).alias("__n"))
-        .select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    )
-    local = F.col("__m") - F.shiftleft(F.col("__part"), 33)
-    return (
-        numbered.join(offsets, "__part")
-        .withColumn(name, F.col("__offset") + local + F.lit(1))
-        .drop("__m", "__part", "__offset")
     )
+    ranked = running_totals(counted, [*by, "__v"], {"__upto": "__n"})
+    ranked = write_once(ranked.withColumn("__from", F.col("__upto") - F.col("__n")))
+    groups = ranked.groupBy(*by).agg(F.min("__from").alias("__base"), F.sum("__n").alias("__size"))
+    if by:
+        groups = groups.select(*[F.col(k).alias(f"__{k}") for k in by], "__base", "__size")
+        placed = ranked.join(groups, every([F.col(k) == F.col(f"__{k}") for k in by]))
+    else:
+        placed = ranked.withColumns({"__base": F.lit(0), "__size": F.lit(groups.first()["__size"] or 0)})
+
+    def at(rank: Column) -> Column:
+        held = (F.col("__from") - F.col("__base") <= rank) & (rank < F.col("__upto") - F.col("__base"))
+        return F.max(F.when(held, F.col("__v")))
+
+    wanted = {}
+    for name, p in probs.items():
+        place = F.lit(float(p)) * (F.col("__size") - 1)
+        wanted[name] = (at(F.floor(place)), at(F.ceil(place)), F.first(place - F.floor(place)))
+    found = placed.groupBy(*by).agg(*[c.alias(f"__{k}_{name}") for name, cs in wanted.items() for k, c in enumerate(cs)])
+    low, high, part = ({name: F.col(f"__{k}_{name}") for name in probs} for k in range(3))
+    between = {n: F.when(low[n] == high[n], low[n]).otherwise(low[n] + (high[n] - low[n]) * part[n]) for n in probs}
+    return found.select(*by, *[between[n].alias(n) for n in probs])
+
+
+def every(conditions: Sequence[Column]) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
+
+
+def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """Add the 1-based position of every row under a total order (ties are spread by its tie-break column)."""
+    return running_totals(df.withColumn("__one", F.lit(1)), order, {name: "__one"}).drop("__one")
 
 
 def top_n(df: DataFrame, order: Sequence[Column], n: int, name: str | None = "rank") -> DataFrame:
@@ -190,14 +94,6 @@ def first_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n
     return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col(name) <= n)
 
 
-def broadcast_if_small(side: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Count a materialised join side and mark it for broadcast only if the count allows.
-
-    A larger side stays unmarked and joins by shuffle, where AQE splits hot keys.
-    """
-    return F.broadcast(side) if side.count() <= rows else side
-
-
 def one_row(df: DataFrame) -> dict:
     """Collect a global aggregate (exactly one row) for use as literals."""
     return df.first().asDict()

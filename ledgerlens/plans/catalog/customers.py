@@ -279,14 +279,14 @@ def cohort_metrics(spark, folder):
 
 @query(
     with_orders(
-        "SELECT cohort_month, "
-        + ", ".join(R(f"coalesce(max(100.0 * c / size) FILTER (k = {m}), 0)") + f" AS m{m}" for m in range(80))
-        + " FROM cohorts GROUP BY 1",
+        f"""SELECT cohort_month, months_since, {R('coalesce(rate, 0)')} AS retention_rate FROM (SELECT DISTINCT cohort_month FROM cohorts)
+        CROSS JOIN (SELECT unnest(range(0, max(k) + 1)) AS months_since FROM cohorts)
+        LEFT JOIN (SELECT cohort_month, k AS months_since, max(100.0 * c / size) AS rate FROM cohorts GROUP BY 1, 2) USING (cohort_month, months_since)""",
         COHORT_SQL,
     )
 )
 def cohort_retention_matrix(spark, folder):
-    return tidy(customers.cohort_matrix(_fact(spark, folder), horizon=79))
+    return tidy(customers.cohort_matrix(_fact(spark, folder)))
 
 
 @query(

@@ -233,32 +233,20 @@ def _register_aggregate(how: str, fn: str) -> None:
 for _how, _fn in (("sum", "sum"), ("mean", "avg"), ("max", "max"), ("min", "min"), ("count", "count")):
     _register_aggregate(_how, _fn)
 
-YEARS = range(1995, 2002)
-
-
-@query(
-    with_sales(
-        "SELECT month(date) AS month, "
-        + ", ".join(R(f"sum(total_amount) FILTER (year(date) = {y})") + f" AS y{y}" for y in YEARS)
-        + " FROM sales GROUP BY 1"
-    )
-)
+@query(with_sales(f"SELECT month(date) AS month, year(date) AS year, {R('sum(total_amount)')} AS revenue FROM sales GROUP BY 1, 2"))
 def month_year_pivot(spark, folder):
-    return tidy(kpi.month_year_matrix(order_revenue(spark, folder, ["date", "total_amount"]), list(YEARS)))
-
-
-SPAN = [f"{y}-{m:02d}" for y in YEARS for m in range(1, 13)]
+    return tidy(kpi.month_year_matrix(order_revenue(spark, folder, ["date", "total_amount"])))
 
 
 @query(
     with_sales(
-        "SELECT region, "
-        + ", ".join(R(f"coalesce(sum(total_amount) FILTER (strftime(date, '%Y-%m') = '{m}'), 0)") + f' AS "{m}"' for m in SPAN)
-        + " FROM sales GROUP BY 1"
+        f"SELECT region, month, {R('coalesce(revenue, 0)')} AS revenue FROM (SELECT DISTINCT region FROM sales)"
+        " CROSS JOIN (SELECT strftime(unnest(generate_series(date_trunc('month', min(date)), max(date), INTERVAL 1 MONTH)), '%Y-%m') AS month FROM sales)"
+        " LEFT JOIN (SELECT region, strftime(date, '%Y-%m') AS month, sum(total_amount) AS revenue FROM sales GROUP BY 1, 2) USING (region, month)"
     )
 )
 def region_month_matrix(spark, folder):
-    return tidy(kpi.region_month_matrix(order_revenue(spark, folder, ["region", "date", "total_amount"]), SPAN))
+    return tidy(kpi.region_month_matrix(order_revenue(spark, folder, ["region", "date", "total_amount"])))
 
 
 @query(
@@ -363,8 +351,8 @@ def _money(expr: str) -> str:
     return MONEY.format(R(expr))
 
 
-INSIGHT_QUALITY = """quality AS (
-  SELECT n AS row_count, dup, round(100.0 * dup / n + 3.14159e-05, 2) AS dup_pct
+INSIGHT_QUALITY = f"""quality AS (
+  SELECT n AS row_count, dup, {R('100.0 * dup / n')} AS dup_pct
   FROM (SELECT CAST(sum(c) AS BIGINT) AS n, CAST(sum(c - 1) AS BIGINT) AS dup FROM
     (SELECT count(*) AS c FROM sales GROUP BY date, customer_id, product_category, total_amount)))"""
 
@@ -541,8 +529,8 @@ def drilldown_summary(spark, folder):
 
 
 @query(
-    """SELECT o_orderkey AS transaction_id, o_custkey AS employee_id, CAST(o_orderdate AS DATE) AS date, o_totalprice AS amount_x,
-    round(f.amount + 3.14159e-05, 2) AS amount_y, c_mktsegment AS department
+    f"""SELECT o_orderkey AS transaction_id, o_custkey AS employee_id, CAST(o_orderdate AS DATE) AS date, o_totalprice AS amount_x,
+    {R('f.amount')} AS amount_y, c_mktsegment AS department
     FROM orders LEFT JOIN (SELECT CAST(l_shipdate AS DATE) AS d, sum(l_extendedprice) AS amount FROM lineitem GROUP BY 1) f
       ON CAST(o_orderdate AS DATE) = f.d
     LEFT JOIN customer ON o_custkey = c_custkey"""

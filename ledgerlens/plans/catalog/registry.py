@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ...functions.edge import ROUND_GUARD, edge_round
+from ...functions.edge import SPARE_DIGITS, edge_round
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -51,8 +51,8 @@ def with_orders(body: str, *ctes: str) -> str:
 
 
 def R(expr: str, digits: int = 2) -> str:
-    """SQL twin of ``edge_round``."""
-    return f"round(({expr}) + {ROUND_GUARD * 10.0 ** (-digits)!r}, {digits})"
+    """``round`` in decimals, half away from zero, as a double."""
+    return f"CAST(round(TRY_CAST(({expr}) AS DECIMAL(38, {digits + SPARE_DIGITS})), {digits}) AS DOUBLE)"
 
 
 def tidy(df: DataFrame, default: int = 2, **digits: int) -> DataFrame:

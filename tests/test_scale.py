@@ -1,10 +1,11 @@
-"""Exact order statistics on both paths, skewed and tied."""
+"""Exact order statistics, skewed, tied and with infinite values."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.scale import broadcast_if_small, exact_quantiles, first_per_group, global_rank, top_n
+from ledgerlens.functions.edge import edge_round
+from ledgerlens.operators.scale import exact_quantiles, first_per_group, global_rank, running_totals, top_n
 from ledgerlens.session import materialize, scratch_root
 
 PROBS = {"q0": 0.0, "q10": 0.1, "q33": 0.33, "q50": 0.5, "q66": 0.66, "q75": 0.75, "q100": 1.0}
@@ -22,25 +23,36 @@ def _values(kind: str, n: int):
 
 
 @pytest.mark.parametrize("kind", ["spread", "long tail", "one third equal", "all equal", "two values"])
-@pytest.mark.parametrize("n", [101, 1000])
-def test_narrowing_equals_numpy(spark, kind, n):
+@pytest.mark.parametrize("n", [1, 101, 1000])
+def test_quantiles_equal_numpy(spark, kind, n):
     values = _values(kind, n)
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
     want = [np.quantile(values, p) for p in PROBS.values()]
-    for small in (10, 1_000_000):
-        got = exact_quantiles(df, "v", PROBS, small=small).first()
-        assert list(got.asDict()) == list(PROBS)
-        assert np.allclose(list(got), want, rtol=1e-12, atol=1e-9)
+    got = exact_quantiles(df, "v", PROBS).first()
+    assert list(got.asDict()) == list(PROBS)
+    assert np.allclose(list(got), want, rtol=1e-12, atol=1e-9)
 
 
-def test_groups_mix_both_paths(spark):
+def test_quantiles_with_infinite_values_and_a_range_that_overflows(spark):
+    inf = float("inf")
+    values = [-inf, -1.7e308, 5.0, 5.0, 1.7e308, inf, inf]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
+    got = exact_quantiles(df, "v", {"a": 0.0, "b": 1 / 6, "c": 0.4, "d": 0.5, "e": 5 / 6, "f": 1.0}).first()
+    assert tuple(got) == (-inf, -1.7e308, 5.0, 5.0, inf, inf)
+    many = spark.range(201).selectExpr("IF(id = 200, double('Infinity'), double(id)) AS v")
+    assert exact_quantiles(many, "v", {"m": 0.5, "t": 1.0}).first() == (100.0, inf)
+
+
+def test_quantiles_by_group(spark):
     rows = [("hot", float(i % 97)) for i in range(600)] + [(f"g{i}", float(i + j)) for i in range(30) for j in range(5)]
     df = spark.createDataFrame(rows + [(None, 1.0), ("hot", None), ("hot", float("nan"))], "k string, v double")
-    plain = {r["k"]: tuple(r)[1:] for r in exact_quantiles(df, "v", PROBS, by=["k"]).collect()}
-    mixed = {r["k"]: tuple(r)[1:] for r in exact_quantiles(df, "v", PROBS, by=["k"], small=100).collect()}
-    assert set(plain) == set(mixed) and len(plain) == 31
-    for key, want in plain.items():
-        assert np.allclose(mixed[key], want)
+    found = {r["k"]: tuple(r)[1:] for r in exact_quantiles(df, "v", PROBS, by=["k"]).collect()}
+    groups = {}
+    for k, v in rows:
+        groups.setdefault(k, []).append(v)
+    assert set(found) == set(groups)
+    for key, values in groups.items():
+        assert np.allclose(found[key], [np.quantile(values, p) for p in PROBS.values()])
 
 
 def test_quantiles_of_nothing(spark):
@@ -48,12 +60,19 @@ def test_quantiles_of_nothing(spark):
     assert exact_quantiles(df, "v", {"q": 0.5}).first()["q"] is None
 
 
-def test_rank_paths_agree_on_ties(spark):
+def test_rank_numbers_every_row_and_spreads_ties(spark):
     df = materialize(spark.range(500).select("id", (F.col("id") % 3).alias("v")))
-    order = [F.col("v").desc(), F.col("id")]
-    small = {tuple(r) for r in global_rank(df, order).collect()}
-    large = {tuple(r) for r in global_rank(df, order, small=40).collect()}
-    assert small == large and {r[2] for r in large} == set(range(1, 501))
+    found = global_rank(df, [F.col("v").desc(), F.col("id")]).orderBy("rank").collect()
+    assert [r["rank"] for r in found] == list(range(1, 501))
+    assert [r["id"] for r in found] == [r["id"] for r in sorted(df.collect(), key=lambda r: (-r["v"], r["id"]))]
+
+
+def test_running_totals_in_order(spark):
+    df = spark.range(300).selectExpr("id % 7 AS g", "id AS k", "id % 5 AS v")
+    total = 0
+    for r in sorted(running_totals(df, ["g", "k"], {"upto": "v"}).collect(), key=lambda r: (r.g, r.k)):
+        total += r.v
+        assert r.upto == total
 
 
 def test_top_n_and_first_per_group(spark):
@@ -74,12 +93,12 @@ class _Session:
 
 def test_scratch_follows_the_session():
     assert scratch_root(_Session("spark://host:7077", "hdfs:///shared")) == "hdfs:///shared"
-    with pytest.raises(ValueError):
-        scratch_root(_Session("spark://host:7077"))
+    for master in ("spark://host:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            scratch_root(_Session(master))
 
 
-def test_broadcast_only_when_counted_small(spark):
-    side = spark.range(50)
-    hinted = broadcast_if_small(side)._jdf.queryExecution().analyzed().toString()
-    plain = broadcast_if_small(side, rows=10)._jdf.queryExecution().analyzed().toString()
-    assert "strategy=broadcast" in hinted and "strategy=broadcast" not in plain
+def test_rounding_is_half_away_from_zero(spark):
+    df = spark.createDataFrame([(12.34497, 79.9497, -12.345, 12.345, 0.1 + 0.2)], "a double, b double, c double, d double, e double")
+    got = df.select(edge_round("a"), edge_round("b", 1), edge_round("c"), edge_round("d"), edge_round("e", 4)).first()
+    assert tuple(got) == (12.34, 79.9, -12.35, 12.35, 0.3)

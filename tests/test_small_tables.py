@@ -88,8 +88,8 @@ def test_cohorts(chat_rows):
     assert (cells["2024-01", 0].customers, cells["2024-01", 0].revenue) == (4, 1180.0)
     assert (cells["2024-01", 1].customers, cells["2024-01", 1].revenue, cells["2024-01", 1].retention_rate) == (3, 760.0, 75.0)
     assert (cells["2024-02", 0].customers, cells["2024-02", 0].revenue) == (3, 910.0)
-    matrix = by(customers.cohort_matrix(chat_rows), "cohort_month")
-    assert (matrix["2024-01"]["m1"], matrix["2024-02"]["m1"]) == (75.0, 0.0)
+    matrix = {(r.cohort_month, r.months_since): r.retention_rate for r in customers.cohort_matrix(chat_rows).collect()}
+    assert matrix == {("2024-01", 0): 100.0, ("2024-01", 1): 75.0, ("2024-02", 0): 100.0, ("2024-02", 1): 0.0}
     insight = customers.cohort_insights(chat_rows).first()
     assert (insight.best_cohort, insight.worst_cohort, insight.avg_month_1_retention) == ("2024-01", "2024-02", 75.0)
 
@@ -322,3 +322,15 @@ def test_hot_customer(spark):
     assert by(customers.purchase_gaps(rows), "customer_id")["hot"].purchase_count == 1000
     assert customers.lifetime_value(rows).where("rank = 1").first()["clv"] == 1000.0
     assert customers.cohort_table(rows).agg(F.sum("revenue")).first()[0] == 3000.0
+
+
+def test_matrices_lose_no_year_and_no_month(spark):
+    rows = [("a", "1999-05-03", 10.0, "c1"), ("b", "2003-07-01", 90.0, "c1"), ("a", "2011-07-01", 5.0, "c2"), (None, "2012-01-01", 7.0, None)]
+    df = spark.createDataFrame(rows, "region string, date string, total_amount double, customer_id string").withColumn("date", F.to_timestamp("date"))
+    years = {(r.month, r.year): r.revenue for r in kpi.month_year_matrix(df).collect()}
+    assert years == {(5, 1999): 10.0, (7, 2003): 90.0, (7, 2011): 5.0, (1, 2012): 7.0}
+    cells = {(r.region, r.month): r.revenue for r in kpi.region_month_matrix(df).collect()}
+    assert len(cells) == 2 * 153 and sum(cells.values()) == 105.0 and cells["b", "2003-07"] == 90.0 and cells["a", "2003-07"] == 0.0
+    old = spark.createDataFrame([("c1", "1999-05-03", 1.0), ("c1", "2011-05-03", 2.0)], "customer_id string, date string, total_amount double")
+    kept = customers.cohort_matrix(old.withColumn("date", F.to_timestamp("date")))
+    assert {r.months_since: r.retention_rate for r in kept.collect()} == {m: 100.0 if m in (0, 144) else 0.0 for m in range(145)}
