@@ -339,46 +339,30 @@ def money(value: Column) -> Column:
 
 
 def dataset_insights(df: DataFrame, quality: DataFrame, amount: str = "total_amount", date: str = "date") -> DataFrame:
-    """Shape, quality, revenue and direction as four sentences."""
-    seen = materialize(
-        df.where(F.col(date).isNotNull())
-        .groupBy(F.date_format(date, "yyyy-MM").alias("period"))
-        .agg(F.sum(amount).alias("revenue"))
+    """Figures of shape, quality and revenue, and the direction from the first to the last month: ``position, finding,
+    value, label``. Each of the two sources is scanned once."""
+    months = df.groupBy(F.date_format(date, "yyyy-MM").alias("period")).agg(F.sum(amount).alias("revenue"))
+    turn = months.agg(
+        F.sum("revenue").alias("revenue"),
+        F.min_by("revenue", "period").alias("first"),
+        F.max_by("revenue", "period").alias("last"),
+        F.count("period").alias("months"),
     )
-    turn = seen.agg(F.min_by("revenue", "period").alias("a"), F.max_by("revenue", "period").alias("b"), long_count().alias("n"))
-    return text_rows(
-        [
-            ("shape", quality, F.format_string("Dataset contains %d rows across %d columns.", "row_count", "column_count")),
-            (
-                "quality",
-                quality,
-                F.concat(
-                    F.lit("Data quality score is "), F.format_number("quality_score", 2), F.lit("/100 with "),
-                    F.format_number("missing_pct", 2), F.lit("% missing values and "),
-                    F.format_number("duplicate_pct", 2), F.lit("% duplicate rows."),
-                ),
-            ),
-            (
-                "revenue",
-                seen.agg(F.sum("revenue").alias("r")),
-                F.concat(F.lit("Total mapped revenue is "), money(F.col("r")), F.lit(" across the available records.")),
-            ),
-            (
-                "direction",
-                turn,
-                F.when(
-                    F.col("n") >= 2,
-                    F.concat(
-                        F.lit("Revenue trend is "),
-                        F.when(F.col("b") > F.col("a"), "moving upward")
-                        .when(F.col("b") < F.col("a"), "moving downward")
-                        .otherwise("stable"),
-                        F.lit(" between the earliest and latest available periods."),
-                    ),
-                ),
-            ),
+    change = F.col("last") - F.col("first")
+    label = F.when(change > 0, "up").when(change < 0, "down").otherwise("flat")
+
+    def figures(frame: DataFrame, start: int, rows: list[tuple[str, Column, Column]]) -> DataFrame:
+        cells = [
+            F.struct(F.lit(k).cast("bigint").alias("position"), F.lit(name).alias("finding"), value.cast("double").alias("value"), text.alias("label"))
+            for k, (name, value, text) in enumerate(rows, start)
         ]
-    )
+        return frame.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+
+    none = F.lit(None).cast("string")
+    names = ("row_count", "column_count", "quality_score", "missing_pct", "duplicate_pct")
+    shape = figures(quality, 1, [(n, F.col(n), none) for n in names])
+    money = figures(turn, 1 + len(names), [("revenue", F.col("revenue"), none), ("direction", change, F.when(F.col("months") >= 2, label))])
+    return shape.unionByName(money).where((F.col("finding") != "direction") | F.col("label").isNotNull())
 
 
 def _month_category(df: DataFrame, amount: str, category: str, date: str) -> tuple[DataFrame, DataFrame, dict]:

@@ -38,13 +38,13 @@ def spec_bottom_categories(spark, folder):
 
 @query(
     with_sales(
-        """SELECT arg_max(country, total) || ' has the highest total_amount.' AS insight
+        f"""SELECT 'total_amount' AS metric, arg_max(country, total) AS highest, {R('max(total)')} AS value
         FROM (SELECT country, sum(total_amount) AS total FROM sales GROUP BY 1)"""
     )
 )
 def spec_insight(spark, folder):
     ranked = run_query(order_revenue(spark, folder, ["country", "total_amount"]), TOP_COUNTRIES)
-    return top_row_insight(ranked, "total_amount", "country")
+    return tidy(top_row_insight(ranked, "total_amount", "country"))
 
 
 KPI_SQL = f"""SELECT {R('sum(total_amount)')} AS total_revenue, {R('avg(total_amount)')} AS average_order_value,
@@ -359,21 +359,22 @@ INSIGHT_QUALITY = f"""quality AS (
 
 @query(
     with_sales(
-        f"""SELECT CAST(1 AS BIGINT) AS position, 'shape' AS kind,
-          'Dataset contains ' || row_count || ' rows across 4 columns.' AS text FROM quality
-        UNION ALL SELECT 2, 'quality', 'Data quality score is ' || format('{{:,.2f}}', 100 - dup_pct) || '/100 with 0.00% missing values and '
-          || format('{{:,.2f}}', dup_pct) || '% duplicate rows.' FROM quality
-        UNION ALL SELECT 3, 'revenue', 'Total mapped revenue is ' || {_money('sum(total_amount)')} || ' across the available records.' FROM sales
-        UNION ALL SELECT 4, 'direction', 'Revenue trend is ' || CASE WHEN arg_max(v, p) > arg_min(v, p) THEN 'moving upward'
-          WHEN arg_max(v, p) < arg_min(v, p) THEN 'moving downward' ELSE 'stable' END
-          || ' between the earliest and latest available periods.'
-          FROM (SELECT strftime(date, '%Y-%m') AS p, sum(total_amount) AS v FROM sales GROUP BY 1)""",
+        f"""SELECT position, finding, {R('value')} AS value, label FROM (
+          SELECT CAST(1 AS BIGINT) AS position, 'row_count' AS finding, CAST(row_count AS DOUBLE) AS value, NULL::VARCHAR AS label FROM quality
+          UNION ALL SELECT 2, 'column_count', 4, NULL
+          UNION ALL SELECT 3, 'quality_score', 100 - dup_pct, NULL FROM quality
+          UNION ALL SELECT 4, 'missing_pct', 0, NULL
+          UNION ALL SELECT 5, 'duplicate_pct', dup_pct, NULL FROM quality
+          UNION ALL SELECT 6, 'revenue', sum(total_amount), NULL FROM sales
+          UNION ALL SELECT 7, 'direction', b - a, CASE WHEN b > a THEN 'up' WHEN b < a THEN 'down' ELSE 'flat' END
+            FROM (SELECT arg_min(v, p) AS a, arg_max(v, p) AS b FROM
+              (SELECT strftime(date, '%Y-%m') AS p, sum(total_amount) AS v FROM sales GROUP BY 1)))""",
         INSIGHT_QUALITY,
     )
 )
 def insight_rows(spark, folder):
     rows = sales(spark, folder, ["date", "customer_id", "product_category", "total_amount"])
-    return kpi.dataset_insights(rows, profile.quality_score(rows))
+    return tidy(kpi.dataset_insights(rows, profile.quality_score(rows)))
 
 
 BASE_SQL = """base AS (

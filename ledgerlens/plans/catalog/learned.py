@@ -11,7 +11,7 @@ from ...operators import customers, mapping, ml
 from ...operators import timeseries as ts
 from ...session import materialize, scratch_path, write_once
 from ..facts import TABLES, order_revenue, orders_fact, sales, table
-from .registry import query, tidy
+from .registry import R, query, tidy, with_sales
 from .text import opening_intent, questions
 
 
@@ -110,7 +110,19 @@ def column_role_mapping(spark, folder):
     return spark.createDataFrame(sorted(chosen.items()), "role string, source string")
 
 
-@query()
+@query(
+    with_sales(
+        f"""SELECT region, step, {R('level + last * phi * (1 - pow(phi, step)) / (1 - phi)')} AS forecast
+        FROM fitted CROSS JOIN (SELECT unnest(range(1, 4)) AS step)""",
+        """months AS (SELECT region, date_trunc('month', date) AS m, sum(total_amount) AS v FROM sales GROUP BY 1, 2),
+        filled AS (SELECT s.region, s.m, coalesce(v, 0) AS y FROM (SELECT region, unnest(generate_series(min(m), max(m), INTERVAL 1 MONTH)) AS m
+          FROM months GROUP BY region) s LEFT JOIN months USING (region, m)),
+        changes AS (SELECT *, y - lag(y) OVER (PARTITION BY region ORDER BY m) AS d FROM filled),
+        pairs AS (SELECT *, lag(d) OVER (PARTITION BY region ORDER BY m) AS b FROM changes),
+        fitted AS (SELECT region, least(greatest(coalesce(sum(d * b) / nullif(sum(b * b) FILTER (d IS NOT NULL), 0), 0), -0.98), 0.98) AS phi,
+          arg_max(y, m) AS level, coalesce(arg_max(d, m), 0) AS last FROM pairs GROUP BY region)""",
+    )
+)
 def arima_per_region(spark, folder):
     monthly = ml.monthly_by(order_revenue(spark, folder, ["region", "date", "total_amount"]), "region")
-    return ml.arima_forecast(monthly, "region")
+    return tidy(ml.arima_forecast(monthly, "region"))

@@ -38,7 +38,13 @@ def mapping_auto(spark, folder):
     return spark.createDataFrame(sorted(chosen.items()), "role string, source string")
 
 
-@query()
+@query(
+    with_orders(
+        """SELECT 1 AS position, 'customer_id' AS role, 'not unique' AS finding, 'major' AS severity,
+        count(DISTINCT segment)::DOUBLE / count(segment) AS measure, 'Customer ID mapping is suspicious: not unique' AS issue
+        FROM orders_fact HAVING count(DISTINCT segment)::DOUBLE / count(segment) <= 0.2"""
+    )
+)
 def mapping_validation(spark, folder):
     """Issues of a deliberately weak mapping: a market segment as customer id."""
     frame = foreign_orders(spark, folder).select(
@@ -52,11 +58,7 @@ def mapping_validation(spark, folder):
 def detected_columns(spark, folder):
     """Date, amount, region and customer column of a foreign table, each by its own detector."""
     facts = mapping.column_facts(foreign_orders(spark, folder))
-    finders = {
-        "date": mapping.detect_date, "amount": mapping.detect_amount,
-        "region": mapping.detect_region, "customer": mapping.detect_customer,
-    }
-    return spark.createDataFrame([(role, find(facts)) for role, find in finders.items()], "role string, source string")
+    return spark.createDataFrame([(role, mapping.detect(role, facts)) for role in mapping.DETECTORS], "role string, source string")
 
 
 @query()

@@ -38,21 +38,22 @@ def map_metric(metric: str, columns: list[str], amount: str = "total_amount") ->
     raise ValueError(f"unsupported metric: {metric}")
 
 
-def normalise(spec: dict) -> dict:
-    """One spelling for all specs: intent, top_n, days."""
-    out = dict(spec)
-    if "metric" not in out:
+# What each intent adds to a spec that does not say it.
+INTENT_DEFAULTS = {"ranking_query": {"top_n": DEFAULT_TOP}, "forecast_query": {"forecast": True}}
+# Fields of a plain spec and where each may come from, the first one given winning.
+FIELDS = {
+    "metric": ("metric",), "filters": ("filters",), "time": ("time",), "group_by": ("group_by",), "aggregation": ("aggregation",),
+    "order": ("order",), "steps": ("steps",), "forecast": ("forecast",), "top_n": ("limit", "top_n"),
+}
+
+
+def plain_spec(spec: dict) -> dict:
+    """One spelling for all specs: the given fields under their plain names, over the defaults of the intent."""
+    if "metric" not in spec:
         raise ValueError("a query spec needs a metric")
-    if "action" in out:
-        out["intent"] = ACTION_INTENTS.get(out["action"], out.get("intent"))
-    if "limit" in out:
-        out["top_n"] = out["limit"]
-    out["intent"] = str(out.get("intent"))
-    if out["intent"] == "ranking_query" and not out.get("top_n"):
-        out["top_n"] = DEFAULT_TOP
-    if out["intent"] == "forecast_query":
-        out["forecast"] = True
-    return out
+    given = {field: next((spec[k] for k in sources if k in spec), None) for field, sources in FIELDS.items()}
+    intent = ACTION_INTENTS.get(spec["action"], spec.get("intent")) if "action" in spec else spec.get("intent")
+    return INTENT_DEFAULTS.get(intent, {}) | {field: value for field, value in given.items() if value}
 
 
 def run_query(df: DataFrame, spec: dict) -> DataFrame:
@@ -61,7 +62,7 @@ def run_query(df: DataFrame, spec: dict) -> DataFrame:
     ``time`` is a number of days back from the newest date. Ties rank by the
     group keys, so a cut is repeatable.
     """
-    q = normalise(spec)
+    q = plain_spec(spec)
     metric = map_metric(q["metric"], df.columns)
     df = apply_filters(last_days(df, q.get("time")), q.get("filters"))
     if q.get("forecast"):
@@ -77,8 +78,6 @@ def run_query(df: DataFrame, spec: dict) -> DataFrame:
 
 
 def top_row_insight(ranked: DataFrame, metric: str, label: str) -> DataFrame:
-    """One sentence about the first row of a ranked frame; a fixed sentence when it is empty."""
-    name = F.max_by(F.col(label).cast("string"), F.struct(F.col(metric)))
-    return ranked.agg(
-        F.coalesce(F.concat(name, F.lit(f" has the highest {metric}.")), F.lit("No Data Available.")).alias("insight")
-    )
+    """The member with the highest metric of a ranked frame; nulls when it is empty."""
+    best = F.struct(F.col(metric))
+    return ranked.agg(F.lit(metric).alias("metric"), F.max_by(F.col(label).cast("string"), best).alias("highest"), F.max(metric).alias("value"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.edge import long_count, ratio
@@ -20,7 +21,10 @@ def event_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", p
 
 
 def windowed_kpis(events: DataFrame, window: str = "1 day", lateness: str = "1 day") -> DataFrame:
-    """Total, count, mean and largest value per window; state is dropped behind the watermark."""
+    """Total, count, mean and largest value per window.
+
+    The watermark lets a sink that appends drop windows it has closed; a complete result, as written here, keeps them all.
+    """
     return (
         events.withColumn("ts", F.col("ts").cast("timestamp"))
         .withWatermark("ts", lateness)
@@ -45,18 +49,32 @@ def window_alerts(kpis: DataFrame, threshold: float = 20.0) -> DataFrame:
     )
 
 
+def _latest(spark, target: str, schema) -> DataFrame:
+    """The newest complete result below ``target``; none of any batch is an empty frame."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    batches = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(target)
+    newest = batches.agg(F.max("batch")).first()[0]
+    return batches.where(F.col("batch") == F.lit(newest)).drop("batch")
+
+
 def _run_to_table(stream: DataFrame, shape, label: str, table: str | None, state: str | None) -> DataFrame:
-    """Process all files present, then stop; every batch replaces the result table.
+    """Process all files present, then stop; every batch writes the whole result.
 
-    With a fixed ``table`` and ``state`` path the next call (or a restart after a
-    failure) goes on where the last one stopped; by default both are new folders
-    in the shared scratch space.
+    ``table`` and ``state`` are given together or not at all. With fixed paths the next call (or a restart after a
+    failure) goes on where the last one stopped, and a call without new files returns the last result; by default both are
+    new folders in the shared scratch space. A batch writes one file into a folder of its own number, which appears
+    whole or not at all, and readers take the newest, so nobody meets a half-written or missing result.
     """
+    if (table is None) != (state is None):
+        raise ValueError("give table and state together")
     spark = stream.sparkSession
     target = table or scratch_path(spark, label)
+    schema = shape(stream.sparkSession.createDataFrame([], stream.schema)).schema
 
-    def publish(batch: DataFrame, _epoch: int) -> None:
-        shape(batch).write.mode("overwrite").parquet(target)
+    def publish(batch: DataFrame, epoch: int) -> None:
+        shape(batch).coalesce(1).write.mode("overwrite").parquet(f"{target}/batch={epoch}")
 
     query = (
         stream.writeStream.outputMode("complete")
@@ -66,7 +84,7 @@ def _run_to_table(stream: DataFrame, shape, label: str, table: str | None, state
         .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(target)
+    return _latest(spark, target, schema)
 
 
 def refresh_kpis(events: DataFrame, window: str = "1 day", table: str | None = None, state: str | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 """Windows and forecasts against pandas and plain loops."""
 
+import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -123,19 +125,25 @@ def test_linear_trend(spark):
 
 def test_arima_recovers_a_process(spark):
     rng = np.random.default_rng(5)
-    d, e_before = [0.0], 0.0
+    d = [0.0]
     for _ in range(300):
-        e = rng.normal(0, 1)
-        d.append(0.6 * d[-1] + e + 0.3 * e_before)
-        e_before = e
+        d.append(0.6 * d[-1] + rng.normal(0, 1))
     y = 1000 + np.cumsum(d)
     days = pd.date_range("2000-01-31", periods=len(y), freq="ME")
-    df = spark.createDataFrame([("r", x.date(), float(v)) for x, v in zip(days, y)], "region string, ds date, y double")
-    out = ml.arima_forecast(df, "region", 3).orderBy("step").collect()
-    assert len(out) == 3
-    step = [out[0].forecast - y[-1], out[1].forecast - out[0].forecast, out[2].forecast - out[1].forecast]
-    phi = step[1] / step[0]
-    assert 0.4 < phi < 0.8 and step[2] / step[1] == pytest.approx(phi)
+    rows = [("r", x.date(), float(v)) for x, v in zip(days, y)] + [("short", days[0].date(), 7.0)]
+    out = ml.arima_forecast(spark.createDataFrame(rows, "region string, ds date, y double"), "region", 3)
+    long, short = ([r.forecast for r in out.where(f"region = '{k}'").orderBy("step").collect()] for k in ("r", "short"))
+    step = np.diff([y[-1], *long])
+    assert 0.5 < step[1] / step[0] < 0.7 and step[2] / step[1] == pytest.approx(step[1] / step[0])
+    assert short == [7.0] * 3
+
+
+def test_weekly_forecast_takes_week_and_month_from_the_date(spark):
+    rows = [(datetime.date(2024, 1, 7) + datetime.timedelta(weeks=k), float(k)) for k in range(31)]
+    series = spark.createDataFrame(rows, "ds date, y double")
+    out = ml.forecast_weeks(ml.train_weekly(series, trees=3), series, steps=6).where("kind = 'forecast'").orderBy("ds").collect()
+    assert [r.ds for r in out] == [rows[-1][0] + datetime.timedelta(weeks=k) for k in range(1, 7)]
+    assert [r.week for r in out] == [r.ds.isocalendar().week for r in out]
 
 
 def test_weekly_forecast_is_repeatable(spark, fact):

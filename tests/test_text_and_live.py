@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import text
@@ -114,6 +115,11 @@ def test_stream_goes_on_after_a_restart(spark, tmp_path):
     arrive("2024-01-01 12:00:00", 2.0)
     arrive("2024-01-02 12:00:00", 5.0)
     assert refresh() == {"2024-01-01": (2, 3.0), "2024-01-02": (1, 5.0)}
+    assert refresh() == {"2024-01-01": (2, 3.0), "2024-01-02": (1, 5.0)}  # nothing new
+    arrive("2024-01-01 23:00:00", 4.0)  # late
+    assert refresh() == {"2024-01-01": (3, 7.0), "2024-01-02": (1, 5.0)}
+    with pytest.raises(ValueError):
+        live.refresh_kpis(live.event_stream(spark, folder), state=state)
 
 
 def test_stream_on_given_events(spark, folder):
