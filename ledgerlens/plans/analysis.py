@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clean, customers, kpi, mapping, products, profile, timeseries
 from ..operators.filters import last_days
+from ..session import write_once
 from ..sources.readers import read_dataset
 
 # Accepted names of the advanced modules.
@@ -104,6 +105,7 @@ def run_basic(df: DataFrame) -> Analysis:
     """KPIs, trend, categories, tiers, forecast, churn - as far as the columns allow."""
     able = mapping.capabilities(df.columns)
     run = Analysis()
+    df = write_once(df)  # the steps share one copy and read only their columns of it
     for step, make in BASIC_STEPS.items():
         missing = [c for c in mapping.REQUIREMENTS[step] if c not in df.columns]
         if not able[step]:
@@ -118,6 +120,7 @@ def run_advanced(df: DataFrame, selected: Sequence[str] = ()) -> Analysis:
     """The chosen advanced modules (all when none is named)."""
     wanted = [module_key(s) for s in selected if s.strip()] or list(ADVANCED_STEPS)
     run = Analysis()
+    df = write_once(df)  # as above
     for step in dict.fromkeys(wanted):
         if step not in ADVANCED_STEPS:
             run.status.append((step, "skipped", "unknown module", []))
@@ -161,7 +164,7 @@ def ingest_frame(raw: DataFrame) -> Dataset:
     facts = mapping.renamed_facts(seen, mapped)
     if mapping.validate_required(canonical, facts):
         return Dataset(raw, cleaned, "exploratory_only", mapped, quality)
-    frame = clean.canonical_frame(cleaned, mapped, facts["date"]["day_first"])
+    frame = write_once(clean.canonical_frame(cleaned, mapped, facts["date"]["day_first"]))  # texts are parsed here and not again
     mode = mapping.analysis_mode(mapping.capabilities(frame.columns))
     return Dataset(
         raw, frame, mode, mapped, quality, mapping.mapping_issues(canonical, facts), mapping.mapping_confidence(canonical, facts)
