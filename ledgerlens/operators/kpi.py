@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.edge import edge_round, long_count, percent, ratio, zero_if_null
 from .filters import first_spelling
-from .scale import exact_quantiles, one_row, top_n
+from .scale import exact_quantiles, first_per_group, one_row, top_n
 from ..session import materialize, write_once
 
 AGGREGATES = {"sum": F.sum, "mean": F.avg, "count": F.count, "max": F.max, "min": F.min}
@@ -168,37 +168,40 @@ def spend_tiers(df: DataFrame, customer: str = "customer_id", amount: str = "tot
     return tiers.unionByName(total)
 
 
-def contribution(df: DataFrame, dim: str, ks: Sequence[int] = (1, 3, 5), amount: str = "total_amount") -> DataFrame:
-    """Share of revenue of the k largest members of a dimension, for each k."""
-    by = write_once(revenue_by(df, dim, "member", amount))
-    total = by.agg(F.sum("revenue").alias("total"))
-    order = [F.col("revenue").desc(), F.col("member")]
-    lead = top_n(by, order, max(ks)).agg(
-        *[F.sum(F.when(F.col("rank") <= k, F.col("revenue"))).alias(f"top{k}") for k in ks],
-    )
-    whole = one_row(total)["total"]
-    return lead.select(
-        F.lit(dim).alias("dimension"),
-        F.lit(whole).alias("total_revenue"),
-        *[percent(F.col(f"top{k}"), F.lit(whole)).alias(f"top{k}_share") for k in ks],
+def member_revenue(df: DataFrame, dims: dict[str, str | Column], amount: str = "total_amount") -> DataFrame:
+    """``dimension, member, revenue`` of several dimensions from one scan, written once; members are texts, null ones left out."""
+    cells = [
+        F.struct(F.lit(label).alias("dimension"), (F.col(dim) if isinstance(dim, str) else dim).cast("string").alias("member"))
+        for label, dim in dims.items()
+    ]
+    rows = df.select(F.col(amount).alias("v"), F.explode(F.array(*cells)).alias("cell")).where(F.col("cell.member").isNotNull())
+    by = rows.groupBy(F.col("cell.dimension").alias("dimension"), F.col("cell.member").alias("member"))
+    return write_once(by.agg(F.sum("v").alias("revenue")))
+
+
+def contribution(df: DataFrame, dims: dict[str, str | Column], ks: Sequence[int] = (1, 3, 5), amount: str = "total_amount") -> DataFrame:
+    """Share of revenue of the k largest members of each dimension, for each k."""
+    by = member_revenue(df, dims, amount)
+    lead = first_per_group(by, ["dimension"], [F.col("revenue").desc(), F.col("member")], max(ks))
+    lead = lead.groupBy("dimension").agg(*[F.sum(F.when(F.col("rank") <= k, F.col("revenue"))).alias(f"top{k}") for k in ks])
+    whole = by.groupBy("dimension").agg(F.sum("revenue").alias("total_revenue"))
+    return whole.join(lead, "dimension").select(
+        "dimension", "total_revenue", *[percent(F.col(f"top{k}"), F.col("total_revenue")).alias(f"top{k}_share") for k in ks]
     )
 
 
-def extremes(df: DataFrame, dim: str | Column, label: str, amount: str = "total_amount") -> DataFrame:
-    """Best, second best and lowest member of a dimension (ties: first name)."""
-    by = write_once(revenue_by(df, dim, "member", amount).withColumn("member", F.col("member").cast("string")))
-    ranked = F.row_number().over(W.orderBy(F.col("revenue").desc(), F.col("member")))
-    from_below = F.row_number().over(W.orderBy(F.col("revenue").asc(), F.col("member")))
-    best = top_n(by, [F.col("revenue").desc(), F.col("member")], 2, None).withColumn("r", ranked)
-    least = top_n(by, [F.col("revenue").asc(), F.col("member")], 1, None).withColumn("r", from_below + F.lit(2))
-    return best.unionByName(least).agg(
-        F.lit(label).alias("dimension"),
-        F.max(F.when(F.col("r") == 1, F.col("member"))).alias("top_member"),
-        F.max(F.when(F.col("r") == 1, F.col("revenue"))).alias("top_revenue"),
-        F.max(F.when(F.col("r") == 2, F.col("member"))).alias("second_member"),
-        F.max(F.when(F.col("r") == 3, F.col("member"))).alias("lowest_member"),
-        F.max(F.when(F.col("r") == 3, F.col("revenue"))).alias("lowest_revenue"),
+def extremes(df: DataFrame, dims: dict[str, str | Column], amount: str = "total_amount") -> DataFrame:
+    """Best, second best and lowest member of each dimension (ties: first name)."""
+    by = member_revenue(df, dims, amount)
+    best = first_per_group(by, ["dimension"], [F.col("revenue").desc(), F.col("member")], 2).groupBy("dimension").agg(
+        F.max(F.when(F.col("rank") == 1, F.col("member"))).alias("top_member"),
+        F.max(F.when(F.col("rank") == 1, F.col("revenue"))).alias("top_revenue"),
+        F.max(F.when(F.col("rank") == 2, F.col("member"))).alias("second_member"),
+    )
+    least = by.groupBy("dimension").agg(
+        F.min_by("member", F.struct("revenue", "member")).alias("lowest_member"), F.min("revenue").alias("lowest_revenue")
     )
+    return best.join(least, "dimension")
 
 
 def daily_trend_direction(df: DataFrame, **cols) -> DataFrame:

@@ -110,7 +110,7 @@ def deal_size(spark, folder):
 )
 def top_deal_size(spark, folder):
     frame = clean.visual_frame(orders_fact(spark, folder, ["date", "total_amount"]))
-    best = kpi.extremes(frame.withColumnRenamed("sales", "total_amount"), "dealsize", "dealsize")
+    best = kpi.extremes(frame, {"dealsize": "dealsize"}, "sales")
     return tidy(best.select("dimension", "top_member", "top_revenue"))
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...operators import clean, customers, filters, kpi, profile
@@ -267,9 +265,8 @@ def _share_sql(dim: str) -> str:
 
 @query(with_sales(" UNION ALL ".join(_share_sql(d) for d in ("country", "product", "customer_name"))))
 def contribution_shares(spark, folder):
-    facts = {"country": order_revenue, "product": sales, "customer_name": order_revenue}
-    parts = [kpi.contribution(fact(spark, folder, [d, "total_amount"]), d) for d, fact in facts.items()]
-    return tidy(reduce(DataFrame.unionByName, parts), 4, total_revenue=2)
+    dims = ["country", "product", "customer_name"]
+    return tidy(kpi.contribution(sales(spark, folder, [*dims, "total_amount"]), {d: d for d in dims}), 4, total_revenue=2)
 
 
 EXTREMES = {
@@ -289,13 +286,8 @@ def _extreme_sql(label: str, expr: str) -> str:
 
 @query(with_sales(" UNION ALL ".join(_extreme_sql(k, v) for k, v in EXTREMES.items())))
 def arg_max_dims(spark, folder):
-    def part(label):
-        needed = "date" if label == "month" else label
-        dim = F.month("date") if label == "month" else label
-        fact = sales if label == "product_category" else order_revenue
-        return kpi.extremes(fact(spark, folder, [needed, "total_amount"]), dim, label)
-
-    return tidy(reduce(DataFrame.unionByName, [part(label) for label in EXTREMES]))
+    fact = sales(spark, folder, ["country", "product_category", "customer_name", "date", "total_amount"])
+    return tidy(kpi.extremes(fact, {k: F.month("date") if k == "month" else k for k in EXTREMES}))
 
 
 @query(
