@@ -47,6 +47,47 @@ def roundtrip_parquet(spark, folder):
     return readers.read_dataset(spark, f"{path}/orders", "parquet")
 
 
+@query("SELECT c_mktsegment || ' ' || chr(252) AS department, count(*) AS members FROM customer GROUP BY 1")
+def department_file(spark, folder):
+    """A departmental Latin-1 file, read as such."""
+    path = scratch_path(spark, "department") + ".csv"
+    rows = table(spark, folder, "customer").select("c_custkey", F.concat("c_mktsegment", F.lit(" ü")).alias("department"))
+    rows.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return readers.read_department(spark, path).groupBy("department").agg(F.count(F.lit(1)).alias("members"))
+
+
+@query(
+    """SELECT label, count(*) AS examples FROM (SELECT DISTINCT 'o_orderstatus' AS column_name, o_orderstatus AS label FROM orders
+      UNION SELECT DISTINCT 'o_orderpriority', o_orderpriority FROM orders WHERE trim(o_orderpriority) <> ''
+      UNION SELECT DISTINCT 'l_returnflag', l_returnflag FROM lineitem) GROUP BY 1"""
+)
+def training_union(spark, folder):
+    """Labelled descriptions from several tables, trimmed and without repeats."""
+
+    def described(name, column):
+        value = F.col(column)
+        return table(spark, folder, name).select(
+            F.lit(f" {column}").alias("column_name"), F.concat(value, F.lit(" ")).alias("sample_values"), F.lit(None).cast("string").alias("dtype"), value.alias("label")
+        )
+
+    parts = [described("orders", "o_orderstatus"), described("orders", "o_orderpriority"), described("lineitem", "l_returnflag")]
+    return readers.union_training(parts).groupBy("label").agg(F.count(F.lit(1)).alias("examples"))
+
+
+@query(
+    """SELECT o_orderstatus AS status, count(*) AS n, count(*) FILTER (o_orderkey % 3 <> 0) AS parsed,
+    CAST(sum(o_custkey) FILTER (o_orderkey % 3 <> 0) AS BIGINT) AS customers FROM orders GROUP BY 1"""
+)
+def loose_json_rows(spark, folder):
+    """Texts that are nearly JSON, and every third one none at all."""
+    made = F.concat(F.lit("{customer: "), F.col("o_custkey").cast("string"), F.lit(", 'ratio': NaN} // from orders"))
+    texts = table(spark, folder, "orders").select("o_orderstatus", F.when(F.col("o_orderkey") % 3 == 0, F.lit("customer 1")).otherwise(made).alias("t"))
+    parsed = sinks.loose_json(texts, "t", "customer BIGINT, ratio DOUBLE")
+    return parsed.groupBy(F.col("o_orderstatus").alias("status")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("parsed.customer").alias("parsed"), F.sum("parsed.customer").alias("customers")
+    )
+
+
 @query(
     """SELECT s_suppkey, s_name || ' ' || chr(233) AS label, s_acctbal AS "Amount" FROM supplier"""
 )

@@ -135,10 +135,10 @@ def jaccard_match(spark, folder):
 
 
 @query(
-    """SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 3"""
+    """SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 50"""
 )
 def history_tail(spark, folder):
-    return text.history_tail(table(spark, folder, "conversations"), 3)
+    return text.history_tail(table(spark, folder, "conversations"))
 
 
 @query(

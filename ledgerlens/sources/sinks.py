@@ -51,6 +51,16 @@ def _safe(c: Column, kind: T.DataType) -> Column:
     return c
 
 
+def loose_json(df: DataFrame, column: str, schema: T.StructType | str, name: str = "parsed") -> DataFrame:
+    """``df`` with the JSON texts of a column parsed as far as they go: a text that is no JSON gives a row of nulls, a field of
+    another type a null field; single quotes, bare names, comments and NaN or Infinity are let pass."""
+    options = {
+        "mode": "PERMISSIVE", "allowSingleQuotes": "true", "allowUnquotedFieldNames": "true",
+        "allowNonNumericNumbers": "true", "allowComments": "true",
+    }
+    return df.withColumn(name, F.from_json(F.col(f"`{column}`"), schema, options))
+
+
 def write_json(df: DataFrame, path: str) -> None:
     json_safe(df).write.mode("overwrite").json(path)
 
