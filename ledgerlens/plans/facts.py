@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations")
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "conversations", "documents", "embeddings",
+    "pages", "benchmark", "labels",
+)
 
 # canonical column -> (tables it needs besides the fact, expression)
 _ORDER_COLUMNS = {

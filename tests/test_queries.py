@@ -7,7 +7,6 @@ import oracle
 from ledgerlens.plans import catalog
 
 QUERIES, SQL = catalog.QUERIES, catalog.ORACLE
-SLOW = {"intent_model", "churn_forest", "churn_feature_importance", "column_role_mapping", "gated_modules_status"}
 SHUFFLED = (
     "spend_tiers segment_regular clv clv_summary repeat_purchase_summary health_summary geography product_performance "
     "promo_impact_derived performance_score_tiers box_stats describe_stats deal_size affinity_rules left_join_merge"
@@ -24,7 +23,7 @@ def test_matches_sql(spark, folder, con, name):
     assert oracle.compare(QUERIES[name](spark, folder), con, SQL[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, folder, name):
     assert QUERIES[name](spark, folder).count() > 0
 
