@@ -129,28 +129,34 @@ def sketches(docs: DataFrame, idf: np.ndarray, bands: int = BANDS, rows: int = R
     return marked.mapInArrow(run, "doc_id long, mark long, node binary, terms long, keys array<long>")
 
 
-def vectors(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """``node, features, weights`` of each text: a shingle's second, third, ... occurrence is a feature of its own, so
-    that sums of common weights are those of the TF-IDF minima."""
+def vectors(members: DataFrame, idf: np.ndarray) -> DataFrame:
+    """``members`` (any columns, ``node`` and ``text``) with ``features`` and ``weights`` instead of the text, without rows
+    whose text is not the node's: a shingle's second, third, ... occurrence is a feature of its own, so that sums of common
+    weights are those of the TF-IDF minima."""
+    kept = [c for c in members.columns if c != "text"]
+    schema = members.select(*kept).schema.add("features", "binary").add("weights", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, raw, offsets in words.slices(batch.column("text")):
+            for first, raw, offsets in words.slices(batch.column("text")):
                 terms, counts, begins = _shingles(raw, offsets)
                 nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
                 features = np.repeat(terms, counts)
                 weights = idf[_slots(features)]
                 features = np.where(nth > 0, words.mix(features + nth.astype(np.uint64)), features)
                 at = np.concatenate([[0], np.cumsum(counts)])[begins]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "node": pa.array([_node(raw[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])], pa.binary()),
-                        "features": pa.array([features[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary()),
-                        "weights": pa.array([weights[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary()),
-                    }
+                found = pa.RecordBatch.from_arrays(
+                    [
+                        *[batch.column(c).slice(first, len(offsets) - 1) for c in kept],
+                        pa.array([features[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary()),
+                        pa.array([weights[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary()),
+                    ],
+                    [*kept, "features", "weights"],
                 )
+                own = [_node(raw[a:b].tobytes()) == n for a, b, n in zip(offsets[:-1], offsets[1:], found.column("node").to_pylist())]
+                yield found.filter(pa.array(own, pa.bool_()))
 
-    return docs.select("text").mapInArrow(run, "node binary, features binary, weights binary")
+    return members.mapInArrow(run, schema)
 
 
 def likeness(features: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
@@ -192,19 +198,22 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
 
 def verified_links(members: DataFrame, docs: DataFrame, idf: np.ndarray, like: float = LIKE) -> DataFrame:
     """Links ``a, b`` between texts (as nodes) that span the graph of all pairs of one candidate group that are at least
-    ``like`` similar. ``members`` has ``node, terms, label``.
+    ``like`` similar. ``members`` has ``node, terms, mark, least_id, label``.
 
-    A group is dealt into blocks of about ``BLOCK_TEXTS`` texts or ``BLOCK_TERMS`` shingles, and every two blocks of it meet in
+    The text of a member is fetched from its row with the least id; the join always goes by shuffle, so it costs the
+    same share of the input at every size. A group is dealt into blocks of about ``BLOCK_TEXTS`` texts or ``BLOCK_TERMS`` shingles, and every two blocks of it meet in
     one task, so no task holds more than two blocks however large the group; a task returns a spanning forest
     of the links it finds, fewer rows than it got texts, and never the pairs.
     """
     sizes = members.groupBy("label").agg(F.count("*").alias("texts"), F.sum("terms").alias("terms"))
     parts = F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("terms") / BLOCK_TERMS)).cast("int")
     sizes = sizes.filter("texts > 1").select(F.col("label").alias("_label"), parts.alias("parts"))
-    dealt = write_once(members.join(sizes, F.col("label") == F.col("_label")).select("node", "label", "parts"))
-    found = vectors(docs, idf).withColumnRenamed("node", "_node")
     mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    own = found.join(dealt, F.col("_node") == F.col("node")).drop("_node").withColumn("part", mine)
+    dealt = members.join(sizes, F.col("label") == F.col("_label")).withColumn("part", mine)
+    dealt = write_once(dealt.select("node", "mark", "least_id", "label", "parts", "part"))
+    same = docs["doc_id"].eqNullSafe(F.col("least_id")) & (F.xxhash64("text") == F.col("mark"))
+    texts_of = docs.join(dealt.hint("merge"), same).select("node", "label", "parts", "part", "text")
+    own = vectors(texts_of, idf)
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.withColumn("x", F.least("part", "other")).withColumn("y", F.greatest("part", "other"))
 
@@ -236,7 +245,8 @@ def classes(docs: DataFrame, like: float = LIKE) -> tuple[DataFrame, DataFrame]:
     least = keyed.groupBy("band", "key").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1")
     met = keyed.join(least, ["band", "key"]).select(F.col("node").alias("a"), "b")
     groups = write_once(components(met))
-    members = groups.join(rows.groupBy("node").agg(F.first("terms").alias("terms")), "node")
+    ends = [F.first("terms").alias("terms"), F.first("mark").alias("mark"), F.min("doc_id").alias("least_id")]
+    members = groups.join(rows.groupBy("node").agg(*ends), "node")
     linked = write_once(components(verified_links(members, own, idf, like)))
     label = F.coalesce(F.col("label"), F.col("node"))
     by_node = rows.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
