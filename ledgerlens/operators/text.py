@@ -132,14 +132,47 @@ def _mentions(text: Column, phrases) -> Column:
     return text.rlike(phrase_pattern(phrases))
 
 
-def route_questions(df: DataFrame, text: str = "text") -> DataFrame:
-    """(intent, confidence, escalate, confidence_label): first family whose words a question holds."""
+# What an answer becomes when the table lacks its columns. Of each intent the first variant all of whose columns
+# are there is taken; "a|b" asks for one of them.
+VARIANTS = {
+    "geography_query": (
+        (("region|country", "total_amount"), "geography_query", 0.72),
+        (("product_category", "total_amount"), "geography_proxy_query", 0.68),
+        ((), "geography_query", 0.64),
+    ),
+    "demographic_query": (
+        (("gender", "total_amount"), "demographic_query", 0.71),
+        (("age", "total_amount"), "demographic_query", 0.7),
+        ((), "demographic_query", 0.64),
+    ),
+    "top_customers_query": (
+        (("customer_id", "total_amount"), "top_customers_query", 0.75),
+        (("product_category", "total_amount"), "top_customers_proxy_query", 0.7),
+        ((), *FALLBACK),
+    ),
+}
+
+
+def variant(answer: tuple[str, float], columns) -> tuple[str, float]:
+    """The answer that a table with these columns allows."""
+    have = set(columns)
+    for needs, intent, sure in VARIANTS.get(answer[0], ()):
+        if all(have & set(need.split("|")) for need in needs):
+            return intent, sure
+    return answer
+
+
+def route_questions(df: DataFrame, text: str = "text", columns=None) -> DataFrame:
+    """(intent, confidence, escalate, confidence_label): first family whose words a question holds.
+
+    With the canonical ``columns`` of the table asked about, families whose columns are missing give their stand-in or a
+    weaker answer."""
     q = F.col("__q")
     top_customers = _mentions(q, ("customer", "client", "buyer")) & _mentions(q, ("top", "best"))
     before_customers = _mentions(q, PLAIN_TOPICS[0][1]) | _mentions(q, PLAIN_TOPICS[1][1])
     tests = [(_mentions(q, phrases), (intent, sure)) for intent, sure, phrases in ROUTES]
     tests.append((top_customers & ~before_customers, ("top_customers_query", 0.75)))
-    answers = [answer for _, answer in tests] + [FALLBACK]
+    answers = [answer if columns is None else variant(answer, columns) for _, answer in tests] + [FALLBACK]
     place = F.lit(len(tests))
     for i, (test, _) in reversed(list(enumerate(tests))):
         place = F.when(test, F.lit(i)).otherwise(place)

@@ -109,6 +109,17 @@ def question_routing(spark, folder):
     return text.route_questions(questions(spark, folder))
 
 
+@query(
+    f"""WITH {QUESTIONS_SQL}, {NORMAL_SQL}, {_route_sql()} SELECT id, text,
+    CASE intent WHEN 'geography_query' THEN 'geography_proxy_query' WHEN 'top_customers_query' THEN 'top_customers_proxy_query' ELSE intent END AS intent,
+    CASE intent WHEN 'geography_query' THEN 0.68 WHEN 'top_customers_query' THEN 0.7 WHEN 'demographic_query' THEN 0.64 ELSE confidence END::DOUBLE AS confidence,
+    escalate, confidence_label FROM flagged"""
+)
+def question_routing_by_columns(spark, folder):
+    """Questions about a table that knows neither places nor customers."""
+    return text.route_questions(questions(spark, folder), columns=["date", "total_amount", "product_category"])
+
+
 @query(
     f"""WITH asked AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE role = 'user'), {NORMAL_SQL}, {_route_sql()}
     SELECT intent, escalate, confidence_label, count(*) AS n FROM flagged GROUP BY 1, 2, 3"""

@@ -144,3 +144,16 @@ def test_run_history_keeps_five(spark, tmp_path):
     sinks.append_run(rows.where("id < 6"), path)
     sinks.append_run(rows.where("id >= 6"), path)
     assert sorted(r.analyzed_at for r in sinks.recent_runs(spark.read.parquet(path)).collect()) == [7, 8, 9, 10, 11]
+
+
+def test_routes_follow_the_columns():
+    def of(intent, *columns):
+        return text.variant((intent, 0.9), columns)
+
+    assert of("geography_query", "country", "total_amount") == ("geography_query", 0.72)
+    assert of("geography_query", "product_category", "total_amount") == ("geography_proxy_query", 0.68)
+    assert of("geography_query", "date") == ("geography_query", 0.64)
+    assert of("demographic_query", "age", "total_amount") == ("demographic_query", 0.7)
+    assert of("demographic_query", "total_amount") == ("demographic_query", 0.64)
+    assert of("top_customers_query", "product_category", "total_amount") == ("top_customers_proxy_query", 0.7)
+    assert of("forecast_query") == ("forecast_query", 0.9)
