@@ -9,6 +9,7 @@ from .common import texts, write_once
 
 LEAD = 3
 LEAST_TOKENS = 3
+SEGMENTS = 8
 ALIKE = 0.7
 MIN_TEXTS = 2
 
@@ -20,41 +21,40 @@ MASK = "<*>"
 
 def _tokens(line: Column) -> Column:
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, FIELD, MASK)).otherwise(line)
-    return F.filter(F.split(masked, BLANK), lambda t: t != "")
+    return F.array_remove(F.split(masked, BLANK), "")
 
 
-def _digest(text: Column) -> Column:
-    return F.unhex(F.md5(text))
+def _mark(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
 def parsed_lines(own: DataFrame) -> DataFrame:
-    """``doc_id, body, at, leaf, sig, tokens`` of each line with ``LEAST_TOKENS`` tokens: hashes of the text and of the masked
-    line, the place of the line, and the leaf of the tree it falls to, named by token count and leading tokens."""
-    lines = own.select("doc_id", _digest(F.col("text")).alias("body"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    tokens = lines.select("doc_id", "body", "at", _tokens(F.col("line")).alias("tokens")).filter(F.size("tokens") >= LEAST_TOKENS)
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEAD))
-    return tokens.select("doc_id", "body", "at", leaf.alias("leaf"), _digest(F.array_join("tokens", " ")).alias("sig"), "tokens")
-
-
-def templates(own: DataFrame, lines: DataFrame) -> DataFrame:
-    """``sig, template`` for the masked lines that take the template of another one.
-
-    In each leaf the masked line found in the most texts (of equals the first in byte order) gives the template, and lines that
-    agree with it in at least ``ALIKE`` of their places differ from it in variable fields only. Only leaves with
-    several masked lines are looked at again with their tokens.
+    """``doc_id, body, at, leaf, sig, size, parts`` of each line with ``LEAST_TOKENS`` tokens: a hash of the text, the place of
+    the line, the leaf of the tree it falls to, named by token count and leading tokens, a hash of the masked line,
+    its token count and the hashes of its ``SEGMENTS`` equal stretches (of single tokens in short lines)."""
+    lines = own.select("doc_id", _mark(F.col("text")).alias("body"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    found = lines.select("doc_id", "body", "at", _tokens(F.col("line")).alias("tokens"))
+    found = found.withColumn("size", F.size("tokens")).filter(F.col("size") >= LEAST_TOKENS)
+    edges = [F.floor(F.col("size") * k / SEGMENTS).cast("int") for k in range(SEGMENTS + 1)]
+    parts = F.array(*[F.hash(F.slice("tokens", lo + 1, hi - lo)) for lo, hi in zip(edges, edges[1:])])
+    leaf = F.xxhash64("size", F.slice("tokens", 1, LEAD))
+    return found.select("doc_id", "body", "at", leaf.alias("leaf"), F.xxhash64("tokens").alias("sig"), "size", parts.alias("parts"))
+
+
+def templates(spread: DataFrame) -> DataFrame:
+    """``leaf, sig, template`` of masked lines, from ``leaf, sig, texts, first, size, parts``.
+
+    In each leaf the masked line found in the most texts (of equals the one that occurs first) gives the template, and lines
+    that agree with it in at least ``ALIKE`` of their stretches differ from it in variable fields only; the others are
+    their own template.
     """
-    spread = lines.groupBy("leaf", "sig").agg(F.count("*").alias("texts"))
-    shared = spread.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1").select("leaf")
-    forked = write_once(spread.join(shared, "leaf"))
-    leaves = write_once(forked.select(F.col("leaf").alias("_leaf")).distinct())
-    again = parsed_lines(own).select("leaf", "sig", "tokens")
-    again = again.join(leaves, F.col("leaf") == F.col("_leaf"), "left_semi").groupBy("leaf", "sig").agg(F.first("tokens").alias("tokens"))
-    known = write_once(again.join(forked, ["leaf", "sig"]).select("leaf", "sig", "tokens", "texts"))
-    first = F.min_by(F.struct(F.col("sig").alias("template"), F.col("tokens").alias("anchor")), F.struct((-F.col("texts")).alias("n"), F.array_join("tokens", " ").alias("masked")))
-    anchors = known.groupBy("leaf").agg(first.alias("best")).select("leaf", "best.template", "best.anchor")
-    same = F.aggregate(F.zip_with("tokens", "anchor", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda x, y: x + y)
-    alike = known.join(anchors, "leaf").filter((F.col("sig") != F.col("template")) & (same >= ALIKE * F.size("tokens")))
-    return write_once(alike.select(F.col("sig").alias("_sig"), "template"))
+    best = F.min_by(F.struct(F.col("sig").alias("template"), F.col("parts").alias("anchor")), F.struct((-F.col("texts")).alias("n"), "first"))
+    anchors = spread.groupBy("leaf").agg(best.alias("best")).select(F.col("leaf").alias("_leaf"), "best.template", "best.anchor")
+    same = sum(F.when(F.get("parts", F.lit(k)) == F.get("anchor", F.lit(k)), 1).otherwise(0) for k in range(SEGMENTS))
+    full = F.least(F.col("size"), F.lit(SEGMENTS))  # empty stretches of short lines always agree
+    alike = same - (SEGMENTS - full) >= ALIKE * full
+    joined = spread.join(anchors, F.col("leaf") == F.col("_leaf"))
+    return joined.select(F.col("leaf").alias("_leaf"), F.col("sig").alias("_sig"), F.when(alike, F.col("template")).otherwise(F.col("sig")).alias("template"))
 
 
 def line_dedup(docs: DataFrame, min_texts: int = MIN_TEXTS, columns: tuple[str, ...] = ()) -> DataFrame:
@@ -63,29 +63,39 @@ def line_dedup(docs: DataFrame, min_texts: int = MIN_TEXTS, columns: tuple[str,
 
     Lines end at ``\\n``. A line is parsed into tokens (runs without ASCII white space), those with a digit masked; it
     falls to the leaf of its token count and first ``LEAD`` tokens and takes the leaf's template where it agrees with it in
-    ``ALIKE`` of its places, else its own masked form. A template recurs if lines of at least ``min_texts`` different texts
-    take it; the text whose least id comes first (of equals the first in hash order) keeps such lines and all others drop them. Lines of fewer
-    than ``LEAST_TOKENS`` tokens are kept.
+    ``ALIKE`` of its stretches, else its own masked form. A template recurs if lines of at least ``min_texts`` different texts
+    take it; the text whose least id comes first keeps such lines and all others drop them. Lines of fewer than
+    ``LEAST_TOKENS`` tokens are kept.
 
     Null texts count as empty; equal texts are one text, so copies of the keeper keep their lines too; a document of
-    which nothing is left has an empty text; null ids come last; repeated rows are treated alike; an empty table gives no rows.
-    A line or text that a third of all rows share is one row per task after the first aggregation.
+    which nothing is left has an empty text; null ids come last (of texts with the same least id the first by hash keeps);
+    repeated rows are treated alike; an empty table gives no rows.
+
+    The text is parsed once. Lines of leaves that only one text reaches are put aside first, by a minimum and maximum per leaf;
+    what is left is counted per text before it is counted per line, so a line that a third of all rows share is a
+    row per task. The text is shuffled once, for its dropped lines, whatever the size of the table.
     """
-    own = texts(docs)
-    parsed = parsed_lines(own).groupBy("body", "at").agg(F.min("doc_id").alias("doc_id"), F.first("leaf").alias("leaf"), F.first("sig").alias("sig"))
-    lines = write_once(parsed)
-    found = templates(own, lines.select("body", "leaf", "sig").distinct())
-    taken = lines.join(found, F.col("sig") == F.col("_sig"), "left").select("body", "at", "doc_id", F.coalesce("template", "sig").alias("template"))
-    taken = write_once(taken)
-    by_text = taken.groupBy("template", "body").agg(F.min("doc_id").alias("doc_id"))
-    keeper = F.min_by("body", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")).alias("keeper")
-    recurring = by_text.groupBy("template").agg(F.count("*").alias("n"), keeper).filter(F.col("n") >= min_texts)
-    recurring = recurring.select(F.col("template").alias("_template"), "keeper")
-    dropped = taken.join(recurring, F.col("template") == F.col("_template")).filter(F.col("body") != F.col("keeper"))
-    dropped = write_once(dropped.groupBy(F.col("body").alias("_body")).agg(F.collect_list("at").alias("dropped")))
+    lines = write_once(parsed_lines(texts(docs)))
+    reached = lines.groupBy("leaf").agg(F.min("body").alias("a"), F.max("body").alias("b")).filter("a <> b")
+    met = lines.join(reached.select(F.col("leaf").alias("_leaf")).hint("merge"), F.col("leaf") == F.col("_leaf")).drop("_leaf")
+    met = write_once(met)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")
+    firsts = [F.min(place).alias("first"), F.first("size").alias("size"), F.first("parts").alias("parts")]
+    per_text = write_once(met.groupBy("leaf", "sig", "body").agg(*firsts))
+    spread = per_text.groupBy("leaf", "sig").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.first("size").alias("size"), F.first("parts").alias("parts"))
+    found = write_once(templates(spread))
+    takes = (F.col("leaf") == F.col("_leaf")) & (F.col("sig") == F.col("_sig"))
+    by_text = per_text.join(found.hint("merge"), takes).groupBy("leaf", "template", "body").agg(F.min("first").alias("first"))
+    keeper = F.min_by("body", F.struct("first.none", "first.doc_id", "body")).alias("keeper")
+    recurring = by_text.groupBy("leaf", "template").agg(F.count("*").alias("n"), keeper).filter(F.col("n") >= min_texts)
+    recurring = recurring.select(F.col("leaf").alias("_of"), F.col("template").alias("_template"), "keeper")
+    judged = found.join(recurring, (F.col("_leaf") == F.col("_of")) & (F.col("template") == F.col("_template")))
+    judged = write_once(judged.select("_leaf", "_sig", "keeper"))
+    dropped = met.join(judged.hint("merge"), takes).filter(F.col("body") != F.col("keeper"))
+    dropped = write_once(dropped.groupBy(F.col("body").alias("_body")).agg(F.collect_set("at").alias("dropped")))
     carried = F.struct(*[docs[c] for c in columns] or [F.lit(0).alias("none")]).alias("carried")
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), carried)
-    lined = own.withColumn("body", _digest(F.col("text"))).join(dropped, F.col("body") == F.col("_body"), "left")
+    lined = own.withColumn("body", _mark(F.col("text"))).join(dropped.hint("merge"), F.col("body") == F.col("_body"), "left")
     split = F.split("text", "\n")
     kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("dropped")))
     cleaned = F.array_join(F.transform(kept, lambda k: F.element_at(split, k + 1)), "\n")
@@ -109,11 +119,14 @@ parsed AS (
          IF x <> ''] AS tokens
   FROM lines),
 kept AS (SELECT *, array_to_string(tokens, ' ') AS sig, len(tokens) AS n, tokens[1:{LEAD}] AS head FROM parsed WHERE len(tokens) >= {LEAST_TOKENS}),
-spread AS (SELECT n, head, sig, any_value(tokens) AS tokens, count(DISTINCT text) AS texts FROM kept GROUP BY n, head, sig),
-anchors AS (SELECT n, head, sig AS template, tokens AS anchor FROM spread
-            QUALIFY row_number() OVER (PARTITION BY n, head ORDER BY texts DESC, sig) = 1),
+spread AS (SELECT n, head, sig, any_value([array_to_string(tokens[(i * n // {SEGMENTS}) + 1 : (i + 1) * n // {SEGMENTS}], ' ')
+             FOR i IN range({SEGMENTS})]) AS parts, count(DISTINCT text) AS texts, min(coalesce(doc_id, 9223372036854775807)) AS first_id,
+             arg_min(pos, (coalesce(doc_id, 9223372036854775807), pos)) AS first_pos FROM kept GROUP BY n, head, sig),
+anchors AS (SELECT n, head, sig AS template, parts AS anchor FROM spread
+            QUALIFY row_number() OVER (PARTITION BY n, head ORDER BY texts DESC, first_id, first_pos, sig) = 1),
 alike AS (SELECT s.sig, a.template FROM spread s JOIN anchors a ON s.n = a.n AND s.head = a.head
-          WHERE list_sum([(s.tokens[i] = a.anchor[i])::INT FOR i IN range(1, s.n + 1)]) >= {ALIKE} * s.n),
+          WHERE list_sum([(s.parts[i] = a.anchor[i])::INT FOR i IN range(1, {SEGMENTS} + 1)]) - ({SEGMENTS} - least(s.n, {SEGMENTS}))
+            >= {ALIKE} * least(s.n, {SEGMENTS})),
 taken AS (SELECT k.text, k.pos, k.doc_id, coalesce(a.template, k.sig) AS template FROM kept k LEFT JOIN alike a ON k.sig = a.sig),
 by_text AS (SELECT DISTINCT template, text, doc_id FROM taken),
 recurring AS (SELECT template, arg_min(text, coalesce(doc_id, 9223372036854775807)) AS keeper FROM by_text GROUP BY template HAVING count(*) >= {MIN_TEXTS}),
