@@ -142,13 +142,18 @@ def mean_growth(df: DataFrame, period: str, name: str, **cols) -> DataFrame:
 
 
 def dashboard_kpis(df: DataFrame, amount: str = "total_amount", order: str = "transaction_id", quantity: str = "quantity", date: str = "date") -> DataFrame:
-    """Sales, distinct orders, mean sales, quantity and mean monthly growth."""
-    growth = mean_growth(df, "month", "average_monthly_growth", amount=amount, date=date)
-    return df.agg(
-        F.sum(amount).alias("total_sales"),
-        F.count_distinct(order).alias("total_orders"),
-        F.avg(amount).alias("average_sales"),
-        F.sum(quantity).alias("total_quantity"),
+    """Sales, distinct orders, mean sales, quantity and mean monthly growth, all from one row per order and month."""
+    per = write_once(
+        df.groupBy(F.col(order).alias("order"), F.trunc(date, "month").alias("month")).agg(
+            F.sum(amount).alias("amount"), F.count(amount).alias("n"), F.sum(quantity).alias("quantity")
+        )
+    )
+    growth = mean_growth(per, "month", "average_monthly_growth", amount="amount", date="month")
+    return per.agg(
+        F.sum("amount").alias("total_sales"),
+        F.count_distinct("order").alias("total_orders"),
+        ratio(F.sum("amount"), F.sum("n")).alias("average_sales"),
+        F.sum("quantity").alias("total_quantity"),
     ).select("*", growth.scalar().alias("average_monthly_growth"))
 
 
