@@ -93,7 +93,7 @@ class Pieces:
         chunks, total = [self.unit_ids], len(self.unit_ids)
         for n in np.unique(lengths[new]):
             own = np.flatnonzero(lengths[new] == n)
-            per = max(1, (1 << 18) // int(n))
+            per = max(1, (1 << 17) // int(n))
             for a in range(0, len(own), per):
                 part = own[a : a + per]
                 ids, counts = self.viterbi(codes[starts[new[part]][:, None] + np.arange(n)])
@@ -110,35 +110,37 @@ class Pieces:
     def viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best pieces of units of one length, ``codes`` being (units, length): ids in order and how many each has.
 
-        All units advance together. At each end, the hashes of the substrings that end there probe the sorted keys; the best sum of
-        scores wins, of equal sums the longest last piece. A character without a piece becomes its UTF-8 bytes.
+        All units advance together. The hashes of all substrings probe the sorted keys of their length; at each end the best
+        sum of scores wins, of equal sums the longest last piece. A character without a piece becomes its UTF-8 bytes.
         """
         rows, length = codes.shape
         sums = np.zeros((length + 1, rows), np.uint64)
         np.cumsum((_code_value(codes) * words.powers(length)).T, axis=0, out=sums[1:])
-        back = words.powers(length + 1, True)
-        best = np.full((length + 1, rows), -np.inf)
-        best[0] = 0
+        back = words.powers(length + 1, True)[:, None]
+        # by end, length of the last piece (the longest first) and unit
+        gain = np.full((length, self.longest, rows), -np.inf)
+        named = np.full((length, self.longest, rows), -1, np.int32)
+        gain[:, -1] = self.worst
+        for n in range(1, min(self.longest, length) + 1):
+            if self.by_length[n] is None:
+                continue
+            keys, ids, scores = self.by_length[n]
+            asked = (sums[n:] - sums[:-n]) * back[:-n]
+            at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+            hit = keys[at] == asked
+            gain[n - 1 :, -n][hit] = scores[at[hit]]
+            named[n - 1 :, -n][hit] = ids[at[hit]]
+        best = np.full((length + 1 + self.longest, rows), -np.inf)  # of each end, after as many rows for ends before the start
+        best[self.longest] = 0
         step = np.zeros((length + 1, rows), np.int32)
-        piece = np.zeros((length + 1, rows), np.int32)
+        unit = np.arange(rows)
         for end in range(1, length + 1):
-            for n in range(min(self.longest, end), 0, -1):
-                if self.by_length[n] is None:
-                    continue
-                keys, ids, scores = self.by_length[n]
-                asked = (sums[end] - sums[end - n]) * back[end - n]
-                at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-                reached = np.where(keys[at] == asked, best[end - n] + scores[at], -np.inf)
-                better = reached > best[end]
-                if better.any():
-                    best[end] = np.where(better, reached, best[end])
-                    step[end] = np.where(better, n, step[end])
-                    piece[end] = np.where(better, ids[at], piece[end])
-                if n == 1:
-                    lone = (keys[at] != asked) & (best[end - 1] + self.worst > best[end])
-                    best[end] = np.where(lone, best[end - 1] + self.worst, best[end])
-                    step[end] = np.where(lone, 1, step[end])
-                    piece[end] = np.where(lone, -1, piece[end])
+            reached = best[end : end + self.longest] + gain[end - 1]
+            choice = reached.argmax(axis=0)
+            best[end + self.longest] = reached[choice, unit]
+            step[end] = self.longest - choice
+        piece = np.zeros((length + 1, rows), np.int32)
+        piece[1:] = np.take_along_axis(named, (self.longest - step[1:])[:, None], axis=1)[:, 0]
         at, live, found = np.full(rows, length), np.arange(rows), []
         while len(live):
             found.append((live, at[live], piece[at[live], live]))
