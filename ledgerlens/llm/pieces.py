@@ -221,10 +221,9 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     A null text counts as empty and has no ids; characters without a piece become byte pieces; repeated rows are
     encoded alike; ``model`` is read on the executors from its path; an empty table gives no rows.
     """
-    path = model_path(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(path)
+        pieces = load(model_path(model))
         for batch in batches:
             for first, raw, offsets in words.slices(batch.column("text"), SLICE_BYTES):
                 ids, begins = pieces.encode(raw, offsets)
@@ -236,10 +235,8 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """``encoded`` (``doc_id, ids``) with ``text``, the text that was encoded; null ids give an empty text."""
-    path = model_path(model)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(path)
+        pieces = load(model_path(model))
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
@@ -278,10 +275,8 @@ def token_digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 def checked_ids(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """``doc_id, n_ids, ids, exact`` per document: its ids, and whether they decode to its text."""
-    path = model_path(model)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(path)
+        pieces = load(model_path(model))
         for batch in batches:
             for first, raw, offsets in words.slices(batch.column("text"), SLICE_BYTES):
                 ids, begins = pieces.encode(raw, offsets)

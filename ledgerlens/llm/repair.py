@@ -177,10 +177,9 @@ def write_ids(docs: DataFrame, path: str, model: str = MODEL, shard_ids: int = S
     document ids (the largest long for null) and where each begins, rules as pairs, the length each rule expands to, and the compressed body, all as
     little-endian binary.
     """
-    file = model_path(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bytebpe.load(file)
+        encoder = bytebpe.load(model_path(model))
         part, shard, before = TaskContext.get().partitionId(), 0, 0
         base = encoder.library.get_vocab_size()
         names, pieces, sizes, held = [], [], [], 0
