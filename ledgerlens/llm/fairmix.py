@@ -111,7 +111,7 @@ def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int
     found = found.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.sum(times).alias("_times"), F.count("*").alias("_rows"))
     found = write_once(found.filter("_times > 0"))
     mine = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (mark == F.col("_mark"))
-    joined = docs.join(found, mine)
+    joined = docs.join(found.hint("merge"), mine)  # as many rows as documents, so never a broadcast
     out = joined.withColumn("_each", F.floor(F.col("_times") / F.col("_rows")).cast("int")).filter("_each > 0")
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_each")))).select(*docs.columns)
     if found.filter("_times % _rows > 0").isEmpty():

@@ -280,7 +280,7 @@ def representatives(docs: DataFrame, like: float = LIKE) -> DataFrame:
     gone = write_once(judged.filter(~F.col("stays")).select("_id", "_mark").distinct())
     again = write_once(judged.filter("stays").groupBy("_id", "_mark").count().filter("count > 1").select("_id", "_mark"))
     mine = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("_mark"))
-    out = docs.join(gone, mine, "left_anti")
+    out = docs.join(gone.hint("merge"), mine, "left_anti")  # they grow with the documents, so never a broadcast
     if again.isEmpty():
         return out
     once = out.join(again, mine).dropDuplicates(["_id", "_mark"]).select(*docs.columns)
