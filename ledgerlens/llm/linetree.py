@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +59,47 @@ def templates(spread: DataFrame) -> DataFrame:
     return joined.select(F.col("leaf").alias("_leaf"), F.col("sig").alias("_sig"), F.when(alike, F.col("template")).otherwise(F.col("sig")).alias("template"))
 
 
+def _loose(full: int) -> int:
+    """How many of ``full`` stretches may differ in lines that agree in ``ALIKE`` of them."""
+    return next(n for n in range(full, -1, -1) if full - n >= ALIKE * full)
+
+
+def _forms(groups_of) -> Column:
+    """A hash for each group of stretches that ``groups_of(number of stretches that may differ)`` names, with the leaf."""
+
+    def hashes(loose: int) -> Column:
+        kept = [F.xxhash64("leaf", F.lit(k), *[F.get("parts", F.lit(j)) for j in group]) for k, group in enumerate(groups_of(loose))]
+        return F.array(*kept)
+
+    chosen = hashes(_loose(SEGMENTS))
+    for full in range(SEGMENTS - 1, 0, -1):
+        chosen = F.when(F.col("size") <= full, hashes(_loose(full))).otherwise(chosen)
+    return chosen
+
+
+def later_alike(kept: DataFrame, min_texts: int) -> DataFrame:
+    """``leaf, sig, body`` of those of ``kept`` (``leaf, sig, body, none, doc_id, size, parts``) that share a form with a
+    text that comes first. A form is a leaf and all stretches but as many as may differ, so lines share one exactly if they
+    agree in ``ALIKE`` of their stretches.
+
+    Of stretches dealt into one group more than may differ one group is equal as a whole; lines without such a group in
+    another text are put aside by a minimum and maximum per group, before each is a row per form.
+    """
+    groups = _forms(lambda loose: [range(SEGMENTS)[k :: loose + 1] for k in range(loose + 1)])
+    grouped = kept.select("leaf", "sig", "body", F.explode(groups).alias("form"))
+    shared = grouped.groupBy("form").agg(F.min("body").alias("a"), F.max("body").alias("b")).filter("a <> b").select(F.col("form").alias("_form"))
+    near = grouped.join(shared.hint("merge"), F.col("form") == F.col("_form"))
+    near = near.select(F.col("leaf").alias("_leaf"), F.col("sig").alias("_sig"), F.col("body").alias("_body")).distinct()
+    same = (F.col("leaf") == F.col("_leaf")) & (F.col("sig") == F.col("_sig")) & (F.col("body") == F.col("_body"))
+    forms = _forms(lambda loose: list(combinations(range(SEGMENTS), SEGMENTS - loose)))
+    formed = write_once(kept.join(near.hint("merge"), same).select("leaf", "sig", "body", "none", "doc_id", F.explode(forms).alias("form")))
+    by_text = formed.groupBy("form", "body").agg(F.min(F.struct("none", "doc_id")).alias("least"))
+    keeper = F.min_by("body", F.struct("least", "body")).alias("keeper")
+    recurring = by_text.groupBy(F.col("form").alias("_form")).agg(F.count("*").alias("n"), keeper).filter(F.col("n") >= min_texts)
+    later = formed.join(recurring.hint("merge"), F.col("form") == F.col("_form")).filter(F.col("body") != F.col("keeper"))
+    return later.select("leaf", "sig", "body").distinct()
+
+
 def line_dedup(docs: DataFrame, min_texts: int = MIN_TEXTS, columns: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, text, n_lines, n_dropped`` per document: its text without the lines of recurring templates; ``columns`` are
     carried along.
@@ -64,8 +107,9 @@ def line_dedup(docs: DataFrame, min_texts: int = MIN_TEXTS, columns: tuple[str,
     Lines end at ``\\n``. A line is parsed into tokens (runs without ASCII white space), those with a digit masked; it
     falls to the leaf of its token count and first ``LEAD`` tokens and takes the leaf's template where it agrees with it in
     ``ALIKE`` of its stretches, else its own masked form. A template recurs if lines of at least ``min_texts`` different texts
-    take it; the text whose least id comes first keeps such lines and all others drop them. Lines of fewer than
-    ``LEAST_TOKENS`` tokens are kept.
+    take it; the text whose least id comes first keeps such lines and all others drop them. Lines that are left and agree
+    with each other, but not with their leaf's template, are templates of their own by ``later_alike``, with the same rule.
+    Lines of fewer than ``LEAST_TOKENS`` tokens are kept.
 
     Null texts count as empty; equal texts are one text, so copies of the keeper keep their lines too; a document of
     which nothing is left has an empty text; null ids come last (of texts with the same least id the first by hash keeps);
@@ -91,7 +135,11 @@ def line_dedup(docs: DataFrame, min_texts: int = MIN_TEXTS, columns: tuple[str,
     recurring = recurring.select(F.col("leaf").alias("_of"), F.col("template").alias("_template"), "keeper")
     judged = found.join(recurring, (F.col("_leaf") == F.col("_of")) & (F.col("template") == F.col("_template")))
     judged = write_once(judged.select("_leaf", "_sig", "keeper"))
-    dropped = met.join(judged.hint("merge"), takes).filter(F.col("body") != F.col("keeper"))
+    gone = takes & (F.col("body") != F.col("keeper"))
+    kept = per_text.join(judged.hint("merge"), gone, "left_anti").select("leaf", "sig", "body", "first.none", "first.doc_id", "size", "parts")
+    later = later_alike(write_once(kept), min_texts).select(F.col("leaf").alias("_leaf"), F.col("sig").alias("_sig"), F.col("body").alias("_text"))
+    dropped = met.join(judged.hint("merge"), gone).select("body", "at")
+    dropped = dropped.unionByName(met.join(later.hint("merge"), takes & (F.col("body") == F.col("_text"))).select("body", "at"))
     dropped = write_once(dropped.groupBy(F.col("body").alias("_body")).agg(F.collect_set("at").alias("dropped")))
     carried = F.struct(*[docs[c] for c in columns] or [F.lit(0).alias("none")]).alias("carried")
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), carried)

@@ -308,6 +308,21 @@ def test_line_dedup_rules(spark, edge_docs):
     assert [r.text for r in edges[6] if r.n_lines == 2] == ["same id but another text here"]
 
 
+def test_line_dedup_leaf_with_two_templates(spark):
+    lead = "we saw the"
+    rows = [
+        (1, f"{lead} one two three four five six seven eight nine ten eleven twelve thirteen"),
+        (2, f"{lead} one two three four five six seven eight nine ten eleven twelve thirteen"),
+        (2, f"{lead} one two three four five six seven eight nine ten eleven twelve thirteen\nand more of it"),
+        (3, f"{lead} red green blue black white brown gray pink gold silver violet orange yellow"),
+        (4, f"{lead} red green blue black white brown gray pink gold silver violet orange purple"),
+        (5, f"{lead} red green blue black white brown gray pink gold silver violet orange purple here"),
+    ]
+    found = rows_by_id(linetree.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert found[3][0].n_dropped == 0 and found[5][0].n_dropped == 0
+    assert found[4][0].n_dropped == 1 and found[4][0].text == ""
+
+
 def plain_classes(rows, idf, like=icws.LIKE):
     features, weights = [], []
     for _, raw, offsets in words.slices(pa.array([t for _, t in rows], pa.large_string())):
