@@ -48,20 +48,20 @@ def templates(spread: DataFrame) -> DataFrame:
 
     In each leaf the masked line found in the most texts (of equals the one that occurs first) gives the template, and lines
     that agree with it in at least ``ALIKE`` of their stretches differ from it in variable fields only; the others are
-    their own template.
+    their own template. So are lines of ``LEAD + 1`` tokens: the leaf alone makes them agree in all places but one.
     """
     best = F.min_by(F.struct(F.col("sig").alias("template"), F.col("parts").alias("anchor")), F.struct((-F.col("texts")).alias("n"), "first"))
     anchors = spread.groupBy("leaf").agg(best.alias("best")).select(F.col("leaf").alias("_leaf"), "best.template", "best.anchor")
     same = sum(F.when(F.get("parts", F.lit(k)) == F.get("anchor", F.lit(k)), 1).otherwise(0) for k in range(SEGMENTS))
     full = F.least(F.col("size"), F.lit(SEGMENTS))  # empty stretches of short lines always agree
-    alike = same - (SEGMENTS - full) >= ALIKE * full
+    alike = (same - (SEGMENTS - full) >= ALIKE * full) & (F.col("size") > LEAD + 1)
     joined = spread.join(anchors, F.col("leaf") == F.col("_leaf"))
     return joined.select(F.col("leaf").alias("_leaf"), F.col("sig").alias("_sig"), F.when(alike, F.col("template")).otherwise(F.col("sig")).alias("template"))
 
 
 def _loose(full: int) -> int:
-    """How many of ``full`` stretches may differ in lines that agree in ``ALIKE`` of them."""
-    return next(n for n in range(full, -1, -1) if full - n >= ALIKE * full)
+    """How many of ``full`` stretches may differ in lines that agree in ``ALIKE`` of them; none, if the leaf leaves one to compare."""
+    return 0 if full <= LEAD + 1 else next(n for n in range(full, -1, -1) if full - n >= ALIKE * full)
 
 
 def _forms(groups_of) -> Column:
@@ -73,7 +73,8 @@ def _forms(groups_of) -> Column:
 
     chosen = hashes(_loose(SEGMENTS))
     for full in range(SEGMENTS - 1, 0, -1):
-        chosen = F.when(F.col("size") <= full, hashes(_loose(full))).otherwise(chosen)
+        if _loose(full) != _loose(full + 1):
+            chosen = F.when(F.col("size") <= full, hashes(_loose(full))).otherwise(chosen)
     return chosen
 
 

@@ -323,6 +323,12 @@ def test_line_dedup_leaf_with_two_templates(spark):
     assert found[4][0].n_dropped == 1 and found[4][0].text == ""
 
 
+def test_line_dedup_keeps_short_lines_that_share_a_lead(spark):
+    rows = [(1, "Thor the haan eron."), (2, "Thor the haan for."), (3, "Thor the haan eaesing.\nThor the haan 17"), (4, "Thor the haan 23")]
+    found = rows_by_id(linetree.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [found[k][0].n_dropped for k in (1, 2, 3, 4)] == [0, 0, 0, 1]  # the last differs in a field
+
+
 def plain_classes(rows, idf, like=icws.LIKE):
     features, weights = [], []
     for _, raw, offsets in words.slices(pa.array([t for _, t in rows], pa.large_string())):
