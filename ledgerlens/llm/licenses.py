@@ -49,6 +49,50 @@ TEMPLATES = {
     "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
 
+
+def _gnu(what: str, name: str, version: str) -> str:
+    return (
+        f"This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} License as "
+        f"published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
+    )
+
+
+#: Near relatives of the above, which would otherwise be taken for them.
+TEMPLATES |= {
+    "gpl-2.0": _gnu("program", "General Public", "2"),
+    "agpl-3.0": _gnu("program", "Affero General Public", "3"),
+    "lgpl-2.0": _gnu("library", "Library General Public", "2"),
+    "lgpl-2.1": _gnu("library", "Lesser General Public", "2.1"),
+    "lgpl-3.0": _gnu("library", "Lesser General Public", "3"),
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+    "liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any "
+    "purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following "
+    "restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original "
+    "software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is "
+    "not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the "
+    "original software. 3. This notice may not be removed or altered from any source distribution.",
+    "epl-1.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 "
+    "which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+    "which is available at https://www.eclipse.org/legal/epl-2.0/",
+}
+for _name, _version, _key in (
+    ("General Public", "2", "gpl-2.0"),
+    ("Affero General Public", "3", "agpl-3.0"),
+    ("Lesser General Public", "2.1", "lgpl-2.1"),
+    ("Lesser General Public", "3", "lgpl-3.0"),
+):
+    TEMPLATES[f"{_key}-notice"] = f"This work is licensed under the GNU {_name} License, version {_version}."
+for _short, _long in (
+    ("SA", "ShareAlike"),
+    ("ND", "NoDerivatives"),
+    ("NC", "NonCommercial"),
+    ("NC-SA", "NonCommercial-ShareAlike"),
+    ("NC-ND", "NonCommercial-NoDerivatives"),
+):
+    TEMPLATES[f"cc-by-{_short.lower()}-notice"] = f"Licensed under CC BY-{_short} 4.0."
+    TEMPLATES[f"cc-by-{_short.lower()}"] = f"This work is licensed under a Creative Commons Attribution-{_long} 4.0 International License."
+
 #: Words are runs of ASCII letters and digits and of bytes beyond ASCII, in lower case.
 _GAPS = np.ones(256, bool)
 _GAPS[128:] = False
@@ -171,27 +215,30 @@ def scan(index: Index, raw: np.ndarray, offsets: np.ndarray, coverage: float) ->
         middle = int(diagonal[a] + diagonal[b - 1]) // 2
         width = int(band[t] + (diagonal[b - 1] - diagonal[a] + 1) // 2)
         matched, first, last = align(wanted, hashed[firsts[k] : firsts[k + 1]], middle, width)
-        if matched >= coverage * len(wanted):
-            found.append((k, t, matched, matched / len(wanted), int(starts[firsts[k] + first]), int(ends[firsts[k] + last])))
-    # of a stretch inside another one, only the template with more matched words is reported
+        stretch = last - first + 1
+        if matched >= coverage * max(len(wanted), stretch):
+            score = 4 * matched - len(wanted) - stretch
+            found.append((k, t, matched, matched / len(wanted), int(starts[firsts[k] + first]), int(ends[firsts[k] + last]), score))
+    # of stretches that share half of the shorter one, only the template that aligns best is reported
     kept: dict[int, list[tuple]] = {}
-    for match in sorted(found, key=lambda m: (m[0], -m[2], -m[3], m[1], m[4])):
+    for match in sorted(found, key=lambda m: (m[0], -m[6], -m[3], m[1], m[4])):
         own = kept.setdefault(match[0], [])
-        if not any(o[4] <= match[4] and match[5] <= o[5] for o in own):
+        if not any(2 * (min(o[5], match[5]) - max(o[4], match[4])) >= min(o[5] - o[4], match[5] - match[4]) for o in own):
             own.append(match)
     for own in kept.values():
-        yield from sorted(own, key=lambda m: (m[4], m[1]))
+        yield from (m[:6] for m in sorted(own, key=lambda m: (m[4], m[1])))
 
 
 def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """``doc_id, license, matched_words, coverage, span_start, span_end`` for each stretch of a document whose alignment to
-    a template matches at least ``coverage`` of the template's words; spans are in code points, the end excluded.
+    a template matches at least ``coverage`` of the template's words and of the stretch's; spans are in code points, the end
+    excluded.
 
     Every run of three words of the whole text is looked up among the templates' winnowed fingerprints; hits of one template on
     diagonals closer than the band form one candidate, and only candidates are aligned. Templates are a parameter of bounded
-    size, kept in each task. Null and empty texts have no rows, repeated rows have their matches each, of a match inside a longer one
-    only the longer is reported (of equals the one with the larger share, then the first by name), and an empty table
-    gives no rows.
+    size, kept in each task. Null and empty texts have no rows, repeated rows have their matches each, of matches that share half of the
+    shorter stretch only the one with most matched words against words skipped on either side is reported (of equals the one with
+    the larger share, then the first by name), and an empty table gives no rows.
     """
     chosen = tuple(sorted((TEMPLATES if templates is None else templates).items()))
 

@@ -206,6 +206,30 @@ def test_license_index_finds_what_a_full_scan_finds():
     assert all(name in found[k] for k, name in enumerate(wanted)) and not found[len(texts) - 1]
 
 
+def test_license_relatives_are_told_apart():
+    grant = licenses.TEMPLATES["gpl-3.0"]
+    sentence = licenses.TEMPLATES["cc-by"]
+    wanted = {
+        "Licensed under CC BY-ND 4.0.": "cc-by-nd-notice",
+        "Licensed under CC BY 4.0.": "cc-by-notice",
+        sentence: "cc-by",
+        sentence.replace("Attribution", "Attribution-ShareAlike"): "cc-by-sa",
+        sentence.replace("Attribution", "Attribution-NonCommercial-NoDerivatives"): "cc-by-nc-nd",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "agpl-3.0-notice",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl-3.0-notice",
+        grant: "gpl-3.0",
+        grant.replace("GNU", "GNU Affero"): "agpl-3.0",
+        grant.replace("version 3", "version 2"): "gpl-2.0",
+    }
+    index = licenses.Index(licenses.TEMPLATES)
+    texts = [f"some words before it {t} and some words behind it" for t in wanted]
+    found = [[] for _ in texts]
+    for first, raw, offsets in words.slices(pa.array(texts)):
+        for k, t, *_ in licenses.scan(index, raw, offsets, licenses.COVERAGE):
+            found[first + k].append(index.names[t])
+    assert found == [[name] for name in wanted.values()]
+
+
 def test_toxicity_learns_misspellings():
     rng = random.Random(7)
     clean = ["".join(rng.choice(["an", "er", "th", "on", "in", "re"]) for _ in range(3)) for _ in range(300)]
