@@ -15,7 +15,7 @@ from . import words
 from .common import shuffle_partitions, texts, write_once
 
 BITS = 128
-RADIUS = 4
+RADIUS = 17  # the farthest of the pairs of sf0.1 with a five-word Jaccard similarity of 0.8 or more
 BLOCKS = 6
 TERM_WORDS = 2
 ROWS = 512
@@ -112,26 +112,32 @@ def with_next(docs: DataFrame, use, schema: str) -> DataFrame:
     return dealt.repartitionById(shuffle_partitions(docs), "range").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
-def block_tables(df: DataFrame, blocks: int = BLOCKS, radius: int = RADIUS) -> DataFrame:
-    """A row of ``df`` (``high``, ``low``: the two halves of a fingerprint) for each way to keep ``blocks - radius``
-    blocks: ``table`` and ``key``, a hash of the kept blocks. Two fingerprints that differ in at most ``radius`` bits agree on
-    all blocks but ``radius``, so they meet in some table."""
+def block_tables(df: DataFrame, blocks: int = BLOCKS, radius: int = RADIUS, probe: bool = False) -> DataFrame:
+    """A row of ``df`` (``high``, ``low``: the two halves of a fingerprint) for each block of its bits: ``table`` and ``key``.
+    With ``probe`` a row for each value of the block that differs from its own in few enough bits: two fingerprints that
+    differ in at most ``radius`` bits have a block in which they differ in at most ``radius // blocks``, or, in all blocks
+    beyond the first ``radius % blocks + 1``, in one less, so a probe of one meets the other."""
     edges = [BITS * k // blocks for k in range(blocks + 1)]
 
     def block(k: int):
         lo, hi = edges[k], edges[k + 1]  # bits counted from the left
-        parts = []
+        value = F.lit(0).cast("long")
         for name, base in (("high", 0), ("low", 64)):
             a, b = max(lo, base) - base, min(hi, base + 64) - base
             if a < b:
-                parts.append(F.shiftrightunsigned(F.shiftleft(F.col(name), a), 64 - (b - a)))
-        return parts
+                part = F.shiftrightunsigned(F.shiftleft(F.col(name), a), 64 - (b - a))
+                value = F.shiftleft(value, b - a).bitwiseOR(part)
+        return value
 
-    tables = [
-        F.struct(F.lit(t).alias("table"), F.xxhash64(*[p for k in kept for p in block(k)]).alias("key"))
-        for t, kept in enumerate(combinations(range(blocks), blocks - radius))
-    ]
-    return df.select("*", F.explode(F.array(*tables)).alias("_t")).select(*df.columns, "_t.table", "_t.key")
+    def rows(t: int):
+        loose = radius // blocks - (t > radius % blocks) if probe else 0
+        width = edges[t + 1] - edges[t]
+        flips = [sum(1 << bit for bit in bits) for n in range(loose + 1) for bits in combinations(range(width), n)]
+        masks = F.from_json(F.lit(str(flips)), "array<bigint>")
+        return F.transform(masks, lambda mask: F.struct(F.lit(t).alias("table"), block(t).bitwiseXOR(mask).alias("key")))
+
+    tables = F.concat(*[rows(t) for t in range(blocks)])
+    return df.select("*", F.explode(tables).alias("_t")).select(*df.columns, "_t.table", "_t.key")
 
 
 def halves(fingerprint: str):
@@ -141,15 +147,17 @@ def halves(fingerprint: str):
 def within_radius(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """``fingerprint, near``: how many rows of ``prints`` lie within ``radius`` bits of each distinct fingerprint of
     ``queries`` (rows with the same fingerprint included). Equal fingerprints are counted once and carried as a number, so a
-    group of copies is one row; a pair that meets in several tables is counted in the first of them."""
-    mine = queries.select("fingerprint").distinct().select("fingerprint", *halves("fingerprint"))
+    group of copies is one row; a pair that meets in several tables is counted once."""
+    mine = queries.select("fingerprint").distinct().select(*halves("fingerprint"))
     all_prints = prints.groupBy("fingerprint").agg(F.count("*").alias("rows")).select("rows", *halves("fingerprint"))
-    left = block_tables(mine, blocks, radius)
+    left = block_tables(mine, blocks, radius, probe=True)
     right = block_tables(all_prints, blocks, radius).select("rows", F.col("high").alias("h2"), F.col("low").alias("l2"), F.col("table").alias("t2"), F.col("key").alias("k2"))
     apart = F.bit_count(F.col("high").bitwiseXOR(F.col("h2"))) + F.bit_count(F.col("low").bitwiseXOR(F.col("l2")))
-    pairs = left.join(right, (F.col("table") == F.col("t2")) & (F.col("key") == F.col("k2")) & (apart <= radius))
-    pairs = pairs.groupBy("fingerprint", "h2", "l2").agg(F.first("rows").alias("rows"))
-    return pairs.groupBy("fingerprint").agg(F.sum("rows").alias("near"))
+    # merged: the probes look as small as the queries to the planner, which would broadcast them
+    pairs = left.join(right.hint("merge"), (F.col("table") == F.col("t2")) & (F.col("key") == F.col("k2")) & (apart <= radius))
+    pairs = pairs.groupBy("high", "low", "h2", "l2").agg(F.first("rows").alias("rows"))
+    found = pairs.groupBy("high", "low").agg(F.sum("rows").alias("near"))
+    return found.select(F.lower(F.concat(*[F.lpad(F.hex(half), 16, "0") for half in ("high", "low")])).alias("fingerprint"), "near")
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:

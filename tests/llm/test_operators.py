@@ -150,6 +150,31 @@ def test_block_tables_find_the_whole_radius(spark):
         assert found[f"{p:032x}"] == sum((p ^ q).bit_count() <= simhash.RADIUS for q in prints)
 
 
+def test_simhash_finds_near_texts(spark):
+    rng = np.random.default_rng(3)
+    own = [f"w{k}" for k in range(120)]
+    rows = [(0, " ".join(own))]
+    for k in range(1, 21):  # two words of 120: five-word Jaccard of 106 / 126 or more
+        changed = list(own)
+        for at in rng.choice(120, 2, replace=False):
+            changed[at] = f"x{k}"
+        rows.append((k, " ".join(changed)))
+    rows += [(k, " ".join(f"y{k}z{j}" for j in range(120))) for k in range(21, 40)]
+    found = rows_by_id(simhash.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert found[0][0].near_rows == 20
+
+
+def test_probes_find_pairs_at_the_radius(spark):
+    rng = np.random.default_rng(4)
+    base = int.from_bytes(rng.bytes(16), "big")
+    prints = [base]
+    for n in [simhash.RADIUS] * 60 + [simhash.RADIUS + 1] * 20:
+        prints.append(base ^ sum(1 << int(bit) for bit in rng.choice(simhash.BITS, n, replace=False)))
+    table = spark.createDataFrame([(f"{p:032x}",) for p in prints], "fingerprint string")
+    (found,) = simhash.within_radius(table.limit(1), table).collect()
+    assert (found.fingerprint, found.near) == (f"{base:032x}", 61)
+
+
 def plain_targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
