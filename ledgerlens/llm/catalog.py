@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import covertree, fairmix, icws, langid, licenses, linetree, pieces, repair, simhash, toxicity
+from . import covertree, divergence, fairmix, icws, langid, licenses, linetree, phrases, pieces, repair, secrets, simhash, toxicity
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,27 @@ def op9_sentencepiece(spark, sf_dir):
 @query
 def op10_licenses(spark, sf_dir):
     return licenses.license_spans(read(spark, sf_dir, "documents"))
+
+
+@query
+def op11_divergence(spark, sf_dir):
+    return divergence.divergence(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_divergence"] = divergence.SQL
+
+
+@query
+def op12_secrets(spark, sf_dir):
+    return secrets.secret_digest(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_secrets"] = secrets.SQL
+
+
+@query
+def op13_phrases(spark, sf_dir):
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_phrases"] = phrases.SQL
