@@ -14,7 +14,7 @@ from ..functions.coerce import lit_like, month_index, month_label, whole_days
 from ..functions.edge import edge_round, ladder, long_count, percent, ratio, zero_if_null
 from ..session import materialize, write_once
 from .filters import keep_members
-from .scale import exact_quantiles, global_rank, one_row, top_n
+from .scale import column_quantiles, exact_quantiles, global_rank, one_row, top_n
 
 # Cut-offs and labels of the scores.
 RISK_LEVELS = [(80.0, "Critical"), (60.0, "High"), (40.0, "Medium"), (20.0, "Low")]
@@ -61,18 +61,16 @@ def segment_members(df: DataFrame, segment: str, scores: DataFrame | None = None
     """Customer ids of the loyal, regular or at-risk segment."""
     scores = scores or rfm(df)
     r, f, m = F.col("recency"), F.col("frequency"), F.col("monetary")
-    cut = {
-        name: one_row(exact_quantiles(scores, name, {"low": 0.33, "high": 0.66}))
-        for name in ("recency", "frequency", "monetary")
-    }
+    wanted = {name: {f"{name}_low": 0.33, f"{name}_high": 0.66} for name in ("recency", "frequency", "monetary")}
+    cut = one_row(column_quantiles(scores, wanted))
 
-    def between(c, q):
-        return (c >= q["low"]) & (c < q["high"])
+    def between(c, name):
+        return (c >= cut[f"{name}_low"]) & (c < cut[f"{name}_high"])
 
     rule = {
-        "loyal customers": (f >= cut["frequency"]["high"]) & (m >= cut["monetary"]["high"]),
-        "regular customers": between(f, cut["frequency"]) | between(m, cut["monetary"]),
-        "at-risk customers": (r >= cut["recency"]["high"]) | (f <= cut["frequency"]["low"]),
+        "loyal customers": (f >= cut["frequency_high"]) & (m >= cut["monetary_high"]),
+        "regular customers": between(f, "frequency") | between(m, "monetary"),
+        "at-risk customers": (r >= cut["recency_high"]) | (f <= cut["frequency_low"]),
     }
     if segment.lower() not in rule:
         raise ValueError(f"unknown segment: {segment}")
@@ -86,10 +84,18 @@ def segment_rows(df: DataFrame, segment: str, scores: DataFrame | None = None) -
 # ---- lifetime value ----
 
 
-def _lifetime_rows(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    base = base or customer_base(df)
-    whole = one_row(base.agg(F.sum("monetary").alias("total")))["total"]
-    cut = one_row(exact_quantiles(base, "monetary", {"q25": 0.25, "q75": 0.75}))
+def _lifetime_cuts(base: DataFrame, summary: bool = False) -> dict:
+    """Sum, size and quartiles of the customers' values; for a summary also the median and the least value of the best fifth."""
+    whole = one_row(base.agg(F.sum("monetary").alias("total"), long_count().alias("n")))
+    wanted = {"q25": 0.25, "q75": 0.75}
+    if summary:
+        whole["best"] = max(1, int(whole["n"] * 0.2))
+        wanted |= {"median": 0.5, "fifth": (whole["n"] - whole["best"]) / max(1, whole["n"] - 1)}
+    return whole | one_row(exact_quantiles(base, "monetary", wanted))
+
+
+def _lifetime_rows(base: DataFrame, cut: dict) -> DataFrame:
+    whole = cut["total"]
     days = whole_days(F.col("last_purchase"), F.col("first_purchase"))
     clv = F.col("monetary")
     return base.select(
@@ -114,36 +120,50 @@ def _best_first() -> list[Column]:
 
 def lifetime_value(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """Full customer table with rank, share and value tier."""
-    return global_rank(_lifetime_rows(df, base), _best_first())
+    base = base or customer_base(df)
+    return global_rank(_lifetime_rows(base, _lifetime_cuts(base)), _best_first())
 
 
 def lifetime_top(df: DataFrame, n: int = 10) -> DataFrame:
-    """The best customers (1 to 100); needs no rank of all the others."""
-    return top_n(_lifetime_rows(df), _best_first(), max(1, min(n, 100)))
+    """The best customers (1 to 100): cut to ``n`` rows before anything is derived from them, no rank of all the others."""
+    base = customer_base(df)
+    n = max(1, min(n, 100))
+    best = base.orderBy(F.col("monetary").desc(), F.col("customer_id")).limit(n)
+    return top_n(_lifetime_rows(best, _lifetime_cuts(base)), _best_first(), n)
 
 
 def lifetime_tier(df: DataFrame, tier: str) -> DataFrame:
-    return lifetime_value(df).where(F.col("tier") == tier)
+    """The customers of one value tier; only they are ranked, behind the number of customers in the tiers above."""
+    base = customer_base(df)
+    cut = _lifetime_cuts(base)
+    rows = _lifetime_rows(base, cut)
+    above = {"high": [], "medium": ["high"], "low": ["high", "medium"]}.get(tier, [])
+    before = rows.where(F.col("tier").isin(above)).count() if above else 0
+    ranked = global_rank(rows.where(F.col("tier") == tier), _best_first())
+    return ranked.withColumn("rank", F.col("rank") + F.lit(before))
 
 
 def lifetime_summary(df: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    """Totals, spread, the best fifth and the size of the value tiers."""
-    table = lifetime_value(df, base)
-    n = table.count()
-    best = max(1, int(n * 0.2))
-    median = one_row(exact_quantiles(table, "clv", {"m": 0.5}))["m"]
-    clv, top = F.col("clv"), F.when(F.col("rank") <= best, F.col("clv"))
-    return table.agg(
+    """Totals, spread, the best fifth and the size of the value tiers.
+
+    The best fifth's revenue needs no rank: values above its least value, and that value as often as is left."""
+    base = base or customer_base(df)
+    cut = _lifetime_cuts(base, summary=True)
+    best, least = cut["best"], F.lit(cut["fifth"]).cast("double")
+    clv = F.col("clv")
+    above = clv > least
+    top = zero_if_null(F.sum(F.when(above, clv))) + (F.lit(best) - F.count_if(above)) * least
+    return _lifetime_rows(base, cut).agg(
         long_count().alias("total_customers"),
         F.sum(clv).alias("total_clv"),
         F.avg(clv).alias("average_clv"),
-        F.lit(median).cast("double").alias("median_clv"),
+        F.lit(cut["median"]).cast("double").alias("median_clv"),
         F.max(clv).alias("max_clv"),
         F.min(clv).alias("min_clv"),
         F.stddev_samp(clv).alias("std_clv"),
         F.lit(best).cast("bigint").alias("top_20_pct_count"),
-        F.sum(top).alias("top_20_pct_revenue"),
-        zero_if_null(percent(F.sum(top), F.sum(clv))).alias("top_20_pct_contribution"),
+        top.alias("top_20_pct_revenue"),
+        zero_if_null(percent(top, F.sum(clv))).alias("top_20_pct_contribution"),
         F.count_if(F.col("tier") == "high").alias("high_value"),
         F.count_if(F.col("tier") == "medium").alias("medium_value"),
         F.count_if(F.col("tier") == "low").alias("low_value"),

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions.edge import long_count, percent, ratio, zero_if_null
 from ..session import materialize, write_once
 from .clean import clean_regions
-from .scale import exact_quantiles, global_rank, one_row, top_n
+from .scale import column_quantiles, exact_quantiles, global_rank, one_row, top_n
 
 # Texts read as "this row was on promotion".
 PROMO_WORDS = ("true", "t", "yes", "y", "1", "promo", "promotion")
@@ -76,8 +76,12 @@ def geography_summary(df: DataFrame, emerging_above: float = 30.0, **cols) -> Da
 # ---- products ----
 
 
-def product_performance(df: DataFrame, product: str = "product", amount: str = "total_amount") -> DataFrame:
+def product_performance(df: DataFrame, **cols) -> DataFrame:
     """Per product: sales figures, share, growth score, quadrant by the upper quartiles, rank."""
+    return global_rank(_product_rows(df, **cols), [F.col("total_sales").desc(), F.col("product")])
+
+
+def _product_rows(df: DataFrame, product: str = "product", amount: str = "total_amount") -> DataFrame:
     a = F.col(amount)
     base = write_once(
         df.where(F.col(product).isNotNull())
@@ -92,32 +96,35 @@ def product_performance(df: DataFrame, product: str = "product", amount: str = "
         )
     )
     whole = one_row(base.agg(F.sum("total_sales").alias("t")))["t"]
-    volume = one_row(exact_quantiles(base, "total_sales", {"q": 0.75}))["q"]
-    value = one_row(exact_quantiles(base, "avg_order_value", {"q": 0.75}))["q"]
-    busy, dear = F.col("total_sales") > F.lit(volume), F.col("avg_order_value") > F.lit(value)
-    scored = base.select(
+    cut = one_row(column_quantiles(base, {"total_sales": {"volume": 0.75}, "avg_order_value": {"value": 0.75}}))
+    busy, dear = F.col("total_sales") > F.lit(cut["volume"]), F.col("avg_order_value") > F.lit(cut["value"])
+    return base.select(
         "*",
         zero_if_null(percent(F.col("total_sales"), F.lit(whole))).alias("market_share_pct"),
         (F.col("transaction_count") * F.col("avg_order_value") / 100).alias("growth_score"),
         F.when(busy & dear, "Star").when(busy, "Workhorse").when(dear, "Premium").otherwise("Standard").alias("quadrant"),
     )
-    return global_rank(scored, [F.col("total_sales").desc(), F.col("product")])
 
 
 def product_summary(df: DataFrame, **cols) -> DataFrame:
     """Totals, the best product and the size of every quadrant."""
-    return product_performance(df, **cols).agg(
+    return _product_rows(df, **cols).agg(
         long_count().alias("total_products"),
         F.sum("total_sales").alias("total_revenue"),
         F.avg("total_sales").alias("avg_product_revenue"),
-        F.min_by("product", "rank").alias("top_product"),
+        F.min_by("product", F.struct(-F.col("total_sales"), F.col("product"))).alias("top_product"),
         F.max("total_sales").alias("top_product_revenue"),
         *[F.count_if(F.col("quadrant") == q).alias(f"{q.lower()}_products") for q in ("Star", "Workhorse", "Premium", "Standard")],
     )
 
 
 def products_in(df: DataFrame, quadrant: str, **cols) -> DataFrame:
-    return product_performance(df, **cols).where(F.col("quadrant") == quadrant)
+    """The products of one quadrant. Those of large volume come before all others, so only one of the two halves is ranked."""
+    rows, busy = _product_rows(df, **cols), F.col("quadrant").isin("Star", "Workhorse")
+    large = quadrant in ("Star", "Workhorse")
+    before = 0 if large else rows.where(busy).count()
+    ranked = global_rank(rows.where(busy if large else ~busy), [F.col("total_sales").desc(), F.col("product")])
+    return ranked.withColumn("rank", F.col("rank") + F.lit(before)).where(F.col("quadrant") == quadrant)
 
 
 def performance_score(df: DataFrame, dim: str, amount: str = "total_amount") -> DataFrame:
@@ -196,6 +203,9 @@ def promo_impact(df: DataFrame, promo: str | None = None, amount: str = "total_a
 
 # ---- baskets ----
 
+#: Items of one range of ``pair_counts``.
+RANGE_ITEMS = 256
+
 
 def basket_items(df: DataFrame, item: str, basket: str) -> DataFrame:
     """Distinct (basket, item); made once, since three steps read it."""
@@ -218,26 +228,31 @@ def frequent_items(baskets: DataFrame, min_support: float = 0.02) -> tuple[DataF
     return materialize(counted), total
 
 
-def pair_counts(baskets: DataFrame, items: DataFrame) -> DataFrame:
+def pair_counts(baskets: DataFrame, items: DataFrame, width: int = RANGE_ITEMS) -> DataFrame:
     """In how many baskets two frequent items meet (a < b).
 
-    A basket shrinks to its set of frequent items on the map side, and equal
-    sets are counted once. There are at most (items per basket / min_support)
-    frequent items, so a basket of any size is a short array, and pairs are
-    made per distinct set and summed before they are shuffled.
+    Items are dealt into ranges of about ``width`` by a hash. A basket becomes one short set per range it touches, and one
+    row per pair of such ranges; equal rows are counted once. Rows of a pair of ranges are brought together (of few ranges into several
+    parts each), so a task counts few different pairs at a time and no row is longer than two sets, however large a
+    basket is. Pairs are summed before they are shuffled again.
     """
-    sets = (
-        baskets.join(items, "item", "left_semi")
-        .groupBy("basket")
-        .agg(F.sort_array(F.collect_set("item")).alias("set"))
-        .where(F.size("set") >= 2)
-        .groupBy("set")
-        .agg(long_count().alias("baskets"))
-    )
+    ranges = max(1, -(-items.count() // width))
+    parts = max(1, int(baskets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = items.select("item", F.pmod(F.xxhash64("item"), F.lit(ranges)).cast("int").alias("r"))
+    sets = baskets.join(dealt, "item").repartition("basket").groupBy("basket", "r").agg(F.sort_array(F.collect_set("item")).alias("set"))
+    if ranges > 1:
+        other = sets.select(F.col("basket").alias("__basket"), F.col("r").alias("s"), F.col("set").alias("other"))
+        met = sets.join(other, (F.col("basket") == F.col("__basket")) & (F.col("r") <= F.col("s")))
+    else:
+        met = sets.withColumns({"s": F.col("r"), "other": F.col("set")})
+    spread = max(1, 2 * parts // (ranges * (ranges + 1)))
+    met = met.where((F.col("r") < F.col("s")) | (F.size("set") >= 2)).withColumn("part", F.pmod(F.xxhash64("set", "other"), F.lit(spread)))
+    rows = met.repartition("r", "s", "part").groupBy("r", "s", "part", "set", "other").agg(long_count().alias("baskets"))
+    first = rows.select("baskets", "r", "s", "other", F.posexplode("set").alias("i", "x"))
+    behind = F.when(F.col("r") == F.col("s"), F.slice("other", F.col("i") + 2, F.size("other"))).otherwise(F.col("other"))
+    pairs = first.select("baskets", "x", F.explode(behind).alias("y"))
     return (
-        sets.select("baskets", "set", F.posexplode("set").alias("i", "product_a"))
-        .select("baskets", "product_a", F.explode(F.slice("set", F.col("i") + 2, F.size("set"))).alias("product_b"))
-        .groupBy("product_a", "product_b")
+        pairs.groupBy(F.least("x", "y").alias("product_a"), F.greatest("x", "y").alias("product_b"))
         .agg(F.sum("baskets").alias("co_purchase_count"))
     )
 

@@ -161,14 +161,15 @@ def json_safe_rows(spark, folder):
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS position FROM orders) WHERE position <= 5"""
 )
 def run_history_last5(spark, folder):
-    path = scratch_path(spark, "runs")
     history = table(spark, folder, "orders").select(
         F.col("o_custkey").cast("string").alias("user"), F.to_date("o_orderdate").alias("analyzed_at"),
         F.col("o_orderkey").alias("run_id"), F.col("o_totalprice").alias("total_revenue"),
     )
-    sinks.append_run(history.where(F.col("total_revenue") < 250000), path)
-    sinks.append_run(history.where(F.col("total_revenue") >= 250000), path)
-    return sinks.recent_runs(spark.read.parquet(path), ties=("run_id",))
+    runs = sinks.run_history(spark, scratch_path(spark, "runs"), history.schema, ties=("run_id",))
+    runs.append(history.where(F.col("total_revenue") < 250000))
+    runs.compact()
+    runs.append(history.where(F.col("total_revenue") >= 250000))
+    return sinks.recent_runs(runs.read(), ties=("run_id",))
 
 
 @query("SELECT o_orderkey AS report_id, CAST(o_orderdate AS DATE) AS created_at FROM orders")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.scale import first_per_group
+from .versions import FoldedTable
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -96,7 +97,7 @@ def _pairs(c: Column, kind: T.DataType, key: Column, depth: int) -> Column:
 
 
 def append_run(df: DataFrame, path: str) -> None:
-    """Append summary rows (user, analyzed_at, ...) to the history table."""
+    """Append summary rows (user, analyzed_at, ...) to a plain table, which grows with every run; ``run_history`` does not."""
     df.write.mode("append").parquet(path)
 
 
@@ -106,5 +107,10 @@ def recent_runs(history: DataFrame, keep: int = 5, ties: tuple[str, ...] = ()) -
     return first_per_group(history, ["user"], order, keep, "position").withColumn("position", F.col("position").cast("bigint"))
 
 
+def run_history(spark: SparkSession, path: str, schema: T.StructType, keep: int = 5, ties: tuple[str, ...] = ()) -> FoldedTable:
+    """The history of runs as a table that keeps ``keep`` runs of a user: append runs to it, read it at any time, compact it now and then."""
+    return FoldedTable(spark, path, schema, lambda runs: recent_runs(runs, keep, ties).drop("position"))
+
+
 def report_history(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).orderBy(F.col("created_at").desc())

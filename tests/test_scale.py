@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.edge import edge_round
-from ledgerlens.operators.scale import exact_quantiles, first_per_group, global_rank, running_totals, top_n
+from ledgerlens.operators import scale
+from ledgerlens.operators.scale import column_quantiles, exact_quantiles, first_per_group, global_rank, running_totals, top_n
 from ledgerlens.session import materialize, scratch_root
 
 PROBS = {"q0": 0.0, "q10": 0.1, "q33": 0.33, "q50": 0.5, "q66": 0.66, "q75": 0.75, "q100": 1.0}
@@ -102,3 +103,33 @@ def test_rounding_is_half_away_from_zero(spark):
     df = spark.createDataFrame([(12.34497, 79.9497, -12.345, 12.345, 0.1 + 0.2)], "a double, b double, c double, d double, e double")
     got = df.select(edge_round("a"), edge_round("b", 1), edge_round("c"), edge_round("d"), edge_round("e", 4)).first()
     assert tuple(got) == (12.34, 79.9, -12.35, 12.35, 0.3)
+
+
+@pytest.mark.parametrize("by", [(), ("g",)])
+def test_quantiles_narrow_their_brackets(spark, by):
+    """Columns of 40 000 values, brackets that may hold 300 of them: several passes, same answer."""
+    rng = np.random.default_rng(8)
+    a, b = np.exp(rng.normal(0, 5, 40_000)), np.where(np.arange(40_000) % 2 == 0, 3.0, rng.integers(0, 9000, 40_000))
+    df = spark.createDataFrame([(int(k % 3 == 0), float(x), float(y)) for k, (x, y) in enumerate(zip(a, b))], "g int, a double, b double")
+    wanted = {"a": {"a10": 0.1, "a50": 0.5}, "b": {"b40": 0.4, "b99": 0.99}}
+    for r in column_quantiles(df, wanted, by, keep=300).collect():
+        own = np.arange(40_000) % 3 == 0 if by and r.g else np.arange(40_000) % 3 != 0 if by else np.full(40_000, True)
+        want = [np.quantile(a[own], 0.1), np.quantile(a[own], 0.5), np.quantile(b[own], 0.4), np.quantile(b[own], 0.99)]
+        assert np.allclose([r.a10, r.a50, r.b40, r.b99], want, rtol=1e-12)
+
+
+@pytest.mark.parametrize("by", [(), ("g",)])
+def test_a_bracket_that_misses_its_rank_is_widened(spark, monkeypatch, by):
+    """Sketches so small, with no slack, that ranks fall outside: the counts notice and the answer stays exact."""
+    monkeypatch.setattr(scale, "SKETCH_SIZE", 8)
+    monkeypatch.setattr(scale, "SLACK", 0.0)
+    values = np.random.default_rng(9).normal(0, 1, 20_000)
+    df = spark.createDataFrame([(1, float(x)) for x in values], "g int, v double")
+    found = column_quantiles(df, {"v": PROBS}, by).select(*PROBS).first()
+    assert np.allclose(list(found), [np.quantile(values, p) for p in PROBS.values()], rtol=1e-12)
+
+
+def test_quantiles_of_a_group_without_values(spark):
+    df = spark.createDataFrame([("a", None, 1.0), ("a", None, 3.0), ("b", 2.0, None)], "k string, x double, y double")
+    found = {r.k: (r.x, r.y) for r in column_quantiles(df, {"x": {"x": 0.5}, "y": {"y": 0.5}}, ["k"]).collect()}
+    assert found == {"a": (None, 2.0), "b": (2.0, None)}
