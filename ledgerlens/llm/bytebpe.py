@@ -7,6 +7,7 @@ the string of a special token, go to the library whole.
 
 from __future__ import annotations
 
+import os
 import unicodedata
 from functools import lru_cache
 
@@ -19,7 +20,8 @@ KNOWN = 0x250
 GAP, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: The endings that the pattern keeps with their apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
-REMEMBERED = 1 << 20
+#: Words that a task remembers before it starts anew, and the size of the table that finds them.
+REMEMBERED, TABLE_BITS = 1 << 20, 22
 
 _KIND = np.array([{"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], OTHER) for c in range(KNOWN)], np.int8)
 _KIND[[9, 10, 11, 12, 13, 32, 0x85, 0xA0]] = GAP
@@ -58,38 +60,87 @@ def cuts(codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts)
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one range after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class Encoder:
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        spelled = self.library.get_vocab()
+        self.bytes_of = np.zeros(max(spelled.values()) + 1, np.int64)
+        for token, k in spelled.items():
+            self.bytes_of[k] = len(token)  # a character of a token stands for a byte
         self.forget()
 
     def forget(self) -> None:
-        self.units = np.zeros(0, np.uint64)
+        """Remembered words: a table of places by the leading bits of a word's hash, and for each place its hash and ids."""
+        self.table = np.full(1 << TABLE_BITS, -1, np.int32)
+        self.known = np.zeros(0, np.uint64)
         self.unit_at, self.unit_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.unit_ids = np.zeros(0, np.int32)
 
     def _library_ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def _places(self, units: np.ndarray, spelled) -> np.ndarray:
-        if len(self.units) > REMEMBERED:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]  # without offsets
+
+    def _new_ids(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words given by their code points one after another, and how many each has.
+
+        Words of a space and letters are cut at their spaces again when they are joined, so they go to the library as one
+        text; the bytes that ids stand for tell which ids are whose.
+        """
+        starts = np.cumsum(sizes) - sizes
+        letters = np.add.reduceat(_KIND[codes] == LETTER, starts, dtype=np.int64)
+        joins = (codes[starts] == 32) & (letters == sizes - 1) & (sizes > 1)
+        counts, ids, where = np.zeros(len(sizes), np.int64), [], np.zeros(len(sizes), np.int64)
+        total = 0
+        if joins.any():
+            own = codes[np.repeat(joins, sizes)]
+            found = np.array(self._library_ids([own.tobytes().decode("utf-32-le")])[0], np.int32)
+            token_ends = np.cumsum(self.bytes_of[found])
+            word_ends = np.cumsum(np.where(own < 0x80, 1, 2))[np.cumsum(sizes[joins]) - 1]
+            last = np.searchsorted(token_ends, word_ends)
+            if last[-1] >= len(found) or (token_ends[last] != word_ends).any():
+                joins[:] = False  # not this vocabulary's way of cutting words
+            else:
+                counts[joins] = np.diff(np.concatenate([[-1], last]))
+                where[joins] = last + 1 - counts[joins]
+                ids, total = [found], len(found)
+        text = codes.tobytes().decode("utf-32-le")
+        alone = np.flatnonzero(~joins)
+        found = self._library_ids([text[a : a + n] for a, n in zip(starts[alone].tolist(), sizes[alone].tolist())])
+        counts[alone] = [len(x) for x in found]
+        where[alone] = total + np.cumsum(counts[alone]) - counts[alone]
+        ids.append(np.fromiter((i for x in found for i in x), np.int32, int(counts[alone].sum())))
+        return np.concatenate(ids)[_ranges(where, counts)], counts
+
+    def _places(self, hashed: np.ndarray, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The remembered place of each word, after encoding those that are new."""
+        if len(self.known) > REMEMBERED:
             self.forget()
-        at = np.searchsorted(self.units, units)
-        known = at < len(self.units)
-        known[known] = self.units[at[known]] == units[known]
-        new = np.flatnonzero(~known)
-        if len(new):
-            found = self._library_ids([spelled(k) for k in new])
-            size = np.array([len(x) for x in found], np.int64)
-            where = len(self.unit_ids) + np.cumsum(size) - size
-            self.unit_ids = np.concatenate([self.unit_ids, np.fromiter((i for x in found for i in x), np.int32, int(size.sum()))])
-            self.units = np.insert(self.units, at[new], units[new])
-            self.unit_at = np.insert(self.unit_at, at[new], where)
-            self.unit_size = np.insert(self.unit_size, at[new], size)
-        return np.searchsorted(self.units, units)
+        slots = hashed >> np.uint64(64 - TABLE_BITS)
+        place = self.table[slots]
+        missed = np.flatnonzero(place < 0)
+        if len(self.known):
+            missed = np.flatnonzero((place < 0) | (self.known[place] != hashed))
+        if len(missed):
+            new, first, which = np.unique(hashed[missed], return_index=True, return_inverse=True)
+            first = missed[first]
+            ids, counts = self._new_ids(codes[_ranges(starts[first], sizes[first])], sizes[first])
+            before = len(self.known)
+            place[missed] = before + which
+            self.table[slots[first]] = before + np.arange(len(new))
+            self.known = np.concatenate([self.known, new])
+            self.unit_at = np.concatenate([self.unit_at, len(self.unit_ids) + np.cumsum(counts) - counts])
+            self.unit_size = np.concatenate([self.unit_size, counts])
+            self.unit_ids = np.concatenate([self.unit_ids, ids])
+        return place
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text (plus one) begins."""
@@ -109,22 +160,18 @@ class Encoder:
         parts: dict[int, np.ndarray] = {}
         ids = np.zeros(0, np.int32)
         if len(plain):
-            keep = np.repeat((size > 0) & ~whole, size)
-            codes = codes[keep]
+            if whole.any():
+                codes = codes[np.repeat(~whole, size)]
             begins = np.cumsum(size[plain]) - size[plain]
             starts = cuts(codes, begins)
             length = np.diff(np.append(starts, len(codes)))
             sums = np.zeros(len(codes) + 1, np.uint64)
             np.cumsum(words._VALUES_WIDE[codes] * words.powers(len(codes)), out=sums[1:])
             hashed = words.mix((sums[starts + length] - sums[starts]) * words.powers(len(codes), True)[starts] + length.astype(np.uint64))
-            units, first, unit = np.unique(hashed, return_index=True, return_inverse=True)
-            joined = codes.tobytes().decode("utf-32-le") if len(plain) < len(size) else text
-            at, long = starts[first].tolist(), length[first].tolist()
-            place = self._places(units, lambda k: joined[at[k] : at[k] + long[k]])[unit]
+            place = self._places(hashed, codes, starts, length)
             many = self.unit_size[place]
-            ends = np.cumsum(many)
-            ids = self.unit_ids[np.repeat(self.unit_at[place] - (ends - many), many) + np.arange(ends[-1])]
-            text_at = np.concatenate([[0], ends])[np.searchsorted(starts, np.append(begins, len(codes)))]
+            ids = self.unit_ids[_ranges(self.unit_at[place], many)]
+            text_at = np.concatenate([[0], np.cumsum(many)])[np.searchsorted(starts, np.append(begins, len(codes)))]
             counts[plain] = np.diff(text_at)
         odd = np.flatnonzero(whole)
         if len(odd):

@@ -18,26 +18,29 @@ from .pieces import model_path
 MODEL = "byte_bpe_50k.json"
 END = 0
 SHARD_IDS = 1 << 20
-ROUNDS = 6
+#: Pairs that a round replaces at most, and how often a pair must occur. Rounds go on until no pair occurs so often.
 PAIRS = 4096
 LEAST = 8
+SLOT_BITS = 18
 SCHEMA = (
     "part int, shard int, before long, n_ids long, base int, doc_ids binary, doc_starts binary, rules binary, lengths binary, body binary"
 )
 
 
-def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+
+
+def compress(ids: np.ndarray, base: int, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(body, rules, lengths)``: ids with frequent pairs replaced by nonterminals ``base``, ``base + 1``, ...
 
     Each round counts all pairs of neighbours and takes the most frequent ones (at least ``least`` times, at most ``pairs`` of
     them) that cannot overlap: none ends with the symbol another one begins with. All their occurrences are replaced at once; of a
-    run of one symbol every second pair. ``lengths`` says how many ids a nonterminal stands for.
+    run of one symbol every second pair. The last round is the one that finds no such pair. ``lengths`` says how many ids a nonterminal stands for.
     """
     body = ids.astype(np.int64)
     rules, lengths = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-    for _ in range(rounds):
-        if len(body) < 2:
-            break
+    while len(body) > 1:
         keys = body[:-1] << 32 | body[1:]
         ordered = np.sort(keys)
         edge = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
@@ -57,7 +60,12 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIR
                 break
         if not chosen:
             break
-        chosen = np.sort(np.array(chosen, np.int64))
+        chosen = np.array(chosen, np.int64)
+        slot = _slots(chosen)
+        table = np.full(1 << SLOT_BITS, -1, np.int32)
+        table[slot] = np.arange(len(chosen))
+        chosen = chosen[table[slot] == np.arange(len(chosen))]  # of pairs with one slot the others wait for the next round
+        table[_slots(chosen)] = np.arange(len(chosen))
         first = base + len(rules)
         new = np.stack([chosen >> 32, chosen & 0xFFFFFFFF], axis=1)
         spans = np.concatenate([np.ones(base, np.int64), lengths])
@@ -66,8 +74,8 @@ def compress(ids: np.ndarray, base: int, rounds: int = ROUNDS, pairs: int = PAIR
         begins = np.zeros(first, bool)
         begins[new[:, 0]] = True
         at = np.flatnonzero(begins[body[:-1]])
-        place = np.minimum(np.searchsorted(chosen, keys[at]), len(chosen) - 1)
-        hit = chosen[place] == keys[at]
+        place = table[_slots(keys[at])]
+        hit = (place >= 0) & (chosen[place] == keys[at])
         at, place = at[hit], place[hit]
         doubled = new[place, 0] == new[place, 1]
         if doubled.any():
