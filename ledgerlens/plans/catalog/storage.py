@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ...operators import kpi, profile
 from ...session import scratch_path
@@ -40,6 +41,42 @@ def roundtrip_json(spark, folder):
     )
 
 
+TRICKY_SQL = """'{"a}[' || o_orderpriority || '\\"]' || chr(10) || 'é'"""
+
+
+@query(f"SELECT o_orderkey, o_totalprice, {TRICKY_SQL} AS note, [o_custkey, o_orderkey] AS keys FROM orders")
+def roundtrip_json_array(spark, folder):
+    """Files that each hold one array of records, with braces, quotes and escapes in their texts, read in parallel parts."""
+    path = scratch_path(spark, "orders-array") + ".json"
+    note = F.concat(F.lit('{"a}['), "o_orderpriority", F.lit('\\"]\né'))
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", note.alias("note"), F.array("o_custkey", "o_orderkey").alias("keys"))
+    dealt = orders.select(F.pmod(F.xxhash64("o_orderkey"), F.lit(64)).alias("part"), "o_orderkey", F.to_json(F.struct(*orders.columns)).alias("record"))
+    order = W.partitionBy("part").orderBy("o_orderkey")
+    first, last = F.row_number().over(order) == 1, F.lead("o_orderkey").over(order).isNull()
+    line = F.concat(F.when(first, "[").otherwise(""), "record", F.when(last, "]").otherwise(","))
+    dealt.select("part", line.alias("line")).write.partitionBy("part").text(path)
+    return readers.read_dataset(spark, path).select(*orders.columns)
+
+
+@query("SELECT c_custkey, c_name || ' Müller' || CASE WHEN c_custkey % 7 = 0 THEN chr(65533) ELSE '' END AS name FROM customer")
+def roundtrip_utf8(spark, folder):
+    """A UTF-8 file in which the replacement character itself occurs."""
+    path = scratch_path(spark, "names") + ".csv"
+    mark = F.when(F.col("c_custkey") % 7 == 0, F.lit("\ufffd")).otherwise("")
+    rows = table(spark, folder, "customer").select("c_custkey", F.concat("c_name", F.lit(" Müller"), mark).alias("name"))
+    sinks.write_csv(rows, path)
+    return readers.read_dataset(spark, path).select(F.col("c_custkey").cast("long").alias("c_custkey"), "name")
+
+
+@query("SELECT c_custkey, c_name || ' ' || chr(8364) || 'ü' AS \"größe\" FROM customer")
+def roundtrip_cp1252(spark, folder):
+    """A Windows-1252 file: bytes that are controls in Latin-1."""
+    path = scratch_path(spark, "names-1252") + ".csv"
+    rows = table(spark, folder, "customer").select("c_custkey", F.concat("c_name", F.lit(" \x80ü")).alias("größe"))
+    rows.write.options(header=True, encoding="ISO-8859-1").csv(path)  # the byte 80 is the euro sign in Windows-1252
+    return readers.read_dataset(spark, path).select(F.col("c_custkey").cast("long").alias("c_custkey"), "größe")
+
+
 @query(ORDERS_SQL)
 def roundtrip_parquet(spark, folder):
     path = scratch_path(spark, "orders")
