@@ -9,20 +9,21 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import words
 from .common import texts
 
 MODEL = "piece_bpe_32k.model"
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 18
+#: A unit of more characters is segmented alone, in stretches of as many ends.
+LONG = 1 << 16
 #: The escaped space of the piece format, and a stand-in for that character in a text.
 SPACE, LITERAL = 0x2581, 0x110000
 LINE_END = 10
 #: A character without a piece costs this much more than the worst ordinary piece.
 UNKNOWN_PENALTY = 10.0
 #: Units whose pieces a task remembers before it starts anew.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 
 
 def model_path(name: str = MODEL) -> str:
@@ -149,21 +150,94 @@ class Pieces:
         row, end, ids = (np.concatenate(x) for x in zip(*found))
         order = np.lexsort((end, row))
         row, end, ids = row[order], end[order], ids[order]
+        ids, repeats = self._with_bytes(ids, codes[row, end - 1])
+        return ids, np.bincount(np.repeat(row, repeats), minlength=rows)
+
+    def viterbi_long(self, codes: np.ndarray) -> np.ndarray:
+        """Ids of one long unit, as ``viterbi`` finds them. What is kept for the whole unit is a byte per character, the length of
+        the last piece; sums of scores are kept for the ends of one stretch, whose substrings are hashed anew."""
+        length, width = len(codes), self.longest
+        step = np.zeros(length + 1, np.uint8)
+        best = [-np.inf] * width  # of the last ends, the newest last
+        best[-1] = 0.0
+        for first in range(0, length, LONG):
+            last = min(first + LONG, length)
+            gain = np.full((last - first, width), -np.inf)
+            gain[:, -1] = self.worst
+            for n, at, scores, _ in self._found(codes, first, last):
+                gain[at, -n] = scores
+            for k, own in enumerate(row for a in range(0, last - first, 4096) for row in gain[a : a + 4096].tolist()):
+                chosen, size = -np.inf, 1
+                for back in range(width):  # the longest first
+                    reached = best[k + back] + own[back]
+                    if reached > chosen:
+                        chosen, size = reached, width - back
+                best.append(chosen)
+                step[first + k + 1] = size
+            best = best[-width:]
+        ends = np.zeros(length + 1, np.uint8)
+        at, sizes = length, step.tobytes()
+        while at:
+            ends[at] = sizes[at]
+            at -= sizes[at]
+        out = []
+        for first in range(0, length, LONG):
+            last = min(first + LONG, length)
+            named = np.full(last - first, -1, np.int32)
+            for n, at, _, ids in self._found(codes, first, last):
+                own = ends[first + 1 : last + 1][at] == n
+                named[at[own]] = ids[own]
+            used = np.flatnonzero(ends[first + 1 : last + 1])
+            out.append(self._with_bytes(named[used], codes[first + used])[0])
+        return np.concatenate(out)
+
+    def _found(self, codes: np.ndarray, first: int, last: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """``(length, places, scores, ids)`` of the pieces that end behind the characters ``first`` to ``last`` (excluded), for each length of pieces."""
+        begin = max(0, first - self.longest + 1)
+        own = codes[begin:last]
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_code_value(own) * words.powers(len(own)), dtype=np.uint64)])
+        back = words.powers(len(own) + 1, True)
+        for n in range(1, min(self.longest, len(own)) + 1):
+            if self.by_length[n] is None:
+                continue
+            keys, ids, scores = self.by_length[n]
+            asked = (sums[n:] - sums[:-n]) * back[: len(sums) - n]
+            at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == asked)
+            place = hit + n - 1 + begin - first  # the last character of the piece
+            hit, place = hit[place >= 0], place[place >= 0]
+            yield n, place, scores[at[hit]], ids[at[hit]]
+
+    def _with_bytes(self, ids: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``ids`` with the byte pieces of their character (``codes``) for those below 0, and how often each was repeated for that."""
         unknown = np.flatnonzero(ids < 0)
+        repeats = np.ones(len(ids), np.int64)
         if len(unknown):
-            bytes_of = [chr(SPACE if c == LITERAL else c).encode("utf-8", "surrogatepass") for c in codes[row[unknown], end[unknown] - 1]]
-            repeats = np.ones(len(ids), np.int64)
+            bytes_of = [chr(SPACE if c == LITERAL else c).encode("utf-8", "surrogatepass") for c in codes[unknown].tolist()]
             repeats[unknown] = [len(b) for b in bytes_of]
             starts = np.cumsum(repeats) - repeats
-            ids, row = np.repeat(ids, repeats), np.repeat(row, repeats)
+            ids = np.repeat(ids, repeats)
             for u, b in zip(starts[unknown], bytes_of):
                 ids[u : u + len(b)] = self.byte_ids[list(b)]
-        return ids, np.bincount(row, minlength=rows)
+        return ids, repeats
+
+    def _units(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units that begin at ``starts``, one after another, and how many each has."""
+        length = np.diff(np.append(starts, len(codes)))
+        sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(_code_value(codes) * words.powers(len(codes)), out=sums[1:])
+        hashed = words.mix((sums[starts + length] - sums[starts]) * words.powers(len(codes), True)[starts] + length.astype(np.uint64))
+        units, first, unit = np.unique(hashed, return_index=True, return_inverse=True)
+        place = self.remember(units, starts[first], length[first], codes)
+        where, size = self.unit_at[place], self.unit_size[place]
+        counts = size[unit]
+        ends = np.cumsum(counts)
+        return self.unit_ids[np.repeat(where[unit] - (ends - counts), counts) + np.arange(ends[-1])], counts
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text (plus one) begins."""
         codes = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-        chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offsets]
+        chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32)])[offsets]
         full = np.flatnonzero(np.diff(chars))
         codes = np.where(codes == SPACE, np.uint32(LITERAL), np.where(codes == 32, np.uint32(SPACE), codes))
         codes = np.insert(codes, chars[:-1][full], SPACE)  # every text that is not empty begins with a space
@@ -179,22 +253,28 @@ class Pieces:
         opened[begins] = True
         starts = np.flatnonzero(opened)
         length = np.diff(np.append(starts, len(codes)))
-        sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(_code_value(codes) * words.powers(len(codes)), out=sums[1:])
-        hashed = words.mix((sums[starts + length] - sums[starts]) * words.powers(len(codes), True)[starts] + length.astype(np.uint64))
-        units, first, unit = np.unique(hashed, return_index=True, return_inverse=True)
-        place = self.remember(units, starts[first], length[first], codes)
-        ids, where, size = self.unit_ids, self.unit_at[place], self.unit_size[place]
-        counts = size[unit]
+        out, counts, at = [], np.zeros(len(starts), np.int64), 0
+        # stretches of whole units: a long unit alone, the others together
+        while at < len(starts):
+            if length[at] > LONG:
+                until = at + 1
+                out.append(self.viterbi_long(codes[starts[at] : starts[at] + length[at]]))
+                counts[at] = len(out[-1])
+            else:
+                until = int(np.searchsorted(starts, starts[at] + 4 * LONG, "right"))
+                long = np.flatnonzero(length[at:until] > LONG)
+                until = at + int(long[0]) if len(long) else until
+                end = starts[until] if until < len(starts) else len(codes)
+                ids, counts[at:until] = self._units(codes[starts[at] : end], starts[at:until] - starts[at])
+                out.append(ids)
+            at = until
         ends = np.cumsum(counts)
-        out = ids[np.repeat(where[unit] - (ends - counts), counts) + np.arange(ends[-1])]
         at_unit = np.concatenate([[0], ends])[np.searchsorted(starts, begins)]
         text_at = np.zeros(len(offsets), np.int64)
-        text_at[-1] = ends[-1]
         sizes = np.zeros(len(offsets) - 1, np.int64)
         sizes[full] = np.diff(np.append(at_unit, ends[-1]))
         text_at[1:] = np.cumsum(sizes)
-        return out, text_at
+        return np.concatenate(out), text_at
 
     def decode(self, ids: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 of all texts one after another, and where each begins; the space put before a text is taken off."""
@@ -249,41 +329,38 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     return encoded.select(encoded["doc_id"].cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[tuple]:
+    """``(doc ids, texts, where each begins, ids, where each begins, decoded texts, where each begins)`` of each slice."""
+    pieces = load(model_path(model))
+    for batch in batches:
+        for first, raw, offsets in words.slices(batch.column("text"), SLICE_BYTES):
+            ids, begins = pieces.encode(raw, offsets)
+            yield batch.column("doc_id").slice(first, len(offsets) - 1), raw, offsets, ids, begins, *pieces.decode(ids, begins)
+
+
 def token_digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """Encode and decode all documents: ``doc_id, n_ids, ids_crc32`` (of the ids as little-endian 32-bit integers) and
     ``decoded_sha256`` of the decoded text."""
+    import hashlib
     import zlib
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            begins = np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-            flat = np.ascontiguousarray(ids.flatten().to_numpy(zero_copy_only=False), "<u4")
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "n_ids": np.diff(begins),
-                    "ids_crc32": pa.array([zlib.crc32(flat[a:b]) for a, b in zip(begins[:-1], begins[1:])], pa.int64()),
-                    "text": batch.column("text"),
-                }
-            )
-
-    decoded = decode_documents(encode_documents(docs, model), model)
-    found = decoded.mapInArrow(digest, "doc_id long, n_ids long, ids_crc32 long, text string")
-    return found.select("doc_id", "n_ids", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_ids, _, _, ids, begins, back, text_at in _encoded(batches, model):
+            flat = np.ascontiguousarray(ids, "<u4")
+            crcs = pa.array([zlib.crc32(flat[a:b]) for a, b in zip(begins[:-1], begins[1:])], pa.int64())
+            digests = pa.array([hashlib.sha256(back[a:b]).hexdigest() for a, b in zip(text_at[:-1], text_at[1:])], pa.string())
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(begins), pa.int64()), crcs, digests], ["doc_id", "n_ids", "ids_crc32", "decoded_sha256"])
+
+    return texts(docs).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string")
 
 
 def checked_ids(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """``doc_id, n_ids, ids, exact`` per document: its ids, and whether they decode to its text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load(model_path(model))
-        for batch in batches:
-            for first, raw, offsets in words.slices(batch.column("text"), SLICE_BYTES):
-                ids, begins = pieces.encode(raw, offsets)
-                back, text_at = pieces.decode(ids, begins)
-                exact = [raw[a:b].tobytes() == back[c:d].tobytes() for a, b, c, d in zip(offsets, offsets[1:], text_at, text_at[1:])]
-                found = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids, pa.int32()))
-                own = batch.column("doc_id").slice(first, len(found))
-                yield pa.RecordBatch.from_arrays([own, pa.array(np.diff(begins), pa.int64()), found, pa.array(exact, pa.bool_())], ["doc_id", "n_ids", "ids", "exact"])
+        for doc_ids, raw, offsets, ids, begins, back, text_at in _encoded(batches, model):
+            exact = [raw[a:b].tobytes() == back[c:d].tobytes() for a, b, c, d in zip(offsets, offsets[1:], text_at, text_at[1:])]
+            found = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(begins), pa.int64()), found, pa.array(exact, pa.bool_())], ["doc_id", "n_ids", "ids", "exact"])
 
     return texts(docs).mapInArrow(run, "doc_id long, n_ids long, ids array<int>, exact boolean")

@@ -38,14 +38,20 @@ _VALUES_LOWER = _VALUES[_LOWER]
 _VALUES_WIDE = mix(np.arange(1, 0x251, dtype=np.uint64) * np.uint64(_ODD))  # of the code points below 0x250
 
 
-@lru_cache(maxsize=4)
-def _powers(bits: int, base: int) -> np.ndarray:
-    return np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full((1 << bits) - 1, base, np.uint64)]))
+KEPT_POWERS = 1 << 20
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, base, np.uint64)]))
+
+
+_kept_powers = lru_cache(maxsize=2)(_powers)
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
+    """Powers of the base (or of its inverse) from 0; a task keeps a table of one size, longer ones are made anew."""
     base = pow(_ODD, -1, 1 << 64) if inverse else _ODD
-    return _powers(max(20, int(n).bit_length()), base)[:n]
+    return _kept_powers(KEPT_POWERS, base)[:n] if n <= KEPT_POWERS else _powers(n, base)
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -90,6 +96,19 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     return mix((sums[ends] - sums[starts]) * powers(len(raw) + 1, True)[starts])
 
 
+def distinct_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The words found by ``bounds`` (with A-Z in lower case) as numbers of the different ones, those, and a hash of each; words are told
+    apart by their bytes."""
+    lengths = np.concatenate([[0], np.cumsum(ends - starts)])
+    spelled = _LOWER[raw[~gaps[raw]]]
+    found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(lengths), pa.py_buffer(spelled)).dictionary_encode()
+    terms = found.dictionary
+    if not len(terms):
+        return np.zeros(0, np.int32), terms, np.zeros(0, np.uint64)
+    at = np.frombuffer(terms.buffers()[1], np.int64)[terms.offset : terms.offset + len(terms) + 1]
+    return found.indices.to_numpy(), terms, word_hashes(np.frombuffer(terms.buffers()[2], np.uint8)[at[0] : at[-1]], at[:-1] - at[0], at[1:] - at[0])
+
+
 def shingles(hashes: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``width`` words, and for each text (plus one) the number of its first run.
 
