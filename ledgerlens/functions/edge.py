@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Decimals kept beyond the wanted ones before rounding: what partial sums added in another order leave lies below them.
+#: Decimals kept beyond the wanted ones at least, and kept in all for smaller values: what partial sums added in another order leave
+#: lies below them. So only that is cleared before the one rounding that shows.
 SPARE_DIGITS = 4
+CLEAR_DIGITS = ((1e2, 11), (1e4, 9))
 
 
 def edge_round(value: Column, digits: int = 2) -> Column:
-    """Round half away from zero for output."""
-    return F.round(F.round(value, digits + SPARE_DIGITS), digits)
+    """Round half away from zero for output; 12.3449996 is 12.34, and 12.345 less the last bits of a sum is 12.35."""
+    out = F.round(value, digits + SPARE_DIGITS)
+    for limit, kept in reversed(CLEAR_DIGITS):
+        out = F.when(F.abs(value) < limit, F.round(value, max(kept, digits + SPARE_DIGITS))).otherwise(out)
+    return F.round(out, digits)
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

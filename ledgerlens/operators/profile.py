@@ -107,21 +107,22 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def quality_score(df: DataFrame) -> DataFrame:
-    """100 - missing % - duplicate %, kept within 0..100. One pass serves both parts."""
+    """100 - missing % - duplicate %, kept within 0..100, from the shares before they are rounded. One pass serves both parts."""
     missing = reduce(lambda a, b: a + b, [F.when(_missing(f), 1).otherwise(0) for f in df.schema.fields])
     width = len(df.columns)
-    return _counted_rows(df.withColumn("__missing", missing)).agg(
+    shares = _counted_rows(df.withColumn("__missing", missing)).agg(
         F.coalesce(F.sum("__n"), F.lit(0)).alias("row_count"),
         F.lit(width).cast("bigint").alias("column_count"),
-        edge_round(zero_if_null(percent(F.sum(F.col("__missing") * F.col("__n")), F.sum("__n") * width)), 2).alias("missing_pct"),
-        edge_round(zero_if_null(percent(F.sum(F.col("__n") - 1), F.sum("__n"))), 2).alias("duplicate_pct"),
-    ).withColumn(
-        "quality_score",
-        F.greatest(
-            F.lit(0.0),
-            F.least(F.lit(100.0), edge_round(F.lit(100.0) - F.col("missing_pct") - F.col("duplicate_pct"), 2)),
-        ),
+        zero_if_null(percent(F.sum(F.col("__missing") * F.col("__n")), F.sum("__n") * width)).alias("missing"),
+        zero_if_null(percent(F.sum(F.col("__n") - 1), F.sum("__n"))).alias("duplicate"),
     )
+    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(100.0) - F.col("missing") - F.col("duplicate")))
+    return shares.select(
+        "row_count", "column_count",
+        edge_round(F.col("missing"), 2).alias("missing_pct"),
+        edge_round(F.col("duplicate"), 2).alias("duplicate_pct"),
+        edge_round(score, 2).alias("quality_score"),
+    )
 
 
 def health_snapshot(df: DataFrame) -> dict[str, DataFrame]:
@@ -149,6 +150,32 @@ def value_counts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     )
 
 
+def distinct_samples(df: DataFrame, k: int = 3) -> DataFrame:
+    """``column, samples``: of each column the ``k`` different values (as text, whole) whose MD5 is least, in that order; fewer if it has fewer.
+
+    An estimate of each column's distinct count sets a limit below which about ``16 * k`` of its values fall; only those are
+    collected, counted once each. A column that gives fewer than ``k`` is asked again without a limit, so the answer is exact.
+    """
+    texts = {f.name: F.when(~_missing(f), F.col(f"`{f.name}`").cast("string")) for f in df.schema.fields}
+    kinds = one_row(df.agg(*[F.approx_count_distinct(c).alias(f"`{n}`") for n, c in texts.items()]).toDF(*texts))
+    none = "g"  # behind every hexadecimal digit
+    limits = {n: f"{int(min(1.0, 16 * k / d) * 0xFFFFFFFF):08x}" if d > 32 * k else none for n, d in kinds.items()}
+
+    def least(names: list[str], limit: dict[str, str]) -> DataFrame:
+        cells = [F.struct(F.lit(n).alias("column"), texts[n].alias("value"), F.md5(texts[n].cast("binary")).alias("mark")) for n in names]
+        below = [F.when(c["mark"] < limit[n], c) for n, c in zip(names, cells)]
+        each = df.select(F.explode(F.array_compact(F.array(*below))).alias("c")).select("c.*").distinct()
+        first = first_per_group(each, ["column"], [F.col("mark")], k, "place")
+        marked = F.array_sort(F.collect_list(F.struct("place", "value")))
+        return first.groupBy("column").agg(F.transform(marked, lambda m: m["value"]).alias("samples"))
+
+    found = {r["column"]: r["samples"] for r in least(list(texts), limits).collect()}  # k values a column
+    short = [n for n in texts if limits[n] != none and len(found.get(n, [])) < k]
+    if short:
+        found |= {r["column"]: r["samples"] for r in least(short, dict.fromkeys(short, none)).collect()}
+    return df.sparkSession.createDataFrame([(n, found.get(n, [])) for n in texts], "column string, samples array<string>")
+
+
 def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
     """dtype, nulls, distinct values, sample values and parse rates per column.
 
@@ -159,10 +186,7 @@ def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
         return _exact_profile(df)
 
     def cells(i, f):
-        c = F.col(f"`{f.name}`")
-        text = c.cast("string")
-        held = F.when(~_missing(f), c)
-        samples = F.array_compact(F.array(F.min(text), F.max(text), F.max_by(text, F.xxhash64(text))))
+        held = F.when(~_missing(f), F.col(f"`{f.name}`"))
         return (
             F.lit(i).cast("bigint"),
             F.lit(f.name),
@@ -170,12 +194,12 @@ def profile_columns(df: DataFrame, exact: bool = True) -> DataFrame:
             F.count_if(_missing(f)),
             edge_round(zero_if_null(percent(F.count_if(_missing(f)), long_count())), 2),
             F.approx_count_distinct(held),
-            F.array_distinct(samples),
             edge_round(zero_if_null(percent(F.count_if(parses_as_date(f)), long_count())), 2),
             edge_round(zero_if_null(percent(F.count_if(parses_as_number(f)), long_count())), 2),
         )
 
-    return _per_column(df, cells, PROFILE_FIELDS)
+    sketched = _per_column(df, cells, [c for c in PROFILE_FIELDS if c != "samples"])
+    return sketched.join(distinct_samples(df), "column").select(*PROFILE_FIELDS)
 
 
 PROFILE_FIELDS = [
@@ -193,7 +217,6 @@ def _exact_profile(df: DataFrame) -> DataFrame:
         F.when(text, to_time(value).isNotNull()).otherwise(held).alias("date"),
         F.when(text, plain_number(F.trim(value)).isNotNull()).otherwise(held).alias("number"),
     )
-    samples = F.array_compact(F.array(F.min(value), F.max(value), F.max_by(value, F.xxhash64(value))))
 
     def share(flag: Column) -> Column:
         return edge_round(zero_if_null(percent(F.sum(F.when(flag, n).otherwise(0)), F.sum(n))), 2)
@@ -202,10 +225,9 @@ def _exact_profile(df: DataFrame) -> DataFrame:
         F.sum(F.when(value.isNull(), n).otherwise(0)).alias("null_count"),
         share(value.isNull()).alias("null_pct"),
         F.count(value).alias("unique_count"),
-        F.array_distinct(samples).alias("samples"),
         share(F.col("date")).alias("date_parse_pct"),
         share(F.col("number")).alias("numeric_parse_pct"),
-    ).select("position", "column", kinds[F.col("column")].alias("dtype"), *PROFILE_FIELDS[3:])
+    ).join(distinct_samples(df), "column").select("position", "column", kinds[F.col("column")].alias("dtype"), *PROFILE_FIELDS[3:])
 
 
 def numeric_summary(df: DataFrame, first: int = 8) -> DataFrame:

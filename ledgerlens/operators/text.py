@@ -221,6 +221,39 @@ def match_templates(df: DataFrame, text: str = "text", above: float = 0.6) -> Da
     )
 
 
+def similar_questions(asked: DataFrame, known: DataFrame, text: str = "text", above: float = 0.6) -> DataFrame:
+    """``asked`` with ``matched_question, matched_intent, similarity``: of the ``known`` questions (``question, intent, ord``) whose words overlap by more
+    than ``above`` (Jaccard) the first by ``ord``, else NULL.
+
+    Words are ordered by how many known questions hold them, the rarest first. Two sets of that likeness share a word
+    among the first ``size - ceil(above * size) + 1`` of each, so known questions are listed under those words only and meet the
+    asked ones there, if their sizes allow it; then all words are compared. Each different text is matched once.
+    """
+
+    def words(c: Column) -> Column:
+        return F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
+
+    texts = asked.select(F.col(text).alias("__text")).where(F.col("__text").isNotNull()).distinct().withColumn("__words", words(F.col("__text")))
+    listed = known.select("question", "intent", "ord", words(F.col("question")).alias("known_words"))
+    held = listed.select(F.explode("known_words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+    def first_words(df: DataFrame, key: list[str], column: str) -> DataFrame:
+        each = df.select(*key, F.size(column).alias("__size"), F.explode(column).alias("word")).join(held, "word", "left")
+        ranked = each.groupBy(*key, "__size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("__ranked"))
+        taken = F.col("__size") - F.ceil(F.lit(above) * F.col("__size")).cast("int") + 1
+        return ranked.select(*key, F.explode(F.transform(F.slice("__ranked", F.lit(1), taken), lambda r: r["word"])).alias("word"))
+
+    index = first_words(listed, ["ord"], "known_words").join(listed, "ord")
+    probes = first_words(texts, ["__text"], "__words").join(texts, "__text")
+    sizes = F.size("__words").cast("double"), F.size("known_words").cast("double")
+    met = probes.join(index, "word").where((sizes[0] >= above * sizes[1]) & (sizes[1] >= above * sizes[0]))
+    alike = F.size(F.array_intersect("__words", "known_words")) / F.size(F.array_union("__words", "known_words"))
+    scored = met.select("__text", F.struct("ord", "question", "intent", alike.alias("similarity")).alias("m")).where(F.col("m.similarity") > above)
+    best = scored.groupBy("__text").agg(F.min_by("m", "m.ord").alias("m"))
+    found = best.select("__text", F.col("m.question").alias("matched_question"), F.col("m.intent").alias("matched_intent"), F.col("m.similarity").alias("similarity"))
+    return asked.join(found, F.col(text) == F.col("__text"), "left").drop("__text")
+
+
 def history_tail(log: DataFrame, n: int = 50) -> DataFrame:
     """The last turns of every conversation; long ones are cut before the shuffle."""
     return first_per_group(log, ["conv_id"], [F.col("turn").desc()], n, "from_end").drop("from_end")

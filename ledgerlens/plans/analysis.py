@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators import clean, customers, kpi, mapping, products, profile, timeseries
@@ -85,15 +84,16 @@ class Analysis:
         )
 
     def outcome(self, spark) -> DataFrame:
-        """The status rows with the number of result rows of every completed step."""
-        status = self.status_frame(spark)
-        if not self.results:
-            return status.withColumn("result_rows", F.lit(None).cast("bigint"))
-        counts = [
-            df.agg(F.count(F.lit(1)).alias("result_rows")).select(F.lit(step).alias("step"), "result_rows")
-            for step, df in self.results.items()
-        ]
-        return status.join(reduce(DataFrame.unionByName, counts), "step", "left")
+        """The status rows with the number of result rows of every completed step.
+
+        Each result is written once, and counted by an observation while it is; ``results`` are the written ones from then on."""
+        rows = {}
+        for step, df in self.results.items():
+            seen = Observation(step)
+            self.results[step] = write_once(df.observe(seen, F.count(F.lit(1)).alias("result_rows")))
+            rows[step] = seen.get["result_rows"]
+        counted = [(*status, rows.get(status[0])) for status in self.status]
+        return spark.createDataFrame(counted, "step string, status string, reason string, missing_columns array<string>, result_rows bigint")
 
 
 def module_key(name: str) -> str:

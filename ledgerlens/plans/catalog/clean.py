@@ -187,6 +187,7 @@ def _profile_sql() -> str:
         parts.append(
             f"""SELECT CAST({i} AS BIGINT) AS position, '{name}' AS "column", '{dtype}' AS dtype, count(*) - count({name}) AS null_count,
             {R(f'100.0 * (count(*) - count({name})) / count(*)')} AS null_pct, count(DISTINCT {name}) AS unique_count,
+            (SELECT list(v ORDER BY md5(v)) FROM (SELECT DISTINCT CAST({name} AS VARCHAR) AS v FROM orders WHERE {name} IS NOT NULL ORDER BY md5(v) LIMIT 3)) AS samples,
             {R(rate)} AS date_parse_pct, {R(number)} AS numeric_parse_pct FROM orders"""
         )
     return " UNION ALL ".join(parts)
@@ -194,7 +195,7 @@ def _profile_sql() -> str:
 
 @query(_profile_sql())
 def profile_columns(spark, folder):
-    return profile.profile_columns(table(spark, folder, "orders")).drop("samples")
+    return profile.profile_columns(table(spark, folder, "orders"))
 
 
 @query()
@@ -242,9 +243,9 @@ def duplicate_rows(spark, folder):
     + DUP_SQL
     + ", "
     + DUPLICATES
-    + f""" SELECT n AS row_count, CAST(4 AS BIGINT) AS column_count, m AS missing_pct, p AS duplicate_pct,
-    greatest(0.0, least(100.0, {R('100.0 - m - p')})) AS quality_score FROM
-    (SELECT n, {R('100.0 * d / n')} AS p, (SELECT {R('100.0 * (2 * count(*) - count(weight) - count(tag)) / (4 * count(*))')} FROM dup) AS m FROM counted)"""
+    + f""" SELECT n AS row_count, CAST(4 AS BIGINT) AS column_count, {R('m')} AS missing_pct, {R('p')} AS duplicate_pct,
+    {R('greatest(0.0, least(100.0, 100.0 - m - p))')} AS quality_score FROM
+    (SELECT n, 100.0 * d / n AS p, (SELECT 100.0 * (2 * count(*) - count(weight) - count(tag)) / (4 * count(*)) FROM dup) AS m FROM counted)"""
 )
 def quality_score(spark, folder):
     return profile.quality_score(_with_duplicates(spark, folder))

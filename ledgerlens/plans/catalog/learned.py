@@ -69,6 +69,14 @@ def intent_model(spark, folder):
     return ml.class_report(named).withColumns({f"accuracy_{k}": F.lit(v) for k, v in scores.items()})
 
 
+@query()
+def quality_out_of_fold(spark, folder):
+    """How well the given quality labels of documents, which no rule of ours makes, are predicted from their texts by models that did not see them."""
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
+    labelled = table(spark, folder, "documents").select("doc_id", "text").join(labels, "doc_id")
+    return tidy(ml.fold_report(ml.out_of_fold(labelled, ["doc_id"], "quality"), "quality"), 4)
+
+
 def _descriptions(spark, folder) -> DataFrame:
     """Descriptions of all columns of all tables; a label where the name says the role."""
     parts = [ml.column_descriptions(table(spark, folder, t)).withColumn("source", F.lit(t)) for t in TABLES]

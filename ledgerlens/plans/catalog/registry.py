@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ...functions.edge import SPARE_DIGITS, edge_round
+from ...functions.edge import CLEAR_DIGITS, SPARE_DIGITS, edge_round
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -51,8 +51,12 @@ def with_orders(body: str, *ctes: str) -> str:
 
 
 def R(expr: str, digits: int = 2) -> str:
-    """``round`` in decimals, half away from zero, as a double."""
-    return f"CAST(round(TRY_CAST(({expr}) AS DECIMAL(38, {digits + SPARE_DIGITS})), {digits}) AS DOUBLE)"
+    """``edge_round`` in decimals, as a double."""
+    def rounded(kept: int) -> str:
+        return f"CAST(round(TRY_CAST(({expr}) AS DECIMAL(38, {max(kept, digits + SPARE_DIGITS)})), {digits}) AS DOUBLE)"
+
+    cases = " ".join(f"WHEN abs({expr}) < {limit} THEN {rounded(kept)}" for limit, kept in CLEAR_DIGITS)
+    return f"CASE {cases} ELSE {rounded(0)} END"
 
 
 def tidy(df: DataFrame, default: int = 2, **digits: int) -> DataFrame:

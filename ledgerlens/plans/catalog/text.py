@@ -145,6 +145,33 @@ def jaccard_match(spark, folder):
     return tidy(text.match_templates(questions(spark, folder)), 4)
 
 
+WORDS_SQL = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '\s+'), lambda x: x <> ''))"
+
+
+@query(
+    f"""WITH lines AS (SELECT * FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS k, unnest(string_split(text, chr(10))) AS question, lang
+      FROM documents) WHERE length(question) BETWEEN 20 AND 120),
+    known AS (SELECT question, min(lang) AS intent, min(doc_id * 100000 + k) AS ord, {WORDS_SQL.format('question')} AS kw FROM lines GROUP BY question),
+    turns AS (SELECT conv_id, turn, unnest(range(len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS text FROM conversations),
+    copies AS (SELECT -1 - doc_id AS conv_id, k AS turn, CAST(0 AS BIGINT) AS line, question || ' Again' AS text FROM lines),
+    asked AS (SELECT *, {WORDS_SQL.format('text')} AS w FROM (SELECT * FROM turns UNION ALL SELECT * FROM copies)),
+    texts AS (SELECT DISTINCT text, w FROM asked),
+    scored AS (SELECT t.text, question, intent, ord, len(list_intersect(w, kw)) / len(list_distinct(list_concat(w, kw))) AS j FROM texts t
+      JOIN known ON len(w) >= 0.6 * len(kw) AND len(kw) >= 0.6 * len(w) AND list_has_any(w, kw)),
+    best AS (SELECT text, arg_min(question, ord) AS q, arg_min(intent, ord) AS i, arg_min(j, ord) AS j FROM scored WHERE j > 0.6 GROUP BY text)
+    SELECT conv_id, turn, line, q AS matched_question, i AS matched_intent, {R('j', 4)} AS similarity FROM asked a LEFT JOIN best b ON a.text = b.text"""
+)
+def question_join(spark, folder):
+    """Lines of conversations, and lines of documents with a word more, against all lines of documents that are as long as a question."""
+    cut = F.posexplode(F.split("text", "\n"))
+    lines = table(spark, folder, "documents").select("doc_id", "lang", cut.alias("k", "question")).where(F.char_length("question").between(20, 120))
+    known = lines.groupBy("question").agg(F.min("lang").alias("intent"), F.min(F.col("doc_id") * 100000 + F.col("k")).alias("ord"))
+    turns = table(spark, folder, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), cut.alias("line", "text"))
+    copies = lines.select((-1 - F.col("doc_id")).alias("conv_id"), F.col("k").cast("long").alias("turn"), F.lit(0).alias("line"), F.concat("question", F.lit(" Again")).alias("text"))
+    asked = turns.unionByName(copies).withColumn("line", F.col("line").cast("long"))
+    return tidy(text.similar_questions(asked, known), 4).drop("text")
+
+
 @query(
     """SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 50"""
 )

@@ -57,3 +57,25 @@ def test_column_roles(spark, folder):
     assert out.where("confidence < 0 or confidence > 1").count() == 0
     assert out.where("role = label").count() / out.count() > 0.8
     assert 0 < ml.confidence_threshold(out).first()["threshold"] <= 1
+
+
+def test_out_of_fold_predictions(spark):
+    """Each row once, in a fold of its own key, and a report that SQL gives from the predictions alone."""
+    import duckdb
+
+    rows = [(k, f"{'red rose' if k % 3 else 'blue sky'} word{k % 7}", "warm" if k % 3 else "cold") for k in range(150)] + [(999, "no label", None)]
+    df = spark.createDataFrame(rows, "id long, text string, kind string")
+    predicted = ml.out_of_fold(df, ["id"], "kind", folds=3)
+    assert sorted(r.id for r in predicted.collect()) == list(range(150))
+    assert predicted.where("kind = predicted").count() == 150
+    shuffled = df.withColumn("kind", F.when(F.pmod(F.xxhash64("id"), F.lit(2)) == 0, "a").otherwise("b"))  # nothing to learn
+    predicted = ml.out_of_fold(shuffled, ["id"], "kind", folds=3)
+    con = duckdb.connect()
+    con.register("p", predicted.toArrow())
+    wanted = con.execute(
+        """WITH per AS (SELECT fold, count(*) AS n, avg((kind = predicted)::INT) AS a FROM p GROUP BY fold)
+        SELECT fold, n, a, (SELECT avg(a) FROM per), (SELECT stddev_samp(a) FROM per), (SELECT max(c) / sum(c) FROM (SELECT count(*) AS c FROM p GROUP BY kind)) FROM per ORDER BY fold"""
+    ).fetchall()
+    found = [tuple(r) for r in ml.fold_report(predicted, "kind").orderBy("fold").collect()]
+    assert [f[:2] for f in found] == [w[:2] for w in wanted] and all(abs(a - b) < 1e-9 for f, w in zip(found, wanted) for a, b in zip(f[2:], w[2:]))
+    assert found[0][3] < 0.75

@@ -105,6 +105,12 @@ def test_rounding_is_half_away_from_zero(spark):
     assert tuple(got) == (12.34, 79.9, -12.35, 12.35, 0.3)
 
 
+def test_values_are_rounded_once(spark):
+    df = spark.createDataFrame([(12.3449996, 79.9499997, 12.345 - 2e-14, 1234.5649999)], "a double, b double, c double, d double")
+    got = df.select(edge_round("a"), edge_round("b", 1), edge_round("c"), edge_round("d")).first()
+    assert tuple(got) == (12.34, 79.9, 12.35, 1234.56)
+
+
 @pytest.mark.parametrize("by", [(), ("g",)])
 def test_quantiles_narrow_their_brackets(spark, by):
     """Columns of 40 000 values, brackets that may hold 300 of them: several passes, same answer."""

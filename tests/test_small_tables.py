@@ -334,3 +334,18 @@ def test_matrices_lose_no_year_and_no_month(spark):
     old = spark.createDataFrame([("c1", "1999-05-03", 1.0), ("c1", "2011-05-03", 2.0)], "customer_id string, date string, total_amount double")
     kept = customers.cohort_matrix(old.withColumn("date", F.to_timestamp("date")))
     assert {r.months_since: r.retention_rate for r in kept.collect()} == {m: 100.0 if m in (0, 144) else 0.0 for m in range(145)}
+
+
+def test_samples_are_the_values_of_least_md5(spark):
+    """Few and many different values, repeated, blank and very long ones; and estimates so wrong that a column is asked again."""
+    import hashlib
+
+    from ledgerlens.operators import profile
+
+    rows = [(f"v{k % 5}", k, "x" * 500 + str(k % 700) if k % 3 else None, None) for k in range(4000)]
+    df = spark.createDataFrame(rows, "few string, many long, long string, none string")
+    found = {r["column"]: r.samples for r in profile.distinct_samples(df, 4).collect()}
+    for i, name in enumerate(("few", "many", "long")):
+        values = {str(r[i]) for r in rows if r[i] is not None}
+        assert found[name] == sorted(values, key=lambda v: hashlib.md5(v.encode()).hexdigest())[:4]
+    assert found["none"] == []

@@ -157,3 +157,25 @@ def test_routes_follow_the_columns():
     assert of("demographic_query", "total_amount") == ("demographic_query", 0.64)
     assert of("top_customers_query", "product_category", "total_amount") == ("top_customers_proxy_query", 0.7)
     assert of("forecast_query") == ("forecast_query", 0.9)
+
+
+def test_similar_questions_against_all_pairs(spark):
+    """Ten thousand known questions of few words, asked ones a word off: the same as comparing every pair; and no cross join."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    words = [f"w{k}" for k in range(300)]
+    known = [(" ".join(rng.choice(words, int(rng.integers(1, 9)))), f"i{k % 5}", k) for k in range(10_000)]
+    asked = [" ".join(rng.permutation(known[int(k)][0].split()).tolist() + (["new"] if k % 2 else [])) for k in rng.integers(0, 10_000, 60)]
+    asked += ["", "  ", "nothing alike", "W1  w1 w2", asked[0]]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(asked)] + [(99, None)], "id int, text string")
+    matched = text.similar_questions(df, spark.createDataFrame(known, "question string, intent string, ord long"))
+    found = {r.id: (r.matched_question, r.matched_intent, r.similarity) for r in matched.collect()}
+    sets = [set(q.split()) for q, _, _ in known]
+    for k, t in enumerate(asked):
+        own = set(t.lower().split())
+        best = next(((q, i, len(own & s) / len(own | s)) for (q, i, _), s in zip(known, sets) if own and len(own & s) / len(own | s) > 0.6), (None,) * 3)
+        assert found[k] == best
+    assert found[99] == (None,) * 3
+    plan = matched._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
