@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, write_once
 
-__all__ = ["read", "texts", "running_totals", "shuffle_partitions", "scratch_path", "write_once"]
+__all__ = ["read", "texts", "running_totals", "shuffle_partitions", "rows_per_batch", "scratch_path", "write_once"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,6 +51,18 @@ def running_totals(df: DataFrame, order: list, totals: dict[str, str]) -> DataFr
     return out.select(*df.columns, *[(F.col(new) + F.col(f"_at_{new}")).alias(new) for new in totals])
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int):
+    """Within this block Arrow batches hold at most ``rows`` rows: for tables whose rows are large, so that a batch is not a whole file."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``edges`` (``a``, ``b``), the label being the least node of its component.
 

@@ -11,16 +11,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
-from .common import write_once
+from .common import rows_per_batch, write_once
 
 LEAST = 100
 LONGEST = 5
 TOP = 2000
-SLICE_BYTES = 4 << 20
+#: Bytes of text of a slice, and slices of an Arrow batch.
+SLICE_BYTES, SLICES_PER_BATCH = 1 << 20, 4
 #: Bits of the table that says which digests may be frequent: half a megabyte for any corpus.
 FILTER_BITS = 22
 #: Digests, and phrases of one trie, that are broadcast at a time; more of them take more passes.
 DIGEST_BLOCK, TRIE_BLOCK = 1 << 20, 1 << 18
+#: Phrases of one vector of counts: a task's vectors of one range of phrases are added up in one place, 4 KB of each task.
+COUNTERS = 512
 
 _SPLIT = np.zeros(256, bool)
 _SPLIT[[*b".,;:!?", 10, 11, 12, 13]] = True
@@ -41,15 +44,9 @@ def slices_of(docs: DataFrame) -> DataFrame:
                 starts, ends, firsts = words.bounds(raw, offsets, _GAP)
                 if not len(starts):
                     continue
-                lengths = np.concatenate([[0], np.cumsum(ends - starts)])
-                spelled = words._LOWER[raw[~_GAP[raw]]]
-                found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(lengths), pa.py_buffer(spelled)).dictionary_encode()
-                codes, terms = found.indices.to_numpy(), found.dictionary
-                hashes = np.zeros(len(terms), np.uint64)
-                hashes[codes] = words.word_hashes(raw, starts, ends)
-                breaks = np.concatenate([[0], np.cumsum(_SPLIT[raw])])
-                opens = np.ones(len(starts), bool)
-                opens[1:] = breaks[starts[1:]] > breaks[ends[:-1]]
+                codes, terms, hashes = words.distinct_words(raw, starts, ends, _GAP)
+                opens = np.zeros(len(starts) + 1, bool)
+                opens[np.searchsorted(starts, np.flatnonzero(_SPLIT[raw]))] = True  # the word behind each end of a piece
                 opens[firsts[:-1][np.diff(firsts) > 0]] = True
                 lang = np.repeat(named.indices.to_numpy(), np.diff(firsts))
                 for k in np.unique(lang):
@@ -229,22 +226,40 @@ def _blocks(df: DataFrame, rows: int, key: str) -> Iterator[DataFrame]:
         yield df.filter(F.pmod(F.xxhash64(F.lit(11), key), F.lit(blocks)) == k) if blocks > 1 else df
 
 
+def _few_tasks(slices: DataFrame) -> DataFrame:
+    """The same rows in as many tasks as there are cores: passes that return something per task and phrase return less of it."""
+    return slices.coalesce(max(1, slices.sparkSession.sparkContext.defaultParallelism))
+
+
+def _adder(shared):
+    """Adds up the vectors of one range of phrases."""
+
+    def add(rows):
+        sums = sum(np.frombuffer(v.as_buffer(), np.int64) for v in rows["counts"])
+        met = np.flatnonzero(sums)
+        return pa.table({"id": shared.value[2][rows["part"][0].as_py() * COUNTERS + met], "f": sums[met]})
+
+    return add
+
+
 def count_candidates(slices: DataFrame, candidates: DataFrame, block: int = TRIE_BLOCK) -> DataFrame:
     """``id, f``: exact occurrences of the written ``candidates`` (``id, lang, words``) in ``slices``. A block of candidates at a time comes to
-    the driver, becomes a trie and is broadcast; a task returns one row per phrase that it met."""
+    the driver, becomes a trie and is broadcast; a task returns its counts as vectors of ``COUNTERS`` phrases, which are added up."""
     counted = None
     for part in _blocks(candidates, block, "id"):
         shared = candidates.sparkSession.sparkContext.broadcast(_trie(part.select("id", "lang", "words").toArrow()))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             trie, symbols, ids = shared.value
-            sums = np.zeros(len(ids), np.int64)
+            sums = np.zeros(-(-len(ids) // COUNTERS) * COUNTERS, np.int64)
             for one in _slices(batches):
                 _add_counts(trie, symbols, one, sums)
-            met = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.array(sums[met])], ["id", "f"])
+            vectors = sums.reshape(-1, COUNTERS)
+            met = np.flatnonzero(vectors.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array([v.tobytes() for v in vectors[met]], pa.binary())], ["part", "counts"])
 
-        found = slices.select("lang", "words", "codes").mapInArrow(run, "id long, f long").groupBy("id").agg(F.sum("f").alias("f"))
+        vectors = _few_tasks(slices).select("lang", "words", "codes").mapInArrow(run, "part int, counts binary")
+        found = vectors.groupBy("part").applyInArrow(_adder(shared), "id long, f long")
         counted = found if counted is None else counted.unionByName(found)
     return counted
 
@@ -312,7 +327,7 @@ def candidates_of(slices: DataFrame, shorter: DataFrame, size: int, least: int,
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * size, pa.int32()), flat.cast(pa.string()))
                 yield pa.RecordBatch.from_arrays([pa.array([one["lang"]] * len(at), pa.string()), lists], ["lang", "words"])
 
-        own = slices.select("lang", "words", "hashes", "codes").mapInArrow(spell, "lang string, words array<string>").distinct()
+        own = _few_tasks(slices).select("lang", "words", "hashes", "codes").mapInArrow(spell, "lang string, words array<string>").distinct()
         found = own if found is None else found.unionByName(own)
     if found is None:
         found = shorter.select("lang", "words").limit(0)
@@ -324,6 +339,11 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     ``lang, n`` with the number of all words."""
     slices = write_once(slices_of(docs))
     totals = slices.groupBy("lang").agg(F.sum("n").alias("n"))
+    with rows_per_batch(docs.sparkSession, SLICES_PER_BATCH):
+        return _levels(slices, least, longest), totals
+
+
+def _levels(slices: DataFrame, least: int, longest: int) -> DataFrame:
     level = write_once(_word_counts(slices).filter(F.col("f") >= least).select("lang", F.array("word").alias("words"), "f"))
     levels = [level]
     for size in range(2, longest + 1):
@@ -335,7 +355,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     out = levels[0]
     for more in levels[1:]:
         out = out.unionByName(more)
-    return out, totals
+    return out
 
 
 def _decimal(c: Column | str) -> Column:
