@@ -13,6 +13,8 @@ LEAD = 3
 LEAST_TOKENS = 3
 SEGMENTS = 8
 ALIKE = 0.7
+#: Lines with fewer places behind the leading tokens must agree in all of them.
+LEAST_PLACES = 4
 MIN_TEXTS = 2
 
 #: A token with a digit is a variable field. The look-behind and the possessive run keep long tokens linear.
@@ -32,14 +34,14 @@ def _mark(text: Column) -> Column:
 
 def parsed_lines(own: DataFrame) -> DataFrame:
     """``doc_id, body, at, leaf, sig, size, parts`` of each line with ``LEAST_TOKENS`` tokens: a hash of the text, the place of
-    the line, the leaf of the tree it falls to, named by token count and leading tokens, a hash of the masked line,
-    its token count and the hashes of its ``SEGMENTS`` equal stretches (of single tokens in short lines)."""
+    the line, the leaf of the tree it falls to, named by token count and leading tokens, a hash of the masked line, the number of its
+    tokens behind the leading ones and the hashes of ``SEGMENTS`` equal stretches of those (of single tokens in short lines)."""
     lines = own.select("doc_id", _mark(F.col("text")).alias("body"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     found = lines.select("doc_id", "body", "at", _tokens(F.col("line")).alias("tokens"))
-    found = found.withColumn("size", F.size("tokens")).filter(F.col("size") >= LEAST_TOKENS)
+    found = found.filter(F.size("tokens") >= LEAST_TOKENS).withColumn("size", F.greatest(F.size("tokens") - LEAD, F.lit(0)))
     edges = [F.floor(F.col("size") * k / SEGMENTS).cast("int") for k in range(SEGMENTS + 1)]
-    parts = F.array(*[F.hash(F.slice("tokens", lo + 1, hi - lo)) for lo, hi in zip(edges, edges[1:])])
-    leaf = F.xxhash64("size", F.slice("tokens", 1, LEAD))
+    parts = F.array(*[F.hash(F.slice("tokens", lo + LEAD + 1, hi - lo)) for lo, hi in zip(edges, edges[1:])])
+    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEAD))
     return found.select("doc_id", "body", "at", leaf.alias("leaf"), F.xxhash64("tokens").alias("sig"), "size", parts.alias("parts"))
 
 
@@ -48,20 +50,20 @@ def templates(spread: DataFrame) -> DataFrame:
 
     In each leaf the masked line found in the most texts (of equals the one that occurs first) gives the template, and lines
     that agree with it in at least ``ALIKE`` of their stretches differ from it in variable fields only; the others are
-    their own template. So are lines of ``LEAD + 1`` tokens: the leaf alone makes them agree in all places but one.
+    their own template. So are lines of fewer than ``LEAST_PLACES`` places behind the leading tokens, which the leaf makes equal.
     """
     best = F.min_by(F.struct(F.col("sig").alias("template"), F.col("parts").alias("anchor")), F.struct((-F.col("texts")).alias("n"), "first"))
     anchors = spread.groupBy("leaf").agg(best.alias("best")).select(F.col("leaf").alias("_leaf"), "best.template", "best.anchor")
     same = sum(F.when(F.get("parts", F.lit(k)) == F.get("anchor", F.lit(k)), 1).otherwise(0) for k in range(SEGMENTS))
     full = F.least(F.col("size"), F.lit(SEGMENTS))  # empty stretches of short lines always agree
-    alike = (same - (SEGMENTS - full) >= ALIKE * full) & (F.col("size") > LEAD + 1)
+    alike = (same - (SEGMENTS - full) >= ALIKE * full) & (F.col("size") >= LEAST_PLACES)
     joined = spread.join(anchors, F.col("leaf") == F.col("_leaf"))
     return joined.select(F.col("leaf").alias("_leaf"), F.col("sig").alias("_sig"), F.when(alike, F.col("template")).otherwise(F.col("sig")).alias("template"))
 
 
 def _loose(full: int) -> int:
-    """How many of ``full`` stretches may differ in lines that agree in ``ALIKE`` of them; none, if the leaf leaves one to compare."""
-    return 0 if full <= LEAD + 1 else next(n for n in range(full, -1, -1) if full - n >= ALIKE * full)
+    """How many of ``full`` stretches may differ in lines that agree in ``ALIKE`` of them; none of fewer than ``LEAST_PLACES``."""
+    return 0 if full < LEAST_PLACES else next(n for n in range(full, -1, -1) if full - n >= ALIKE * full)
 
 
 def _forms(groups_of) -> Column:
@@ -107,7 +109,7 @@ def line_dedup(docs: DataFrame, min_texts: int = MIN_TEXTS, columns: tuple[str,
 
     Lines end at ``\\n``. A line is parsed into tokens (runs without ASCII white space), those with a digit masked; it
     falls to the leaf of its token count and first ``LEAD`` tokens and takes the leaf's template where it agrees with it in
-    ``ALIKE`` of its stretches, else its own masked form. A template recurs if lines of at least ``min_texts`` different texts
+    ``ALIKE`` of the stretches behind those tokens (in all of fewer than ``LEAST_PLACES``), else its own masked form. A template recurs if lines of at least ``min_texts`` different texts
     take it; the text whose least id comes first keeps such lines and all others drop them. Lines that are left and agree
     with each other, but not with their leaf's template, are templates of their own by ``later_alike``, with the same rule.
     Lines of fewer than ``LEAST_TOKENS`` tokens are kept.
@@ -157,6 +159,18 @@ def line_dedup(docs: DataFrame, min_texts: int = MIN_TEXTS, columns: tuple[str,
     )
 
 
+
+
+def _sql_groups() -> str:
+    """For each number of places the choices of stretches that must agree, as SQL lists."""
+    def lists(loose: int) -> str:
+        return "[" + ", ".join(str([k + 1 for k in c]) for c in combinations(range(SEGMENTS), SEGMENTS - loose)) + "]"
+
+    cases = " ".join(f"WHEN places <= {full} THEN {lists(_loose(full))}" for full in range(1, SEGMENTS))
+    return f"CASE {cases} ELSE {lists(_loose(SEGMENTS))} END"
+
+
+_NONE = 9223372036854775807
 #: The same in DuckDB SQL, over the table ``documents``.
 SQL = rf"""
 WITH own AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -167,19 +181,31 @@ parsed AS (
            regexp_replace(' ' || line, '([ \t\n\v\f\r])[^ \t\n\v\f\r0-9]*[0-9][^ \t\n\v\f\r]*', '\1{MASK}', 'g'), '[ \t\n\v\f\r]+')
          IF x <> ''] AS tokens
   FROM lines),
-kept AS (SELECT *, array_to_string(tokens, ' ') AS sig, len(tokens) AS n, tokens[1:{LEAD}] AS head FROM parsed WHERE len(tokens) >= {LEAST_TOKENS}),
-spread AS (SELECT n, head, sig, any_value([array_to_string(tokens[(i * n // {SEGMENTS}) + 1 : (i + 1) * n // {SEGMENTS}], ' ')
-             FOR i IN range({SEGMENTS})]) AS parts, count(DISTINCT text) AS texts, min(coalesce(doc_id, 9223372036854775807)) AS first_id,
-             arg_min(pos, (coalesce(doc_id, 9223372036854775807), pos)) AS first_pos FROM kept GROUP BY n, head, sig),
+kept AS (
+  SELECT text, coalesce(doc_id, {_NONE}) AS doc_id, pos, array_to_string(tokens, ' ') AS sig, len(tokens) AS n, tokens[1:{LEAD}] AS head,
+         len(tokens) - {LEAD} AS places, tokens[{LEAD + 1}:] AS rest
+  FROM parsed WHERE len(tokens) >= {LEAST_TOKENS}),
+spread AS (
+  SELECT n, head, sig, places, any_value([array_to_string(rest[(i * places // {SEGMENTS}) + 1 : (i + 1) * places // {SEGMENTS}], ' ')
+           FOR i IN range({SEGMENTS})]) AS parts, count(DISTINCT text) AS texts, min(doc_id) AS first_id, arg_min(pos, (doc_id, pos)) AS first_pos
+  FROM kept GROUP BY n, head, sig, places),
 anchors AS (SELECT n, head, sig AS template, parts AS anchor FROM spread
             QUALIFY row_number() OVER (PARTITION BY n, head ORDER BY texts DESC, first_id, first_pos, sig) = 1),
 alike AS (SELECT s.sig, a.template FROM spread s JOIN anchors a ON s.n = a.n AND s.head = a.head
-          WHERE list_sum([(s.parts[i] = a.anchor[i])::INT FOR i IN range(1, {SEGMENTS} + 1)]) - ({SEGMENTS} - least(s.n, {SEGMENTS}))
-            >= {ALIKE} * least(s.n, {SEGMENTS})),
-taken AS (SELECT k.text, k.pos, k.doc_id, coalesce(a.template, k.sig) AS template FROM kept k LEFT JOIN alike a ON k.sig = a.sig),
+          WHERE s.places >= {LEAST_PLACES} AND list_sum([(s.parts[i] = a.anchor[i])::INT FOR i IN range(1, {SEGMENTS} + 1)])
+            - ({SEGMENTS} - least(s.places, {SEGMENTS})) >= {ALIKE} * least(s.places, {SEGMENTS})),
+taken AS (SELECT k.text, k.pos, k.doc_id, k.sig, coalesce(a.template, k.sig) AS template FROM kept k LEFT JOIN alike a ON k.sig = a.sig),
 by_text AS (SELECT DISTINCT template, text, doc_id FROM taken),
-recurring AS (SELECT template, arg_min(text, coalesce(doc_id, 9223372036854775807)) AS keeper FROM by_text GROUP BY template HAVING count(*) >= {MIN_TEXTS}),
-gone AS (SELECT t.text, list(t.pos) AS dropped FROM taken t JOIN recurring r ON t.template = r.template WHERE t.text <> r.keeper GROUP BY t.text)
+recurring AS (SELECT template, arg_min(text, (doc_id, text)) AS keeper FROM by_text GROUP BY template HAVING count(*) >= {MIN_TEXTS}),
+first_gone AS (SELECT t.text, t.pos FROM taken t JOIN recurring r ON t.template = r.template WHERE t.text <> r.keeper),
+left_over AS (SELECT DISTINCT t.text, t.doc_id, t.sig FROM taken t ANTI JOIN first_gone g ON t.text = g.text AND t.pos = g.pos),
+formed AS (
+  SELECT text, doc_id, sig, n, head, g, [parts[i] FOR i IN g] AS form
+  FROM (SELECT l.*, s.n, s.head, s.parts, unnest({_sql_groups()}) AS g FROM left_over l JOIN spread s ON l.sig = s.sig)),
+form_keepers AS (SELECT n, head, g, form, arg_min(text, (doc_id, text)) AS keeper FROM formed GROUP BY ALL HAVING count(DISTINCT text) >= {MIN_TEXTS}),
+later AS (SELECT DISTINCT f.text, f.sig FROM formed f JOIN form_keepers k ON f.n = k.n AND f.head = k.head AND f.g = k.g AND f.form = k.form WHERE f.text <> k.keeper),
+dropped AS (SELECT text, pos FROM first_gone UNION SELECT t.text, t.pos FROM taken t JOIN later l ON t.text = l.text AND t.sig = l.sig),
+gone AS (SELECT text, list(pos) AS dropped FROM dropped GROUP BY text)
 SELECT o.doc_id,
        CASE WHEN g.dropped IS NULL THEN o.text ELSE array_to_string([c.parts[i] FOR i IN range(1, len(c.parts) + 1)
          IF NOT list_contains(g.dropped, i)], chr(10)) END AS text,

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import oracle
 import pyarrow as pa
@@ -314,17 +315,17 @@ def test_page_evidence(spark):
 
 def test_line_dedup_rules(spark, edge_docs):
     rows = [
-        (1, "order 17 shipped today fine\nonly here one two"),
-        (2, "order 23 shipped today fine\nonly there three four"),
-        (3, "order x9 shipped today late\nmore words than that"),
-        (3, "order x9 shipped today late\nmore words than that"),
+        (1, "order 17 shipped today in a box\nonly here one two"),
+        (2, "order 23 shipped today in a box\nonly there three four"),
+        (3, "order x9 shipped today in a bag\nmore words than that"),
+        (3, "order x9 shipped today in a bag\nmore words than that"),
         (4, "no no"),
         (5, "no no\norder 17 shipped\n"),
-        (None, "order 5 shipped today fine"),
+        (None, "order 5 shipped today in a box"),
     ]
     found = rows_by_id(linetree.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")))
     assert found[1][0].text == rows[0][1] and found[2][0].text == "only there three four"
-    assert [r.text for r in found[3]] == ["more words than that"] * 2  # four of five places agree
+    assert [r.text for r in found[3]] == ["more words than that"] * 2  # three of the four places behind the lead agree
     assert found[4][0].text == "no no" and found[5][0].text == rows[5][1]
     assert found[None][0].text == "" and found[None][0].n_dropped == 1
     edges = rows_by_id(linetree.line_dedup(edge_docs, columns=("lang", "body", "label")))
@@ -354,6 +355,24 @@ def test_line_dedup_keeps_short_lines_that_share_a_lead(spark):
     assert [found[k][0].n_dropped for k in (1, 2, 3, 4)] == [0, 0, 0, 1]  # the last differs in a field
 
 
+def test_line_dedup_judges_what_follows_the_lead(spark):
+    """Lines of two and of three places behind the lead must agree in all of them."""
+    rows = [(1, "Thor the haan eron quickly."), (2, "Thor the haan eron slowly."), (3, "We like the red car today"), (4, "We like the red car tomorrow"), (5, "We like the blue car today\nWe like the blue car 17")]
+    rows += [(6, "We like the blue car 21")]
+    found = rows_by_id(linetree.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [found[k][0].n_dropped for k in range(1, 7)] == [0, 0, 0, 0, 0, 1]
+
+
+def test_line_dedup_sql_states_several_templates_of_a_leaf(spark):
+    rng, words = np.random.default_rng(3), [f"w{chr(97 + k)}" for k in range(6)]
+    lines = [["a", "b", "c", *rng.choice(words[:3], int(rng.integers(0, 12))).tolist()] for _ in range(400)]
+    rows = [(k, "\n".join(" ".join(x) for x in lines[4 * k : 4 * k + 4])) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    assert oracle.compare(linetree.line_dedup(docs), con, linetree.SQL) is None
+
+
 def plain_classes(rows, idf, like=icws.LIKE):
     features, weights = [], []
     for _, raw, offsets in words.slices(pa.array([t for _, t in rows], pa.large_string())):
