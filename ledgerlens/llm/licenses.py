@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -93,6 +95,38 @@ for _short, _long in (
     TEMPLATES[f"cc-by-{_short.lower()}-notice"] = f"Licensed under CC BY-{_short} 4.0."
     TEMPLATES[f"cc-by-{_short.lower()}"] = f"This work is licensed under a Creative Commons Attribution-{_long} 4.0 International License."
 
+#: First lines of whole license texts, and identifiers of SPDX lines.
+TITLES = {
+    "gpl-2.0-text": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "gpl-3.0-text": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "lgpl-2.1-text": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "lgpl-3.0-text": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "agpl-3.0-text": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "apache-2.0-text": "Apache License Version 2.0, January 2004",
+    "mpl-2.0-text": "Mozilla Public License Version 2.0",
+    "epl-2.0-text": "Eclipse Public License - v 2.0",
+}
+SPDX = (
+    "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Unlicense", "MPL-2.0", "EPL-1.0", "EPL-2.0", "CC0-1.0",
+    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only",
+    "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0",
+)
+TEMPLATES |= TITLES | {f"spdx-{key.lower()}": f"SPDX-License-Identifier: {key}" for key in SPDX}
+
+#: A word that a version follows, and the version; an SPDX identifier is one as a whole.
+VERSION = re.compile(r"\b(version|v|license|by|sa|nd|nc|attribution|sharealike|noderivatives|noncommercial)[^a-z0-9]{1,3}(v?[0-9]+(?:\.[0-9]+)*)|\b(spdx-license-identifier): (\S+)")
+
+
+def versions(template: str) -> list[re.Pattern]:
+    """What a stretch must hold word for word to be taken for a template: its versions, behind the words they stand behind."""
+    out = []
+    for lead, number, spdx, key in VERSION.findall(template.lower()):
+        words_of = [lead or spdx, number or key]
+        spelled = r"[^a-z0-9]{1,3}".join(re.escape(w).replace(r"\-", r"[^a-z0-9]") for w in words_of)
+        out.append(re.compile(rf"(?<![a-z0-9]){spelled}(?![a-z0-9]|[.-][a-z0-9])" if spdx else rf"(?<![a-z0-9]){spelled}(?![a-z0-9]|\.[0-9])"))
+    return out
+
+
 #: Words are runs of ASCII letters and digits and of bytes beyond ASCII, in lower case.
 _GAPS = np.ones(256, bool)
 _GAPS[128:] = False
@@ -119,6 +153,7 @@ class Index:
         self.names = sorted(templates)
         column = pa.array([templates[n] for n in self.names], pa.large_string())
         self.words, keys, owner, place = [], [], [], []
+        self.versions = [versions(templates[n]) for n in self.names]
         for first, raw, offsets in words.slices(column):
             hashed, _, _, firsts = _hashes(raw, offsets)
             grams, begins = words.shingles(hashed, firsts, GRAM)
@@ -208,25 +243,53 @@ def scan(index: Index, raw: np.ndarray, offsets: np.ndarray, coverage: float) ->
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (template[1:] != template[:-1]) | (np.diff(diagonal) > band[template[1:]])
     groups = np.flatnonzero(new)
-    found = []
+    found, aligned = [], {}
     for a, b in zip(groups, np.append(groups[1:], len(text))):
         k, t = int(text[a]), int(template[a])
         wanted = index.words[t]
         middle = int(diagonal[a] + diagonal[b - 1]) // 2
         width = int(band[t] + (diagonal[b - 1] - diagonal[a] + 1) // 2)
-        matched, first, last = align(wanted, hashed[firsts[k] : firsts[k + 1]], middle, width)
+        # the words that the band can reach; equal stretches are aligned once
+        begin = firsts[k] + max(0, middle - width)
+        near = hashed[begin : max(begin, min(firsts[k + 1], firsts[k] + middle + len(wanted) + width))]
+        key = (t, width, firsts[k] + middle - begin, near.tobytes())
+        if key not in aligned:
+            aligned[key] = align(wanted, near, int(firsts[k] + middle - begin), width)
+        matched, first, last = aligned[key]
         stretch = last - first + 1
-        if matched >= coverage * max(len(wanted), stretch):
+        first, last = first + begin - firsts[k], last + begin - firsts[k]
+        if matched >= coverage * max(len(wanted), stretch) and _same_versions(index.versions[t], raw, offsets, k, starts[firsts[k] + first], ends[firsts[k] + last]):
             score = 4 * matched - len(wanted) - stretch
             found.append((k, t, matched, matched / len(wanted), int(starts[firsts[k] + first]), int(ends[firsts[k] + last]), score))
-    # of stretches that share half of the shorter one, only the template that aligns best is reported
-    kept: dict[int, list[tuple]] = {}
-    for match in sorted(found, key=lambda m: (m[0], -m[6], -m[3], m[1], m[4])):
-        own = kept.setdefault(match[0], [])
-        if not any(2 * (min(o[5], match[5]) - max(o[4], match[4])) >= min(o[5] - o[4], match[5] - match[4]) for o in own):
-            own.append(match)
-    for own in kept.values():
-        yield from (m[:6] for m in sorted(own, key=lambda m: (m[4], m[1])))
+    yield from _apart(found)
+
+
+def _same_versions(wanted: list[re.Pattern], raw: np.ndarray, offsets: np.ndarray, text: int, start: int, end: int) -> bool:
+    if not wanted:
+        return True
+    # the end of the text: a few bytes more show whether a version goes on
+    said = raw[start : min(end + 8, offsets[text + 1])].tobytes().decode("utf-8", "replace").lower()
+    return all(p.search(said) for p in wanted)
+
+
+def _apart(found: list[tuple]) -> Iterator[tuple]:
+    """Of matches that share half of the shorter stretch only the one that aligns best. Kept ones are looked up by their start: those that
+    can reach a match begin at most the longest kept stretch before it, and few of them lie there, as they share little."""
+    found.sort(key=lambda m: (m[0], -m[6], -m[3], m[1], m[4]))
+    at = 0
+    while at < len(found):
+        text, begins, kept, longest = found[at][0], [], [], 0
+        while at < len(found) and found[at][0] == text:
+            match = found[at]
+            start, end = match[4:6]
+            near = kept[bisect_left(begins, start - longest) : bisect_left(begins, end)]
+            if not any(2 * (min(o[5], end) - max(o[4], start)) >= min(o[5] - o[4], end - start) for o in near):
+                place = bisect_left(begins, start)
+                begins.insert(place, start)
+                kept.insert(place, match)
+                longest = max(longest, end - start)
+            at += 1
+        yield from (m[:6] for m in sorted(kept, key=lambda m: (m[4], m[1])))
 
 
 def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
@@ -236,7 +299,8 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, cove
 
     Every run of three words of the whole text is looked up among the templates' winnowed fingerprints; hits of one template on
     diagonals closer than the band form one candidate, and only candidates are aligned. Templates are a parameter of bounded
-    size, kept in each task. Null and empty texts have no rows, repeated rows have their matches each, of matches that share half of the
+    size, kept in each task. A template's versions (and SPDX identifiers)
+    must stand in the stretch word for word. Null and empty texts have no rows, repeated rows have their matches each, of matches that share half of the
     shorter stretch only the one with most matched words against words skipped on either side is reported (of equals the one with
     the larger share, then the first by name), and an empty table gives no rows.
     """

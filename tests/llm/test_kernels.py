@@ -2,6 +2,7 @@
 
 import random
 import string
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -247,3 +248,79 @@ def test_toxicity_learns_misspellings():
     scores = np.concatenate([toxicity.score(raw, offsets, weights, bias) for _, raw, offsets in words.slices(pa.array(test))])
     assert scores[0] < 0.5 < scores[1]
     assert toxicity.train([], np.array([]))[1] == 0.0
+
+
+@pytest.mark.parametrize(
+    "text,wanted",
+    [
+        ("Licensed under CC BY-NC-SA 3.0.", []),
+        ("Licensed under CC BY-NC-SA 4.0.", ["cc-by-nc-sa-notice"]),
+        ("GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", ["gpl-3.0-text"]),
+        ("GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991", ["gpl-2.0-text"]),
+        ("// SPDX-License-Identifier: MIT\nint x;", ["spdx-mit"]),
+        ("SPDX-License-Identifier: GPL-2.0-or-later", ["spdx-gpl-2.0-or-later"]),
+        ("SPDX-License-Identifier: GPL-1.0-only", []),
+        ("Licensed under the Apache License, Version 1.1.", []),
+        ("This work is licensed under the GNU General Public License, version 3.1.", []),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ["mpl-2.0"]),
+    ],
+)
+def test_license_versions_match_exactly(text, wanted):
+    index = licenses.Index(licenses.TEMPLATES)
+    ((_, raw, offsets),) = words.slices(pa.array([text], pa.large_string()))
+    assert [index.names[t] for _, t, *_ in licenses.scan(index, raw, offsets, licenses.COVERAGE)] == wanted
+
+
+def test_repeated_notices_take_seconds():
+    index = licenses.Index(licenses.TEMPLATES)
+    begun = time.perf_counter()
+    ((_, raw, offsets),) = words.slices(pa.array(["All rights reserved. " * 100_000], pa.large_string()))
+    found = list(licenses.scan(index, raw, offsets, licenses.COVERAGE))
+    assert len(found) == 100_000 and found[7][4:6] == (147, 166)
+    assert time.perf_counter() - begun < 60
+
+
+def test_license_spans_apart_equal_comparing_all():
+    rng = np.random.default_rng(3)
+    found = [(int(t), int(n), 1, 0.9, int(a), int(a + size), int(score)) for t, n, a, size, score in zip(rng.integers(0, 3, 600), rng.integers(0, 4, 600), rng.integers(0, 900, 600), rng.integers(1, 60, 600), rng.integers(0, 30, 600))]
+    kept = {}
+    for m in sorted(found, key=lambda m: (m[0], -m[6], -m[3], m[1], m[4])):
+        own = kept.setdefault(m[0], [])
+        if not any(2 * (min(o[5], m[5]) - max(o[4], m[4])) >= min(o[5] - o[4], m[5] - m[4]) for o in own):
+            own.append(m)
+    wanted = [m[:6] for own in kept.values() for m in sorted(own, key=lambda m: (m[4], m[1]))]
+    assert list(licenses._apart(list(found))) == wanted
+
+
+def test_one_long_unit_equals_the_batched_search():
+    known = pieces.load(pieces.model_path())
+    rng = np.random.default_rng(2)
+    text = "".join(rng.choice(list("thewordsareglued\u65e5\u672c\U0001f600\u00e9\u2581"), 3 * pieces.LONG // 2))
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    codes = np.where(codes == pieces.SPACE, np.uint32(pieces.LITERAL), codes)
+    assert (known.viterbi_long(codes) == known.viterbi(codes[None])[0]).all()
+    raw = np.frombuffer(("a " + text + " b\n" + text).encode(), np.uint8)
+    ids, begins = known.encode(raw, np.array([0, len(raw)]))
+    assert known.decode(ids, begins)[0].tobytes() == raw.tobytes()
+
+
+def test_a_long_word_keeps_memory_bounded():
+    """A word of several stretches: a byte per character and the ids, not the sums of all ends."""
+    import tracemalloc
+
+    known = pieces.load(pieces.model_path())
+    codes = np.frombuffer(("xxxxxab" * 20_000).encode("utf-32-le"), np.uint32)
+    tracemalloc.start()
+    ids = known.viterbi_long(codes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) and peak < 48 << 20
+
+
+def test_joined_words_have_the_ids_of_single_ones():
+    encoder = bytebpe.Encoder(pieces.model_path(repair.MODEL))
+    spelled = [" word", " \u00e9t\u00e9", "word", " 12", "  ", " a", "don", "'t", " x" * 3, "\n"]
+    codes = np.frombuffer("".join(spelled).encode("utf-32-le"), np.uint32)
+    ids, counts = encoder._new_ids(codes, np.array([len(w) for w in spelled]))
+    wanted = [encoder.library.encode(w, add_special_tokens=False).ids for w in spelled]
+    assert counts.tolist() == [len(w) for w in wanted] and ids.tolist() == [i for w in wanted for i in w]
