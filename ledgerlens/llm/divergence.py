@@ -23,51 +23,52 @@ _GAP[128:] = False
 _GAP[[*range(65, 91), *range(97, 123)]] = False
 
 
-def _slice_terms(raw: np.ndarray, offsets: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """``(group, term, digest, occurrences, documents)`` of each different term of each group of texts. Terms are told apart
-    by their bytes; a digest is 64 bits wide."""
+def _slice_terms(raw: np.ndarray, offsets: np.ndarray, groups: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(terms, digests, begins, group, occurrences, documents)``: the different terms, a digest of 64 bits of each, and for each its groups of
+    texts one after another, beginning at ``begins``. Terms are told apart by their bytes."""
     starts, ends, firsts = words.bounds(raw, offsets, _GAP)
-    digests = words.word_hashes(raw, starts, ends)
-    lengths = np.concatenate([[0], np.cumsum(ends - starts)])
-    spelled = words._LOWER[raw[~_GAP[raw]]]
-    found = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(lengths), pa.py_buffer(spelled)).dictionary_encode()
-    codes, terms = found.indices.to_numpy().astype(np.int64), found.dictionary
-    of_term = np.zeros(len(terms), np.uint64)
-    of_term[codes] = digests
-    wide = max(1, len(terms))
-    texts, counts = np.unique(np.repeat(np.arange(len(offsets) - 1), np.diff(firsts)) * wide + codes, return_counts=True)
-    kinds, kind = np.unique(groups[texts // wide] * wide + texts % wide, return_inverse=True)
-    term = kinds % wide
-    return kinds // wide, terms.take(pa.array(term)), of_term[term], np.bincount(kind, counts).astype(np.int64), np.bincount(kind)
+    codes, terms, digests = words.distinct_words(raw, starts, ends, _GAP)
+    named, group = np.unique(groups, return_inverse=True)
+    texts, n = np.unique(codes.astype(np.int64) * (len(offsets) - 1) + np.repeat(np.arange(len(offsets) - 1), np.diff(firsts)), return_counts=True)
+    code, text = np.divmod(texts, len(offsets) - 1)
+    kinds, kind = np.unique(code * len(named) + group[text], return_inverse=True)
+    code, group = np.divmod(kinds, len(named))
+    begins = np.searchsorted(code, np.arange(len(terms) + 1))
+    return terms, digests, begins, named[group], np.bincount(kind, n).astype(np.int64), np.bincount(kind).astype(np.int64)
 
 
 def slice_terms(own: DataFrame, digest_bits: int = 64) -> DataFrame:
-    """``lang, source, digest, term, n, docs`` of each stretch of texts that a task reads at a time; ``own`` has ``lang, source,
-    text`` without nulls. Fewer ``digest_bits`` make digests collide, as a test of how collisions are split."""
+    """``digest, term, groups, n, docs`` of each different term of each stretch of texts that a task reads at a time, the last three being arrays with
+    an element per group; ``own`` has ``grp, text``. Fewer ``digest_bits`` make digests collide, as a test of how collisions are split."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, raw, offsets in words.slices(batch.column("text"), SLICE_BYTES):
-                part = pa.table({c: batch.column(c).slice(first, len(offsets) - 1) for c in ("lang", "source")})
-                codes = [part.column(c).combine_chunks().dictionary_encode() for c in ("lang", "source")]
-                wide = max(1, len(codes[1].dictionary))
-                pairs = codes[0].indices.to_numpy().astype(np.int64) * wide + codes[1].indices.to_numpy()
-                groups, numbered = np.unique(pairs, return_inverse=True)
-                group, term, digest, n, docs = _slice_terms(raw, offsets, numbered)
-                named = groups[group]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        codes[0].dictionary.take(pa.array(named // wide)),
-                        codes[1].dictionary.take(pa.array(named % wide)),
-                        pa.array((digest >> np.uint64(64 - digest_bits)).view(np.int64)),
-                        term.cast(pa.string()),
-                        pa.array(n),
-                        pa.array(docs),
-                    ],
-                    ["lang", "source", "digest", "term", "n", "docs"],
-                )
-
-    return own.select("lang", "source", "text").mapInArrow(run, "lang string, source string, digest long, term string, n long, docs long")
+                groups = batch.column("grp").slice(first, len(offsets) - 1).to_numpy()
+                terms, digests, begins, *lists = _slice_terms(raw, offsets, groups)
+                begins = pa.array(begins, pa.int32())
+                columns = [pa.array((digests >> np.uint64(64 - digest_bits)).view(np.int64)), terms.cast(pa.string())]
+                columns += [pa.ListArray.from_arrays(begins, pa.array(x)) for x in lists]
+                yield pa.RecordBatch.from_arrays(columns, ["digest", "term", "groups", "n", "docs"])
+
+    return own.select("grp", "text").mapInArrow(run, "digest long, term string, groups array<long>, n array<long>, docs array<long>")
+
+
+def numbered_groups(own: DataFrame) -> tuple[DataFrame, int]:
+    """``grp, lang_id, lang, source`` of every group, written, and the seed of the hash that gives the two ids. Seeds are tried until no two
+    groups or languages share an id."""
+    named = write_once(own.select("lang", "source").distinct())
+    seed = 0
+    while True:
+        groups = named.select(_group_id(seed).alias("grp"), F.xxhash64(F.lit(seed), "lang").alias("lang_id"), "lang", "source")
+        met = groups.agg(F.count("*"), F.count_distinct("grp"), F.count_distinct("lang_id"), F.count_distinct("lang")).first()
+        if met[0] == met[1] and met[2] == met[3]:
+            return write_once(groups), seed
+        seed += 1
+
+
+def _group_id(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "lang", "source")
 
 
 def _number(c: Column | int) -> Column:
@@ -84,31 +85,32 @@ def _gap_of(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def kept_counts(own: DataFrame, min_docs: int = MIN_DOCS, digest_bits: int = 64) -> tuple[DataFrame, DataFrame]:
-    """``(counts, dictionary)``: ``lang, source, digest, split, n, lang_n`` of the terms that a language keeps, and
+def kept_counts(own: DataFrame, groups: DataFrame, seed: int, min_docs: int = MIN_DOCS, digest_bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """``(counts, dictionary)``: ``lang_id, grp, digest, split, n, lang_n`` of the terms that a language keeps, and
     ``digest, split, term``.
 
-    What is shuffled for the counts is digests, 8 bytes wide. The strings of a digest are reduced to their minimum
+    What is shuffled for the counts is digests and group ids, 8 bytes wide each. The strings of a digest are reduced to their minimum
     and maximum, in a pass that sees neither sources nor counts; where the two differ, several terms share the digest, and those
     are counted again by string, ``split`` being the string (empty for all other digests).
     """
-    slices = write_once(slice_terms(own, digest_bits))
-    both = slices.groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high"))
-    both = write_once(both)
+    slices = write_once(slice_terms(own.withColumn("grp", _group_id(seed)), digest_bits))
+    both = write_once(slices.groupBy("digest").agg(F.min("term").alias("low"), F.max("term").alias("high")))
     shared = both.filter("low <> high").select(F.col("digest").alias("_digest"))
-    counted = slices.groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).withColumn("split", F.lit(""))
+    each = F.inline(F.arrays_zip(F.col("groups").alias("grp"), "n", "docs")).alias("grp", "n", "docs")
+    sums = [F.sum("n").alias("n"), F.sum("docs").alias("docs")]
+    counted = slices.select("digest", each).groupBy("grp", "digest").agg(*sums).withColumn("split", F.lit(""))
     dictionary = both.select("digest", F.lit("").alias("split"), F.col("low").alias("term"))
     if not shared.isEmpty():
         together = F.col("digest") == F.col("_digest")
-        again = slices.join(shared, together, "left_semi").groupBy("lang", "source", "digest", F.col("term").alias("split"))
-        again = again.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).select(counted.columns)
+        again = slices.join(shared, together, "left_semi").select("digest", "term", each).groupBy("grp", "digest", F.col("term").alias("split"))
+        again = again.agg(*sums).select(counted.columns)
         counted = counted.join(shared, together, "left_anti").unionByName(again)
         spelled = again.select("digest", "split", F.col("split").alias("term")).distinct()
         dictionary = both.filter("low = high").select("digest", F.lit("").alias("split"), F.col("low").alias("term")).unionByName(spelled)
-    counted = write_once(counted)
-    of_lang = counted.groupBy("lang", "digest", "split").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
+    counted = write_once(counted.join(groups.select("grp", "lang_id"), "grp"))
+    of_lang = counted.groupBy("lang_id", "digest", "split").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
     of_lang = of_lang.filter(F.col("docs") >= min_docs).drop("docs")
-    return counted.drop("docs").join(of_lang, ["lang", "digest", "split"]), dictionary
+    return counted.drop("docs").join(of_lang, ["lang_id", "digest", "split"]), dictionary
 
 
 def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, digest_bits: int = 64) -> DataFrame:
@@ -128,62 +130,66 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, digest
     rows count as often as they occur; an empty table gives no rows.
     """
     own = docs.select(*[F.coalesce(docs[c].cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    groups = write_once(own.select("lang", "source").distinct())
-    counts, dictionary = kept_counts(own, min_docs, digest_bits)
+    groups, seed = numbered_groups(own)
+    counts, dictionary = kept_counts(own, groups, seed, min_docs, digest_bits)
     counts = write_once(counts)
-    sizes = counts.groupBy("lang", "source").agg(F.sum("n").alias("size"), F.count("*").alias("terms"))
-    of_lang = counts.groupBy("lang", "digest", "split").agg(F.first("lang_n").alias("n")).groupBy("lang").agg(F.sum("n").alias("lang_size"), F.count("*").alias("kept"))
-    sized = groups.join(sizes, ["lang", "source"], "left").join(of_lang, "lang", "left").fillna(0, ["size", "terms", "lang_size", "kept"])
-    sized = sized.select("lang", "source", "terms", "kept", (F.col("size") + F.col("kept")).alias("total"), (F.col("lang_size") + F.col("kept")).alias("lang_total"))
-    sized = write_once(sized)
-    shares = counts.join(sized.drop("terms", "kept"), ["lang", "source"])
-    shares = shares.select("lang", "source", "digest", "split", "n", _share(F.col("n"), F.col("total")).alias("p"), _share(F.col("lang_n"), F.col("lang_total")).alias("q"))
-    shares = write_once(shares)
-    columns = ["lang", "source", "part", "item", "value", "rank"]
-    return _pairs(shares, sized).select(columns).unionByName(_terms(shares, dictionary, top).select(columns))
+    sizes = counts.groupBy("grp").agg(F.sum("n").alias("size"), F.count("*").alias("terms"))
+    of_lang = counts.groupBy("lang_id", "digest", "split").agg(F.first("lang_n").alias("n")).groupBy("lang_id").agg(F.sum("n").alias("lang_size"), F.count("*").alias("kept"))
+    sized = groups.select("grp", "lang_id").join(sizes, "grp", "left").join(of_lang, "lang_id", "left").fillna(0, ["size", "terms", "lang_size", "kept"])
+    total = F.col("size") + F.col("kept")
+    none = F.when(total > 0, _share(F.lit(0), F.greatest(total, F.lit(1)))).alias("none")
+    sized = write_once(sized.select("grp", "lang_id", "terms", "kept", total.alias("total"), (F.col("lang_size") + F.col("kept")).alias("lang_total"), none))
+    shares = counts.join(sized.select("grp", "total", "lang_total", "none"), "grp")
+    p, q = _share(F.col("n"), F.col("total")), _share(F.col("lang_n"), F.col("lang_total"))
+    shares = write_once(shares.select("lang_id", "grp", "digest", "split", p.alias("p"), q.alias("q"), "none"))
+    names = groups.select("grp", "lang", "source")
+    pairs = _pairs(shares, sized).join(names.select(F.col("grp").alias("other"), F.col("source").alias("item")), "other")
+    parts = _ranked(pairs.join(names, "grp").withColumn("part", F.lit("pair")))
+    terms = _top_terms(shares, top).join(dictionary.withColumnRenamed("term", "item").hint("merge"), ["digest", "split"])
+    return parts.unionByName(_ranked(terms.join(names, "grp").withColumn("part", F.lit("term"))).filter(F.col("rank") <= top))
+
+
+def _ranked(df: DataFrame) -> DataFrame:
+    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
+    return df.select("lang", "source", "part", "item", "value", F.row_number().over(order).alias("rank"))
 
 
 def _pairs(shares: DataFrame, sized: DataFrame) -> DataFrame:
-    """The sums for all pairs of sources of a language."""
-    none = F.when(F.col("total") > 0, _share(F.lit(0), F.greatest(F.col("total"), F.lit(1)))).alias("none")
-    bases = sized.select("lang", "source", "terms", "kept", none)
-    other = bases.select("lang", F.col("source").alias("item"), F.col("terms").alias("item_terms"), F.col("none").alias("item_none"))
-    pairs = write_once(bases.join(other, "lang").filter("source <> item"))  # as many rows as the result
+    """``grp, other, value``: the sums for all pairs of sources of a language."""
+    bases = sized.select("lang_id", "grp", "terms", "kept", "none")
+    others = bases.select("lang_id", F.col("grp").alias("other"), F.col("terms").alias("other_terms"), F.col("none").alias("other_none"))
+    pairs = write_once(bases.join(others, "lang_id").filter("grp <> other"))  # as many rows as the result
     exact = "decimal(38,0)"
-    by_count = shares.groupBy("lang", "source", "p").agg(F.count("*").alias("m"))
-    own = by_count.join(pairs.select("lang", "source", "item", "item_none"), ["lang", "source"])
-    own = own.groupBy("lang", "source", "item").agg(F.sum((F.col("m") * _gap_of(F.col("p"), F.col("item_none"))).cast(exact)).alias("own"))
-    theirs = by_count.withColumnRenamed("source", "item").join(pairs.select("lang", "source", "item", "none"), ["lang", "item"])
-    theirs = theirs.groupBy("lang", "source", "item").agg(F.sum((F.col("m") * _gap_of(F.col("none"), F.col("p"))).cast(exact)).alias("theirs"))
-    mine = shares.select("lang", "digest", "split", "source", "p").join(sized.select("lang", "source", none), ["lang", "source"])
-    yours = mine.select("lang", "digest", "split", F.col("source").alias("item"), F.col("p").alias("q"), F.col("none").alias("item_none"))
-    met = mine.join(yours, ["lang", "digest", "split"]).filter("source <> item")
-    p, q, p0, q0 = (F.col(c) for c in ("p", "q", "none", "item_none"))
+    p, q, p0, q0, m = (F.col(c) for c in ("p", "q", "none", "other_none", "m"))
+    by_count = write_once(shares.groupBy("grp", "p").agg(F.count("*").alias("m")))
+    own = by_count.join(pairs.select("grp", "other", "other_none"), "grp")
+    own = own.groupBy("grp", "other").agg(F.sum((m * _gap_of(p, q0)).cast(exact)).alias("own"))
+    theirs = by_count.select(F.col("grp").alias("other"), "p", "m").join(pairs.select("grp", "other", "none"), "other")
+    theirs = theirs.groupBy("grp", "other").agg(F.sum((m * _gap_of(p0, p)).cast(exact)).alias("theirs"))
+    mine = shares.select("lang_id", "digest", "split", "grp", "p", "none")
+    yours = mine.select("lang_id", "digest", "split", F.col("grp").alias("other"), F.col("p").alias("q"), F.col("none").alias("other_none"))
+    met = mine.join(yours, ["lang_id", "digest", "split"]).filter("grp <> other")
     more = _gap_of(p, q) - _gap_of(p, q0) - _gap_of(p0, q) + _gap_of(p0, q0)
-    both = met.groupBy("lang", "source", "item").agg(F.sum(more.cast(exact)).alias("both"))
-    keys = ["lang", "source", "item"]
-    found = pairs.join(own, keys, "left").join(theirs, keys, "left").join(both, keys, "left")
-    rest = (F.col("kept") - F.col("terms") - F.col("item_terms")).cast(exact) * _gap_of(p0, q0).cast("decimal(19,0)")
-    value = sum((F.coalesce(F.col(c), F.lit(0).cast(exact)) for c in ("own", "theirs", "both")), F.coalesce(rest, F.lit(0).cast(exact)))
-    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    found = found.select("lang", "source", F.lit("pair").alias("part"), "item", value.cast("long").alias("value"))
-    return found.withColumn("rank", F.row_number().over(order))
-
-
-def _terms(shares: DataFrame, dictionary: DataFrame, top: int) -> DataFrame:
-    """The ``top`` terms of each group; strings are joined only to values that can be among them."""
-    above = shares.filter("p > q").select("lang", "source", "digest", "split", _gap_of(F.col("p"), F.col("q")).alias("value"))
-    levels = Window.partitionBy("lang", "source").orderBy(F.desc("value"))
-    many = above.groupBy("lang", "source", "value").agg(F.count("*").alias("m"))
+    both = met.groupBy("grp", "other").agg(F.sum(more.cast(exact)).alias("both"))
+    found = pairs
+    for sums in (own, theirs, both):
+        found = found.join(sums, ["grp", "other"], "left")
+    rest = (F.col("kept") - F.col("terms") - F.col("other_terms")).cast(exact) * _gap_of(p0, q0).cast("decimal(19,0)")
+    zero = F.lit(0).cast(exact)
+    value = F.coalesce(rest, zero) + F.coalesce("own", zero) + F.coalesce("theirs", zero) + F.coalesce("both", zero)
+    return found.select("grp", "other", value.cast("long").alias("value"))
+
+
+def _top_terms(shares: DataFrame, top: int) -> DataFrame:
+    """``grp, digest, split, value`` of the terms that can be among the ``top`` of their group: those down to the ``top``-th value, ties included."""
+    above = shares.filter("p > q").select("grp", "digest", "split", _gap_of(F.col("p"), F.col("q")).alias("value"))
+    levels = Window.partitionBy("grp").orderBy(F.desc("value"))
+    many = above.groupBy("grp", "value").agg(F.count("*").alias("m"))
     many = many.withColumn("level", F.row_number().over(levels)).filter(F.col("level") <= top)
     upto = F.sum("m").over(levels.rowsBetween(Window.unboundedPreceding, -1))
     least = many.withColumn("before", F.coalesce(upto, F.lit(0))).filter(F.col("before") < top)
-    least = least.groupBy("lang", "source").agg(F.min("value").alias("least"))
-    near = above.join(least, ["lang", "source"]).filter("value >= least")
-    named = near.join(dictionary.hint("merge"), ["digest", "split"])
-    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    named = named.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
-    return named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    least = least.groupBy("grp").agg(F.min("value").alias("least"))
+    return above.join(least, "grp").filter("value >= least").drop("least")
 
 
 _UP, _DOWN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
