@@ -21,7 +21,7 @@ SLICE_BYTES, SLICES_PER_BATCH = 1 << 20, 4
 #: Bits of the table that says which digests may be frequent: half a megabyte for any corpus.
 FILTER_BITS = 22
 #: Digests, and phrases of one trie, that are broadcast at a time; more of them take more passes.
-DIGEST_BLOCK, TRIE_BLOCK = 1 << 20, 1 << 18
+DIGEST_BLOCK, TRIE_BLOCK = 1 << 18, 1 << 16
 #: Phrases of one vector of counts: a task's vectors of one range of phrases are added up in one place, 4 KB of each task.
 COUNTERS = 512
 
