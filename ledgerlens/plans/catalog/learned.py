@@ -25,7 +25,7 @@ def kmeans_segments(spark, folder):
 
 def _purchases(spark, folder):
     rows = sales(spark, folder, ["customer_id", "date", "total_amount", "size", "segment", "product_category", "transaction_id"])
-    return write_once(ml.churn_labels(rows))  # every stage of the training reads it
+    return write_once(ml.churn_labels(rows), ml.TASK_ROWS)  # every stage of the training reads it
 
 
 def _churn(spark, folder):

@@ -108,3 +108,12 @@ def _forest_inputs(monkeypatch, rows_per_task):
     monkeypatch.setattr(ml.RandomForestClassifier, "fit", noted)
     monkeypatch.setattr(ml, "TASK_ROWS", rows_per_task)
     return seen
+
+
+def test_churn_forest_is_trained_by_many_tasks(spark, monkeypatch):
+    seen = _forest_inputs(monkeypatch, 16)
+    rows = spark.createDataFrame([(float(k % 2), k % 50, "AB"[k % 2], "x") for k in range(160)], "label double, size long, segment string, kind string")
+    model = ml.train_churn(rows.coalesce(1), ["size"], ["segment", "kind"], trees=3)
+    assert seen[0][0] == 10
+    assert ml.score_churn(model, rows).where("label = prediction").count() == 160
+    assert ml.feature_importance(model, rows).count() > 0
