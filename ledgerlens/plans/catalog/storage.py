@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ...operators import kpi, profile
-from ...session import scratch_path
+from ...session import scratch_path, write_once
 from ...sources import readers, sinks
 from ..analysis import report_sections
 from ..facts import orders_fact, sales, table
@@ -168,7 +168,7 @@ def export_long_form(spark, folder):
 )
 def export_report(spark, folder):
     """Write the seven report parts as CSV folders and count what can be read back."""
-    rows = sales(spark, folder, ["date", "customer_id", "product_category", "total_amount"])
+    rows = write_once(sales(spark, folder, ["date", "customer_id", "product_category", "total_amount"]))  # joined once for all parts
     sections = report_sections(rows, profile.quality_score(rows))
     path = scratch_path(spark, "report")
     sinks.write_sections(sections, path, "csv")

@@ -139,3 +139,12 @@ def test_quantiles_of_a_group_without_values(spark):
     df = spark.createDataFrame([("a", None, 1.0), ("a", None, 3.0), ("b", 2.0, None)], "k string, x double, y double")
     found = {r.k: (r.x, r.y) for r in column_quantiles(df, {"x": {"x": 0.5}, "y": {"y": 0.5}}, ["k"]).collect()}
     assert found == {"a": (None, 2.0), "b": (2.0, None)}
+
+
+def test_report_parts_share_one_join(spark, folder, monkeypatch):
+    from ledgerlens.plans.catalog import storage
+
+    read, parts = [], storage.report_sections
+    monkeypatch.setattr(storage, "report_sections", lambda rows, quality: read.extend(rows.inputFiles() + quality.inputFiles()) or parts(rows, quality))
+    assert storage.export_report(spark, folder).count() == 7
+    assert read and not any("lineitem" in f for f in read)
