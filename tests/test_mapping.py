@@ -159,3 +159,26 @@ def test_uniqueness_is_exact_near_its_limit(spark, ratio):
     facts = mapping.column_facts(ids)
     assert facts["customer_id"]["distinct_filled"] == round(rows * ratio)
     assert mapping.mapping_confidence(ids, facts) == ("LOW" if ratio <= 0.2 else "MEDIUM")
+
+
+def test_samples_are_the_least_digests_without_a_row_per_cell(spark, monkeypatch):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators import profile
+
+    def no_rows(*_):
+        raise AssertionError("cells became rows")
+
+    df = spark.range(20_000).select(
+        "id", (F.col("id") % 3000).alias("some"), F.when(F.col("id") % 2 == 0, F.col("id") % 5).cast("string").alias("few"), F.lit(None).cast("string").alias("none"),
+        F.when(F.col("id") % 2 == 0, -0.0).otherwise(0.0).alias("zero"), F.date_add(F.lit("2024-01-01"), (F.col("id") % 700).cast("int")).alias("day"),
+        F.concat(F.lit("word "), "id").alias("many"), (F.col("id") % 2 == 0).alias("flag"), F.array(F.col("id") % 200).alias("list"),
+    )
+    monkeypatch.setattr(profile.F, "explode", no_rows)
+    found = {r["column"]: r["samples"] for r in profile.distinct_samples(df).collect()}
+    texts = [r.asDict() for r in df.select(*[F.col(c).cast("string") for c in df.columns]).collect()]
+    for c in df.columns:
+        values = {t[c] for t in texts} - {None}
+        assert found[c] == sorted(values, key=lambda v: hashlib.md5(v.encode()).hexdigest())[:3], c
