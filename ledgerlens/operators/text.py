@@ -10,6 +10,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.coerce import first_match, normal_text
 from ..functions.edge import ladder
+from ..session import write_once
 from .scale import first_per_group
 
 # Words of the question vocabulary.
@@ -225,35 +226,67 @@ def similar_questions(asked: DataFrame, known: DataFrame, text: str = "text", ab
     """``asked`` with ``matched_question, matched_intent, similarity``: of the ``known`` questions (``question, intent, ord``) whose words overlap by more
     than ``above`` (Jaccard) the first by ``ord``, else NULL.
 
-    Words are ordered by how many known questions hold them, the rarest first. Two sets of that likeness share a word
-    among the first ``size - ceil(above * size) + 1`` of each, so known questions are listed under those words only and meet the
-    asked ones there, if their sizes allow it; then all words are compared. Each different text is matched once.
+    Words are ordered by how many known questions hold them, the rarest first; counts are those of hashed slots, so a table of one size tells
+    them and no word is joined to be counted. Two sets of that likeness share a word among the first ``size - ceil(above * size) + 1`` of
+    each, so known questions are listed under those words only and meet the asked ones there, as numbers with a size and a bitmap of their
+    words that bounds what two sets can share. Only pairs that may be alike enough get their words back, and all are compared. Each different text is matched once.
     """
 
     def words(c: Column) -> Column:
         return F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
 
-    texts = asked.select(F.col(text).alias("__text")).where(F.col("__text").isNotNull()).distinct().withColumn("__words", words(F.col("__text")))
-    listed = known.select("question", "intent", "ord", words(F.col("question")).alias("known_words"))
-    held = listed.select(F.explode("known_words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-
-    def first_words(df: DataFrame, key: list[str], column: str) -> DataFrame:
-        each = df.select(*key, F.size(column).alias("__size"), F.explode(column).alias("word")).join(held, "word", "left")
-        ranked = each.groupBy(*key, "__size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("__ranked"))
-        taken = F.col("__size") - F.ceil(F.lit(above) * F.col("__size")).cast("int") + 1
-        return ranked.select(*key, F.explode(F.transform(F.slice("__ranked", F.lit(1), taken), lambda r: r["word"])).alias("word"))
-
-    index = first_words(listed, ["ord"], "known_words").join(listed, "ord")
-    probes = first_words(texts, ["__text"], "__words").join(texts, "__text")
-    sizes = F.size("__words").cast("double"), F.size("known_words").cast("double")
-    met = probes.join(index, "word").where((sizes[0] >= above * sizes[1]) & (sizes[1] >= above * sizes[0]))
-    alike = F.size(F.array_intersect("__words", "known_words")) / F.size(F.array_union("__words", "known_words"))
-    scored = met.select("__text", F.struct("ord", "question", "intent", alike.alias("similarity")).alias("m")).where(F.col("m.similarity") > above)
-    best = scored.groupBy("__text").agg(F.min_by("m", "m.ord").alias("m"))
-    found = best.select("__text", F.col("m.question").alias("matched_question"), F.col("m.intent").alias("matched_intent"), F.col("m.similarity").alias("similarity"))
+    listed = known.where(F.col("ord").isNotNull()).select("question", "intent", "ord", F.monotonically_increasing_id().alias("__known"))
+    listed = write_once(listed)  # what is numbered must not be computed again
+    texts = asked.select(F.col(text).alias("__text")).where(F.col("__text").isNotNull()).distinct()
+    texts = write_once(texts.withColumn("__asked", F.monotonically_increasing_id()))
+    rare = _rarity(listed.select(F.explode(words(F.col("question"))).alias("word")))
+
+    def under_first_words(df: DataFrame, key: str, c: str, side: str) -> DataFrame:
+        have = df.select(key, words(F.col(c)).alias("__words"))
+        size = F.size("__words")
+        ranked = F.array_sort(F.transform("__words", lambda w: F.struct(rare(w).alias("n"), w.alias("word"))))
+        taken = F.slice(ranked, F.lit(1), size - F.ceil(F.lit(above) * size).cast("int") + 1)
+        return have.select(key, size.cast("double").alias(f"{side}_size"), _bitmap("__words").alias(f"{side}_bits"), F.explode(taken).alias("__first")).select(
+            key, f"{side}_size", f"{side}_bits", F.col("__first.word").alias("word")
+        )
+
+    met = under_first_words(texts, "__asked", "__text", "a").join(under_first_words(listed, "__known", "question", "k"), "word")
+    a, k = F.col("a_size"), F.col("k_size")
+    lone = [F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y)))) for x, y in (("a_bits", "k_bits"), ("k_bits", "a_bits"))]
+    most = F.least(a - lone[0], k - lone[1])
+    pairs = met.where((a >= above * k) & (k >= above * a) & (most / (a + k - most) > above)).select("__asked", "__known").distinct()
+    both = pairs.join(texts, "__asked").join(listed, "__known").withColumns({"__a": words(F.col("__text")), "__k": words(F.col("question"))})
+    alike = F.size(F.array_intersect("__a", "__k")) / F.size(F.array_union("__a", "__k"))
+    scored = both.select("__asked", F.struct("ord", "__known", alike.alias("similarity")).alias("m")).where(F.col("m.similarity") > above)
+    best = scored.groupBy("__asked").agg(F.min("m").alias("m")).select("__asked", "m.__known", "m.similarity")
+    found = best.join(texts, "__asked").join(listed, "__known").select(
+        "__text", F.col("question").alias("matched_question"), F.col("intent").alias("matched_intent"), "similarity"
+    )
     return asked.join(found, F.col(text) == F.col("__text"), "left").drop("__text")
 
 
+#: Slots that words are counted in; their counts come to the driver as one byte each.
+WORD_SLOTS = 1 << 16
+
+
+def _rarity(words: DataFrame):
+    """A function that gives the level of a word's count in ``words`` (``word``), rare words first: eight levels for each doubling."""
+    def slot(w: Column) -> Column:
+        return F.pmod(F.xxhash64(w), F.lit(WORD_SLOTS)).cast("int")
+
+    level = F.least(F.lit(255), F.floor(F.log2(F.count(F.lit(1)).cast("double")) * 8) + 1).cast("int")
+    levels = bytearray(WORD_SLOTS)
+    for row in words.groupBy(slot(F.col("word")).alias("slot")).agg(level.alias("level")).collect():
+        levels[row["slot"]] = row["level"]
+    return lambda w: F.substr(F.lit(levels), slot(w) + 1, F.lit(1))
+
+
+def _bitmap(words: str) -> Column:
+    """64 bits, of which each word sets one."""
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    return F.aggregate(words, none, lambda bits, w: bits.bitwiseOR(F.call_function("shiftleft", one, F.pmod(F.xxhash64(w, F.lit(1)), F.lit(64)).cast("int"))))
+
+
 def history_tail(log: DataFrame, n: int = 50) -> DataFrame:
     """The last turns of every conversation; long ones are cut before the shuffle."""
     return first_per_group(log, ["conv_id"], [F.col("turn").desc()], n, "from_end").drop("from_end")

@@ -179,3 +179,27 @@ def test_similar_questions_against_all_pairs(spark):
     assert found[99] == (None,) * 3
     plan = matched._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_alike_questions_without_a_list_of_words_per_text(spark, monkeypatch):
+    """Every pair compared by hand gives the same; words are not joined to be counted."""
+    import random
+
+    from ledgerlens.operators import text
+
+    def listed(*_):
+        raise AssertionError("words of a text were collected")
+
+    dice = random.Random(5)
+    known = [(f"{k} " + " ".join(dice.sample("abcdefghij", dice.randint(1, 8))), "i", k * 10) for k in range(60)]
+    asked = [(k, " ".join(dice.sample([*"ABCDEFGHIJ", str(k % 60)], dice.randint(1, 9)))) for k in range(80)] + [(80, known[3][0]), (81, ""), (82, None)]
+    monkeypatch.setattr(text.F, "collect_list", listed)
+    found = text.similar_questions(spark.createDataFrame(asked, "id int, text string"), spark.createDataFrame(known, "question string, intent string, ord long"), above=0.4)
+    got = {r["id"]: (r["matched_question"], r["similarity"]) for r in found.collect()}
+    for k, words in asked:
+        a, best = set((words or "").lower().split()), (None, None)
+        for question, _, _ in reversed(known):
+            b = set(question.split())
+            if a and len(a & b) / len(a | b) > 0.4:
+                best = question, len(a & b) / len(a | b)
+        assert got[k] == best, words
