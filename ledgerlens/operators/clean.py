@@ -18,7 +18,7 @@ from ..functions.coerce import (
     to_number,
     to_time,
 )
-from .scale import exact_quantiles, one_row
+from .scale import every, exact_quantiles, one_row
 
 # Source names accepted for each column of the chart-ready frame, in order of preference.
 VISUAL_SOURCES = {
@@ -158,8 +158,10 @@ def visual_frame(df: DataFrame) -> DataFrame | None:
     return frame.dropna(subset=["orderdate", "sales"])
 
 
-def canonical_frame(df: DataFrame, mapping: dict[str, str], day_first: bool | None = None) -> DataFrame:
-    """Rename sources to their roles, type date and amount, add ``month_year``, drop incomplete rows."""
+def canonical_frame(df: DataFrame, mapping: dict[str, str], day_first: bool | None = None, whole: bool = False) -> DataFrame:
+    """Rename sources to their roles, type date and amount, add ``month_year``, drop incomplete rows.
+
+    ``whole`` is for frames of which all columns are read: every cell is parsed once, but unread columns are not spared."""
     renames = {src: role for role, src in mapping.items() if src != role and role not in df.columns}
     out = df.withColumnsRenamed(renames)
     if "date" in out.columns:
@@ -168,7 +170,19 @@ def canonical_frame(df: DataFrame, mapping: dict[str, str], day_first: bool | No
         out = parse_numbers(out, "total_amount")
     if "customer_id" in out.columns:
         out = out.withColumn("customer_id", F.col("customer_id").cast("string"))
-    return out.dropna(subset=[c for c in ("total_amount", "date", "customer_id") if c in out.columns])
+    needed = [c for c in ("total_amount", "date", "customer_id") if c in out.columns]
+    return complete_rows(out, needed) if whole else out.dropna(subset=needed)
+
+
+def complete_rows(df: DataFrame, needed: Sequence[str]) -> DataFrame:
+    """``dropna`` on columns that are costly to compute: a filter would be pushed below them with their expressions, and compute them twice."""
+    rows = df.select(F.array(F.struct(*[F.col(f"`{c}`").alias(c) for c in df.columns])).alias("__row"))
+    real = [c for c in needed if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))]
+
+    def complete(row):
+        return every([row[c].isNotNull() for c in needed] + [~F.isnan(row[c]) for c in real])
+
+    return rows.select(F.inline(F.filter("__row", complete)))
 
 
 def age_band(age: Column) -> Column:

@@ -164,7 +164,7 @@ def ingest_frame(raw: DataFrame) -> Dataset:
     facts = mapping.renamed_facts(seen, mapped)
     if mapping.validate_required(canonical, facts):
         return Dataset(raw, cleaned, "exploratory_only", mapped, quality)
-    frame = write_once(clean.canonical_frame(cleaned, mapped, facts["date"]["day_first"]))  # texts are parsed here and not again
+    frame = write_once(clean.canonical_frame(cleaned, mapped, facts["date"]["day_first"], whole=True))  # texts are parsed here and not again
     mode = mapping.analysis_mode(mapping.capabilities(frame.columns))
     return Dataset(
         raw, frame, mode, mapped, quality, mapping.mapping_issues(canonical, facts), mapping.mapping_confidence(canonical, facts)

@@ -81,3 +81,21 @@ def test_several_files_and_empty_arrays(spark, tmp_path):
         (tmp_path / name).write_text(text)
     assert in_parts(spark, str(tmp_path), 5) == [{"a": 1}, {"a": 2}, {"a": 3}]
     assert readers.read_dataset(spark, str(tmp_path), "json").agg(F.sum("a")).first()[0] == 6
+
+
+def test_whole_frames_are_parsed_once_and_texts_squeezed_as_before(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.functions.coerce import only_if, sanitize_text
+    from ledgerlens.operators import clean
+
+    rows = [("2024-01-02", "$5", "a"), ("x", "7", "b"), (None, "3", "c"), ("2024-03-04", "none", "d"), ("05/06/2024", "(2.5)", None)]
+    df, roles = spark.createDataFrame(rows, "d string, v string, who string"), {"date": "d", "total_amount": "v", "customer_id": "who"}
+    whole, plain = (clean.canonical_frame(df, roles, False, whole=w) for w in (True, False))
+    assert whole.columns == plain.columns and whole.collect() == plain.collect() and len(whole.collect()) == 1
+    assert "Filter" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    odd = ["a  b", " a ", "aBLANKb", "x ", "x y", "na ", "NA", "Null", "\t", "", None, "a\x85b", "none ", "blank", "a\rb", "nana", "K blanK", "\xa0a"]
+    texts = spark.createDataFrame([(t,) for t in odd], "t string")
+    squeezed = F.trim(F.regexp_replace("t", r"(?i)(?:\s|blank)+", " "))
+    before = only_if(squeezed, r"(?i)^(?!(?:nan|none|null|na)$).+$")
+    assert texts.where(~sanitize_text(F.col("t")).eqNullSafe(before)).count() == 0
