@@ -22,6 +22,8 @@ SLICE_BYTES, SLICES_PER_BATCH = 1 << 20, 4
 FILTER_BITS = 22
 #: Digests, and phrases of one trie, that are broadcast at a time; more of them take more passes.
 DIGEST_BLOCK, TRIE_BLOCK = 1 << 18, 1 << 16
+#: Words of a corpus for each range of digests, bits of the least number of ranges, and places of which a task adds up digests at a time.
+RANGE_WORDS, RANGE_BITS, HELD = 1 << 22, 6, 1 << 22
 #: Phrases of one vector of counts: a task's vectors of one range of phrases are added up in one place, 4 KB of each task.
 COUNTERS = 512
 
@@ -100,12 +102,67 @@ def _whole(codes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _candidates_at(one: dict, frequent: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and digests of the phrases of ``size`` words both of whose parts of ``size - 1`` words may be frequent."""
+def _candidates_at(one: dict, frequent: np.ndarray, size: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and digests (``bits`` leading bits) of the phrases of ``size`` words both of whose parts of ``size - 1`` words may be frequent."""
     shorter = _digests(one["lang"], one["hashes"], one["codes"], size - 1) >> np.uint64(64 - FILTER_BITS)
     may = np.append(frequent[shorter], False)
     at = np.flatnonzero(_whole(one["codes"], size) & may[:-1] & may[1:])
-    return at, _digests(one["lang"], one["hashes"], one["codes"], size)[at]
+    return at, _digests(one["lang"], one["hashes"], one["codes"], size)[at] >> np.uint64(64 - bits)
+
+
+def _range_bits(slices: DataFrame) -> int:
+    """Ranges of digests, as a power of two: as many as keep the digests of one range bounded, however long the corpus."""
+    return min(31, max(RANGE_BITS, ((slices.agg(F.sum("n")).first()[0] or 0) // RANGE_WORDS).bit_length()))
+
+
+def _packed(digests: list[np.ndarray], least: int) -> pa.RecordBatch:
+    """``part, digests, counts``: of each range of digests the last 32 bits of the different ones in order, and how often each occurs, ``least`` at most."""
+    found, n = np.unique(np.concatenate(digests), return_counts=True)
+    parts = (found >> np.uint64(32)).astype(np.int64)
+    first = np.flatnonzero(np.diff(parts, prepend=-1))
+    cuts = np.append(first, len(found)).astype(np.int32)
+    counts = np.minimum(n, least).astype(np.min_scalar_type(least))
+    columns = [pa.array(parts[first], pa.int32())]
+    for values in (found.astype(np.uint32), counts):
+        columns.append(pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(cuts * np.int32(values.itemsize)), pa.py_buffer(values)]))
+    return pa.RecordBatch.from_arrays(columns, ["part", "digests", "counts"])
+
+
+def _digest_adder(least: int):
+    """The digests of one range whose counts sum to ``least``."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        kinds = {"digests": np.uint32, "counts": np.min_scalar_type(least)}
+        digests, counts = (np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in rows[name]]) for name, kind in kinds.items())
+        both = np.sort(digests.astype(np.uint64) << np.uint64(32) | counts)
+        first = np.flatnonzero(np.diff(both >> np.uint64(32), prepend=~both[:1] >> np.uint64(32)))
+        often = np.add.reduceat(both & np.uint64(0xFFFFFFFF), first) >= least
+        found = both[first[often]] >> np.uint64(32) | np.uint64(rows["part"][0].as_py()) << np.uint64(32)
+        return pa.table({"digest": found.view(np.int64)})
+
+    return add
+
+
+def _spelled(slices: Iterator[dict], frequent: np.ndarray, wanted: np.ndarray, size: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """``lang, words`` of the phrases with a digest in ``wanted`` (ascending), each once for all ``slices``, not once a slice. Phrases are told apart by
+    language and word hashes, so that of several with one digest none is lost; those may come again."""
+    told = np.zeros((len(wanted), size + 1), np.uint64)
+    for one in slices:
+        at, digest = _candidates_at(one, frequent, size, bits)
+        place = np.minimum(np.searchsorted(wanted, digest), len(wanted) - 1)
+        hit = wanted[place] == digest
+        at, place = at[hit], place[hit]
+        spelling = one["codes"][at[:, None] + np.arange(size)]
+        said = np.concatenate([np.full((len(at), 1), _lang_seed(one["lang"])), one["hashes"][spelling]], axis=1)
+        new = np.flatnonzero((told[place] != said).any(axis=1))
+        if not len(new):
+            continue
+        order = new[np.lexsort(said[new].T)]
+        order = order[np.append(True, (said[order[1:]] != said[order[:-1]]).any(axis=1))]
+        told[place[order]] = said[order]
+        flat = one["words"].take(pa.array(spelling[order].ravel()))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(order) + 1) * size, pa.int32()), flat.cast(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array([one["lang"]] * len(order), pa.string()), lists], ["lang", "words"])
 
 
 class DoubleArray:
@@ -294,38 +351,38 @@ def _frequent_table(phrases: DataFrame) -> np.ndarray:
     return out
 
 
-def candidates_of(slices: DataFrame, shorter: DataFrame, size: int, least: int, block: int = DIGEST_BLOCK) -> DataFrame:
+def candidates_of(slices: DataFrame, shorter: DataFrame, size: int, least: int, block: int = DIGEST_BLOCK, range_bits: int = RANGE_BITS) -> DataFrame:
     """``id, lang, words``, written: phrases of ``size`` words that may occur ``least`` times.
 
     A phrase is no candidate if one of its two parts of ``size - 1`` words is not among ``shorter``, told by a table of fixed size
-    that errs on the safe side, or if the occurrences of its digest (64 bits) don't sum to ``least``. Only digests are
-    shuffled for that; the words of those left are read off the slices, a block of digests at a time.
+    that errs on the safe side, or if the occurrences of its digest don't sum to ``least``. Only digests are shuffled for that, in
+    ``2 ** range_bits`` ranges of sorted 32-bit rests: equal digests of several phrases err on the safe side too. The words of those left are read off
+    the slices, a block of digests at a time.
     """
-    context = slices.sparkSession.sparkContext
+    context, bits = slices.sparkSession.sparkContext, 32 + range_bits
     frequent = context.broadcast(np.packbits(_frequent_table(shorter)))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(frequent.value).astype(bool)
+        held, places = [], 0
         for one in _slices(batches):
-            found, n = np.unique(_candidates_at(one, table, size)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["digest", "n"])
-
-    summed = slices.select("lang", "hashes", "codes").mapInArrow(sums, "digest long, n long").groupBy("digest").agg(F.sum("n").alias("n"))
-    digests = write_once(summed.filter(F.col("n") >= least).select("digest"))
+            held.append(_candidates_at(one, table, size, bits)[1])
+            places += len(held[-1])
+            if places >= HELD:
+                yield _packed(held, least)
+                held, places = [], 0
+        if places:
+            yield _packed(held, least)
+
+    packed = slices.select("lang", "hashes", "codes").mapInArrow(sums, "part int, digests binary, counts binary")
+    digests = write_once(packed.groupBy("part").applyInArrow(_digest_adder(least), "digest long"))
     found = None
     for part in _blocks(digests, block, "digest"):
-        wanted = context.broadcast(np.sort(part.toArrow()["digest"].to_numpy()))
+        wanted = context.broadcast(np.sort(part.toArrow()["digest"].to_numpy().view(np.uint64)))
 
         def spell(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
             table = np.unpackbits(frequent.value).astype(bool)
-            for one in _slices(batches):
-                at, digest = _candidates_at(one, table, size)
-                digest, first = np.unique(digest.view(np.int64), return_index=True)
-                place = np.minimum(np.searchsorted(wanted.value, digest), len(wanted.value) - 1)
-                at = at[first[wanted.value[place] == digest]]
-                flat = one["words"].take(pa.array(one["codes"][at[:, None] + np.arange(size)].ravel()))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * size, pa.int32()), flat.cast(pa.string()))
-                yield pa.RecordBatch.from_arrays([pa.array([one["lang"]] * len(at), pa.string()), lists], ["lang", "words"])
+            yield from _spelled(_slices(batches), table, wanted.value, size, bits)
 
         own = _few_tasks(slices).select("lang", "words", "hashes", "codes").mapInArrow(spell, "lang string, words array<string>").distinct()
         found = own if found is None else found.unionByName(own)
@@ -344,10 +401,11 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
 
 
 def _levels(slices: DataFrame, least: int, longest: int) -> DataFrame:
+    range_bits = _range_bits(slices)
     level = write_once(_word_counts(slices).filter(F.col("f") >= least).select("lang", F.array("word").alias("words"), "f"))
     levels = [level]
     for size in range(2, longest + 1):
-        candidates = candidates_of(slices, levels[-1], size, least)
+        candidates = candidates_of(slices, levels[-1], size, least, range_bits=range_bits)
         if candidates.isEmpty():
             break
         counted = count_candidates(slices, candidates).filter(F.col("f") >= least)
@@ -372,7 +430,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
 
     The text is read once and becomes slices of word numbers; each length then takes passes over them: digests are
     summed to find what may be frequent, and tries of a bounded number of phrases are broadcast and counted in numpy, a row per
-    task and phrase. Counts are exact; two phrases of one 64-bit digest are both counted. Scores are decimals of 38 digits.
+    task and phrase. Counts are exact; phrases of one digest are all counted. Scores are decimals of 38 digits.
 
     A null language is ``und``, a null text empty; repeated rows count as often as they occur; an empty table gives no rows.
     """

@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import oracle
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +191,43 @@ def test_candidates_are_recounted_exactly(spark):
     assert {r.id: r.f for r in phrases.count_candidates(slices, asked).collect()} == {1: 2, 3: 1, 5: 2}
 
 
+def as_slice(lang, said):
+    terms = sorted(set(said))
+    raw = np.frombuffer(" ".join(terms).encode(), np.uint8)
+    starts, ends, _ = words.bounds(raw, np.array([0, len(raw)]))
+    return {"lang": lang, "hashes": words.word_hashes(raw, starts, ends), "codes": np.array([terms.index(w) for w in said], np.int32), "words": pa.array(terms)}
+
+
+def test_a_task_spells_a_phrase_once():
+    """However many slices hold it; and phrases of one digest are all spelled."""
+    slices = [as_slice("a", "p q r p q".split()), as_slice("b", "p q".split()), *[as_slice("a", "q r p q s".split())] * 5]
+    every = {("a", "p", "q"), ("a", "q", "r"), ("a", "r", "p"), ("b", "p", "q"), ("a", "q", "s")}
+    frequent = np.ones(1 << phrases.FILTER_BITS, bool)
+    wanted = np.unique(np.concatenate([phrases._candidates_at(one, frequent, 2, 40)[1] for one in slices]))
+    found = [(r["lang"], *r["words"]) for batch in phrases._spelled(iter(slices), frequent, wanted, 2, 40) for r in batch.to_pylist()]
+    assert len(found) == len(every) and set(found) == every
+    for bits in (1, 2):
+        wanted = np.arange(2**bits, dtype=np.uint64)
+        found = [(r["lang"], *r["words"]) for batch in phrases._spelled(iter(slices), frequent, wanted, 2, bits) for r in batch.to_pylist()]
+        assert set(found) == every
+
+
+@pytest.mark.parametrize("least", [1, 3, 100, 300])
+def test_digests_are_shuffled_in_ranges(least):
+    """A task sends five bytes a digest, in one row per range, and the sums tell what occurs often enough."""
+    rng = np.random.default_rng(least)
+    parts = [rng.integers(0, 1 << 38, 400, dtype=np.uint64)[rng.zipf(1.3, 5000) % 400] for _ in range(4)]
+    parts = [np.concatenate([x, parts[0][:2000]]) for x in parts]
+    packed = [phrases._packed([x[:100], x[100:]], least) for x in parts]
+    for x, batch in zip(parts, packed):
+        assert batch.num_rows == len(np.unique(x >> np.uint64(32)))
+        assert sum(len(v) for v in batch.column("digests").to_pylist()) == 4 * len(np.unique(x))
+    table = pa.Table.from_batches(packed)
+    found = [phrases._digest_adder(least)(table.filter(pc.equal(table["part"], k)))["digest"].to_pylist() for k in pc.unique(table["part"])]
+    values, counts = np.unique(np.concatenate(parts), return_counts=True)
+    assert sorted(sum(found, [])) == values[counts >= least].astype(np.int64).tolist()
+
+
 def test_scores_beyond_64_bits(spark):
     a, n, l, r = 9 * 10**12, 8 * 10**13, 7 * 10**12 + 1, 10**13
     over = F.call_function("div", (F.lit(a) * 1000).cast("decimal(20,0)") * phrases._decimal(F.lit(n)), phrases._decimal(F.lit(l)) * phrases._decimal(F.lit(r)))
