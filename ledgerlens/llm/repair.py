@@ -28,7 +28,7 @@ SCHEMA = (
 
 
 def _slots(keys: np.ndarray) -> np.ndarray:
-    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
 
 
 def compress(ids: np.ndarray, base: int, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -37,21 +37,27 @@ def compress(ids: np.ndarray, base: int, pairs: int = PAIRS, least: int = LEAST)
     Each round counts all pairs of neighbours and takes the most frequent ones (at least ``least`` times, at most ``pairs`` of
     them) that cannot overlap: none ends with the symbol another one begins with. All their occurrences are replaced at once; of a
     run of one symbol every second pair. The last round is the one that finds no such pair. ``lengths`` says how many ids a nonterminal stands for.
+
+    A round adds no pair of old symbols, so a pair that was too rare once stays so: a round looks only at the places whose pair was frequent in
+    the round before or is new. Replaced symbols are unlinked from their neighbours and left out at the end.
     """
-    body = ids.astype(np.int64)
+    n = len(ids)
+    body = np.append(ids, 0).astype(np.int64)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)  # neighbours; ``n`` is the end
     rules, lengths = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-    while len(body) > 1:
-        keys = body[:-1] << 32 | body[1:]
+    at = np.arange(n - 1)
+    while len(at):
+        keys = body.take(at) << 32 | body.take(after.take(at))
         ordered = np.sort(keys)
         edge = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
         starts = np.concatenate([[0], edge])
         counts = np.diff(np.append(starts, len(ordered)))
-        often = np.flatnonzero(counts >= least)
-        often = often[np.lexsort((ordered[starts[often]], -counts[often]))][: 4 * pairs]
+        many = counts >= least
+        often, counts = ordered[starts[many]], counts[many]
         left, right, chosen = set(), set(), []
-        for key in ordered[starts[often]].tolist():
+        for key in often[np.lexsort((often, -counts))[: 4 * pairs]].tolist():
             a, b = key >> 32, key & 0xFFFFFFFF
-            if a in right or b in left or (a == b and (a in left or b in right)):
+            if a in right or b in left:
                 continue
             left.add(a)
             right.add(b)
@@ -62,7 +68,8 @@ def compress(ids: np.ndarray, base: int, pairs: int = PAIRS, least: int = LEAST)
             break
         chosen = np.array(chosen, np.int64)
         slot = _slots(chosen)
-        table = np.full(1 << SLOT_BITS, -1, np.int32)
+        table = np.full(1 << SLOT_BITS, -2, np.int32)
+        table[_slots(often)] = -1
         table[slot] = np.arange(len(chosen))
         chosen = chosen[table[slot] == np.arange(len(chosen))]  # of pairs with one slot the others wait for the next round
         table[_slots(chosen)] = np.arange(len(chosen))
@@ -70,24 +77,30 @@ def compress(ids: np.ndarray, base: int, pairs: int = PAIRS, least: int = LEAST)
         new = np.stack([chosen >> 32, chosen & 0xFFFFFFFF], axis=1)
         spans = np.concatenate([np.ones(base, np.int64), lengths])
         rules, lengths = np.concatenate([rules, new]), np.concatenate([lengths, spans[new].sum(axis=1)])
-        # a symbol that begins no chosen pair needs no look-up
-        begins = np.zeros(first, bool)
-        begins[new[:, 0]] = True
-        at = np.flatnonzero(begins[body[:-1]])
-        place = table[_slots(keys[at])]
-        hit = (place >= 0) & (chosen[place] == keys[at])
-        at, place = at[hit], place[hit]
-        doubled = new[place, 0] == new[place, 1]
-        if doubled.any():
+        place = table.take(_slots(keys))
+        live = np.zeros(n + 1, bool)
+        live[at[place > -2]] = True
+        hit = np.flatnonzero(place >= 0)
+        hit = hit[chosen.take(place[hit]) == keys.take(hit)]
+        at, place = at.take(hit), place.take(hit)
+        doubled = np.flatnonzero((new[:, 0] == new[:, 1]).take(place))
+        if len(doubled):
             # in a run of equal symbols the pairs overlap: take the first, third, ...
-            run = np.ones(len(at), bool)
-            run[1:] = (np.diff(at) != 1) | (place[1:] != place[:-1])
-            run |= ~doubled
-            since = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-            at, place = at[since % 2 == 0], place[since % 2 == 0]
-        body[at] = first + place
-        body = np.delete(body, at + 1)
-    return body, rules, lengths
+            own = at[doubled]
+            run = np.ones(len(own), bool)
+            run[1:] = own[1:] != after[own[:-1]]
+            since = np.arange(len(own))
+            since -= np.maximum.accumulate(np.where(run, since, 0))
+            at, place = np.delete(at, doubled[since % 2 == 1]), np.delete(place, doubled[since % 2 == 1])
+        second = after.take(at)
+        third = after.take(second)
+        body[at], body[second] = first + place, -1
+        after[at], before[third] = third, at
+        live[second] = False
+        live[at] = live[before.take(at)] = True
+        live[before[n]] = live[n] = False  # the last symbol begins no pair
+        at = np.flatnonzero(live)
+    return body[:n][body[:n] >= 0], rules, lengths
 
 
 def _expansions(base: int, rules: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

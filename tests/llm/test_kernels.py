@@ -3,6 +3,7 @@
 import random
 import string
 import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -317,6 +318,65 @@ def test_a_long_word_keeps_memory_bounded():
     assert len(ids) and peak < 48 << 20
 
 
+def plain_compress(ids, base, pairs, least):
+    """The rounds of ``repair.compress`` over lists, each counting all pairs."""
+    body, rules = list(ids), []
+    while True:
+        often = sorted((-n, key) for key, n in Counter(zip(body, body[1:])).items() if n >= least)[: 4 * pairs]
+        left, right, chosen = set(), set(), {}
+        for _, (a, b) in often:
+            if len(chosen) < pairs and a not in right and b not in left:
+                left.add(a)
+                right.add(b)
+                chosen[a, b] = base + len(rules) + len(chosen)
+        if not chosen:
+            return body, rules
+        rules += chosen
+        k, out = 0, []
+        while k < len(body):
+            pair = tuple(body[k : k + 2])
+            out.append(chosen.get(pair, body[k]))
+            k += 2 if pair in chosen else 1
+        body = out
+
+
+def test_rounds_equal_counting_all_pairs():
+    rng = np.random.default_rng(5)
+    for k in range(300):
+        ids = rng.integers(0, rng.integers(1, 6), rng.integers(0, 80))
+        if k % 3 == 0:
+            ids = np.repeat(ids, rng.integers(1, 9, len(ids)))
+        pairs, least = int(rng.integers(1, 6)), int(rng.integers(2, 5))
+        body, rules, _ = repair.compress(ids, 50, pairs=pairs, least=least)
+        assert (body.tolist(), [tuple(x) for x in rules.tolist()]) == plain_compress(ids.tolist(), 50, pairs, least)
+
+
+def test_rounds_look_only_at_pairs_that_can_be_frequent(monkeypatch):
+    rng = np.random.default_rng(6)
+    phrase, rare = rng.integers(0, 1000, 64), rng.integers(1000, 50_000, 60_000)
+    ids = np.concatenate([np.append(phrase, rare[k : k + 1000]) for k in range(0, len(rare), 1000)])
+    seen, plain = [], np.sort
+    monkeypatch.setattr(repair.np, "sort", lambda a: seen.append(len(a)) or plain(a))
+    body, rules, lengths = repair.compress(ids, 50_000)
+    assert len(seen) > 5 and sum(seen) < 1.5 * len(ids) and lengths.max() == 64
+    assert (repair.expand(body, 50_000, rules) == ids).all()
+
+
+def test_words_of_one_slot_are_both_remembered(monkeypatch):
+    """Two words whose hashes fall on one slot don't drive each other out."""
+    monkeypatch.setattr(bytebpe, "TABLE_BITS", 16)
+    encoder = bytebpe.Encoder(pieces.model_path(repair.MODEL))
+    rng = np.random.default_rng(8)
+    said = "".join(" " + "".join(rng.choice(list("abcdefgh\u00e9"), 9)) for _ in range(4000))
+    raw = np.frombuffer(said.encode(), np.uint8)
+    wanted = encoder.library.encode(said, add_special_tokens=False).ids
+    asked, new_ids = [], encoder._new_ids
+    monkeypatch.setattr(encoder, "_new_ids", lambda codes, sizes: asked.append(len(sizes)) or new_ids(codes, sizes))
+    for _ in range(2):
+        assert encoder.encode(raw, np.array([0, len(raw)]))[0].tolist() == wanted
+    assert asked[0] == 4000 and sum(asked[1:]) < 40
+
+
 def test_joined_words_have_the_ids_of_single_ones():
     encoder = bytebpe.Encoder(pieces.model_path(repair.MODEL))
     spelled = [" word", " \u00e9t\u00e9", "word", " 12", "  ", " a", "don", "'t", " x" * 3, "\n"]
@@ -324,3 +384,9 @@ def test_joined_words_have_the_ids_of_single_ones():
     ids, counts = encoder._new_ids(codes, np.array([len(w) for w in spelled]))
     wanted = [encoder.library.encode(w, add_special_tokens=False).ids for w in spelled]
     assert counts.tolist() == [len(w) for w in wanted] and ids.tolist() == [i for w in wanted for i in w]
+
+
+def test_joined_letters_have_the_ids_of_the_whole_text():
+    encoder = bytebpe.Encoder(pieces.model_path(repair.MODEL))
+    letters = "".join(" x" + chr(c) for c in range(bytebpe.KNOWN) if bytebpe._KIND[c] == bytebpe.LETTER)
+    assert encoder._joined_ids(np.frombuffer(letters.encode("utf-32-le"), np.uint32)) == encoder.library.encode(letters, add_special_tokens=False).ids
