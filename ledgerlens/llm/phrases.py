@@ -24,6 +24,11 @@ FILTER_BITS = 22
 DIGEST_BLOCK, TRIE_BLOCK = 1 << 18, 1 << 16
 #: Words of a corpus for each range of digests, bits of the least number of ranges, and places of which a task adds up digests at a time.
 RANGE_WORDS, RANGE_BITS, HELD = 1 << 22, 6, 1 << 22
+#: Bytes of packed digests of an Arrow batch, one range at least.
+PACKED_BYTES = 1 << 20
+#: Slices are rows of hundreds of kilobytes. Parquet's writer looks at a page's size every 100 rows at first, which made pages and row groups of a whole
+#: file, and both are buffered whole by whoever writes or reads them (pages off the heap, where Snappy works).
+LARGE_ROWS = {"parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 4, "parquet.block.size": 8 << 20}
 #: Phrases of one vector of counts: a task's vectors of one range of phrases are added up in one place, 4 KB of each task.
 COUNTERS = 512
 
@@ -128,6 +133,13 @@ def _packed(digests: list[np.ndarray], least: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["part", "digests", "counts"])
 
 
+def _in_batches(packed: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``PACKED_BYTES``, since the JVM holds a batch whole, off its heap."""
+    rows = max(1, packed.num_rows * PACKED_BYTES // max(1, packed.nbytes))
+    for first in range(0, packed.num_rows, rows):
+        yield packed.slice(first, rows)
+
+
 def _digest_adder(least: int):
     """The digests of one range whose counts sum to ``least``."""
 
@@ -369,10 +381,10 @@ def candidates_of(slices: DataFrame, shorter: DataFrame, size: int, least: int,
             held.append(_candidates_at(one, table, size, bits)[1])
             places += len(held[-1])
             if places >= HELD:
-                yield _packed(held, least)
+                yield from _in_batches(_packed(held, least))
                 held, places = [], 0
         if places:
-            yield _packed(held, least)
+            yield from _in_batches(_packed(held, least))
 
     packed = slices.select("lang", "hashes", "codes").mapInArrow(sums, "part int, digests binary, counts binary")
     digests = write_once(packed.groupBy("part").applyInArrow(_digest_adder(least), "digest long"))
@@ -394,7 +406,7 @@ def candidates_of(slices: DataFrame, shorter: DataFrame, size: int, least: int,
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """``(phrases, totals)``: ``lang, words, f`` of all phrases of up to ``longest`` words that occur ``least`` times, single words included, and
     ``lang, n`` with the number of all words."""
-    slices = write_once(slices_of(docs))
+    slices = write_once(slices_of(docs), **LARGE_ROWS)
     totals = slices.groupBy("lang").agg(F.sum("n").alias("n"))
     with rows_per_batch(docs.sparkSession, SLICES_PER_BATCH):
         return _levels(slices, least, longest), totals

@@ -9,6 +9,7 @@ import numpy as np
 import oracle
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,6 +229,31 @@ def test_digests_are_shuffled_in_ranges(least):
     assert sorted(sum(found, [])) == values[counts >= least].astype(np.int64).tolist()
 
 
+def test_slices_are_written_in_small_row_groups(spark, monkeypatch):
+    """Rows are large, so that a row group of 100 of them, as Parquet's writer checks by default, would be a whole file."""
+    written = []
+    monkeypatch.setattr(phrases, "write_once", lambda *args, **options: written.append(write_once(*args, **options)) or written[-1])
+    said = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda k: F.hex(F.xxhash64("id", k))), " ")
+    phrases.frequent_phrases(spark.range(24, numPartitions=1).select(F.lit("a").alias("lang"), said.alias("text")), longest=1)
+    (path,) = (x.removeprefix("file://") for x in written[0].inputFiles())
+    groups = [pq.ParquetFile(path).metadata.row_group(k) for k in range(pq.ParquetFile(path).num_row_groups)]
+    sizes = [sum(g.column(k).total_compressed_size for k in range(g.num_columns)) for g in groups]
+    assert sum(g.num_rows for g in groups) >= 24 and sum(sizes) > 24e6 and max(sizes) < 16e6
+    assert written[0].agg(F.sum("n")).first()[0] == 24 * 60_000
+
+
+def test_packed_digests_come_in_small_batches(monkeypatch):
+    """All rows in order, none cut, and no batch much over the limit unless one row is."""
+    monkeypatch.setattr(phrases, "PACKED_BYTES", 10_000)
+    packed = phrases._packed([np.random.default_rng(1).integers(0, 1 << 38, 40_000, dtype=np.uint64)], 100)
+    batches = list(phrases._in_batches(packed))
+    assert pa.Table.from_batches(batches).equals(pa.Table.from_batches([packed]))
+    assert len(batches) > 10 and max(b.nbytes for b in batches) < 20_000
+    assert list(phrases._in_batches(packed.slice(0, 0))) == []
+    monkeypatch.setattr(phrases, "PACKED_BYTES", 1)
+    assert [b.num_rows for b in phrases._in_batches(packed)] == [1] * packed.num_rows
+
+
 def test_scores_beyond_64_bits(spark):
     a, n, l, r = 9 * 10**12, 8 * 10**13, 7 * 10**12 + 1, 10**13
     over = F.call_function("div", (F.lit(a) * 1000).cast("decimal(20,0)") * phrases._decimal(F.lit(n)), phrases._decimal(F.lit(l)) * phrases._decimal(F.lit(r)))
