@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path, write_once
 
-__all__ = ["read", "texts", "running_totals", "shuffle_partitions", "rows_per_batch", "scratch_path", "write_once"]
+__all__ = ["read", "texts", "running_totals", "shuffle_partitions", "rows_per_batch", "bytes_per_batch", "scratch_path", "write_once"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,17 +52,25 @@ def running_totals(df: DataFrame, order: list, totals: dict[str, str]) -> DataFr
 
 
 @contextmanager
-def rows_per_batch(spark: SparkSession, rows: int):
-    """Within this block Arrow batches hold at most ``rows`` rows: for tables whose rows are large, so that a batch is not a whole file."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _held(spark: SparkSession, name: str, value: object):
     before = spark.conf.get(name)
-    spark.conf.set(name, rows)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def rows_per_batch(spark: SparkSession, rows: int):
+    """Within this block Arrow batches hold at most ``rows`` rows: for tables whose rows are large, so that a batch is not a whole file."""
+    return _held(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def bytes_per_batch(spark: SparkSession, size: int):
+    """Within this block Arrow batches end at the row that reaches ``size`` bytes: for whole texts, of which the default 10 000 may be hundreds of megabytes."""
+    return _held(spark, "spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` for every node of ``edges`` (``a``, ``b``), the label being the least node of its component.
 

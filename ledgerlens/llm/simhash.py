@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import shuffle_partitions, texts, write_once
+from .common import bytes_per_batch, shuffle_partitions, texts, write_once
 
 BITS = 128
 RADIUS = 17  # the farthest of the pairs of sf0.1 with a five-word Jaccard similarity of 0.8 or more
 BLOCKS = 6
 TERM_WORDS = 2
 ROWS = 512
+BATCH_BYTES = 2 << 20  # of texts that go to Python and back at once
 _LAST = (1 << 63) - 1
 
 
@@ -191,9 +192,12 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
 def fingerprint_documents(docs: DataFrame, every: int = 100) -> DataFrame:
     """``fingerprint_table`` and, for documents whose id is divisible by ``every``, ``near_rows``: how many other rows
     of the whole table have a fingerprint within the radius (null for the rest)."""
-    table = write_once(fingerprint_table(docs))
+    n = shuffle_partitions(docs)
+    few = max(min(n, 8), n // 8)  # a fingerprint is less than a tenth of its text: not a file for each range of texts
+    with bytes_per_batch(docs.sparkSession, BATCH_BYTES):
+        table = write_once(fingerprint_table(docs).repartition(few))
     is_query = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
     asked, rest = table.filter(is_query), table.filter(~is_query)
     near = within_radius(asked, table).select("fingerprint", (F.col("near") - 1).alias("near_rows"))
-    asked = asked.join(near, "fingerprint", "left").select(*table.columns, "near_rows")
+    asked = asked.join(near, "fingerprint", "left").select(*table.columns, "near_rows").coalesce(few)
     return asked.unionByName(rest.withColumn("near_rows", F.lit(None).cast("long")))

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from ledgerlens.llm import catalog, covertree, fairmix, icws, langid, licenses, linetree, pieces, repair, simhash, toxicity, words
-from ledgerlens.llm.common import components, read, running_totals
+from ledgerlens.llm.common import components, read, running_totals, write_once
 
 OPERATORS = {
     "repair": repair.id_digest,
@@ -176,6 +176,29 @@ def test_probes_find_pairs_at_the_radius(spark):
     assert (found.fingerprint, found.near) == (f"{base:032x}", 61)
 
 
+def test_fingerprints_take_texts_in_small_batches_and_leave_few_files(spark, monkeypatch):
+    name, n = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.shuffle.partitions"
+    before, seen, tables = (spark.conf.get(name), spark.conf.get(n)), [], []
+
+    def write(df):
+        sizes = rows.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"b": [b.nbytes]}) for b in batches), "b long")
+        seen.extend(r.b for r in sizes.collect())
+        tables.append(write_once(df))
+        return tables[-1]
+
+    rows = spark.range(0, 200, 1, 1).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 8000) as text").coalesce(1)
+    monkeypatch.setattr(simhash, "write_once", write)
+    spark.conf.set(n, "64")
+    try:
+        found = simhash.fingerprint_documents(rows)
+        assert found.select("doc_id").distinct().count() == found.count() == 200
+    finally:
+        spark.conf.set(n, before[1])
+    assert spark.conf.get(name) == before[0]
+    assert max(seen) < 2 * simhash.BATCH_BYTES < sum(seen)
+    assert len(tables[0].inputFiles()) <= 8
+
+
 def plain_targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
     weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
