@@ -146,6 +146,18 @@ def test_churn_forest_grows_on_counted_rows(spark, monkeypatch):
     assert {tuple(r)[:3]: r.churn_risk_score for r in again.select("size", "segment", "kind", "churn_risk_score").collect()} == risks[0]
 
 
+def test_importance_of_a_forest_on_counted_rows(spark, monkeypatch):
+    """No more rows are fitted than there are different ones; the importance is that of a forest on all rows."""
+    rows, seen, fit = _signal(spark), [], ml.RandomForestClassifier.fit
+    monkeypatch.setattr(ml.RandomForestClassifier, "fit", lambda self, df: seen.append(df.count()) or fit(self, df))
+    found = dict(ml.feature_importance(ml.train_churn(rows, ["size"], ["segment", "kind"], trees=24), rows).collect())
+    assert max(seen) <= 72 and list(found) != sorted(found) and abs(sum(found.values()) - 1) < 1e-9
+    plain = ml.Pipeline(stages=ml.feature_stages(["size"], ["segment", "kind"])).fit(rows)
+    whole = fit(ml.RandomForestClassifier(numTrees=24, seed=1, featuresCol="features", labelCol="label"), plain.transform(rows).select("label", "features"))
+    wanted = dict(ml.feature_importance(ml.PipelineModel(stages=[*plain.stages, whole]), rows).collect())
+    assert set(found) == set(wanted) and all(abs(found[k] - wanted[k]) < 0.15 for k in wanted)
+
+
 def test_counted_rows_are_drawn_as_often_as_rows(spark):
     counted = spark.createDataFrame([(float(k % 2), k, 1 if k < 400 else 1000) for k in range(800)], "label double, size int, times long")
     drawn = ml.bootstrapped(counted, 10)
