@@ -18,10 +18,18 @@ LONGEST = 5
 TOP = 2000
 #: Bytes of text of a slice, and slices of an Arrow batch.
 SLICE_BYTES, SLICES_PER_BATCH = 1 << 20, 4
+#: Digests or phrases of an Arrow batch, which are small rows.
+SMALL_PER_BATCH = 1 << 13
 #: Bits of the table that says which digests may be frequent: half a megabyte for any corpus.
 FILTER_BITS = 22
-#: Digests, and phrases of one trie, that are broadcast at a time; more of them take more passes.
-DIGEST_BLOCK, TRIE_BLOCK = 1 << 18, 1 << 16
+#: Bits of the table that says which places slices keep behind a length: two megabytes for any corpus.
+NARROW_BITS = 24
+#: Different words of a task that are counted in Python before they go to the JVM.
+HELD_WORDS = 1 << 19
+#: Digests, and words of the phrases of one trie, that are broadcast at a time; more of them take more passes.
+DIGEST_BLOCK, TRIE_BLOCK = 1 << 19, 1 << 19
+#: Word numbers of narrowed slices that a task puts together into rows, one for each language.
+MERGED = 1 << 20
 #: Words of a corpus for each range of digests, bits of the least number of ranges, and places of which a task adds up digests at a time.
 RANGE_WORDS, RANGE_BITS, HELD = 1 << 22, 6, 1 << 22
 #: Bytes of packed digests of an Arrow batch, one range at least.
@@ -38,10 +46,36 @@ _GAP = _SPLIT.copy()
 _GAP[[9, 32]] = True
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 SLICES = "lang string, n long, words array<string>, hashes binary, codes binary"
+#: The same with the words in one value, a space behind each (no word has one): the JVM handles a value, not every string.
+JOINED = SLICES.replace("array<string>", "binary")
 
 
-def slices_of(docs: DataFrame) -> DataFrame:
-    """``SLICES``: of each stretch of texts that a task reads at a time and each of its languages the different words, their
+def _renumbered(codes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers of ``codes`` in order, and the codes as places among them; -1 stays."""
+    used = np.zeros(words + 1, bool)
+    used[codes] = True
+    used[-1] = False
+    place = np.cumsum(used, dtype=np.int32) - np.int32(1)
+    place[-1] = -1
+    return np.flatnonzero(used), place[codes]
+
+
+def _join(terms: pa.Array) -> bytes:
+    closed = pa.concat_arrays([terms.cast(pa.string()), pa.array([""])])
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(closed)], pa.int32()), closed), " ")[0].as_buffer().to_pybytes()
+
+
+def _split(joined: pa.Buffer) -> pa.Array:
+    """The words that ``_join`` joined."""
+    raw = np.frombuffer(joined, np.uint8)
+    ends = np.flatnonzero(raw == 32)
+    offsets = np.zeros(len(ends) + 1, np.int32)
+    offsets[1:] = ends - np.arange(len(ends))
+    return pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(raw[raw != 32]))
+
+
+def slices_of(docs: DataFrame, joined: bool = False) -> DataFrame:
+    """``SLICES`` (or ``JOINED``): of each stretch of texts that a task reads at a time and each of its languages the different words, their
     hashes, and the words in order as numbers (32 bits), -1 between pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,30 +92,34 @@ def slices_of(docs: DataFrame) -> DataFrame:
                 lang = np.repeat(named.indices.to_numpy(), np.diff(firsts))
                 for k in np.unique(lang):
                     own = np.flatnonzero(lang == k)
-                    kinds, numbers = np.unique(codes[own], return_inverse=True)
+                    kinds, numbers = _renumbered(codes[own], len(terms))
+                    own_terms = terms.take(pa.array(kinds))
                     at = np.flatnonzero(opens[own])
                     row = [
                         pa.array([named.dictionary[int(k)].as_py()], pa.string()),
                         pa.array([len(own)], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array([0, len(kinds)], pa.int32()), terms.take(pa.array(kinds)).cast(pa.string())),
+                        pa.array([_join(own_terms)], pa.binary()) if joined else pa.ListArray.from_arrays(pa.array([0, len(kinds)], pa.int32()), own_terms.cast(pa.string())),
                         pa.array([hashes[kinds].tobytes()], pa.binary()),
                         pa.array([np.insert(numbers.astype(np.int32), at, -1).tobytes()], pa.binary()),
                     ]
                     yield pa.RecordBatch.from_arrays(row, ["lang", "n", "words", "hashes", "codes"])
 
     own = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit("und")).alias("lang"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
-    return own.mapInArrow(run, SLICES)
+    return own.mapInArrow(run, JOINED if joined else SLICES)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """The rows of ``SLICES``, with numpy arrays for their binary columns."""
+    """The rows of ``SLICES`` or ``JOINED``, with numpy arrays for their binary columns and an Arrow array of words."""
     kinds = {"hashes": np.uint64, "codes": np.int32}
     for batch in batches:
         for row in range(batch.num_rows):
             out = {}
             for name in batch.schema.names:
                 value = batch.column(name)[row]
-                out[name] = np.frombuffer(value.as_buffer(), kinds[name]) if name in kinds else value.values if name == "words" else value.as_py()
+                if name == "words":
+                    out[name] = _split(value.as_buffer()) if pa.types.is_binary(value.type) else value.values
+                else:
+                    out[name] = np.frombuffer(value.as_buffer(), kinds[name]) if name in kinds else value.as_py()
             yield out
 
 
@@ -255,7 +293,7 @@ class DoubleArray:
         return states, alive
 
 
-def _trie(candidates: pa.Table) -> tuple[DoubleArray, pa.Array, np.ndarray]:
+def _trie(candidates: pa.Table) -> tuple[DoubleArray, Symbols, np.ndarray]:
     """``(double array, languages and words by symbol, ids by path)`` of candidates ``id, lang, words``. A language is the first symbol of
     its phrases, spelled with a space in front, which no word has."""
     size = len(candidates["words"][0])
@@ -264,17 +302,43 @@ def _trie(candidates: pa.Table) -> tuple[DoubleArray, pa.Array, np.ndarray]:
     coded = pa.concat_arrays([langs, flat]).dictionary_encode()
     numbers = coded.indices.to_numpy()
     paths = np.concatenate([numbers[: len(langs), None], numbers[len(langs) :].reshape(-1, size)], axis=1).astype(np.int64)
-    return DoubleArray(paths, len(coded.dictionary)), coded.dictionary, candidates["id"].to_numpy()
-
-
-def _add_counts(trie: DoubleArray, symbols: pa.Array, one: dict, sums: np.ndarray) -> None:
+    return DoubleArray(paths, len(coded.dictionary)), Symbols(coded.dictionary, paths), candidates["id"].to_numpy()
+
+
+class Symbols:
+    """The symbols of a trie: found by the hashes that slices hold of their words, compared as strings."""
+
+    def __init__(self, spelled: pa.Array, paths: np.ndarray):
+        self.spelled = spelled
+        self.opens = np.zeros(len(spelled) + 1, bool)  # the first words of phrases
+        self.opens[paths[:, 1]] = True
+        lang = np.zeros(len(spelled), bool)
+        lang[paths[:, 0]] = True
+        self.langs = dict(zip(spelled.filter(pa.array(lang)).to_pylist(), np.flatnonzero(lang).tolist(), strict=True))
+        own = np.flatnonzero(~lang)
+        raw = np.frombuffer(_join(spelled.take(pa.array(own))), np.uint8)
+        ends = np.flatnonzero(raw == 32)
+        hashes = words.word_hashes(raw, np.append(0, ends + 1)[: len(ends)], ends)
+        order = np.argsort(hashes)
+        self.hashes, self.of_hash = hashes[order], own[order]
+        self.told = bool((self.hashes[1:] != self.hashes[:-1]).all())
+
+    def of(self, one: dict) -> np.ndarray:
+        """The symbol of each word of a slice, -1 where it has none."""
+        if not self.told:  # two words of one hash
+            return pc.index_in(one["words"], value_set=self.spelled).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = self.of_hash[np.minimum(np.searchsorted(self.hashes, one["hashes"]), len(self.hashes) - 1)]
+        same = pc.equal(self.spelled.take(pa.array(found)), one["words"].cast(self.spelled.type))
+        return np.where(same.to_numpy(zero_copy_only=False), found, -1)
+
+
+def _add_counts(trie: DoubleArray, symbols: Symbols, one: dict, sums: np.ndarray) -> None:
     """Add to ``sums`` how often each path of the trie occurs in a slice: all places advance together, a word at a time."""
-    of_word = pc.index_in(one["words"], value_set=symbols).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-    lang = pc.index_in(pa.array([" " + one["lang"]]), value_set=symbols)[0].as_py()
+    lang = symbols.langs.get(" " + one["lang"])
     if lang is None:
         return
-    sign = np.append(of_word, -1)[one["codes"]]
-    at = np.flatnonzero(sign >= 0)
+    sign = np.append(symbols.of(one), -1)[one["codes"]]
+    at = np.flatnonzero(symbols.opens[sign])
     start, _ = trie.step(np.zeros(1, np.int32), np.array([lang]))
     states = np.repeat(start, len(at))
     for k in range(trie.depth // 2 - 1):
@@ -287,12 +351,18 @@ def _add_counts(trie: DoubleArray, symbols: pa.Array, one: dict, sums: np.ndarra
     np.add(sums, np.bincount(trie.last[states], minlength=len(sums)), out=sums)
 
 
-def _blocks(df: DataFrame, rows: int, key: str) -> Iterator[DataFrame]:
+def _small_rows(df: DataFrame) -> pa.Table:
+    """The small rows of ``df``, not in batches for slices."""
+    with rows_per_batch(df.sparkSession, SMALL_PER_BATCH):
+        return df.toArrow()
+
+
+def _blocks(df: DataFrame, rows: int, *key: Column | str) -> Iterator[DataFrame]:
     """The rows of ``df``, a written table, in blocks of about ``rows`` at most, dealt by a hash of ``key``."""
     total = df.count()
     blocks = -(-total * 5 // (4 * rows)) if total > rows else 1
     for k in range(blocks if total else 0):
-        yield df.filter(F.pmod(F.xxhash64(F.lit(11), key), F.lit(blocks)) == k) if blocks > 1 else df
+        yield df.filter(F.pmod(F.xxhash64(F.lit(11), *key), F.lit(blocks)) == k) if blocks > 1 else df
 
 
 def _few_tasks(slices: DataFrame) -> DataFrame:
@@ -311,12 +381,14 @@ def _adder(shared):
     return add
 
 
-def count_candidates(slices: DataFrame, candidates: DataFrame, block: int = TRIE_BLOCK) -> DataFrame:
+def count_candidates(slices: DataFrame, candidates: DataFrame, block: int = TRIE_BLOCK // LONGEST) -> DataFrame:
     """``id, f``: exact occurrences of the written ``candidates`` (``id, lang, words``) in ``slices``. A block of candidates at a time comes to
-    the driver, becomes a trie and is broadcast; a task returns its counts as vectors of ``COUNTERS`` phrases, which are added up."""
-    counted = None
-    for part in _blocks(candidates, block, "id"):
-        shared = candidates.sparkSession.sparkContext.broadcast(_trie(part.select("id", "lang", "words").toArrow()))
+    the driver, becomes a trie and is broadcast; a task returns its counts as vectors of ``COUNTERS`` phrases, which are added up. Phrases of one first
+    word share a block, so that a pass begins only at its own words; those of a word that has many are spread."""
+    counted, first = None, F.get("words", F.lit(0))
+    most = candidates.groupBy("lang", first).count().agg(F.max("count")).first()[0] or 0
+    for part in _blocks(candidates, block, "lang", first, F.pmod(F.xxhash64("words"), F.lit(1 + 8 * most // block))):
+        shared = candidates.sparkSession.sparkContext.broadcast(_trie(_small_rows(part.select("id", "lang", "words"))))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             trie, symbols, ids = shared.value
@@ -327,17 +399,33 @@ def count_candidates(slices: DataFrame, candidates: DataFrame, block: int = TRIE
             met = np.flatnonzero(vectors.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array([v.tobytes() for v in vectors[met]], pa.binary())], ["part", "counts"])
 
-        vectors = _few_tasks(slices).select("lang", "words", "codes").mapInArrow(run, "part int, counts binary")
+        vectors = _few_tasks(slices).select("lang", "words", "hashes", "codes").mapInArrow(run, "part int, counts binary")
         found = vectors.groupBy("part").applyInArrow(_adder(shared), "id long, f long")
         counted = found if counted is None else counted.unionByName(found)
     return counted
 
 
+def _summed(held: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(held).group_by(["lang", "word"]).aggregate([("f", "sum")]).rename_columns(["lang", "word", "f"])
+
+
 def _word_counts(slices: DataFrame) -> DataFrame:
+    """``lang, word, f``; a task adds up its slices' counts as long as the different words are few."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for one in _slices(batches):
             n = np.bincount(one["codes"][one["codes"] >= 0], minlength=len(one["words"]))
-            yield pa.RecordBatch.from_arrays([pa.array([one["lang"]] * len(n), pa.string()), one["words"].cast(pa.string()), pa.array(n)], ["lang", "word", "f"])
+            held.append(pa.table([pa.array([one["lang"]] * len(n), pa.string()), one["words"].cast(pa.string()), pa.array(n, pa.int64())], ["lang", "word", "f"]))
+            rows += len(n)
+            if rows >= HELD_WORDS:
+                held = [_summed(held)]
+                rows = len(held[0])
+                if rows >= HELD_WORDS // 2:
+                    yield from held[0].to_batches()
+                    held, rows = [], 0
+        if held:
+            yield from _summed(held).to_batches()
 
     found = slices.select("lang", "words", "codes").mapInArrow(run, "lang string, word string, f long")
     return found.groupBy("lang", "word").agg(F.sum("f").alias("f"))
@@ -359,20 +447,41 @@ def _frequent_table(phrases: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(np.unique(digests >> np.uint64(64 - FILTER_BITS)).astype(np.int32))], ["at"])
 
     out = np.zeros(1 << FILTER_BITS, bool)
-    out[phrases.select("lang", "words").mapInArrow(run, "at int").distinct().toArrow()["at"].to_numpy()] = True
+    out[_small_rows(phrases.select("lang", "words").mapInArrow(run, "at int").distinct())["at"].to_numpy()] = True
     return out
 
 
-def candidates_of(slices: DataFrame, shorter: DataFrame, size: int, least: int, block: int = DIGEST_BLOCK, range_bits: int = RANGE_BITS) -> DataFrame:
-    """``id, lang, words``, written: phrases of ``size`` words that may occur ``least`` times.
-
-    A phrase is no candidate if one of its two parts of ``size - 1`` words is not among ``shorter``, told by a table of fixed size
-    that errs on the safe side, or if the occurrences of its digest don't sum to ``least``. Only digests are shuffled for that, in
-    ``2 ** range_bits`` ranges of sorted 32-bit rests: equal digests of several phrases err on the safe side too. The words of those left are read off
-    the slices, a block of digests at a time.
-    """
-    context, bits = slices.sparkSession.sparkContext, 32 + range_bits
-    frequent = context.broadcast(np.packbits(_frequent_table(shorter)))
+def _narrow(one: dict, at: np.ndarray, size: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """``(codes, words, hashes)`` of a slice without the words that no phrase of ``size`` words beginning at one of the places ``at`` holds."""
+    codes = one["codes"]
+    covered = np.zeros(len(codes) + 1, np.int32)
+    covered[at] += 1
+    covered[at + size] -= 1
+    kept = np.cumsum(covered[:-1]) > 0
+    opens = np.flatnonzero(kept[1:] & ~kept[:-1]) + 1
+    kinds, numbers = _renumbered(codes[kept], len(one["words"]))
+    before = np.cumsum(kept)[opens - 1]
+    return np.insert(numbers, before, -1), one["words"].take(pa.array(kinds)), one["hashes"][kinds]
+
+
+def _merged(lang: str, parts: list[tuple[np.ndarray, pa.Array, np.ndarray]]) -> pa.RecordBatch:
+    """A row of ``JOINED`` of several parts of one language, with a break between them."""
+    named = pa.concat_arrays([terms for _, terms, _ in parts]).dictionary_encode()
+    place = named.indices.to_numpy()
+    hashes = np.zeros(len(named.dictionary), np.uint64)
+    hashes[place] = np.concatenate([x for _, _, x in parts])
+    codes, first = [], 0
+    for own, terms, _ in parts:
+        codes.append(np.append(np.append(place[first : first + len(terms)], np.int32(-1))[own], np.int32(-1)))
+        first += len(terms)
+    codes = np.concatenate(codes)[:-1].astype(np.int32)
+    row = [pa.array([lang], pa.string()), pa.array([int((codes >= 0).sum())], pa.int64())]
+    row += [pa.array([value], pa.binary()) for value in (_join(named.dictionary), hashes.tobytes(), codes.tobytes())]
+    return pa.RecordBatch.from_arrays(row, ["lang", "n", "words", "hashes", "codes"])
+
+
+def _frequent_digests(slices: DataFrame, frequent, size: int, least: int, bits: int) -> DataFrame:
+    """``digest``, written: the digests whose occurrences sum to ``least``, of phrases of ``size`` words whose parts may be ``frequent``."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(frequent.value).astype(bool)
@@ -387,10 +496,44 @@ def candidates_of(slices: DataFrame, shorter: DataFrame, size: int, least: int,
             yield from _in_batches(_packed(held, least))
 
     packed = slices.select("lang", "hashes", "codes").mapInArrow(sums, "part int, digests binary, counts binary")
-    digests = write_once(packed.groupBy("part").applyInArrow(_digest_adder(least), "digest long"))
+    return write_once(packed.groupBy("part").applyInArrow(_digest_adder(least), "digest long"))
+
+
+def _narrowed(slices: DataFrame, frequent, digests: DataFrame, size: int, bits: int) -> DataFrame:
+    """``JOINED``, written: the slices without what no phrase of ``size`` words with one of the ``digests`` holds, told by a table of fixed size that errs on
+    the safe side. Every such phrase, and every longer one made of them, stands there as often as before."""
+    flags = np.zeros(1 << NARROW_BITS, bool)
+    flags[_small_rows(digests.select(F.shiftrightunsigned("digest", bits - NARROW_BITS).cast("int").alias("at")).distinct())["at"].to_numpy()] = True
+    wanted = slices.sparkSession.sparkContext.broadcast(np.packbits(flags))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, few = np.unpackbits(frequent.value).astype(bool), np.unpackbits(wanted.value).astype(bool)
+        held, places = {}, 0
+        for one in _slices(batches):
+            at, digest = _candidates_at(one, table, size, bits)
+            at = at[few[digest >> np.uint64(bits - NARROW_BITS)]]
+            if not len(at):
+                continue
+            part = _narrow(one, at, size)
+            held.setdefault(one["lang"], []).append(part)
+            places += len(part[0])
+            if places >= MERGED:
+                yield from (_merged(*x) for x in held.items())
+                held, places = {}, 0
+        yield from (_merged(*x) for x in held.items())
+
+    return write_once(slices.mapInArrow(run, JOINED), **LARGE_ROWS)
+
+
+def _candidates(slices: DataFrame, shorter: DataFrame, size: int, least: int, block: int, range_bits: int) -> tuple[DataFrame, DataFrame]:
+    """``(candidates, narrowed)``: as ``candidates_of``, and the slices narrowed to them."""
+    context, bits = slices.sparkSession.sparkContext, 32 + range_bits
+    frequent = context.broadcast(np.packbits(_frequent_table(shorter)))
+    digests = _frequent_digests(slices, frequent, size, least, bits)
+    slices = _narrowed(slices, frequent, digests, size, bits)
     found = None
     for part in _blocks(digests, block, "digest"):
-        wanted = context.broadcast(np.sort(part.toArrow()["digest"].to_numpy().view(np.uint64)))
+        wanted = context.broadcast(np.sort(_small_rows(part)["digest"].to_numpy().view(np.uint64)))
 
         def spell(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
             table = np.unpackbits(frequent.value).astype(bool)
@@ -400,13 +543,24 @@ def candidates_of(slices: DataFrame, shorter: DataFrame, size: int, least: int,
         found = own if found is None else found.unionByName(own)
     if found is None:
         found = shorter.select("lang", "words").limit(0)
-    return write_once(found.withColumn("id", F.monotonically_increasing_id()))
+    return write_once(found.withColumn("id", F.monotonically_increasing_id())), slices
+
+
+def candidates_of(slices: DataFrame, shorter: DataFrame, size: int, least: int, block: int = DIGEST_BLOCK, range_bits: int = RANGE_BITS) -> DataFrame:
+    """``id, lang, words``, written: phrases of ``size`` words that may occur ``least`` times.
+
+    A phrase is no candidate if one of its two parts of ``size - 1`` words is not among ``shorter``, told by a table of fixed size
+    that errs on the safe side, or if the occurrences of its digest don't sum to ``least``. Only digests are shuffled for that, in
+    ``2 ** range_bits`` ranges of sorted 32-bit rests: equal digests of several phrases err on the safe side too. The words of those left are read off
+    the slices, narrowed to them, a block of digests at a time.
+    """
+    return _candidates(slices, shorter, size, least, block, range_bits)[0]
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """``(phrases, totals)``: ``lang, words, f`` of all phrases of up to ``longest`` words that occur ``least`` times, single words included, and
     ``lang, n`` with the number of all words."""
-    slices = write_once(slices_of(docs), **LARGE_ROWS)
+    slices = write_once(slices_of(docs, joined=True), **LARGE_ROWS)
     totals = slices.groupBy("lang").agg(F.sum("n").alias("n"))
     with rows_per_batch(docs.sparkSession, SLICES_PER_BATCH):
         return _levels(slices, least, longest), totals
@@ -417,10 +571,10 @@ def _levels(slices: DataFrame, least: int, longest: int) -> DataFrame:
     level = write_once(_word_counts(slices).filter(F.col("f") >= least).select("lang", F.array("word").alias("words"), "f"))
     levels = [level]
     for size in range(2, longest + 1):
-        candidates = candidates_of(slices, levels[-1], size, least, range_bits=range_bits)
+        candidates, slices = _candidates(slices, levels[-1], size, least, DIGEST_BLOCK, range_bits)
         if candidates.isEmpty():
             break
-        counted = count_candidates(slices, candidates).filter(F.col("f") >= least)
+        counted = count_candidates(slices, candidates, TRIE_BLOCK // size).filter(F.col("f") >= least)
         levels.append(write_once(candidates.join(counted.hint("merge"), "id").select("lang", "words", "f")))
     out = levels[0]
     for more in levels[1:]:

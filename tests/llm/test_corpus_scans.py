@@ -184,6 +184,71 @@ def test_blocks_count_every_phrase(spark, folder):
     assert {(r.lang, *r.words): r.f for r in counted.collect() if r.f >= 4} == wanted
 
 
+def test_slices_are_narrowed_to_what_may_be_frequent(spark, folder, monkeypatch):
+    """Passes behind a length read less of a text, and still every frequent phrase of this length and of longer ones."""
+    monkeypatch.setattr(phrases, "MERGED", 2000)
+    docs = read(spark, folder, "documents")
+    rows = [(r.lang, r.text) for r in docs.select("lang", "text").collect()]
+    slices = write_once(phrases.slices_of(docs, joined=True))
+    single = write_once(phrases._word_counts(slices).filter("f >= 4").select("lang", F.array("word").alias("words"), "f"))
+    candidates, narrowed = phrases._candidates(slices, single, 2, 4, 1 << 10, 6)
+    pairs = candidates.join(phrases.count_candidates(narrowed, candidates), "id").filter("f >= 4").select("lang", "words", "f")
+    assert {(r.lang, *r.words): r.f for r in pairs.collect()} == {k: n for k, n in plain_counts(rows, 2).items() if n >= 4}
+    candidates, more = phrases._candidates(narrowed, write_once(pairs), 3, 4, 1 << 10, 6)
+    triples = candidates.join(phrases.count_candidates(more, candidates), "id").filter("f >= 4")
+    assert {(r.lang, *r.words): r.f for r in triples.collect()} == {k: n for k, n in plain_counts(rows, 3).items() if n >= 4}
+    left = [x.agg(F.sum("n")).first()[0] for x in (slices, narrowed, more)]
+    assert left[0] > left[1] > left[2] > 0
+
+
+def test_narrow_keeps_runs_apart():
+    one = as_slice("a", "p q r s t u p q".split())
+    codes, terms, hashes = phrases._narrow(one, np.array([0, 1, 6]), 2)
+    assert [terms[int(c)].as_py() if c >= 0 else "|" for c in codes] == ["p", "q", "r", "|", "p", "q"] and len(hashes) == len(terms) == 3
+    other = as_slice("a", ["r", "z"])
+    (row,) = phrases._slices([phrases._merged("a", [(codes, terms, hashes), (other["codes"], other["words"], other["hashes"])])])
+    assert [row["words"][int(c)].as_py() if c >= 0 else "|" for c in row["codes"]] == ["p", "q", "r", "|", "p", "q", "|", "r", "z"] and row["n"] == 7
+    by_word = dict(zip([*terms.to_pylist(), *other["words"].to_pylist()], [*hashes, *other["hashes"]]))
+    assert [by_word[w] for w in row["words"].to_pylist()] == row["hashes"].tolist()
+
+
+def test_joined_words_are_split_again():
+    for terms in ([], ["a"], ["", "b", ""], ["\u00e9t\u00e9", "x" * 1000, "\u2028", "\U0001f600"]):
+        assert phrases._split(pa.py_buffer(phrases._join(pa.array(terms, pa.large_string())))).to_pylist() == terms
+
+
+def test_symbols_of_one_hash_are_told_apart():
+    table = pa.table({"id": [0, 1, 2], "lang": ["a", "a", "b"], "words": [["p", "q"], ["q", "r"], ["p", "s"]]})
+    trie, symbols, _ = phrases._trie(table)
+    one = as_slice("a", "p q r p q z".split())
+    by_hash = symbols.of(one)
+    assert symbols.told and [-1 if k < 0 else symbols.spelled[int(k)].as_py() for k in by_hash] == ["p", "q", "r", -1]
+    symbols.told = False
+    assert symbols.of(one).tolist() == by_hash.tolist()
+    stranger = one | {"hashes": np.full(4, symbols.hashes[0])}  # another word of the same hash is none of the symbols
+    symbols.told = True
+    assert (symbols.of(stranger) >= 0).sum() == 1
+    sums = np.zeros(3, np.int64)
+    phrases._add_counts(trie, symbols, one, sums)
+    assert sums.tolist() == [2, 1, 0]
+
+
+def test_phrases_of_a_first_word_share_a_trie(spark, monkeypatch):
+    """A pass begins at its own words only; a word with very many phrases is spread over blocks."""
+    made, trie = [], phrases._trie
+    monkeypatch.setattr(phrases, "_trie", lambda table: made.append(table) or trie(table))
+    said = [[f"w{k % 40}", f"v{k // 40}"] for k in range(400)] + [["hot", f"h{k}"] for k in range(300)]
+    docs = spark.createDataFrame([("a", ". ".join(" ".join(x) for x in said))], "lang string, text string")
+    asked = write_once(spark.createDataFrame([(k, "a", x) for k, x in enumerate(said)], "id long, lang string, words array<string>"))
+    assert {r.id: r.f for r in phrases.count_candidates(phrases.slices_of(docs), asked, block=100).collect()} == dict.fromkeys(range(700), 1)
+    assert len(made) > 6 and max(len(t) for t in made) <= 160
+    few = write_once(asked.filter("id < 400"))
+    made.clear()
+    phrases.count_candidates(phrases.slices_of(docs), few, block=200)
+    firsts = [{x[0] for x in t["words"].to_pylist()} for t in made]
+    assert len(made) > 1 and sum(map(len, firsts)) == 40
+
+
 def test_candidates_are_recounted_exactly(spark):
     """A candidate that the digests let through by mistake is counted as what it is."""
     docs = spark.createDataFrame([("a", "x y x y x. y"), (None, "x y")], "lang string, text string")
